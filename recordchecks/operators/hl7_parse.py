@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordchecks.functions.gen import explode_kept, inline_kept, posexplode_kept
+
 from recordchecks.functions import hl7 as H
 from recordchecks.rules.hl7_rules import (EXPECTED_MESSAGE_TYPE, LENIENT_PARSE_ERROR,
                                           STRICT_PARSE_ERROR)
@@ -32,7 +34,7 @@ def _with_occurrence(parsed: DataFrame) -> DataFrame:
             F.size(F.filter(F.slice(names, 1, i + 1),
                             lambda n: n == H.seg_name(a))).alias("seg_occ"),
             a.alias("parts")))
-    return parsed.select("msg_id", F.explode(tagged).alias("s")).select("msg_id", "s.*")
+    return explode_kept(parsed, ["msg_id"], tagged, "s").select("msg_id", "s.*")
 
 
 def segments(messages: DataFrame, **kw) -> DataFrame:
@@ -55,7 +57,7 @@ def fields(messages: DataFrame, **kw) -> DataFrame:
     ).otherwise(
         F.transform(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))),
                     lambda v, i: F.struct((i + 1).alias("field_no"), v.alias("value"))))
-    out = s.select("msg_id", "seg_pos", "seg_name", "seg_occ", F.inline(numbered))
+    out = inline_kept(s, ["msg_id", "seg_pos", "seg_name", "seg_occ"], numbered, "field_no")
     return out.select("*", F.size(F.split("value", "~", -1)).alias("n_reps"),
                       H.first_component(F.col("value")).alias("first_component"))
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordchecks.functions.gen import explode_kept, inline_kept, posexplode_kept
+
 from recordchecks.functions import hl7 as H
 from recordchecks.rules import hl7_rules as R
 
@@ -265,8 +267,8 @@ def findings(messages: DataFrame, profiles=PROFILES, **kw) -> DataFrame:
     v = validated(messages, profiles, **kw)
     per = F.array(*[F.struct(F.lit(pr).alias("profile"), F.col(f"f_{pr}").alias("fs"))
                     for pr in profiles])
-    return (v.select("msg_id", F.inline(per))
-            .select("msg_id", "profile", F.inline("fs")))
+    return inline_kept(inline_kept(v, ["msg_id"], per, "profile"), ["msg_id", "profile"], "fs",
+                       "check_no")
 
 
 def verdict(messages: DataFrame, profiles=PROFILES, **kw) -> DataFrame:
@@ -280,7 +282,7 @@ def verdict(messages: DataFrame, profiles=PROFILES, **kw) -> DataFrame:
                  F.size(F.filter(F.col(f"f_{pr}"), lambda x: x["severity"] == "warning"))
                  .alias("warning_count"))
         for pr in profiles])
-    out = v.select("msg_id", F.inline(per))
+    out = inline_kept(v, ["msg_id"], per, "profile")
     return out.select("msg_id", "profile", (F.col("error_count") == 0).alias("is_valid"),
                       F.col("error_count").cast("bigint").alias("error_count"),
                       F.col("warning_count").cast("bigint").alias("warning_count"))

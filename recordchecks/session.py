@@ -22,8 +22,10 @@ BASE_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "recordchecks") -> SparkSession:
+                app_name: str = "recordchecks", driver_memory: str | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
+    if driver_memory:  # local mode: the driver JVM is the only executor
+        builder = builder.config("spark.driver.memory", driver_memory)
     if master:
         builder = builder.master(master)
     for k, v in BASE_CONF.items():

@@ -98,3 +98,65 @@ def hl7_messages(spark: SparkSession, d: str) -> DataFrame:
            .when(F.col("k") % 5 == 1, F.array_join("segs", "\r"))
            .otherwise(F.array_join("segs", "\n")))
     return staged.select("msg_id", raw.alias("raw"))
+
+
+_MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
+
+
+def device_records(spark: SparkSession, d: str) -> DataFrame:
+    """``docs(doc_id, json)``: one device treatment record per order, shaped
+    like the clinic export (nested objects, keys with spaces and ``-``, an
+    array of therapy cycles from the order's line items).  Faults: empty or
+    wrongly typed ids, a bad birth date, a seconds-bearing batch time, absent
+    weights, string weights, non-numeric glucose, hour-24 cycle times, and
+    truncated (unparseable) documents."""
+    li = table(spark, d, "lineitem").select("l_orderkey", *_LINE_ORDER)
+    cycles = (li.groupBy("l_orderkey")
+              .agg(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER))).alias("lines"),
+                   F.sum("l_quantity").alias("total_qty")))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
+                                              "o_orderdate")
+    j = orders.join(cycles, orders.o_orderkey == cycles.l_orderkey, "left")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    w = (F.col("o_totalprice") / 1000).cast("bigint")
+    dob = F.when(c % 37 == 0, F.lit("30-FEB-1985")).otherwise(F.format_string(
+        "%02d-%s-%04d", (1 + c % 28).cast("int"),
+        F.get(F.array(*[F.lit(m) for m in _MONTHS]), (c % 12).cast("int")), (1940 + c % 60).cast("int")))
+    patient = F.struct(
+        F.when(k % 53 == 0, F.lit("")).otherwise(
+            F.concat(F.lit("07501-"), F.lpad(_s(c), 8, "0"))).alias("ERP Patient ID"),
+        _s(c).alias("Clinic Patient ID"),
+        F.when(k % 59 == 1, F.concat(F.lit("T"), _s(k)).cast("variant"))
+        .otherwise(k.cast("variant")).alias("Treatment ID"),
+        F.when(k % 2 == 0, F.lit("AMIA")).otherwise(F.lit("CLARIA")).alias("Device Type"),
+        F.concat(F.lit("FNAME-"), _s(c)).alias("First Name"),
+        F.concat(F.lit("LNAME-"), _s(c)).alias("Last Name"),
+        dob.alias("DOB"))
+    batch = F.struct(
+        F.concat(F.lit("B"), _s(k)).alias("ID"),
+        F.date_format("o_orderdate", "dd-MMM-yyyy").alias("Date"),
+        F.when(k % 3 == 0, F.lit("09:15:30")).otherwise(F.lit("09:15")).alias("Time"),
+        F.lit("Normal").alias("Type"))
+    pre = F.struct(
+        F.when(k % 43 != 0, w).alias("Weight"),
+        _s(60 + k % 160).alias("Blood Pressure Systolic"),
+        _s(k % 260).alias("Pulse"),
+        _s(85 + k % 30).alias("Temperature"),
+        F.when(k % 61 == 0, F.lit("high")).otherwise(_s(k % 1100)).alias("Glucose"))
+    post_w = F.when(k % 2 == 0, (w + 1).cast("variant")).otherwise(_s(w + 1).cast("variant"))
+    post = F.struct(post_w.alias("Weight"), _s(70 + k % 150).alias("Blood Pressure Systolic"))
+    cyc = F.transform("lines", lambda ln: F.struct(
+        F.format_string("%02d:%02d:%02d", (ln["l_linenumber"] * 4).cast("int"),
+                        (ln["l_partkey"] % 60).cast("int"), (ln["l_suppkey"] % 60).cast("int"))
+        .alias("Therapy Cycle Time"),
+        F.concat(ln["l_returnflag"], F.lit("-"), ln["l_linestatus"],
+                 F.when(ln["l_linenumber"] == 1, F.lit("FILL")).otherwise(F.lit(""))).alias("Cycle Type"),
+        F.struct(ln["l_quantity"].cast("bigint").alias("Fill Volume"),
+                 (ln["l_linenumber"] * 60).alias("Fill Time")).alias("CycleAttributes")))
+    doc = F.struct(patient.alias("Patient Info"), batch.alias("Batch"),
+                   F.struct(pre.alias("Pre-Treatment"), post.alias("Post-Treatment")).alias("Vitals"),
+                   cyc.alias("Actual Therapy"),
+                   F.struct(F.col("total_qty").alias("Total Therapy Volume")).alias("Total Therapy"))
+    staged = j.select(k.alias("doc_id"), F.to_json(doc).alias("to_json_doc"))
+    return staged.select("doc_id", F.when(F.col("doc_id") % 47 == 0, F.expr(
+        "substring(to_json_doc, 1, length(to_json_doc) - 1)")).otherwise(F.col("to_json_doc")).alias("json"))
