@@ -160,3 +160,27 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
     staged = j.select(k.alias("doc_id"), F.to_json(doc).alias("to_json_doc"))
     return staged.select("doc_id", F.when(F.col("doc_id") % 47 == 0, F.expr(
         "substring(to_json_doc, 1, length(to_json_doc) - 1)")).otherwise(F.col("to_json_doc")).alias("json"))
+
+
+def job_runs(spark: SparkSession, d: str) -> DataFrame:
+    """``job_runs(job_seq, job_id, amia_status, claria_status, reprocess_amia,
+    reprocess_claria)``: one job per order.  AMIA from the order status
+    (O success, F failure, P partial), CLARIA from the priority; a few invalid
+    (``DONE``) or NULL values, empty and absent reprocess values, absent ids."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    k = F.col("o_orderkey")
+    amia = (F.when(k % 97 == 5, F.lit("DONE"))
+            .when(k % 101 == 7, F.lit(None))
+            .otherwise(F.when(F.col("o_orderstatus") == "O", "SUCCESS")
+                       .when(F.col("o_orderstatus") == "F", "FAILURE").otherwise("PARTIAL_SUCCESS")))
+    p = F.substring("o_orderpriority", 1, 1)
+    claria = (F.when(k % 103 == 9, F.lit("done"))
+              .otherwise(F.when(p.isin("1", "5"), "FAILURE").when(p == "2", "PARTIAL_SUCCESS")
+                         .otherwise("SUCCESS")))
+    rep_a = (F.when(k % 8 == 1, "SUCCESS").when(k % 8 == 3, "FAILURE").when(k % 8 == 5, "")
+             .when(k % 8 == 7, "PARTIAL_SUCCESS").when(k % 107 == 2, "RETRY"))
+    rep_c = F.when(k % 6 == 2, "SUCCESS").when(k % 6 == 4, "PARTIAL_SUCCESS")
+    return o.select((k + 1).alias("job_seq"),
+                    F.when(k % 89 != 0, F.concat(F.lit("JOB_"), F.lpad(_s(k), 6, "0"))).alias("job_id"),
+                    amia.alias("amia_status"), claria.alias("claria_status"),
+                    rep_a.alias("reprocess_amia"), rep_c.alias("reprocess_claria"))
