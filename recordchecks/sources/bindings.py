@@ -184,3 +184,24 @@ def job_runs(spark: SparkSession, d: str) -> DataFrame:
                     F.when(k % 89 != 0, F.concat(F.lit("JOB_"), F.lpad(_s(k), 6, "0"))).alias("job_id"),
                     amia.alias("amia_status"), claria.alias("claria_status"),
                     rep_a.alias("reprocess_amia"), rep_c.alias("reprocess_claria"))
+
+
+def schedules(spark: SparkSession, d: str) -> DataFrame:
+    """``schedules``: one per customer; kind and parameters from the key."""
+    c = F.col("c_custkey")
+    kinds = F.array(*[F.lit(x) for x in ("daily", "weekly", "biweekly", "monthly", "quarterly")])
+    start = (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+             + F.make_dt_interval((c % 28).cast("int"), (c % 24).cast("int"), ((c * 13) % 60).cast("int"),
+                                  F.lit(0)))
+    return table(spark, d, "customer").select(
+        c.alias("schedule_id"), F.get(kinds, (c % 5).cast("int")).alias("kind"),
+        start.alias("start_ts"),
+        (start + F.make_dt_interval((20 + c % 400).cast("int"))).alias("end_ts"),
+        (c % 7).cast("int").alias("weekday"),
+        (1 + (c * 7) % 31).cast("int").alias("day_of_month"),
+        (1 + (c * 11) % 92).cast("int").alias("day_of_quarter"),
+        F.when(c % 9 != 0, ((c * 5) % 24).cast("int")).alias("hh"),
+        F.when(c % 9 != 0, ((c * 17) % 60).cast("int")).alias("mm"),
+        F.when(c % 4 != 0, (15 * (1 + c % 8)).cast("int")).alias("duration_min"),
+        F.when(c % 2 == 0, F.array(*[F.lit(x) for x in (1, 4, 7, 10)])).otherwise(
+            F.array(*[F.lit(x) for x in (2, 5, 8, 11)])).alias("quarter_months"))
