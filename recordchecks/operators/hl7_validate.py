@@ -258,8 +258,15 @@ def validated(messages: DataFrame, profiles=PROFILES, id_col="msg_id", raw_col="
     every profile's findings built on the same row."""
     from recordchecks.operators.hl7_parse import parse
     p = parse(messages, id_col=id_col, raw_col=raw_col)
-    cols = findings_columns(F.col("segs"))
-    return p.select("msg_id", *[cols[pr].alias(f"f_{pr}") for pr in profiles])
+    # stage the message context once (segment names, first MSH/PID/PV1/ORC/
+    # OBR, the OBX list); every rule then reads columns instead of searching
+    # the segment array again
+    ctx = _context(F.col("segs"))
+    staged = p.select("msg_id", *[v.alias(f"c_{k}") for k, v in ctx.items()])
+    c = {k: F.col(f"c_{k}") for k in ctx}
+    cols = {"strict": _guard_parse(c, strict_findings(c), R.STRICT_PARSE_ERROR),
+            "lenient": _guard_parse(c, lenient_findings(c), R.LENIENT_PARSE_ERROR)}
+    return staged.select("msg_id", *[cols[pr].alias(f"f_{pr}") for pr in profiles])
 
 
 def findings(messages: DataFrame, profiles=PROFILES, **kw) -> DataFrame:

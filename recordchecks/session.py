@@ -15,9 +15,16 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # Broadcast only what is known to be small: the rule tables are
-    # broadcast by explicit hint after a size check, nothing else.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Broadcast only what is known to be small: the rule, mapping, code and
+    # statement tables carry an explicit hint after a size check.  Every other
+    # join side grows with the data, so no size-estimate-driven broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    # The per-message / per-document stages are CPU bound (parsing, rule
+    # expressions), so AQE may keep small post-shuffle partitions rather than
+    # merging them into a few large ones; large inputs are unaffected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
 }
 
 
