@@ -113,30 +113,19 @@ def flatten(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json",
                       kind.alias("kind"))
 
 
-def attr_values(flat: DataFrame, mapping: DataFrame) -> DataFrame:
-    """G3/G8/G9/G10 + J2: OBX rows' values.  Scalar sections look the
-    attribute up from the root, then under the section (first found wins);
-    list sections (arrays of objects) match each item's keys, including the
-    keys of its nested objects, by their last key."""
-    obx = mapping.where((F.col("segment") == "OBX") & F.col("section").isNotNull())
-    m = _checked(obx)
-    f = flat.where(F.col("value").isNotNull() & (F.col("kind") != "VOID"))
-    # scalar look-ups: path = attr (priority 1) or section.attr (priority 2)
-    direct = f.join(m, f["path"] == m["attr"]).select(
-        "doc_id", "section", "attr", "identifier", "display_name", "data_type", "unit", "sequence",
-        F.lit(1).alias("prio"), F.lit(None).cast("int").alias("item"), "value")
-    nested = f.join(m, f["path"] == F.concat(m["section"], F.lit("."), m["attr"])).select(
-        "doc_id", "section", "attr", "identifier", "display_name", "data_type", "unit", "sequence",
-        F.lit(2).alias("prio"), F.lit(None).cast("int").alias("item"), "value")
-    scal = direct.unionByName(nested)
-    w = Window.partitionBy("doc_id", "section", "attr").orderBy("prio")
-    scal = scal.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "prio")
-    # list items: path = SECTION[i].....LEAF, leaf matched to attr
-    items = f.where(F.col("idx").isNotNull()).join(
-        m, (f["top"] == m["section"]) & (f["leaf"] == m["attr"])).select(
-        "doc_id", "section", "attr", "identifier", "display_name", "data_type", "unit", "sequence",
-        F.col("idx").alias("item"), "value")
-    return scal.unionByName(items)
+def attr_values(docs: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Mapped attribute values per document ``(doc_id, section, attr,
+    item, value)``.  Scalar sections look the attribute up from the root,
+    then under the section (first found wins); list sections (arrays of
+    objects) match each item's keys, nested ones included, by their last key
+    (G10).  The mapping is compiled to a literal map, so the look-up is a map
+    access inside the document's row - no join, no shuffle."""
+    lookup, sec_arr = _compiled(mapping)
+    v = docs.select("doc_id", F.try_parse_json("json").alias("v")).where(F.col("v").isNotNull())
+    m = _with_rows(v, F.col("v"), lookup, sec_arr, "", stop_at_matches=True).select("doc_id", "_best")
+    return inline_kept(m, ["doc_id"], "_best", "section").select(
+        "doc_id", "section", "attr", F.when(F.col("item") >= 0, F.col("item")).alias("item"), "identifier",
+        "display_name", "data_type", "unit", "sequence", "value")
 
 
 # ------------------------------------------------------------------ G4-G7
@@ -173,86 +162,156 @@ def header_segments(docs: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST")
     dev = pi("Device Type")
     dev_obx = F.when(F.coalesce(dev, F.lit("")) != "", F.concat(
         F.lit(f"OBX|1|ST|{M.DEVICE_OBX}|1|"), e(dev), F.lit("||||||F")))
-    return p.select("doc_id", F.col("v").isNotNull().alias("parsed"), bhs.alias("bhs"), msh.alias("msh"),
+    return p.select("doc_id", "v", F.col("v").isNotNull().alias("parsed"), bhs.alias("bhs"), msh.alias("msh"),
                     pid.alias("pid"), pv1.alias("pv1"), orc.alias("orc"), fixed_obr.alias("fixed_obr"),
                     nte1.alias("nte1"), nte2.alias("nte2"), dev_obx.alias("device_obx"),
                     F.lit(M.BTS_SEGMENT).alias("bts"))
 
 
 # ------------------------------------------------------------------ G8-G11
-def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str) -> DataFrame:
-    """G8-G10 + W2: OBR and OBX rows of the mapped sections, numbered.
+_ENTRY = ("section string, attr string, identifier string, display_name string, data_type string, "
+          "unit string, sequence int, prio int")
+
+
+def _compiled(mapping: DataFrame):
+    """The mapping read once (size checked) and compiled to literals: a map
+    from look-up key to mapping entries, and the OBR sections in order.
+
+    Keys: ``ATTR`` (found from the root, priority 1), ``SECTION.ATTR``
+    (found under the section, priority 2), ``SECTION|LEAF`` (a key inside an
+    item of a list section, G10)."""
+    cm = compile_mapping(mapping)
+    n = cm.count()
+    if n > MAX_MAPPING_ROWS:
+        raise ValueError(f"mapping has {n} rows; not a configuration table")
+    rows = cm.collect()
+    by_key: dict[str, list] = {}
+    for r in rows:
+        if r["segment"] != "OBX" or r["section"] is None:
+            continue
+        base = (r["section"], r["attr"], r["identifier"], r["display_name"], r["data_type"], r["unit"],
+                int(r["sequence"]))
+        for key, prio in ((r["attr"], 1), (f"{r['section']}.{r['attr']}", 2), (f"{r['section']}|{r['attr']}", 1)):
+            by_key.setdefault(key, []).append(base + (prio,))
+
+    def entry(t):
+        return F.struct(*[F.lit(v).cast(ty).alias(nm) for v, (nm, ty) in zip(
+            t, [x.strip().split(" ") for x in _ENTRY.split(",")])])
+    lookup = F.create_map(*[x for k, es in sorted(by_key.items())
+                            for x in (F.lit(k), F.array(*[entry(e) for e in es]))]) if by_key else None
+    sections = sorted([r for r in rows if r["segment"] == "OBR"], key=lambda r: (r["sequence"], r["attr"]))
+    sec_arr = F.array(*[F.struct(F.lit(r["section"]).alias("section"), F.lit(r["identifier"]).alias("identifier"),
+                                 F.lit(r["display_name"]).alias("display_name"),
+                                 F.lit(int(r["sequence"])).alias("sec_seq")) for r in sections])
+    return lookup, sec_arr
+
+
+def _nodes(v: Column, max_depth: int = MAX_FLATTEN_DEPTH) -> Column:
+    arr = F.array(_node(F.lit(""), F.lit(None).cast("string"), F.lit(None), F.lit(None).cast("string"), v))
+    for _ in range(max_depth):
+        arr = _expand(arr)
+    return arr
+
+
+def _with_rows(df: DataFrame, v: Column, lookup: Column, sec_arr: Column, obs_ts: str,
+               stop_at_matches: bool = False) -> DataFrame:
+    """Adds ``rows``: per document, inside its row, the OBR and OBX rows in
+    message order, numbered (W2).  No join and no shuffle: the mapping is a
+    literal map and the document is opened by a chain of ``transform``s.
+    Three projections (open, match, number) keep each expression shallow."""
+    empty = F.array().cast(f"array<struct<{_ENTRY.replace(' string', ':string').replace(' int', ':int')}>>")
+    keep = df.columns
+    st1 = df.select(*keep, F.when(v.isNotNull(), _nodes(v)).alias("_nodes"))
+
+    def value_of(n):
+        k = F.schema_of_variant(n["v"])
+        return F.when(k == "STRING", F.try_variant_get(n["v"], "$", "string")).when(
+            (k != "VOID") & ~k.startswith("OBJECT") & ~k.startswith("ARRAY"), F.to_json(n["v"]))
+
+    def matches(n, key):
+        return F.transform(F.coalesce(F.try_element_at(lookup, key), empty), lambda m: F.struct(
+            m["section"].alias("section"), m["attr"].alias("attr"), m["prio"].alias("prio"),
+            F.coalesce(n["idx"], F.lit(-1)).alias("item"), m["sequence"].alias("sequence"),
+            m["identifier"].alias("identifier"), m["display_name"].alias("display_name"),
+            m["data_type"].alias("data_type"), m["unit"].alias("unit"), value_of(n).alias("value")))
+    cand = F.filter(F.flatten(F.transform("_nodes", lambda n: F.when(
+        n["idx"].isNull(), matches(n, n["path"])).otherwise(
+        matches(n, F.concat(n["top"], F.lit("|"), n["leaf"]))))), lambda x: x["value"].isNotNull())
+    st2 = st1.select(*keep, cand.alias("_cand"))
+    c = F.col("_cand")
+    # first found wins: a root look-up hides the under-section one
+    best = F.filter(c, lambda x: ~F.exists(c, lambda y: (y["section"] == x["section"])
+                                           & (y["attr"] == x["attr"]) & (y["item"] == x["item"])
+                                           & (y["prio"] < x["prio"])))
+    st3 = st2.select(*keep, best.alias("_best"))
+    if stop_at_matches:
+        return st3
+    b = F.col("_best")
+    # one OBR per section, one per item of a list section
+    obrs = F.flatten(F.transform(sec_arr, lambda s: F.transform(
+        F.coalesce(F.nullif(F.array_sort(F.array_distinct(F.transform(
+            F.filter(b, lambda x: x["section"] == s["section"]), lambda x: x["item"]))),
+            F.array().cast("array<int>")), F.array(F.lit(-1))),
+        lambda it: F.struct(s["section"].alias("section"), s["identifier"].alias("identifier"),
+                            s["display_name"].alias("display_name"), s["sec_seq"].alias("sec_seq"),
+                            it.alias("item")))))
+    st4 = st3.select(*keep, "_best", obrs.alias("_obrs"))
+
+    def rows_of(o, i):
+        obr_id = i + 2
+        obr_seg = F.concat(F.lit("OBR|"), obr_id.cast("string"), F.lit("|||"), o["identifier"], F.lit("^"),
+                           o["display_name"], F.lit(f"|||{obs_ts}"))
+        obr_row = F.struct(o["sec_seq"].alias("sec_seq"), o["item"].alias("item"), obr_id.alias("obr_set_id"),
+                           F.lit(0).alias("obx_set_id"), F.lit("OBR").alias("seg_name"),
+                           o["identifier"].alias("identifier"), F.lit(None).cast("string").alias("value"),
+                           obr_seg.alias("segment"))
+        mine = F.array_sort(F.transform(
+            F.filter("_best", lambda x: (x["section"] == o["section"]) & (x["item"] == o["item"])),
+            lambda x: F.struct(x["sequence"].alias("sequence"), x["attr"].alias("attr"),
+                               x["identifier"].alias("identifier"), x["display_name"].alias("display_name"),
+                               x["data_type"].alias("data_type"), x["unit"].alias("unit"),
+                               x["value"].alias("value"))))
+        obx_rows = F.transform(mine, lambda x, j: F.struct(
+            o["sec_seq"].alias("sec_seq"), o["item"].alias("item"), obr_id.alias("obr_set_id"),
+            (j + 1).alias("obx_set_id"), F.lit("OBX").alias("seg_name"), x["identifier"].alias("identifier"),
+            x["value"].alias("value"),
+            F.concat(F.lit("OBX|"), (j + 1).cast("string"), F.lit("|"), x["data_type"], F.lit("|"),
+                     x["identifier"], F.lit("^"), x["display_name"], F.lit("|"), obr_id.cast("string"),
+                     F.lit("|"), H.escape_value(x["value"]), F.lit("|"), x["unit"], F.lit("|||||F"))
+            .alias("segment")))
+        return F.concat(F.array(obr_row), obx_rows)
+    return st4.select(*keep, F.flatten(F.transform("_obrs", rows_of)).alias("rows"))
 
+
+def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str) -> DataFrame:
+    """G8-G10 + W2: OBR and OBX rows of the mapped sections, numbered:
     ``(doc_id, sec_seq, item, obr_set_id, obx_set_id, seg_name, identifier,
     value, segment)``.  Sections follow the OBR rows' sequence; a list
     section gets one OBR per item (D14); OBR set ids start at 2 and run over
-    sections and items; OBX set ids restart at 1 under each OBR."""
-    cm = compile_mapping(mapping)
-    # the OBR rows are configuration: read once (size checked) and expanded
-    # per document by a literal array, not by a join
-    cfg = cm.where(F.col("segment") == "OBR")
-    if cfg.count() > MAX_MAPPING_ROWS:
-        raise ValueError("too many OBR mapping rows")
-    sections = F.array(*[F.struct(F.lit(r["section"]).alias("s_section"),
-                                  F.lit(r["identifier"]).alias("s_identifier"),
-                                  F.lit(r["display_name"]).alias("s_display"),
-                                  F.lit(r["sequence"]).alias("sec_seq"))
-                         for r in cfg.collect()])
-    vals = attr_values(flatten(docs), cm)
-    parsed = docs.select("doc_id", F.try_parse_json("json").alias("v")).where(F.col("v").isNotNull())
-    every = parsed.select("doc_id", F.inline(sections))
-    # one OBR per (doc, section, item); a section without values still gets its OBR
-    sec_items = vals.select("doc_id", F.col("section").alias("s_section"),
-                            F.coalesce("item", F.lit(-1)).alias("item")).distinct()
-    obrs = every.join(sec_items, ["doc_id", "s_section"], "left").select(
-        "doc_id", "s_section", "s_identifier", "s_display", "sec_seq",
-        F.coalesce("item", F.lit(-1)).alias("item"))
-    wo = Window.partitionBy("doc_id").orderBy("sec_seq", "item")
-    obrs = obrs.withColumn("obr_set_id", F.row_number().over(wo) + 1)
-    obx = vals.select("doc_id", F.col("section").alias("s_section"), F.coalesce("item", F.lit(-1)).alias("item"),
-                      "identifier", "display_name", "data_type", "unit", "sequence", "attr", "value")
-    j = obx.join(obrs.select("doc_id", "s_section", "item", "obr_set_id", "sec_seq"),
-                 ["doc_id", "s_section", "item"])
-    wx = Window.partitionBy("doc_id", "obr_set_id").orderBy("sequence", "attr")
-    j = j.withColumn("obx_set_id", F.row_number().over(wx))
-    obx_seg = F.concat(F.lit("OBX|"), F.col("obx_set_id").cast("string"), F.lit("|"), F.col("data_type"),
-                       F.lit("|"), F.col("identifier"), F.lit("^"), F.col("display_name"), F.lit("|"),
-                       F.col("obr_set_id").cast("string"), F.lit("|"), H.escape_value(F.col("value")),
-                       F.lit("|"), F.col("unit"), F.lit("|||||F"))
-    obx_rows = j.select("doc_id", "sec_seq", "item", "obr_set_id", "obx_set_id", F.lit("OBX").alias("seg_name"),
-                        "identifier", "value", obx_seg.alias("segment"))
-    obr_seg = F.concat(F.lit("OBR|"), F.col("obr_set_id").cast("string"), F.lit("|||"), F.col("s_identifier"),
-                       F.lit("^"), F.col("s_display"), F.lit(f"|||{obs_ts}"))
-    obr_rows = obrs.select("doc_id", "sec_seq", "item", "obr_set_id", F.lit(0).alias("obx_set_id"),
-                           F.lit("OBR").alias("seg_name"), F.col("s_identifier").alias("identifier"),
-                           F.lit(None).cast("string").alias("value"), obr_seg.alias("segment"))
-    return obr_rows.unionByName(obx_rows)
+    sections and items; OBX set ids restart at 1 under each OBR, ordered by
+    the mapping sequence."""
+    lookup, sec_arr = _compiled(mapping)
+    v = docs.select("doc_id", F.try_parse_json("json").alias("v")).where(F.col("v").isNotNull())
+    plan = _with_rows(v, F.col("v"), lookup, sec_arr, obs_ts).select("doc_id", "rows")
+    return inline_kept(plan, ["doc_id"], "rows", "seg_name")
 
 
 def messages(docs: DataFrame, mapping: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST") -> DataFrame:
-    """G11+G12: ``(doc_id, status, error, n_segments, hl7_message)``: header
-    rows, section rows and BTS ordered and joined with ``\\r`` (D9).  An
-    unparseable record gets status ``error``; the batch goes on."""
+    """G11+G12: ``(doc_id, status, error, n_segments, hl7_message)``.  The
+    whole message is built inside the document's row - headers, the section
+    rows, BTS - and joined with ``\r`` (D9).  An unparseable record gets
+    status ``error``; the batch goes on."""
+    lookup, sec_arr = _compiled(mapping)
     h = header_segments(docs, run_ts, obs_ts, tz)
-    head = h.where("parsed").select("doc_id", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"), F.lit(0).alias("o4"),
-                 F.col(c).alias("segment"))
-        for i, c in enumerate(["bhs", "msh", "pid", "pv1", "orc", "fixed_obr", "nte1", "nte2", "device_obx"])])))
-    head = head.where(F.col("segment").isNotNull())
-    tail = h.where("parsed").select("doc_id", F.lit(99).alias("o1"), F.lit(0).alias("o2"), F.lit(0).alias("o3"),
-                                    F.lit(0).alias("o4"), F.col("bts").alias("segment"))
-    sec = section_rows(docs, mapping, obs_ts).select(
-        "doc_id", F.lit(50).alias("o1"), F.col("obr_set_id").alias("o2"), F.col("obx_set_id").alias("o3"),
-        F.lit(0).alias("o4"), "segment")
-    segs = head.unionByName(sec).unionByName(tail)
-    msg = segs.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("o1", "o2", "o3", "o4", "segment"))).alias("s"))
-    built = msg.select("doc_id", F.size("s").alias("n_segments"),
-                       F.array_join(F.transform("s", lambda x: x["segment"]), "\r").alias("hl7_message"))
-    status = h.select("doc_id", F.when(F.col("parsed"), "success").otherwise("error").alias("status"),
-                      F.when(~F.col("parsed"), F.lit("Error generating HL7 message: record is not valid JSON"))
-                      .alias("error"))
-    return status.join(built, "doc_id", "left")
+    staged = _with_rows(h, F.col("v"), lookup, sec_arr, obs_ts)
+    segs = F.concat(F.array("bhs", "msh", "pid", "pv1", "orc", "fixed_obr", "nte1", "nte2"),
+                    F.array_compact(F.array("device_obx")),
+                    F.transform("rows", lambda r: r["segment"]), F.array("bts"))
+    return staged.select(
+        "doc_id", F.when(F.col("parsed"), "success").otherwise("error").alias("status"),
+        F.when(~F.col("parsed"), F.lit("Error generating HL7 message: record is not valid JSON")).alias("error"),
+        F.when(F.col("parsed"), F.size(segs)).alias("n_segments"),
+        F.when(F.col("parsed"), F.array_join(segs, "\r")).alias("hl7_message"))
 
 
 def gen_totals(msgs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def q_flatten(spark, d):
 
 @query("json_attr_values")
 def q_attr_values(spark, d):
-    return B.attr_values(B.flatten(_docs(spark, d)), B.compile_mapping(B.mapping_frame(spark))).select(
+    return B.attr_values(_docs(spark, d), B.mapping_frame(spark)).select(
         "doc_id", "section", "attr", "item", "value")
 
 
