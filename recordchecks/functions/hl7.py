@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordchecks.rules.hl7_rules import SEGMENT_SPLIT
+from recordchecks.rules.hl7_rules import ENVELOPE_SEGMENTS, SEGMENT_SPLIT
 
 
 def parse_segments(raw: Column) -> Column:
@@ -72,3 +72,9 @@ def escape_value(v: Column) -> Column:
     for ch, esc in (("|", "\\F\\"), ("^", "\\S\\"), ("~", "\\R\\"), ("&", "\\T\\")):
         out = F.replace(out, F.lit(ch), F.lit(esc))
     return out
+
+
+def starts_with_msh(segs: Column) -> Column:
+    """H6: the first segment, batch envelope (FHS/BHS) skipped, is MSH."""
+    names = F.filter(F.transform(segs, seg_name), lambda n: ~n.isin(*ENVELOPE_SEGMENTS))
+    return F.coalesce(F.get(names, 0) == F.lit("MSH"), F.lit(False))

@@ -99,7 +99,6 @@ def message_type(messages: DataFrame, expected: str = EXPECTED_MESSAGE_TYPE, **k
 def unparseable(messages: DataFrame, **kw) -> DataFrame:
     """H6: messages whose first segment is not MSH, one error each."""
     p = parse(messages, **kw)
-    first = F.get(F.transform("segs", H.seg_name), 0)
-    return (p.where(~F.coalesce(first == "MSH", F.lit(False)))
+    return (p.where(~H.starts_with_msh(F.col("segs")))
             .select("msg_id", F.lit(STRICT_PARSE_ERROR).alias("strict_error"),
                     F.lit(LENIENT_PARSE_ERROR).alias("lenient_error")))

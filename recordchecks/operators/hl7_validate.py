@@ -90,7 +90,7 @@ def _context(segs: Column) -> dict[str, Column]:
     ctx = {"names": names, "obx": H.segments_named(segs, "OBX")}
     for s in ("MSH", "PID", "PV1", "ORC", "OBR"):
         ctx[s] = H.first_segment(segs, s)
-    ctx["parsed"] = F.coalesce(F.get(names, 0) == F.lit("MSH"), F.lit(False))
+    ctx["parsed"] = H.starts_with_msh(segs)
     return ctx
 
 

@@ -76,7 +76,7 @@ segs2 AS (
   FROM segs),
 m AS (
   SELECT msg_id,
-    coalesce(max(CASE WHEN seg_pos = 1 THEN name END) = 'MSH', false) AS parsed,
+    coalesce(arg_min(name, seg_pos) FILTER (WHERE name NOT IN ('FHS', 'BHS', 'BTS', 'FTS')) = 'MSH', false) AS parsed,
     any_value(f) FILTER (WHERE name = 'MSH' AND occ = 1) AS msh,
     any_value(f) FILTER (WHERE name = 'PID' AND occ = 1) AS pid,
     any_value(f) FILTER (WHERE name = 'PV1' AND occ = 1) AS pv1,

@@ -55,6 +55,8 @@ STRICT_UNITS_PATTERN = r"^[A-Za-z0-9°%/\\.]+$"
 LENIENT_UNITS_PATTERN = r"^[A-Za-z0-9°%/\\.\s]+$"
 RANGE_PATTERNS = [r"^[\d\.]+\s*-\s*[\d\.]+$", r"^[<>]\s*[\d\.]+$"]
 SEGMENT_SPLIT = "\r\n|\r|\n"
+# batch / file envelope segments: not part of the message they wrap
+ENVELOPE_SEGMENTS = ["FHS", "BHS", "BTS", "FTS"]
 
 STRICT_PARSE_ERROR = "HL7 Validation Error: message does not start with an MSH segment"
 LENIENT_PARSE_ERROR = "Message parsing failed: message does not start with an MSH segment"
