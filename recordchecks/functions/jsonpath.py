@@ -93,3 +93,9 @@ def _each(arr: Column, base: str, rest: list) -> Column:
         _targets(e, rest, []), lambda t: F.struct(
             F.concat(F.lit(base + "["), i.cast("string"), F.lit("]."), t["field_path"]).alias("field_path"),
             t["value"].alias("value")))))
+
+
+def targets_path(path: str) -> str:
+    """The field path a plain (wildcard-free) rule reports: its steps
+    re-joined, as ``targets`` shows it."""
+    return _fmt(steps(path))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from recordchecks.functions.gen import explode_kept, inline_kept, posexplode_kept
 
-from recordchecks.functions.jsonpath import lookup, steps, targets
+from recordchecks.functions.jsonpath import lookup, steps, targets, targets_path
 from recordchecks.rules import json_rules as JR
 
 # Rules compiled into one projection at most this many at a time; a larger
@@ -149,7 +149,7 @@ def _ts_ok(s: Column, fmt: str) -> Column:
     pats = [JR.TS_FORMATS[fmt]] if fmt in JR.TS_FORMATS else JR.FALLBACK_FORMATS
     ok = None
     for p in pats:
-        t = F.try_to_timestamp(s, F.lit(p)).isNotNull()
+        t = s.rlike(JR.FORMAT_SHAPES[p]) & F.try_to_timestamp(s, F.lit(p)).isNotNull()
         ok = t if ok is None else (ok | t)
     return ok
 
@@ -217,16 +217,16 @@ def _rule_results(v: Column, rule: Rule) -> Column:
 _WATCHED = sorted(set(JR.OPTIONAL_MEDICAL_FIELDS) | {p for p, _, _ in JR.EXTREME_CHECKS})
 
 
-def _watched_values(v: Column) -> Column:
-    """The fields the warnings look at, enriched once per document."""
-    return F.transform(F.array(*[F.struct(F.lit(p).alias("field_path"),
-                                          lookup(v, steps(p)).alias("value")) for p in _WATCHED]),
-                       _enrich)
+def _watched_values(v: Column) -> list[Column]:
+    """The fields the warnings look at, each enriched once per document
+    (plain struct columns: no lambda, so whole-stage codegen applies)."""
+    return [_enrich(F.struct(F.lit(p).alias("field_path"), lookup(v, steps(p)).alias("value"))).alias(f"w{i}")
+            for i, p in enumerate(_WATCHED)]
 
 
-def _warnings(vals: Column) -> Column:
+def _warnings() -> Column:
     """V9 + V10: data-quality warnings of one document, in order."""
-    at = {p: F.get(vals, i) for i, p in enumerate(_WATCHED)}
+    at = {p: F.col(f"w{i}") for i, p in enumerate(_WATCHED)}
     out = []
     for p in JR.OPTIONAL_MEDICAL_FIELDS:
         e = at[p]
@@ -245,27 +245,39 @@ def _warnings(vals: Column) -> Column:
 
 
 # ------------------------------------------------------------------ the job
+def _is_plain(rule: Rule) -> bool:
+    return "[*]" not in steps(rule.path)
+
+
 def validate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id",
              json_col: str = "json") -> DataFrame:
     """Per document: ``(doc_id, parsed, details array<struct>, warnings)``.
 
-    ``details`` holds one struct per (rule, target); unparseable documents
-    get no details and one error (V15)."""
+    ``details`` holds one struct per (rule, target) in rule order;
+    unparseable documents get no details and one error (V15).  A plain path
+    is looked up and enriched in a staged struct column and checked without
+    a lambda (codegen); only ``[*]`` rules use ``transform``.  Rules are
+    compiled ``MAX_RULES_PER_PROJECTION`` at a time."""
     p = docs.select(F.col(id_col).alias("doc_id"), F.try_parse_json(F.col(json_col)).alias("v"))
+    v = F.col("v")
+    plain_cols = [_enrich(F.struct(F.lit(targets_path(r.path)).alias("field_path"),
+                                   lookup(v, steps(r.path)).alias("value"))).alias(f"t{r.rule_no}")
+                  for r in rules if _is_plain(r)]
+    staged = p.select("doc_id", "v", *plain_cols, *_watched_values(v))
     chunks = [rules[i:i + MAX_RULES_PER_PROJECTION]
               for i in range(0, len(rules), MAX_RULES_PER_PROJECTION)] or [[]]
     cols = []
     for n, chunk in enumerate(chunks):
-        arr = (F.flatten(F.array(*[_rule_results(F.col("v"), r) for r in chunk])) if chunk
-               else F.array().cast("array<struct<rule_no:int>>"))
+        parts = [F.array(_check_target(r, F.col(f"t{r.rule_no}"))) if _is_plain(r) else _rule_results(v, r)
+                 for r in chunk]
+        arr = F.concat(*parts) if parts else F.array().cast("array<struct<rule_no:int>>")
         cols.append(arr.alias(f"d{n}"))
-    watched = p.select("doc_id", "v", _watched_values(F.col("v")).alias("wv"))
-    staged = watched.select("doc_id", "v", *cols, _warnings(F.col("wv")).alias("warnings"))
+    checked = staged.select("doc_id", "v", *cols, _warnings().alias("warnings"))
     details = F.concat(*[F.col(f"d{n}") for n in range(len(chunks))]) if len(chunks) > 1 else F.col("d0")
-    return staged.select("doc_id", F.col("v").isNotNull().alias("parsed"),
-                         F.when(F.col("v").isNotNull(), details).alias("details"),
-                         F.when(F.col("v").isNotNull(), F.col("warnings"))
-                         .otherwise(F.array().cast("array<string>")).alias("warnings"))
+    return checked.select("doc_id", F.col("v").isNotNull().alias("parsed"),
+                          F.when(F.col("v").isNotNull(), details).alias("details"),
+                          F.when(F.col("v").isNotNull(), F.col("warnings"))
+                          .otherwise(F.array().cast("array<string>")).alias("warnings"))
 
 
 def doc_errors(validated: DataFrame) -> Column:

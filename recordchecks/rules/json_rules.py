@@ -18,6 +18,11 @@ RULES_SCHEMA = ("CUSTOMER_ID INT, CUSTOMER_NAME STRING, DEVICE STRING, SOURCE ST
 TS_FORMATS = {"DD-MON-YYYY": "d-MMM-yyyy", "HH:MM": "H:m", "HH:MM:SS": "H:m:s"}
 FALLBACK_FORMATS = ["d-MMM-yyyy", "H:m", "H:m:s", "yyyy-M-d"]
 
+# shape of a string each pattern can parse; checked first so that hopeless
+# strings never reach the (exception-driven) datetime parser
+FORMAT_SHAPES = {"d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "H:m": r"^\d{1,2}:\d{1,2}$",
+                 "H:m:s": r"^\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$"}
+
 MSG_REQUIRED = "Required field is missing or empty"
 MSG_TS_NOT_STRING = "Timestamp value must be string"
 
