@@ -31,52 +31,44 @@ def q_flatten(spark, d):
     return B.flatten(_docs(spark, d)).select("doc_id", "path", "value", "kind")
 
 
-@query("json_attr_values")
-def q_attr_values(spark, d):
-    return B.attr_values(_docs(spark, d), B.mapping_frame(spark)).select(
-        "doc_id", "section", "attr", "item", "value")
 
 
 def _headers(spark, d):
     return B.header_segments(_docs(spark, d), RUN_TS, OBS_TS).where("parsed")
 
 
-@query("hl7_headers")
-def q_headers(spark, d):
-    return _headers(spark, d).select("doc_id", "bhs", "msh")
 
 
-@query("hl7_pid")
-def q_pid(spark, d):
-    return _headers(spark, d).select("doc_id", "pid")
 
 
-@query("hl7_pv1_orc")
-def q_pv1_orc(spark, d):
-    return _headers(spark, d).select("doc_id", "pv1", "orc")
 
 
-@query("hl7_fixed_rows")
-def q_fixed(spark, d):
-    return _headers(spark, d).select("doc_id", "fixed_obr", "nte1", "nte2", "device_obx", "bts")
 
 
-@query("hl7_obr_rows")
-def q_obr(spark, d):
-    return _sections(spark, d).where(F.col("seg_name") == "OBR").select(
-        "doc_id", "obr_set_id", "identifier", "segment")
 
 
-_OBX_SQL = r"""
-WITH li AS (
+GEN_CTES = r"""
+li AS (
   SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS item
   FROM lineitem WHERE l_orderkey % 47 <> 0),
 nl AS (SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tq FROM lineitem GROUP BY l_orderkey),
 o AS (
-  SELECT o.o_orderkey AS doc_id, o.o_totalprice, coalesce(nl.n, 0) AS n, nl.tq
+  SELECT o.o_orderkey AS doc_id, o.o_custkey AS c, o.o_totalprice, coalesce(nl.n, 0) AS n, nl.tq,
+         CASE WHEN o.o_orderkey % 59 = 1 THEN 'T' || o.o_orderkey ELSE CAST(o.o_orderkey AS VARCHAR) END AS tid,
+         CASE WHEN o.o_orderkey % 2 = 0 THEN 'AMIA' ELSE 'CLARIA' END AS dev
   FROM orders o LEFT JOIN nl ON o.o_orderkey = nl.l_orderkey WHERE o.o_orderkey % 47 <> 0),
+mp(identifier, attr, display, dtype, unit) AS (VALUES
+  ('PRE_WEIGHT', 'PRE_TREATMENT.WEIGHT', 'Pre-Treatment Weight', 'NM', 'kg'),
+  ('PRE_BP_SYS', 'PRE_TREATMENT.BLOOD_PRESSURE_SYSTOLIC', 'Pre-Treatment Systolic BP', 'NM', 'mmHg'),
+  ('PRE_PULSE', 'PRE_TREATMENT.PULSE', 'Pre-Treatment Pulse', 'NM', 'bpm'),
+  ('POST_WEIGHT', 'POST_TREATMENT.WEIGHT', 'Post-Treatment Weight', 'NM', 'kg'),
+  ('CYCLE_TIME', 'THERAPY_CYCLE_TIME', 'Therapy Cycle Time', 'TM', ''),
+  ('CYCLE_TYPE', 'CYCLE_TYPE', 'Cycle Type', 'ST', ''),
+  ('FILL_VOLUME', 'FILL_VOLUME', 'Fill Volume', 'NM', 'mL'),
+  ('FILL_TIME', 'FILL_TIME', 'Fill Time', 'NM', 's'),
+  ('TOTAL_VOLUME', 'TOTAL_THERAPY_VOLUME', 'Total Therapy Volume', 'NM', 'mL')),
 vit AS (
   SELECT doc_id, 'PRE_WEIGHT' AS identifier, 1 AS seq,
          CAST(CAST(trunc(o_totalprice / 1000) AS BIGINT) AS VARCHAR) AS value FROM o WHERE doc_id % 43 <> 0
@@ -89,36 +81,119 @@ cyc AS (
   UNION ALL SELECT doc_id, item, 'CYCLE_TYPE', 2,
          l_returnflag || '-' || l_linestatus || (CASE WHEN l_linenumber = 1 THEN 'FILL' ELSE '' END) FROM li
   UNION ALL SELECT doc_id, item, 'FILL_VOLUME', 3, CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) FROM li
-  UNION ALL SELECT doc_id, item, 'FILL_TIME', 4, CAST(l_linenumber * 60 AS VARCHAR) FROM li)
-SELECT doc_id, 2 AS obr_set_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS obx_set_id,
-       identifier, value FROM vit
-UNION ALL SELECT doc_id, 3 + item, row_number() OVER (PARTITION BY doc_id, item ORDER BY seq), identifier, value FROM cyc
-UNION ALL SELECT doc_id, 3 + greatest(n, 1), 1, 'TOTAL_VOLUME', CAST(tq AS VARCHAR) FROM o WHERE tq IS NOT NULL"""
+  UNION ALL SELECT doc_id, item, 'FILL_TIME', 4, CAST(l_linenumber * 60 AS VARCHAR) FROM li),
+obx AS (
+  SELECT doc_id, 'VITALS' AS section, NULL::INTEGER AS item, 2 AS obr_set_id,
+         row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS obx_set_id, identifier, value FROM vit
+  UNION ALL SELECT doc_id, 'ACTUAL_THERAPY', item, 3 + item,
+         row_number() OVER (PARTITION BY doc_id, item ORDER BY seq), identifier, value FROM cyc
+  UNION ALL SELECT doc_id, 'TOTAL_THERAPY', NULL, 3 + greatest(n, 1), 1, 'TOTAL_VOLUME', CAST(tq AS VARCHAR)
+  FROM o WHERE tq IS NOT NULL),
+obr AS (
+  SELECT doc_id, 2 AS obr_set_id, 'VITALS' AS identifier, 'Vital Signs' AS display FROM o
+  UNION ALL SELECT doc_id, 3 + i, 'ACTUAL_THERAPY', 'Actual Therapy Cycle'
+  FROM (SELECT doc_id, unnest(range(CAST(greatest(n, 1) AS BIGINT))) AS i FROM o)
+  UNION ALL SELECT doc_id, 3 + greatest(n, 1), 'TOTAL_THERAPY', 'Total Therapy' FROM o),
+hdr AS (
+  SELECT doc_id,
+    'BHS|^~\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||BatchType-Normal||B' || doc_id AS bhs,
+    'MSH|^~\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01|MSG' || doc_id || '|P|2.5' AS msh,
+    'PID|1||' || (CASE WHEN doc_id % 53 = 0 THEN '' ELSE '07501-' || lpad(CAST(c AS VARCHAR), 8, '0') || '^^^Baxter_Patient_ID~' END)
+      || c || '^^^Clinic_Patient_ID||LNAME-' || c || '^FNAME-' || c || '^' AS pid,
+    'PV1|1|O|^^^XYZClinic' AS pv1,
+    'ORC|RE|' || tid || '|FILLER_ID|||||||20250101120000' AS orc,
+    'OBR|1|||VITAL_SIGNS^Vitals Panel^CLINIC_APP|||20250101123423' AS fixed_obr,
+    'NTE|1||Treatment ID: ' || tid || '|' AS nte1,
+    'NTE|2||Clinic Timezone: PST' AS nte2,
+    'OBX|1|ST|DEVICE_TYPE^Device Type|1|' || dev || '||||||F' AS device_obx,
+    'BTS|1|final segment|100' AS bts
+  FROM o)"""
+_OBX_SQL = "WITH " + GEN_CTES + """
+SELECT doc_id, obr_set_id, obx_set_id, identifier, value FROM obx"""
+
+
+@query("hl7_headers", f"WITH {GEN_CTES} SELECT doc_id, bhs, msh FROM hdr")
+def q_headers(spark, d):
+    return _headers(spark, d).select("doc_id", "bhs", "msh")
 
 
-@query("hl7_obx_rows", _OBX_SQL)
-def q_obx(spark, d):
-    return _sections(spark, d).where(F.col("seg_name") == "OBX").select(
-        "doc_id", "obr_set_id", F.col("obx_set_id").cast("bigint").alias("obx_set_id"), "identifier", "value")
+@query("hl7_pid", f"WITH {GEN_CTES} SELECT doc_id, pid FROM hdr")
+def q_pid(spark, d):
+    return _headers(spark, d).select("doc_id", "pid")
+
+
+@query("hl7_pv1_orc", f"WITH {GEN_CTES} SELECT doc_id, pv1, orc FROM hdr")
+def q_pv1_orc(spark, d):
+    return _headers(spark, d).select("doc_id", "pv1", "orc")
 
 
-@query("hl7_cycles")
+@query("hl7_fixed_rows", f"WITH {GEN_CTES} SELECT doc_id, fixed_obr, nte1, nte2, device_obx, bts FROM hdr")
+def q_fixed(spark, d):
+    return _headers(spark, d).select("doc_id", "fixed_obr", "nte1", "nte2", "device_obx", "bts")
+
+
+@query("hl7_obr_rows", f"""WITH {GEN_CTES}
+SELECT doc_id, obr_set_id, identifier,
+       'OBR|' || obr_set_id || '|||' || identifier || '^' || display || '|||20250101123423' AS segment FROM obr""")
+def q_obr(spark, d):
+    return _sections(spark, d).where(F.col("seg_name") == "OBR").select(
+        "doc_id", "obr_set_id", "identifier", "segment")
+
+
+@query("hl7_cycles", f"""WITH {GEN_CTES}
+SELECT doc_id, item + 1 AS cycle_no, obr_set_id, count(*) AS n_obx FROM obx WHERE section = 'ACTUAL_THERAPY'
+GROUP BY doc_id, item, obr_set_id""")
 def q_cycles(spark, d):
     s = _sections(spark, d).where((F.col("seg_name") == "OBX") & (F.col("item") >= 0))
     return s.groupBy("doc_id", "item", "obr_set_id").agg(F.count(F.lit(1)).alias("n_obx")).select(
         "doc_id", (F.col("item") + 1).alias("cycle_no"), "obr_set_id", "n_obx")
 
 
-@query("hl7_set_ids")
+@query("hl7_set_ids", f"""WITH {GEN_CTES}
+SELECT doc_id, 'OBR' AS seg_name, obr_set_id, 0 AS obx_set_id FROM obr
+UNION ALL SELECT doc_id, 'OBX', obr_set_id, obx_set_id FROM obx""")
 def q_set_ids(spark, d):
     return _sections(spark, d).select("doc_id", "seg_name", "obr_set_id", "obx_set_id")
 
 
-@query("hl7_messages")
+@query("json_attr_values", f"""WITH {GEN_CTES}
+SELECT x.doc_id, x.section, m.attr, x.item, x.value FROM obx x JOIN mp m ON x.identifier = m.identifier""")
+def q_attr_values(spark, d):
+    return B.attr_values(_docs(spark, d), B.mapping_frame(spark)).select(
+        "doc_id", "section", "attr", "item", "value")
+
+
+@query("hl7_messages", f"""WITH {GEN_CTES},
+segs AS (
+  SELECT doc_id, 0 AS o1, 0 AS o2, 0 AS o3, bhs AS seg FROM hdr
+  UNION ALL SELECT doc_id, 1, 0, 0, msh FROM hdr UNION ALL SELECT doc_id, 2, 0, 0, pid FROM hdr
+  UNION ALL SELECT doc_id, 3, 0, 0, pv1 FROM hdr UNION ALL SELECT doc_id, 4, 0, 0, orc FROM hdr
+  UNION ALL SELECT doc_id, 5, 0, 0, fixed_obr FROM hdr UNION ALL SELECT doc_id, 6, 0, 0, nte1 FROM hdr
+  UNION ALL SELECT doc_id, 7, 0, 0, nte2 FROM hdr UNION ALL SELECT doc_id, 8, 0, 0, device_obx FROM hdr
+  UNION ALL SELECT doc_id, 9, obr_set_id, 0,
+         'OBR|' || obr_set_id || '|||' || identifier || '^' || display || '|||20250101123423' FROM obr
+  UNION ALL SELECT x.doc_id, 9, x.obr_set_id, x.obx_set_id,
+         'OBX|' || x.obx_set_id || '|' || m.dtype || '|' || x.identifier || '^' || m.display || '|' || x.obr_set_id
+         || '|' || x.value || '|' || m.unit || '|||||F' FROM obx x JOIN mp m ON x.identifier = m.identifier
+  UNION ALL SELECT doc_id, 10, 0, 0, bts FROM hdr)
+SELECT doc_id, count(*) AS n_segments, string_agg(seg, chr(13) ORDER BY o1, o2, o3) AS hl7_message
+FROM segs GROUP BY doc_id""")
 def q_messages(spark, d):
     return _messages(spark, d).where("status = 'success'").select("doc_id", "n_segments", "hl7_message")
 
 
+@query("hl7_obx_rows", _OBX_SQL)
+def q_obx(spark, d):
+    return _sections(spark, d).where(F.col("seg_name") == "OBX").select(
+        "doc_id", "obr_set_id", F.col("obx_set_id").cast("bigint").alias("obx_set_id"), "identifier", "value")
+
+
+
+
+
+
+
+
 @query("hl7_gen_status", """
 SELECT o_orderkey AS sequence, CASE WHEN o_orderkey % 47 = 0 THEN 'error' ELSE 'success' END AS status,
        CASE WHEN o_orderkey % 47 = 0 THEN 'Error generating HL7 message: record is not valid JSON' END AS error
