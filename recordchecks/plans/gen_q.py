@@ -244,19 +244,8 @@ def relational_segments(spark, d):
     return B.oru_segments(patients, orders, obs, RUN_TS), orders
 
 
-@query("oru_from_tables")
-def q_oru(spark, d):
-    segs, _ = relational_segments(spark, d)
-    return B.oru_messages(segs).join(segs.select("msg_id", F.size("segs").alias("n_segments")), "msg_id")
 
 
-@query("oru_multi_patient")
-def q_oru_multi(spark, d):
-    segs, orders = relational_segments(spark, d)
-    s = segs.join(orders.select("order_id", "observed_ts"), "order_id")
-    key = F.concat(F.substring("observed_ts", 1, 8), F.lit("-"),
-                   F.floor(F.col("order_id").cast("bigint") / 1000).cast("string"))
-    return B.oru_multi_patient(s, key, RUN_TS)
 
 
 @query("oru_structure")
@@ -269,3 +258,51 @@ def q_oru_structure(spark, d):
 def q_oru_xml(spark, d):
     segs, _ = relational_segments(spark, d)
     return B.oru_xml(B.oru_messages(segs))
+
+
+ORU_CTES = r"""
+ob AS (
+  SELECT l_orderkey, l_linenumber,
+    'OBX|' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
+        'P' || l_partkey || '\S\Part ' || l_partkey || '\S\LN', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), l_returnflag)
+      || '|NM|P' || l_partkey || '\S\Part ' || l_partkey || '\S\LN||' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)
+      || '|mg/dL|1-50||||' || l_returnflag AS seg,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
+        'P' || l_partkey || '\S\Part ' || l_partkey || '\S\LN', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR), l_returnflag) AS i
+  FROM lineitem),
+obl AS (SELECT l_orderkey, list(seg ORDER BY i) AS obx FROM ob GROUP BY l_orderkey),
+om AS (
+  SELECT o.o_orderkey, o.o_custkey, CAST(o.o_orderkey AS VARCHAR) || '-0' AS msg_id,
+    strftime(o.o_orderdate, '%Y%m%d%H%M%S') AS ts,
+    ['PID|1||' || o.o_custkey || '||' || replace(c.c_name, '#', '\S\') || '||'
+       || printf('%04d%02d%02d', 1940 + o.o_custkey % 60, 1 + o.o_custkey % 12, 1 + o.o_custkey % 28)
+       || '|' || (CASE WHEN o.o_custkey % 2 = 0 THEN 'F' ELSE 'M' END),
+     'PV1|1|O',
+     'OBR|1|' || o.o_orderkey || '||SVC\S\' || o.o_orderpriority || '\S\LN|||'
+       || strftime(o.o_orderdate, '%Y%m%d%H%M%S') || repeat('|', 18) || o.o_orderstatus] || coalesce(b.obx, []) AS body
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN obl b ON o.o_orderkey = b.l_orderkey)"""
+
+
+@query("oru_from_tables", "WITH " + ORU_CTES + """
+SELECT msg_id, array_to_string(['MSH|^~\\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01^ORU_R01|'
+       || msg_id || '|P|2.5'] || body, chr(13)) AS raw, 1 + len(body) AS n_segments FROM om""")
+def q_oru(spark, d):
+    segs, _ = relational_segments(spark, d)
+    return B.oru_messages(segs).join(segs.select("msg_id", F.size("segs").alias("n_segments")), "msg_id")
+
+
+@query("oru_multi_patient", "WITH " + ORU_CTES + """,
+k AS (SELECT *, substr(ts, 1, 8) || '-' || CAST(floor(o_orderkey / 1000) AS BIGINT) AS batch_key FROM om),
+g AS (
+  SELECT batch_key, count(DISTINCT o_custkey) AS n_patients, 1 + sum(len(body)) AS n_segments,
+         flatten(list(body ORDER BY CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR))) AS segs
+  FROM k GROUP BY batch_key)
+SELECT batch_key AS msg_id, n_patients, n_segments,
+       array_to_string(['MSH|^~\\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01^ORU_R01|B'
+       || batch_key || '|P|2.5'] || segs, chr(13)) AS raw FROM g""")
+def q_oru_multi(spark, d):
+    segs, orders = relational_segments(spark, d)
+    s = segs.join(orders.select("order_id", "observed_ts"), "order_id")
+    key = F.concat(F.substring("observed_ts", 1, 8), F.lit("-"),
+                   F.floor(F.col("order_id").cast("bigint") / 1000).cast("string"))
+    return B.oru_multi_patient(s, key, RUN_TS)
