@@ -248,16 +248,8 @@ def relational_segments(spark, d):
 
 
 
-@query("oru_structure")
-def q_oru_structure(spark, d):
-    segs, _ = relational_segments(spark, d)
-    return B.oru_structure(B.oru_messages(segs))
 
 
-@query("oru_xml")
-def q_oru_xml(spark, d):
-    segs, _ = relational_segments(spark, d)
-    return B.oru_xml(B.oru_messages(segs))
 
 
 ORU_CTES = r"""
@@ -306,3 +298,35 @@ def q_oru_multi(spark, d):
     key = F.concat(F.substring("observed_ts", 1, 8), F.lit("-"),
                    F.floor(F.col("order_id").cast("bigint") / 1000).cast("string"))
     return B.oru_multi_patient(s, key, RUN_TS)
+
+
+@query("oru_structure", "WITH " + ORU_CTES + """
+SELECT msg_id, 'error' AS severity, 'segment_missing' AS code, 'OBX' AS location,
+       'Required segment OBX is missing' AS message FROM om WHERE len(body) = 3
+UNION ALL SELECT msg_id, 'error', 'no_obx', 'OBX', 'At least one OBX segment is required for ORU_R01'
+FROM om WHERE len(body) = 3""")
+def q_oru_structure(spark, d):
+    segs, _ = relational_segments(spark, d)
+    return B.oru_structure(B.oru_messages(segs))
+
+
+@query("oru_xml", "WITH " + ORU_CTES + """,
+sg AS (
+  SELECT msg_id, i, string_split(seg, '|') AS f
+  FROM (SELECT msg_id, unnest(sl) AS seg, unnest(range(CAST(len(sl) AS BIGINT))) AS i
+        FROM (SELECT msg_id, ['MSH|^~\\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01^ORU_R01|'
+                     || msg_id || '|P|2.5'] || body AS sl FROM om))),
+fx AS (
+  SELECT msg_id, i, f[1] AS name, j, f[j] AS v
+  FROM (SELECT *, unnest(range(2, CAST(len(f) AS BIGINT) + 1)) AS j FROM sg)),
+sx AS (
+  SELECT s.msg_id, s.i, '<' || s.f[1] || '>' || (CASE WHEN s.f[1] = 'MSH' THEN '<MSH.1>|</MSH.1>' ELSE '' END)
+    || coalesce((SELECT string_agg('<' || x.name || '.' || (x.j - CASE WHEN x.name = 'MSH' THEN 0 ELSE 1 END) || '>'
+         || replace(replace(replace(x.v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+         || '</' || x.name || '.' || (x.j - CASE WHEN x.name = 'MSH' THEN 0 ELSE 1 END) || '>', '' ORDER BY x.j)
+       FROM fx x WHERE x.msg_id = s.msg_id AND x.i = s.i AND x.v <> ''), '') || '</' || s.f[1] || '>' AS sxml
+  FROM sg s)
+SELECT msg_id, '<ORU_R01>' || string_agg(sxml, '' ORDER BY i) || '</ORU_R01>' AS xml FROM sx GROUP BY msg_id""")
+def q_oru_xml(spark, d):
+    segs, _ = relational_segments(spark, d)
+    return B.oru_xml(B.oru_messages(segs))
