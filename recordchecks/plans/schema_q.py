@@ -10,6 +10,7 @@ from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, St
 
 from recordchecks.operators import schema_contract as SC
 from recordchecks.plans.registry import query
+from recordchecks.plans.schema_sql import ORACLES_SCHEMA
 from recordchecks.sources.tables import table
 
 ORDERS_EXPECTED = StructType([
@@ -49,12 +50,12 @@ def contracts(spark, d):
 _FC = ["source", "severity", "column_name", "message"]
 
 
-@query("schema_fields")
+@query("schema_fields", ORACLES_SCHEMA["schema_fields"])
 def q_fields(spark, d):
     return SC.schema_fields(spark, contracts(spark, d))
 
 
-@query("schema_diff")
+@query("schema_diff", ORACLES_SCHEMA["schema_diff"])
 def q_diff(spark, d):
     f = SC.schema_fields(spark, contracts(spark, d))
     e = f.where("side = 'expected'").select("source", "name", F.col("type_name").alias("expected_type"))
@@ -66,7 +67,7 @@ def q_diff(spark, d):
 
 
 def _section_query(key, section, severity=None):
-    @query(key)
+    @query(key, ORACLES_SCHEMA[key])
     def q(spark, d):
         f = SC.findings(spark, contracts(spark, d)).where(F.col("section") == section)
         if severity:
@@ -83,12 +84,12 @@ _section_query("schema_coercion", 4, "warning")
 _section_query("schema_nullable", 5)
 
 
-@query("schema_verdict")
+@query("schema_verdict", ORACLES_SCHEMA["schema_verdict"])
 def q_verdict(spark, d):
     return SC.verdict(spark, contracts(spark, d))
 
 
-@query("schema_report")
+@query("schema_report", ORACLES_SCHEMA["schema_report"])
 def q_report(spark, d):
     return SC.report(spark, contracts(spark, d))
 
