@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordchecks.operators import hl7_build as B
+from recordchecks.plans.json_sql import DOCS_SQL
 from recordchecks.plans.registry import query
 from recordchecks.sources.bindings import device_records
 from recordchecks.sources.tables import table
@@ -26,7 +27,16 @@ def _messages(spark, d):
     return B.messages(_docs(spark, d), B.mapping_frame(spark), RUN_TS, OBS_TS)
 
 
-@query("json_flatten")
+@query("json_flatten", "WITH " + DOCS_SQL + """
+SELECT v.doc_id, upper(replace(replace(replace(substr(t.fullkey, 3), '"', ''), ' ', '_'), '-', '_')) AS path,
+  CASE WHEN t.type = 'VARCHAR' THEN json_extract_string(t.value, '$')
+       WHEN t.type = 'DOUBLE' AND CAST(t.value AS DOUBLE) = floor(CAST(t.value AS DOUBLE))
+         THEN CAST(CAST(CAST(t.value AS DOUBLE) AS BIGINT) AS VARCHAR)
+       ELSE CAST(t.value AS VARCHAR) END AS value,
+  CASE WHEN t.type = 'VARCHAR' THEN 'STRING' WHEN t.type IN ('UBIGINT', 'BIGINT') THEN 'BIGINT'
+       WHEN t.type = 'DOUBLE' THEN 'DECIMAL(' || length(CAST(CAST(CAST(t.value AS DOUBLE) AS BIGINT) AS VARCHAR)) || ',0)'
+       ELSE t.type END AS kind
+FROM vd v, json_tree(v.json) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')""")
 def q_flatten(spark, d):
     return B.flatten(_docs(spark, d)).select("doc_id", "path", "value", "kind")
 
