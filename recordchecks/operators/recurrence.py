@@ -151,11 +151,18 @@ def schedule_findings(schedules: DataFrame) -> DataFrame:
 def coverage(occ: DataFrame, events: DataFrame, key: str = "user_id", ts: str = "ts") -> DataFrame:
     """Events inside each occurrence ``[start, end)``, zero for none.
 
-    Equi-join on the schedule key with the time range as a join condition:
-    a sort-merge join on the key (AQE splits a hot key), the range evaluated
-    inside each key group; events are pruned to the two columns used."""
-    ev = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"))
-    j = occ.join(ev, (occ["schedule_id"] == ev["_k"]) & (ev["_ts"] >= occ["start_ts"])
-                 & (ev["_ts"] < occ["end_ts"]), "left")
+    Range join bucketed by day: each occurrence is listed under every day it
+    touches (a few), each event under its own day, and the equi-join runs on
+    (key, day) with the time range as the residual condition.  So a key with
+    a third of all events meets only that day's occurrences, never all of
+    them; AQE still splits a hot (key, day) partition.  An event has one
+    day, so it is counted once per occurrence."""
+    last = F.col("end_ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
+    od = occ.select("schedule_id", "occ_no", "start_ts", "end_ts",
+                    F.explode(F.sequence(F.to_date("start_ts"), F.to_date(F.greatest(last, F.col("start_ts")))))
+                    .alias("_day"))
+    ev = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.to_date(F.col(ts)).alias("_eday"))
+    j = od.join(ev, (od["schedule_id"] == ev["_k"]) & (od["_day"] == ev["_eday"])
+                & (ev["_ts"] >= od["start_ts"]) & (ev["_ts"] < od["end_ts"]), "left")
     return (j.groupBy("schedule_id", "occ_no", "start_ts", "end_ts")
             .agg(F.count("_ts").alias("n_events")))

@@ -111,13 +111,17 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
     weights, string weights, non-numeric glucose, hour-24 cycle times, and
     truncated (unparseable) documents."""
     li = table(spark, d, "lineitem").select("l_orderkey", *_LINE_ORDER)
-    cycles = (li.groupBy("l_orderkey")
+    # a record carries at most OBX_PER_MESSAGE cycles; a larger order becomes
+    # several records (chunk 0 keeps the order key as its id)
+    chunk = F.greatest(F.floor((F.col("l_linenumber") - 1) / OBX_PER_MESSAGE).cast("int"), F.lit(0))
+    cycles = (li.withColumn("chunk", chunk).groupBy("l_orderkey", "chunk")
               .agg(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER))).alias("lines"),
                    F.sum("l_quantity").alias("total_qty")))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
                                               "o_orderdate")
     j = orders.join(cycles, orders.o_orderkey == cycles.l_orderkey, "left")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    doc_id = k + F.coalesce(F.col("chunk"), F.lit(0)).cast("bigint") * F.lit(10 ** 12)
     w = (F.col("o_totalprice") / 1000).cast("bigint")
     dob = F.when(c % 37 == 0, F.lit("30-FEB-1985")).otherwise(F.format_string(
         "%02d-%s-%04d", (1 + c % 28).cast("int"),
@@ -157,7 +161,7 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
                    F.struct(pre.alias("Pre-Treatment"), post.alias("Post-Treatment")).alias("Vitals"),
                    cyc.alias("Actual Therapy"),
                    F.struct(F.col("total_qty").alias("Total Therapy Volume")).alias("Total Therapy"))
-    staged = j.select(k.alias("doc_id"), F.to_json(doc).alias("to_json_doc"))
+    staged = j.select(doc_id.alias("doc_id"), F.to_json(doc).alias("to_json_doc"))
     return staged.select("doc_id", F.when(F.col("doc_id") % 47 == 0, F.expr(
         "substring(to_json_doc, 1, length(to_json_doc) - 1)")).otherwise(F.col("to_json_doc")).alias("json"))
 
