@@ -41,7 +41,7 @@ def mapping_frame(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or M.DEFAULT_MAPPING, M.MAPPING_SCHEMA)
 
 
-def compile_mapping(mapping: DataFrame) -> DataFrame:
+def compile_mapping(mapping: DataFrame, group_cols: tuple = ()) -> DataFrame:
     """G1 (W4): normalised attribute, section (CHILD_OBR of OBX rows, the
     attribute itself for OBR rows), SEQUENCE as int (empty = 999), and the
     rank of each row inside its segment / section by sequence."""
@@ -50,11 +50,11 @@ def compile_mapping(mapping: DataFrame) -> DataFrame:
     child = F.nullif(F.trim("CHILD_OBR"), F.lit(""))
     section = F.when((F.col("SEGMENT") == "OBX") & child.isNotNull(), norm_key(child)).when(
         F.col("SEGMENT") == "OBR", attr)
-    m = mapping.select(F.col("SEGMENT").alias("segment"), section.alias("section"), attr.alias("attr"),
+    m = mapping.select(*group_cols, F.col("SEGMENT").alias("segment"), section.alias("section"), attr.alias("attr"),
                        F.col("IDENTIFIER").alias("identifier"), F.col("DISPLAY_NAME").alias("display_name"),
                        F.coalesce(F.col("DATA_TYPE"), F.lit("")).alias("data_type"),
                        F.coalesce(F.col("UNIT"), F.lit("")).alias("unit"), seq.alias("sequence"))
-    w = Window.partitionBy("segment", "section").orderBy("sequence", "attr")
+    w = Window.partitionBy(*group_cols, "segment", "section").orderBy("sequence", "attr")
     return m.withColumn("rank_in_group", F.row_number().over(w))
 
 
