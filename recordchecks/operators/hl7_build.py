@@ -66,16 +66,23 @@ def _checked(mapping: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ G2, G3
+def _kind_of(v: Column) -> Column:
+    """O object, A array, S scalar / null - computed once per node."""
+    t = F.schema_of_variant(v)
+    return F.when(t.startswith("OBJECT"), F.lit("O")).when(t.startswith("ARRAY"), F.lit("A")).otherwise(F.lit("S"))
+
+
 def _node(path, top, idx, leaf, v) -> Column:
     return F.struct(path.alias("path"), top.alias("top"), idx.cast("int").alias("idx"),
-                    leaf.alias("leaf"), v.alias("v"))
+                    leaf.alias("leaf"), v.alias("v"), _kind_of(v).alias("k"))
 
 
 def _expand(arr: Column) -> Column:
     """One level: objects open into their entries, arrays into their
-    elements, scalars stay.  Keys are normalised on the way (G2)."""
+    elements, scalars stay.  Keys are normalised on the way (G2).  The
+    array expression is referenced once, so the unrolled levels stay a
+    linear chain."""
     def step(e):
-        t = F.schema_of_variant(e["v"])
         kids_obj = F.transform(
             F.map_entries(F.try_variant_get(e["v"], "$", "map<string,variant>")),
             lambda kv: _node(F.when(e["path"] == "", norm_key(kv["key"])).otherwise(
@@ -86,7 +93,7 @@ def _expand(arr: Column) -> Column:
             lambda x, i: _node(F.concat(e["path"], F.lit("["), i.cast("string"), F.lit("]")), e["top"],
                                F.when(e["idx"].isNull() & ~e["path"].contains("["), i).otherwise(e["idx"]),
                                e["leaf"], x))
-        return (F.when(t.startswith("OBJECT"), kids_obj).when(t.startswith("ARRAY"), kids_arr)
+        return (F.when(e["k"] == "O", kids_obj).when(e["k"] == "A", kids_arr)
                 .otherwise(F.array(e)))
     return F.flatten(F.transform(arr, step))
 
