@@ -204,7 +204,7 @@ def _check_target(rule: Rule, e: Column) -> Column:
         F.lit(rule.rule_no).alias("rule_no"), e["field_path"].alias("field_path"),
         F.lit(rule.extract_column).cast("string").alias("extract_column"),
         F.lit(rule.data_type).alias("data_type"), F.lit(required).alias("is_required"),
-        (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"),
+        errors.alias("errors"),
         (missing & F.lit(required)).alias("is_required_missing"),
         _actual(e).alias("actual_value"))
 
@@ -288,7 +288,10 @@ def doc_errors(validated: DataFrame) -> Column:
 
 def field_checks(validated: DataFrame) -> DataFrame:
     """One row per (document, rule, target)."""
-    return inline_kept(validated, ["doc_id"], "details", "rule_no")
+    fc = inline_kept(validated, ["doc_id"], "details", "rule_no")
+    return fc.select("doc_id", "rule_no", "field_path", "extract_column", "data_type", "is_required",
+                     (F.size("errors") == 0).alias("is_valid"), "errors", "is_required_missing",
+                     "actual_value")
 
 
 def findings(validated: DataFrame) -> DataFrame:
@@ -310,13 +313,13 @@ def findings(validated: DataFrame) -> DataFrame:
 def summary(validated: DataFrame) -> DataFrame:
     """Per document, computed on its own row (no shuffle)."""
     d = F.coalesce(F.col("details"), F.array())
-    failed = F.size(F.filter(d, lambda x: ~x["is_valid"]))
+    failed = F.size(F.filter(d, lambda x: F.size(x["errors"]) > 0))
     missing = F.transform(F.filter(d, lambda x: x["is_required_missing"]), lambda x: x["field_path"])
     return validated.select(
         "doc_id",
         (F.col("parsed") & (failed == 0)).alias("is_valid"),
         F.size(d).cast("bigint").alias("total_fields_checked"),
-        F.size(F.filter(d, lambda x: x["is_valid"])).cast("bigint").alias("passed_validation"),
+        F.size(F.filter(d, lambda x: F.size(x["errors"]) == 0)).cast("bigint").alias("passed_validation"),
         failed.cast("bigint").alias("failed_validation"),
         F.array_join(missing, "|").alias("missing_required_fields"),
         F.size("warnings").cast("bigint").alias("warning_count"))
@@ -358,11 +361,11 @@ def report_lines(validated: DataFrame, n_errors: int = 10, n_warnings: int = 5,
     Lists are truncated per document on its own row."""
     d = F.coalesce(F.col("details"), F.array())
     errs = doc_errors(validated)
-    failed = F.size(F.filter(d, lambda x: ~x["is_valid"]))
+    failed = F.size(F.filter(d, lambda x: F.size(x["errors"]) > 0))
     valid = F.col("parsed") & (failed == 0)
     summary_lines = F.array(
         F.concat(F.lit("Total Fields Checked: "), F.size(d).cast("string")),
-        F.concat(F.lit("Passed Validation: "), F.size(F.filter(d, lambda x: x["is_valid"])).cast("string")),
+        F.concat(F.lit("Passed Validation: "), F.size(F.filter(d, lambda x: F.size(x["errors"]) == 0)).cast("string")),
         F.concat(F.lit("Failed Validation: "), failed.cast("string")),
         F.concat(F.lit("Overall Status: "), F.when(valid, "PASS").otherwise("FAIL")))
     more = F.when(F.size(errs) > n_errors, F.array(F.concat(
@@ -373,7 +376,7 @@ def report_lines(validated: DataFrame, n_errors: int = 10, n_warnings: int = 5,
     miss = F.transform(F.filter(d, lambda x: x["is_required_missing"]), lambda x: x["field_path"])
     miss_lines = F.transform(F.slice(miss, 1, n_missing), lambda m: F.concat(F.lit("✗ "), m))
     det_lines = F.transform(F.slice(d, 1, n_details), lambda x: F.when(
-        x["is_valid"], F.concat(F.lit("✓ "), x["field_path"])).otherwise(
+        F.size(x["errors"]) == 0, F.concat(F.lit("✓ "), x["field_path"])).otherwise(
         F.concat(F.lit("✗ "), x["field_path"], F.lit(" - Errors: "), F.array_join(x["errors"], ", "))))
     sections = F.array(*[F.struct(F.lit(name).alias("section"), arr.alias("lines"))
                          for name, arr in (("summary", summary_lines), ("errors", err_lines),
