@@ -111,7 +111,7 @@ def flatten(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json",
                         F.col("v")))
     for _ in range(max_depth):
         arr = _expand(arr)
-    staged = v.where(F.col("v").isNotNull()).select("doc_id", arr.alias("nodes"))
+    staged = v.select("doc_id", F.when(F.col("v").isNotNull(), arr).alias("nodes"))
     out = inline_kept(staged, ["doc_id"], "nodes", "path")
     kind = F.schema_of_variant("v")
     return out.select("doc_id", "path", "top", "idx", "leaf",
@@ -128,7 +128,9 @@ def attr_values(docs: DataFrame, mapping: DataFrame) -> DataFrame:
     (G10).  The mapping is compiled to a literal map, so the look-up is a map
     access inside the document's row - no join, no shuffle."""
     lookup, sec_arr = _compiled(mapping)
-    v = docs.select("doc_id", F.try_parse_json("json").alias("v")).where(F.col("v").isNotNull())
+    # no filter on the parsed column: it would be pushed below the parse and
+    # parse every document twice; unparseable ones drop at the generator
+    v = docs.select("doc_id", F.try_parse_json("json").alias("v"))
     m = _with_rows(v, F.col("v"), lookup, sec_arr, "", stop_at_matches=True).select("doc_id", "_best")
     return inline_kept(m, ["doc_id"], "_best", "section").select(
         "doc_id", "section", "attr", F.when(F.col("item") >= 0, F.col("item")).alias("item"), "identifier",
@@ -298,7 +300,9 @@ def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str) -> DataFrame:
     sections and items; OBX set ids restart at 1 under each OBR, ordered by
     the mapping sequence."""
     lookup, sec_arr = _compiled(mapping)
-    v = docs.select("doc_id", F.try_parse_json("json").alias("v")).where(F.col("v").isNotNull())
+    # no filter on the parsed column: it would be pushed below the parse and
+    # parse every document twice; unparseable ones drop at the generator
+    v = docs.select("doc_id", F.try_parse_json("json").alias("v"))
     plan = _with_rows(v, F.col("v"), lookup, sec_arr, obs_ts).select("doc_id", "rows")
     return inline_kept(plan, ["doc_id"], "rows", "seg_name")
 
