@@ -37,6 +37,13 @@ def _norm_py(s: str) -> str:
 
 
 # ------------------------------------------------------------------ G1
+def load_mapping(spark: SparkSession, path: str, extra_cols: str = "") -> DataFrame:
+    """The mapping CSV (header row), read with its schema - all strings,
+    so an empty SEQUENCE stays distinguishable and becomes 999 in G1."""
+    schema = (extra_cols + ", " if extra_cols else "") + M.MAPPING_SCHEMA
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def mapping_frame(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or M.DEFAULT_MAPPING, M.MAPPING_SCHEMA)
 

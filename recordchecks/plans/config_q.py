@@ -82,6 +82,10 @@ n AS (
 SELECT *, row_number() OVER (PARTITION BY customer_id, segment, section ORDER BY sequence, attr) AS rank_in_group
 FROM n""")
 def q_mapping(spark, d):
-    """G1: each clinic's mapping compiled: normalised attribute, section,
+    """S5 + G1: each clinic's mapping written as CSV to the shared folder,
+    read back with its schema, and compiled: normalised attribute, section,
     sequence (empty = 999), rank inside its segment / section."""
-    return B.compile_mapping(clinic_mapping(spark, d), group_cols=("customer_id",))
+    path = shared_path(spark, "clinic_mapping_csv")
+    clinic_mapping(spark, d).write.option("header", True).option("emptyValue", "").csv(path)
+    m = B.load_mapping(spark, path, extra_cols="customer_id BIGINT")
+    return B.compile_mapping(m, group_cols=("customer_id",))

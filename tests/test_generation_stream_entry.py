@@ -101,3 +101,18 @@ def test_oracles_small(spark):
         assert len(a) == len(b), name
         if name in ("sum_by_key", "job_statement", "recur_monthly", "hl7_obx_rows", "schema_conformance"):
             assert a == b, name
+
+
+def test_message_sink_and_mapping_csv(spark, tmp_path):
+    from recordchecks.sources.sinks import write_messages
+    docs = _doc(spark)
+    m = B.messages(docs, B.mapping_frame(spark), "20250101120000", "20250101123423").where("status = 'success'")
+    out = str(tmp_path / "msgs")
+    write_messages(m, out)
+    back = spark.read.option("lineSep", "\n").text(out)
+    assert back.count() >= 2  # message text written one row per message (segments joined by \r)
+    p = tmp_path / "map.csv"
+    p.write_text("SEGMENT,SEGMENT_ID,CHILD_OBR,JSON_ATTRIBUTE,HL7_KEY,IDENTIFIER,DISPLAY_NAME,DATA_TYPE,UNIT,SEQUENCE\n"
+                 "OBX,,Vitals,Pre-Treatment.Weight,OBX.5,W,Weight,NM,kg,\n")
+    cm = B.compile_mapping(B.load_mapping(spark, str(p))).collect()[0]
+    assert cm.sequence == 999 and cm.section == "VITALS" and cm.attr == "PRE_TREATMENT.WEIGHT"
