@@ -359,7 +359,7 @@ def oru_segments(patients: DataFrame, orders: DataFrame, observations: DataFrame
     (order, chunk of ``max_obx``) - the only shuffle besides the two key
     joins - and sorted by ``seq``; OBX.1 runs 1..n.  Returns ``(msg_id,
     order_id, patient_id, segs array<string>)``."""
-    obs = observations.withColumn("chunk", F.floor((F.col("seq") - 1) / max_obx).cast("int"))
+    obs = observations.repartition("order_id").withColumn("chunk", F.floor((F.col("seq") - 1) / max_obx).cast("int"))
     grouped = obs.groupBy("order_id", "chunk").agg(
         F.array_sort(F.collect_list(F.struct("seq", "value_type", "code", "value", "unit", "range",
                                              "status"))).alias("obs"))
@@ -378,7 +378,7 @@ def oru_segments(patients: DataFrame, orders: DataFrame, observations: DataFrame
         F.lit("OBX|"), (i + 1).cast("string"), F.lit("|"), e(o["value_type"]), F.lit("|"), e(o["code"]),
         F.lit("||"), e(o["value"]), F.lit("|"), e(o["unit"]), F.lit("|"), e(o["range"]), F.lit("||||"),
         e(o["status"])))
-    return j.select(msg_id.alias("msg_id"), "order_id", "patient_id",
+    return j.select(msg_id.alias("msg_id"), "order_id", "patient_id", "observed_ts",
                     F.concat(F.array(msh, pid, pv1, obr), obx).alias("segs"))
 
 

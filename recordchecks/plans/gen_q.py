@@ -290,7 +290,7 @@ SELECT msg_id, array_to_string(['MSH|^~\\&|SENDING_APP|SENDING_FACILITY|RECEIVIN
        || msg_id || '|P|2.5'] || body, chr(13)) AS raw, 1 + len(body) AS n_segments FROM om""")
 def q_oru(spark, d):
     segs, _ = relational_segments(spark, d)
-    return B.oru_messages(segs).join(segs.select("msg_id", F.size("segs").alias("n_segments")), "msg_id")
+    return segs.select("msg_id", F.array_join("segs", "\r").alias("raw"), F.size("segs").alias("n_segments"))
 
 
 @query("oru_multi_patient", "WITH " + ORU_CTES + """,
@@ -303,11 +303,10 @@ SELECT batch_key AS msg_id, n_patients, n_segments,
        array_to_string(['MSH|^~\\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01^ORU_R01|B'
        || batch_key || '|P|2.5'] || segs, chr(13)) AS raw FROM g""")
 def q_oru_multi(spark, d):
-    segs, orders = relational_segments(spark, d)
-    s = segs.join(orders.select("order_id", "observed_ts"), "order_id")
+    segs, _ = relational_segments(spark, d)
     key = F.concat(F.substring("observed_ts", 1, 8), F.lit("-"),
                    F.floor(F.col("order_id").cast("bigint") / 1000).cast("string"))
-    return B.oru_multi_patient(s, key, RUN_TS)
+    return B.oru_multi_patient(segs, key, RUN_TS)
 
 
 @query("oru_structure", "WITH " + ORU_CTES + """

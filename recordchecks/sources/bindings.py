@@ -48,7 +48,9 @@ def hl7_messages(spark: SparkSession, d: str) -> DataFrame:
     the data)."""
     li = table(spark, d, "lineitem").select("l_orderkey", *_LINE_ORDER)
     chunk = F.floor((F.col("l_linenumber") - 1) / OBX_PER_MESSAGE).cast("int")
-    lines = (li.withColumn("chunk", F.greatest(chunk, F.lit(0)))
+    # hash-partitioned by order once: the (order, chunk) aggregate and the
+    # join on the order key both use this partitioning, no second exchange
+    lines = (li.repartition("l_orderkey").withColumn("chunk", F.greatest(chunk, F.lit(0)))
              .groupBy("l_orderkey", "chunk")
              .agg(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER))).alias("lines")))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
@@ -114,7 +116,7 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
     # a record carries at most OBX_PER_MESSAGE cycles; a larger order becomes
     # several records (chunk 0 keeps the order key as its id)
     chunk = F.greatest(F.floor((F.col("l_linenumber") - 1) / OBX_PER_MESSAGE).cast("int"), F.lit(0))
-    cycles = (li.withColumn("chunk", chunk).groupBy("l_orderkey", "chunk")
+    cycles = (li.repartition("l_orderkey").withColumn("chunk", chunk).groupBy("l_orderkey", "chunk")
               .agg(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER))).alias("lines"),
                    F.sum("l_quantity").alias("total_qty")))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
