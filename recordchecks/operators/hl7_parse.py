@@ -78,8 +78,8 @@ def availability(messages: DataFrame, **kw) -> DataFrame:
     """Available field count per segment occurrence.  Counted inside the
     segment array, so it needs no group-by shuffle."""
     s = _with_occurrence(parse(messages, **kw))
-    body = F.when(F.col("seg_name") == "MSH", F.slice("parts", 2, 1_000_000)).otherwise(
-        F.slice("parts", 2, 1_000_000))
+    # every part after the name is a field; MSH adds MSH.1, the separator
+    body = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
     n = F.size(F.filter(body, H.present)) + F.when(F.col("seg_name") == "MSH", 1).otherwise(0)
     return s.select("msg_id", "seg_pos", "seg_name", "seg_occ", n.alias("n_available"))
 
