@@ -45,15 +45,19 @@ class _Checks:
         self.parts.append(F.array(F.when(cond, _finding(self.n, severity, code, location,
                                                         message, occ))))
 
-    def add_array(self, arr_builder):
-        """``arr_builder(check_no) -> array<struct>`` for repeated checks."""
-        self.n += 1
-        self.parts.append(arr_builder(self.n))
-
     def reserve(self) -> int:
         self.n += 1
         return self.n
 
+    def obx_group(self, obx: Column, specs) -> None:
+        """All per-OBX checks in one pass over the OBX list: ``specs`` is a
+        list of ``(cond_fn, severity, code, field_no, msg_fn)``; each keeps
+        its own check number."""
+        numbered = [(self.reserve(),) + tuple(sp) for sp in specs]
+        self.parts.append(F.flatten(F.transform(obx, lambda o, i: F.array(*[
+            F.when(cond(o), _finding(no, sev, code, _obx_loc(i, n), msg(o, i), occ=i + 1))
+            for no, cond, sev, code, n, msg in numbered]))))
+
     def column(self) -> Column:
         return F.array_compact(F.concat(*self.parts))
 
@@ -80,11 +84,6 @@ def _obx_loc(i: Column, n) -> Column:
     return F.concat(F.lit("OBX["), (i + 1).cast("string"), F.lit(f"].{n}"))
 
 
-def _obx_array(obx: Column, check_no: int, cond_fn, severity, code, n, msg_fn) -> Column:
-    return F.transform(obx, lambda o, i: F.when(
-        cond_fn(o), _finding(check_no, severity, code, _obx_loc(i, n), msg_fn(o, i), occ=i + 1)))
-
-
 def _context(segs: Column) -> dict[str, Column]:
     names = F.transform(segs, H.seg_name)
     ctx = {"names": names, "obx": H.segments_named(segs, "OBX")}
@@ -148,41 +147,35 @@ def strict_findings(c: dict[str, Column]) -> Column:
     _code_set(ck, f(obr, "OBR", 25), "OBR.25", R.RESULT_STATUSES, "result status", has_obr)
     _ts_checks(ck, F.when(has_obr, f(obr, "OBR", 7)), "OBR.7", strict=True)
     _code_set(ck, f(obr, "OBR", 5), "OBR.5", R.PRIORITIES, "priority", has_obr)
-    # OBX, per occurrence
+    # OBX, per occurrence (L4, L10, L12, L13), one pass over the OBX list
+    specs = []
     for n, desc in R.OBX_REQUIRED:
-        ck.add_array(lambda no, n=n, desc=desc: _obx_array(
-            obx, no, lambda o: H.blank(f(o, "OBX", n)), "error", "required", n,
-            lambda o, i: F.concat(_obx_loc(i, n), F.lit(f" ({desc}) is required"))))
-
-    def obx_code(n, values, text):
-        ck.add_array(lambda no: _obx_array(
-            obx, no, lambda o: H.present(f(o, "OBX", n)) & ~f(o, "OBX", n).isin(*values),
-            "warning", "code_set", n,
-            lambda o, i: F.concat(_obx_loc(i, n), F.lit(f" {text} '"), f(o, "OBX", n),
-                                  F.lit(f"' not in standard values {R.pylist(values)}"))))
-    obx_code(2, R.STRICT_VALUE_TYPES, "value type")
-    obx_code(11, R.OBX_STATUSES, "result status")
-    ck.add_array(lambda no: _obx_array(
-        obx, no, lambda o: H.present(f(o, "OBX", 6)) & ~f(o, "OBX", 6).rlike(R.STRICT_UNITS_PATTERN),
-        "warning", "units", 6,
-        lambda o, i: F.concat(_obx_loc(i, 6), F.lit(" units format may be invalid: "), f(o, "OBX", 6))))
-    ck.add_array(lambda no: _obx_array(
-        obx, no, lambda o: H.present(f(o, "OBX", 7)) & ~f(o, "OBX", 7).rlike(R.RANGE_PATTERNS[0])
-        & ~f(o, "OBX", 7).rlike(R.RANGE_PATTERNS[1]),
-        "warning", "ref_range", 7,
-        lambda o, i: F.concat(_obx_loc(i, 7), F.lit(" reference range format may be invalid: "),
-                              f(o, "OBX", 7))))
+        specs.append((lambda o, n=n: H.blank(f(o, "OBX", n)), "error", "required", n,
+                      lambda o, i, n=n, desc=desc: F.concat(_obx_loc(i, n), F.lit(f" ({desc}) is required"))))
+    for n, values, text in ((2, R.STRICT_VALUE_TYPES, "value type"), (11, R.OBX_STATUSES, "result status")):
+        specs.append((lambda o, n=n, values=values: H.present(f(o, "OBX", n)) & ~f(o, "OBX", n).isin(*values),
+                      "warning", "code_set", n,
+                      lambda o, i, n=n, values=values, text=text: F.concat(
+                          _obx_loc(i, n), F.lit(f" {text} '"), f(o, "OBX", n),
+                          F.lit(f"' not in standard values {R.pylist(values)}"))))
+    specs.append((lambda o: H.present(f(o, "OBX", 6)) & ~f(o, "OBX", 6).rlike(R.STRICT_UNITS_PATTERN),
+                   "warning", "units", 6,
+                   lambda o, i: F.concat(_obx_loc(i, 6), F.lit(" units format may be invalid: "), f(o, "OBX", 6))))
+    specs.append((lambda o: H.present(f(o, "OBX", 7)) & ~f(o, "OBX", 7).rlike(R.RANGE_PATTERNS[0])
+                   & ~f(o, "OBX", 7).rlike(R.RANGE_PATTERNS[1]), "warning", "ref_range", 7,
+                   lambda o, i: F.concat(_obx_loc(i, 7), F.lit(" reference range format may be invalid: "),
+                                         f(o, "OBX", 7))))
+    specs.append((lambda o: H.present(f(o, "OBX", 3)) & ~f(o, "OBX", 3).contains("^"),
+                   "warning", "obx3_component", 3,
+                   lambda o, i: F.concat(F.lit("OBX observation identifier should use component separator: "),
+                                         f(o, "OBX", 3))))
+    ck.obx_group(obx, specs)
     # cross-field
     both = _has(c, "ORC") & has_obr
     for n, what in ((2, "placer"), (3, "filler")):
         a, b = f(orc, "ORC", n), f(obr, "OBR", n)
         ck.add(both & H.present(a) & H.present(b) & (a != b), "warning", "order_mismatch",
                f"ORC.{n}", f"ORC.{n} and OBR.{n} {what} order numbers should match")
-    ck.add_array(lambda no: _obx_array(
-        obx, no, lambda o: H.present(f(o, "OBX", 3)) & ~f(o, "OBX", 3).contains("^"),
-        "warning", "obx3_component", 3,
-        lambda o, i: F.concat(F.lit("OBX observation identifier should use component separator: "),
-                              f(o, "OBX", 3))))
     return ck.column()
 
 
@@ -220,21 +213,20 @@ def lenient_findings(c: dict[str, Column]) -> Column:
                f"OBR.{n} is required for ORU_R01 messages")
     _code_set(ck, f(obr, "OBR", 25), "OBR.25", R.RESULT_STATUSES, "result status", has_obr)
     _ts_checks(ck, F.when(has_obr, f(obr, "OBR", 7)), "OBR.7", strict=False)
+    specs = []
     for n in R.LENIENT_OBX_CRITICAL:
-        ck.add_array(lambda no, n=n: _obx_array(
-            obx, no, lambda o: H.blank(f(o, "OBX", n)), "error", "critical", n,
-            lambda o, i: F.concat(_obx_loc(i, n), F.lit(" is required for observation data"))))
-    for n, values, text in ((2, R.LENIENT_VALUE_TYPES, "value type"),
-                            (11, R.OBX_STATUSES, "result status")):
-        ck.add_array(lambda no, n=n, values=values, text=text: _obx_array(
-            obx, no, lambda o: H.present(f(o, "OBX", n)) & ~f(o, "OBX", n).isin(*values),
-            "warning", "code_set", n,
-            lambda o, i: F.concat(_obx_loc(i, n), F.lit(f" {text} '"), f(o, "OBX", n),
-                                  F.lit(f"' not in standard values {R.pylist(values)}"))))
-    ck.add_array(lambda no: _obx_array(
-        obx, no, lambda o: H.present(f(o, "OBX", 6)) & ~f(o, "OBX", 6).rlike(R.LENIENT_UNITS_PATTERN),
-        "warning", "units", 6,
-        lambda o, i: F.concat(_obx_loc(i, 6), F.lit(" units format may be invalid: "), f(o, "OBX", 6))))
+        specs.append((lambda o, n=n: H.blank(f(o, "OBX", n)), "error", "critical", n,
+                      lambda o, i, n=n: F.concat(_obx_loc(i, n), F.lit(" is required for observation data"))))
+    for n, values, text in ((2, R.LENIENT_VALUE_TYPES, "value type"), (11, R.OBX_STATUSES, "result status")):
+        specs.append((lambda o, n=n, values=values: H.present(f(o, "OBX", n)) & ~f(o, "OBX", n).isin(*values),
+                      "warning", "code_set", n,
+                      lambda o, i, n=n, values=values, text=text: F.concat(
+                          _obx_loc(i, n), F.lit(f" {text} '"), f(o, "OBX", n),
+                          F.lit(f"' not in standard values {R.pylist(values)}"))))
+    specs.append((lambda o: H.present(f(o, "OBX", 6)) & ~f(o, "OBX", 6).rlike(R.LENIENT_UNITS_PATTERN),
+                   "warning", "units", 6,
+                   lambda o, i: F.concat(_obx_loc(i, 6), F.lit(" units format may be invalid: "), f(o, "OBX", 6))))
+    ck.obx_group(obx, specs)
     a, b = f(orc, "ORC", 2), f(obr, "OBR", 2)
     ck.add(_has(c, "ORC") & has_obr & H.present(a) & H.present(b) & (a != b), "warning",
            "order_mismatch", "ORC.2", "ORC.2 and OBR.2 placer order numbers should match")
