@@ -32,10 +32,6 @@ def norm_key(c: Column) -> Column:
     return F.upper(F.translate(c, " -", "__"))
 
 
-def _norm_py(s: str) -> str:
-    return s.replace(" ", "_").replace("-", "_").upper()
-
-
 # ------------------------------------------------------------------ G1
 def load_mapping(spark: SparkSession, path: str, extra_cols: str = "") -> DataFrame:
     """The mapping CSV (header row), read with its schema - all strings,
@@ -65,13 +61,6 @@ def compile_mapping(mapping: DataFrame, group_cols: tuple = ()) -> DataFrame:
     return m.withColumn("rank_in_group", F.row_number().over(w))
 
 
-def _checked(mapping: DataFrame) -> DataFrame:
-    n = mapping.count()
-    if n > MAX_MAPPING_ROWS:
-        raise ValueError(f"mapping has {n} rows; not a configuration table")
-    return F.broadcast(mapping)
-
-
 # ------------------------------------------------------------------ G2, G3
 def _kind_of(v: Column) -> Column:
     """O object, A array, S scalar / null - computed once per node."""

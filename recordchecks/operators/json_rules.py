@@ -103,10 +103,6 @@ def _num(v: Column) -> Column:
     return F.try_variant_get(v, "$", "double")
 
 
-def _is_missing(v: Column, kind: Column) -> Column:
-    return v.isNull() | (kind == "NoneType") | ((kind == "str") & (_str(v) == ""))
-
-
 def _str_float(s: Column) -> Column:
     """Float value of a numeric string, NULL otherwise."""
     return F.when(s.rlike(JR.FLOAT_PATTERN), F.trim(s).try_cast("double"))

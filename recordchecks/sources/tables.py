@@ -27,7 +27,8 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str,
 def scan_text_documents(spark: SparkSession, path: str,
                         id_col: str = "doc_id") -> DataFrame:
     """One document per file (``wholetext``), keyed by file path."""
-    return (spark.read.option("wholetext", True).text(path)
+    # ``text()`` has its own ``wholetext=False`` default, so pass it there
+    return (spark.read.text(path, wholetext=True)
             .select(F.input_file_name().alias(id_col), F.col("value").alias("raw")))
 
 

@@ -116,3 +116,22 @@ def test_message_sink_and_mapping_csv(spark, tmp_path):
                  "OBX,,Vitals,Pre-Treatment.Weight,OBX.5,W,Weight,NM,kg,\n")
     cm = B.compile_mapping(B.load_mapping(spark, str(p))).collect()[0]
     assert cm.sequence == 999 and cm.section == "VITALS" and cm.attr == "PRE_TREATMENT.WEIGHT"
+
+
+def test_readers_and_json_stream(spark, tmp_path):
+    from recordchecks.operators import json_rules as J
+    from recordchecks.sources.tables import scan_lines, scan_text_documents
+    from recordchecks.streaming.checks import start_json_checks
+    (tmp_path / "msgs").mkdir()
+    (tmp_path / "msgs" / "a.hl7").write_text("MSH|^~\\&|A\rPID|1")
+    d = scan_text_documents(spark, str(tmp_path / "msgs"), "msg_id").collect()
+    assert len(d) == 1 and d[0].raw.startswith("MSH|")
+    src = tmp_path / "docs"
+    src.mkdir()
+    (src / "d.jsonl").write_text(json.dumps({"Batch": {"Time": "09:15:30"}}) + "\n" + "not json\n")
+    assert scan_lines(spark, str(src)).count() == 2
+    rules = J.rules_frame(spark, [(1, "C", "BOTH", "TREATMENT", "Batch.Time", "t", "STRING", "N", "HH:MM", None)])
+    q = start_json_checks(spark, str(src), str(tmp_path / "out"), rules, str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r.errors for r in out] == ["Invalid timestamp format. Expected: HH:MM"]
