@@ -61,7 +61,7 @@ GEN_CTES = r"""
 li AS (
   SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity,
-      l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS item
+      l_returnflag, l_linestatus) - 1 AS item
   FROM lineitem WHERE l_orderkey % 47 <> 0),
 nl AS (SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS tq FROM lineitem GROUP BY l_orderkey),
 o AS (

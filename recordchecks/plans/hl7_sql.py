@@ -15,9 +15,8 @@ def sq(s: str) -> str:
 MESSAGES_SQL = r"""
 li AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-             l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
-             l_shipdate) AS i
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity,
+             l_returnflag, l_linestatus) AS i
   FROM lineitem),
 obx AS (
   SELECT l_orderkey,

@@ -16,8 +16,7 @@ cyc AS (
         'Therapy Cycle Time', printf('%02d:%02d:%02d', l_linenumber * 4, l_partkey % 60, l_suppkey % 60),
         'Cycle Type', l_returnflag || '-' || l_linestatus || (CASE WHEN l_linenumber = 1 THEN 'FILL' ELSE '' END),
         'CycleAttributes', json_object('Fill Volume', CAST(trunc(l_quantity) AS BIGINT), 'Fill Time', l_linenumber * 60))
-      ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
-               l_returnflag, l_linestatus, l_shipdate) AS cycles
+      ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) AS cycles
   FROM lineitem GROUP BY l_orderkey),
 docs0 AS (
   SELECT o.o_orderkey AS doc_id, CAST(json_object(
