@@ -78,3 +78,18 @@ def starts_with_msh(segs: Column) -> Column:
     """H6: the first segment, batch envelope (FHS/BHS) skipped, is MSH."""
     names = F.filter(F.transform(segs, seg_name), lambda n: ~n.isin(*ENVELOPE_SEGMENTS))
     return F.coalesce(F.get(names, 0) == F.lit("MSH"), F.lit(False))
+
+
+def unescape_value(v: Column) -> Column:
+    """Inverse of ``escape_value`` in one left-to-right pass: the text is
+    cut into escape sequences ``\\X\\`` and plain runs, and each sequence is
+    mapped back (``F | S ^ R ~ T & E \\``).  Replacing sequence by
+    sequence would be wrong: ``\\E\\F\\E\\`` contains ``\\F\\``."""
+    tokens = F.regexp_extract_all(v, F.lit(r"(\\[FSRTE]\\|[^\\]+|\\)"), 1)
+    back = {"\\F\\": "|", "\\S\\": "^", "\\R\\": "~", "\\T\\": "&", "\\E\\": "\\"}
+    def one(t):
+        out = t
+        for esc, ch in back.items():
+            out = F.when(t == F.lit(esc), F.lit(ch)).otherwise(out)
+        return out
+    return F.when(v.isNotNull(), F.array_join(F.transform(tokens, one), ""))

@@ -41,6 +41,10 @@ def test_generated_message(spark):
     f = HP.fields(raw).where("seg_name = 'OBX' AND field_no = 5").select("value").collect()
     vals = {r.value for r in f}
     assert {"70.5", "120", "22:50:38", "100", "600", "50", "3000", "CLARIA"} <= vals
+    from recordchecks.functions.hl7 import unescape_value
+    decoded = {r.d for r in HP.fields(raw).where("seg_name = 'OBX' AND field_no = 5")
+               .select(unescape_value(F.col("value")).alias("d")).collect()}
+    assert "Night|5" in decoded  # escaped on the way out, decoded on the way back
     # the generated message passes the lenient rules except OBR.25: the
     # generator (like the one re-implemented) writes no OBR result status
     bad = {r.location for r in HV.findings(raw, ("lenient",)).where("severity = 'error'").collect()}
