@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordchecks.functions.gen import explode_kept, inline_kept, posexplode_kept
-
 from recordchecks.functions.jsonpath import lookup, steps, targets, targets_path
 from recordchecks.rules import json_rules as JR
 

@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordchecks.functions.gen import inline_kept
-
 from recordchecks.functions.jsonpath import lookup, steps, targets
 from recordchecks.operators import json_rules as J
 from recordchecks.plans.json_sql import DOCS_SQL, with_checks
