@@ -119,7 +119,7 @@ def index_matrix(docs: DataFrame, text_col: str) -> np.ndarray:
                                "part": pa.array([TaskContext.get().partitionId()] * BLOCKS, pa.int64()),
                                "vec": pa.array([v.tobytes() for v in vec], pa.binary())})
 
-    def add(key, table: pa.Table) -> pa.Table:
+    def add(key, table):
         vec = sum(np.frombuffer(v, "<f4").astype("<f8") for v in table["vec"].to_pylist())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()),
                          "vec": pa.array([vec.astype("<f4").tobytes()], pa.binary())})
