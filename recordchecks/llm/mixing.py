@@ -75,13 +75,12 @@ def rate(lam: Column, x: Column, cap: int) -> Column:
 def solve(hist: DataFrame, totals: DataFrame, cap: int = CAP) -> DataFrame:
     """Adds ``lam`` (null: every document at ``cap``) to one row a source, so
     that the tilted rates meet its target."""
-    n_sources = totals.count()
-    small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     state = totals.withColumns({
         "mean": F.col("source_size") / F.col("n_docs"),
         "open": (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-9)),
         "lam": F.lit(0.0), "lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "off": F.lit(1.0)})
     state = store(state, "mixing-state")
+    small = F.broadcast if state.count() <= BROADCAST_SOURCES else (lambda df: df)
     for step in range(MAX_STEPS):
         if not step and not state.where("open").limit(1).count():
             break

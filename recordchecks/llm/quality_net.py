@@ -248,5 +248,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return rows.mapInArrow(score, schema).withColumnRenamed("id", id_col)
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   label_col: str = "quality", max_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more."""
+    vectors, net = fit(docs, labels, id_col, text_col, label_col, max_labelled)
+    shared, at = docs.sparkSession.sparkContext.broadcast(vectors), docs.columns.index(text_col)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 500):
+            texts = b.column(at).cast(pa.string()).to_pylist()
+            yield b.filter(pa.array(net.probabilities(pool(texts, shared.value)) >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -155,10 +155,9 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return probe.alias("p").join(build.alias("b"), (F.col("p.key") == F.col("b.key")) & near).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """``id_col, fingerprint, component_id`` per row."""
-    fp = store(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+def classes_of(fp: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint of a table ``id, fp``;
+    ``root`` names a component even where no row of it has an id."""
     # distinct fingerprints; partial aggregation absorbs a group of copies of any size
     classes = store(fp.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
     pairs = store(links(classes, max_bits), "simhash-links")
@@ -166,10 +165,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = classes.join(root.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    members = rooted.join(first, "root").select("fp", "component_id")
-    return fp.join(members, "fp", "left").select(
+    return rooted.join(first, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """``id_col, fingerprint, component_id`` per row."""
+    fp = store(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
+    return fp.join(classes_of(fp, max_bits), "fp", "left").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component: the one with the
+    smallest id (null last), of those the smallest fingerprint, of rows equal in
+    both any."""
+    tag = "fp"
+    while tag in docs.columns:
+        tag += "_"
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 500):
+            fp = [fingerprint(t, shingle) for t in blobs(b.column(at).cast(pa.string()))]
+            yield pa.record_batch([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, tag])
+
+    tagged = store(docs.mapInArrow(run, StructType([*docs.schema, StructField(tag, LongType())])), "simhash-documents")
+    fp = tagged.select(F.col(id_col).alias("id"), F.col(tag).alias("fp"))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
+    kept = fp.join(classes_of(fp, max_bits), "fp").groupBy("root").agg(best.alias("best")).select("best.id", "best.fp")
+    equal = fp.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("rows"))
+    kept = kept.alias("k").join(equal.alias("e"), F.col("k.id").eqNullSafe(F.col("e.id")) & (F.col("k.fp") == F.col("e.fp"))).select(
+        F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp"), F.col("rows").alias("__rows"))
+    rows = tagged.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(tag) == F.col("__fp")))
+    # only rows equal in id and fingerprint have to be told apart
+    order = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64(*docs.columns))
+    some = rows.where("__rows > 1").withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return rows.where("__rows = 1").select(*docs.columns).unionByName(some.select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
