@@ -1,17 +1,14 @@
 """HL7 ORU^R01 generation.
 
-Device records (JSON) -> flattened attributes with normalised keys (G2) ->
-join to the compiled mapping (G1, G3, J2; the mapping is configuration and
-is broadcast after a size check) -> segment rows carrying order keys ->
-one shuffle on the document id, where OBR/OBX set ids are numbered by window
-functions and the message is assembled by an ordered aggregate (G11).  The
-window and the aggregate share the same hash partitioning on ``doc_id``, so
-the assembly adds no second exchange.
+Device records (JSON) are opened inside their own row, level by level to the
+depth of the data (G2), matched against the compiled mapping (G1, G3, J2),
+numbered (W2) and assembled (G11) on the same row: no shuffle.  A mapping too
+large to compile into the plan is joined instead.  Every step is linear, or a
+sort, in the size of a record.
 
 Also relational ORU building (G13-G16): patient, order and observation tables
-to messages, keyed by order (one message per order, observations chunked so
-no message grows without bound), or several patients per message keyed by a
-day and key block.
+to messages, keyed by order (one message per order, whatever its size), or
+several patients per message keyed by a day and key block.
 """
 
 from __future__ import annotations
@@ -20,11 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordchecks.functions import hl7 as H
+from recordchecks.functions.arrays import run_starts, running
 from recordchecks.functions.gen import explode_kept, inline_kept
 from recordchecks.rules import hl7_mapping as M
 
-MAX_MAPPING_ROWS = 50_000
-MAX_FLATTEN_DEPTH = 6
+# A mapping of more rows is joined instead of being compiled into the plan.
+MAX_COMPILED_ROWS = 2_000
 
 
 def norm_key(c: Column) -> Column:
@@ -94,40 +92,49 @@ def _expand(arr: Column) -> Column:
     return F.flatten(F.transform(arr, step))
 
 
-def flatten(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json",
-            max_depth: int = MAX_FLATTEN_DEPTH) -> DataFrame:
+def nesting(json: Column) -> Column:
+    """Nesting depth of a JSON text: strings and everything but brackets cut away, then a running level."""
+    brackets = F.split(F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*+"|[^{}\[\]"]', ""), "")
+    level = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
+    return F.aggregate(brackets, level, lambda a, c: F.struct(
+        (a["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"),
+        F.greatest(a["top"], a["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("top")))["top"]
+
+
+def levels_of(docs: DataFrame, json_col: str = "json") -> int:
+    """Levels to open: the nesting depth of the deepest document (one pass, one row)."""
+    return docs.agg(F.max(nesting(F.col(json_col)))).first()[0] or 0
+
+
+def flatten(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json", levels: int | None = None) -> DataFrame:
     """``(doc_id, path, top, idx, leaf, value, kind)`` for every scalar,
-    keys normalised at every level, array elements as ``[i]``.  ``top`` is
-    the first key, ``idx`` the index inside a first-level array, ``leaf`` the
-    last key.  The document is opened level by level inside its own row
-    (a chain of ``transform``s, fixed depth) and exploded once; containers
-    deeper than ``max_depth`` come out as JSON text."""
+    keys normalised at every level, array elements as ``[i]``; JSON nulls give
+    no row.  ``top`` is the first key, ``idx`` the index inside a first-level
+    array, ``leaf`` the last key.  The document is opened level by level inside
+    its own row (a chain of ``transform``s) and exploded once; ``levels`` is
+    measured when it is not given."""
+    levels = levels_of(docs, json_col) if levels is None else levels
     v = docs.select(F.col(id_col).alias("doc_id"), F.try_parse_json(F.col(json_col)).alias("v"))
-    arr = F.array(_node(F.lit(""), F.lit(None).cast("string"), F.lit(None), F.lit(None).cast("string"),
-                        F.col("v")))
-    for _ in range(max_depth):
-        arr = _expand(arr)
-    staged = v.select("doc_id", F.when(F.col("v").isNotNull(), arr).alias("nodes"))
+    staged = v.select("doc_id", F.when(F.col("v").isNotNull(), _nodes(F.col("v"), levels)).alias("nodes"))
     out = inline_kept(staged, ["doc_id"], "nodes", "path")
     kind = F.schema_of_variant("v")
     return out.select("doc_id", "path", "top", "idx", "leaf",
                       F.when(kind == "STRING", F.try_variant_get("v", "$", "string")).otherwise(
                           F.to_json("v")).alias("value"),
-                      kind.alias("kind"))
+                      kind.alias("kind")).where(F.col("kind") != "VOID")
 
 
-def attr_values(docs: DataFrame, mapping: DataFrame) -> DataFrame:
+def attr_values(docs: DataFrame, mapping: DataFrame, levels: int | None = None,
+                max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
     """Mapped attribute values per document ``(doc_id, section, attr,
     item, value)``.  Scalar sections look the attribute up from the root,
     then under the section (first found wins); list sections (arrays of
     objects) match each item's keys, nested ones included, by their last key
-    (G10).  The mapping is compiled to a literal map, so the look-up is a map
-    access inside the document's row - no join, no shuffle."""
-    lookup, sec_arr = _compiled(mapping)
+    (G10)."""
     # no filter on the parsed column: it would be pushed below the parse and
     # parse every document twice; unparseable ones drop at the generator
     v = docs.select("doc_id", F.try_parse_json("json").alias("v"))
-    m = _with_rows(v, F.col("v"), lookup, sec_arr, "", stop_at_matches=True).select("doc_id", "_best")
+    m = _matched(v, mapping, levels_of(docs) if levels is None else levels, max_compiled).select("doc_id", "_best")
     return inline_kept(m, ["doc_id"], "_best", "section").select(
         "doc_id", "section", "attr", F.when(F.col("item") >= 0, F.col("item")).alias("item"), "identifier",
         "display_name", "data_type", "unit", "sequence", "value")
@@ -174,143 +181,173 @@ def header_segments(docs: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST")
 
 
 # ------------------------------------------------------------------ G8-G11
-_ENTRY = ("section string, attr string, identifier string, display_name string, data_type string, "
-          "unit string, sequence int, prio int")
-
-
-def _compiled(mapping: DataFrame):
-    """The mapping read once (size checked) and compiled to literals: a map
-    from look-up key to mapping entries, and the OBR sections in order.
-
-    Keys: ``ATTR`` (found from the root, priority 1), ``SECTION.ATTR``
-    (found under the section, priority 2), ``SECTION|LEAF`` (a key inside an
-    item of a list section, G10)."""
-    cm = compile_mapping(mapping)
-    n = cm.count()
-    if n > MAX_MAPPING_ROWS:
-        raise ValueError(f"mapping has {n} rows; not a configuration table")
-    rows = cm.collect()
-    by_key: dict[str, list] = {}
-    for r in rows:
-        if r["segment"] != "OBX" or r["section"] is None:
-            continue
-        base = (r["section"], r["attr"], r["identifier"], r["display_name"], r["data_type"], r["unit"],
-                int(r["sequence"]))
-        for key, prio in ((r["attr"], 1), (f"{r['section']}.{r['attr']}", 2), (f"{r['section']}|{r['attr']}", 1)):
-            by_key.setdefault(key, []).append(base + (prio,))
-
-    def entry(t):
-        return F.struct(*[F.lit(v).cast(ty).alias(nm) for v, (nm, ty) in zip(
-            t, [x.strip().split(" ") for x in _ENTRY.split(",")])])
-    lookup = F.create_map(*[x for k, es in sorted(by_key.items())
-                            for x in (F.lit(k), F.array(*[entry(e) for e in es]))]) if by_key else None
-    sections = sorted([r for r in rows if r["segment"] == "OBR"], key=lambda r: (r["sequence"], r["attr"]))
-    sec_arr = F.array(*[F.struct(F.lit(r["section"]).alias("section"), F.lit(r["identifier"]).alias("identifier"),
-                                 F.lit(r["display_name"]).alias("display_name"),
-                                 F.lit(int(r["sequence"])).alias("sec_seq")) for r in sections])
-    return lookup, sec_arr
-
-
-def _nodes(v: Column, max_depth: int = MAX_FLATTEN_DEPTH) -> Column:
+_ENTRY = ["section", "attr", "identifier", "display_name", "data_type", "unit", "sequence", "prio"]
+_ENTRY_TYPE = "array<struct<" + ",".join(f"{n}:{'int' if n in ('sequence', 'prio') else 'string'}" for n in _ENTRY) + ">>"
+
+
+def _entries(mapping: DataFrame) -> DataFrame:
+    """``(key, entry)`` look-up rows of the mapping: ``ATTR`` (found from the
+    root, priority 1), ``SECTION.ATTR`` (found under the section, priority 2),
+    ``SECTION|LEAF`` (a key inside an item of a list section, G10)."""
+    rows = compile_mapping(mapping).where((F.col("segment") == "OBX") & F.col("section").isNotNull())
+
+    def entry(key: Column, prio: int) -> Column:
+        return F.struct(key.alias("key"), F.struct(*_ENTRY[:-1], F.lit(prio).alias("prio")).alias("entry"))
+    sec, attr = F.col("section"), F.col("attr")
+    return rows.select(F.inline(F.array(entry(attr, 1), entry(F.concat(sec, F.lit("."), attr), 2),
+                                        entry(F.concat(sec, F.lit("|"), attr), 1))))
+
+
+def _sections(mapping: DataFrame) -> DataFrame:
+    """One row: the OBR sections in order, as an array."""
+    rows = compile_mapping(mapping).where(F.col("segment") == "OBR")
+    one = F.struct(F.col("sequence").alias("sec_seq"), F.col("attr").alias("section"), "identifier", "display_name")
+    return rows.agg(F.array_sort(F.collect_list(one)).alias("_secs"))
+
+
+def _nodes(v: Column, levels: int) -> Column:
     arr = F.array(_node(F.lit(""), F.lit(None).cast("string"), F.lit(None), F.lit(None).cast("string"), v))
-    for _ in range(max_depth):
+    for _ in range(levels):
         arr = _expand(arr)
     return arr
 
 
-def _with_rows(df: DataFrame, v: Column, lookup: Column, sec_arr: Column, obs_ts: str,
-               stop_at_matches: bool = False) -> DataFrame:
+def _candidate(n: Column, m: Column) -> Column:
+    k = F.schema_of_variant(n["v"])
+    value = F.when(k == "STRING", F.try_variant_get(n["v"], "$", "string")).when(
+        (k != "VOID") & ~k.startswith("OBJECT") & ~k.startswith("ARRAY"), F.to_json(n["v"]))
+    return F.struct(m["section"].alias("section"), m["attr"].alias("attr"), m["prio"].alias("prio"),
+                    F.coalesce(n["idx"], F.lit(-1)).alias("item"), m["sequence"].alias("sequence"),
+                    m["identifier"].alias("identifier"), m["display_name"].alias("display_name"),
+                    m["data_type"].alias("data_type"), m["unit"].alias("unit"), value.alias("value"))
+
+
+def _key_of(n: Column) -> Column:
+    return F.when(n["idx"].isNull(), n["path"]).otherwise(F.concat(n["top"], F.lit("|"), n["leaf"]))
+
+
+def _matched(df: DataFrame, mapping: DataFrame, levels: int, max_compiled: int) -> DataFrame:
+    """Adds ``_best``: the mapped values of each document, inside its row.
+
+    A mapping of up to ``max_compiled`` rows becomes a literal map, so the
+    look-up needs no join.  A larger one is joined to the exploded nodes on the
+    look-up key (its small side broadcast only if Spark finds it small), and
+    the matches return to their document by its id."""
+    keep = df.columns
+    opened = df.select(*keep, F.when(F.col("v").isNotNull(), _nodes(F.col("v"), levels)).alias("_nodes"))
+    entries = _entries(mapping)
+    if mapping.count() <= max_compiled:
+        by_key: dict[str, list] = {}
+        for r in entries.collect():  # 3 * max_compiled rows at most
+            by_key.setdefault(r["key"], []).append(r["entry"])
+        empty = F.array().cast(_ENTRY_TYPE)
+
+        def literal(e):
+            return F.struct(*[F.lit(e[n]).cast("int" if n in ("sequence", "prio") else "string").alias(n) for n in _ENTRY])
+        lookup = F.create_map(*[x for k, es in sorted(by_key.items()) for x in (F.lit(k), F.array(*map(literal, es)))])
+        cand = F.flatten(F.transform("_nodes", lambda n: F.transform(
+            F.coalesce(F.try_element_at(lookup, _key_of(n)), empty) if by_key else empty, lambda m: _candidate(n, m))))
+        with_cand = opened.select(*keep, F.filter(cand, lambda x: x["value"].isNotNull()).alias("_cand"))
+    else:
+        n = inline_kept(opened.select("doc_id", "_nodes"), ["doc_id"], F.transform("_nodes", lambda x: F.struct(x.alias("n"), _key_of(x).alias("key"))), "key")
+        hits = n.join(entries, "key").select("doc_id", _candidate(F.col("n"), F.col("entry")).alias("c")).where("c.value is not null")
+        with_cand = df.join(hits.groupBy("doc_id").agg(F.collect_list("c").alias("_cand")), "doc_id", "left").select(
+            *keep, F.when(F.col("v").isNotNull(), F.coalesce("_cand", F.array())).alias("_cand"))
+    # first found wins: a root look-up hides the under-section one (G8).  Items
+    # of lists have one priority, so only the others, as many as the mapping
+    # has rows at most, are compared.
+    first = with_cand.select(*keep, "_cand", F.filter("_cand", lambda x: (x["item"] < 0) & (x["prio"] == 1)).alias("_root"))
+    best = F.filter("_cand", lambda x: (x["item"] >= 0) | (x["prio"] == 1) | ~F.exists(
+        "_root", lambda y: (y["section"] == x["section"]) & (y["attr"] == x["attr"])))
+    return first.select(*keep, best.alias("_best"))
+
+
+def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, levels: int, max_compiled: int) -> DataFrame:
     """Adds ``rows``: per document, inside its row, the OBR and OBX rows in
-    message order, numbered (W2).  No join and no shuffle: the mapping is a
-    literal map and the document is opened by a chain of ``transform``s.
-    Three projections (open, match, number) keep each expression shallow."""
-    empty = F.array().cast(f"array<struct<{_ENTRY.replace(' string', ':string').replace(' int', ':int')}>>")
+    message order, numbered (W2): one OBR per section, one per item of a list
+    section (D14), its OBX below it.  A section's values are sorted once;
+    running counts number them."""
     keep = df.columns
-    st1 = df.select(*keep, F.when(v.isNotNull(), _nodes(v)).alias("_nodes"))
-
-    def value_of(n):
-        k = F.schema_of_variant(n["v"])
-        return F.when(k == "STRING", F.try_variant_get(n["v"], "$", "string")).when(
-            (k != "VOID") & ~k.startswith("OBJECT") & ~k.startswith("ARRAY"), F.to_json(n["v"]))
-
-    def matches(n, key):
-        return F.transform(F.coalesce(F.try_element_at(lookup, key), empty), lambda m: F.struct(
-            m["section"].alias("section"), m["attr"].alias("attr"), m["prio"].alias("prio"),
-            F.coalesce(n["idx"], F.lit(-1)).alias("item"), m["sequence"].alias("sequence"),
-            m["identifier"].alias("identifier"), m["display_name"].alias("display_name"),
-            m["data_type"].alias("data_type"), m["unit"].alias("unit"), value_of(n).alias("value")))
-    cand = F.filter(F.flatten(F.transform("_nodes", lambda n: F.when(
-        n["idx"].isNull(), matches(n, n["path"])).otherwise(
-        matches(n, F.concat(n["top"], F.lit("|"), n["leaf"]))))), lambda x: x["value"].isNotNull())
-    st2 = st1.select(*keep, cand.alias("_cand"))
-    c = F.col("_cand")
-    # first found wins: a root look-up hides the under-section one
-    best = F.filter(c, lambda x: ~F.exists(c, lambda y: (y["section"] == x["section"])
-                                           & (y["attr"] == x["attr"]) & (y["item"] == x["item"])
-                                           & (y["prio"] < x["prio"])))
-    st3 = st2.select(*keep, best.alias("_best"))
-    if stop_at_matches:
-        return st3
-    b = F.col("_best")
-    # one OBR per section, one per item of a list section
-    obrs = F.flatten(F.transform(sec_arr, lambda s: F.transform(
-        F.coalesce(F.nullif(F.array_sort(F.array_distinct(F.transform(
-            F.filter(b, lambda x: x["section"] == s["section"]), lambda x: x["item"]))),
-            F.array().cast("array<int>")), F.array(F.lit(-1))),
-        lambda it: F.struct(s["section"].alias("section"), s["identifier"].alias("identifier"),
-                            s["display_name"].alias("display_name"), s["sec_seq"].alias("sec_seq"),
-                            it.alias("item")))))
-    st4 = st3.select(*keep, "_best", obrs.alias("_obrs"))
-
-    def rows_of(o, i):
-        obr_id = i + 2
-        obr_seg = F.concat(F.lit("OBR|"), obr_id.cast("string"), F.lit("|||"), o["identifier"], F.lit("^"),
-                           o["display_name"], F.lit(f"|||{obs_ts}"))
-        obr_row = F.struct(o["sec_seq"].alias("sec_seq"), o["item"].alias("item"), obr_id.alias("obr_set_id"),
-                           F.lit(0).alias("obx_set_id"), F.lit("OBR").alias("seg_name"),
-                           o["identifier"].alias("identifier"), F.lit(None).cast("string").alias("value"),
-                           obr_seg.alias("segment"))
-        mine = F.array_sort(F.transform(
-            F.filter("_best", lambda x: (x["section"] == o["section"]) & (x["item"] == o["item"])),
-            lambda x: F.struct(x["sequence"].alias("sequence"), x["attr"].alias("attr"),
-                               x["identifier"].alias("identifier"), x["display_name"].alias("display_name"),
-                               x["data_type"].alias("data_type"), x["unit"].alias("unit"),
-                               x["value"].alias("value"))))
-        obx_rows = F.transform(mine, lambda x, j: F.struct(
-            o["sec_seq"].alias("sec_seq"), o["item"].alias("item"), obr_id.alias("obr_set_id"),
-            (j + 1).alias("obx_set_id"), F.lit("OBX").alias("seg_name"), x["identifier"].alias("identifier"),
-            x["value"].alias("value"),
-            F.concat(F.lit("OBX|"), (j + 1).cast("string"), F.lit("|"), x["data_type"], F.lit("|"),
-                     x["identifier"], F.lit("^"), x["display_name"], F.lit("|"), obr_id.cast("string"),
-                     F.lit("|"), H.escape_value(x["value"]), F.lit("|"), x["unit"], F.lit("|||||F"))
-            .alias("segment")))
-        return F.concat(F.array(obr_row), obx_rows)
-    return st4.select(*keep, F.flatten(F.transform("_obrs", rows_of)).alias("rows"))
-
-
-def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str) -> DataFrame:
+    m = _matched(df, mapping, levels, max_compiled)
+    one = _sections(mapping)  # one row of configuration, the same for every document
+    if mapping.count() <= max_compiled:
+        secs = one.first()["_secs"]
+        m = m.withColumn("_secs", F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in secs]))
+    else:
+        m = m.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+
+    def section(s):
+        mine = F.array_sort(F.transform(F.filter("_best", lambda x: x["section"] == s["section"]), lambda x: F.struct(
+            x["item"], x["sequence"], x["attr"], x["identifier"], x["display_name"], x["data_type"], x["unit"], x["value"])))
+        return F.struct(s.alias("s"), mine.alias("mine"))
+
+    def numbered(x):
+        return F.struct(x["s"], x["mine"], run_starts(F.transform(x["mine"], lambda y: y["item"])).alias("starts"))
+
+    def heads(x):
+        return F.struct(x["s"], x["mine"], x["starts"], F.transform(x["starts"], lambda y, i: (y == i).cast("int")).alias("is_first"))
+    st = m.select(*keep, F.transform("_secs", section).alias("_a"))
+    st = st.select(*keep, F.transform("_a", numbered).alias("_a"))
+    st = st.select(*keep, F.transform("_a", heads).alias("_a"))
+    st = st.select(*keep, F.transform("_a", lambda x: F.struct(
+        x["s"], x["mine"], x["starts"], x["is_first"],
+        running(x["is_first"], F.lit(0), lambda a, b: a + b).alias("before"))).alias("_a"))
+    # OBR set ids start at 2 and run on over the sections
+    counts = F.transform("_a", lambda x: F.greatest(F.lit(1), F.aggregate(x["is_first"], F.lit(0), lambda a, b: a + b)))
+    st = st.select(*keep, "_a", running(counts, F.lit(2), lambda a, b: a + b).alias("_ids"))
+
+    def obr_row(s, item, obr_id):
+        seg = F.concat(F.lit("OBR|"), obr_id.cast("string"), F.lit("|||"), s["identifier"], F.lit("^"),
+                       s["display_name"], F.lit(f"|||{obs_ts}"))
+        return F.struct(s["sec_seq"].alias("sec_seq"), item.alias("item"), obr_id.alias("obr_set_id"),
+                        F.lit(0).alias("obx_set_id"), F.lit("OBR").alias("seg_name"),
+                        s["identifier"].alias("identifier"), F.lit(None).cast("string").alias("value"),
+                        seg.alias("segment"))
+
+    def obx_row(s, y, obr_id, j):
+        seg = F.concat(F.lit("OBX|"), j.cast("string"), F.lit("|"), y["data_type"], F.lit("|"),
+                       y["identifier"], F.lit("^"), y["display_name"], F.lit("|"), obr_id.cast("string"),
+                       F.lit("|"), H.escape_value(y["value"]), F.lit("|"), y["unit"], F.lit("|||||F"))
+        return F.struct(s["sec_seq"].alias("sec_seq"), y["item"].alias("item"), obr_id.alias("obr_set_id"),
+                        j.alias("obx_set_id"), F.lit("OBX").alias("seg_name"), y["identifier"].alias("identifier"),
+                        y["value"].alias("value"), seg.alias("segment"))
+
+    def rows_of(z):
+        x, first_id = z["_a"], z["_ids"]
+
+        def one(t, i):
+            obr_id = first_id + t["before"] + t["is_first"] - 1
+            obx = obx_row(x["s"], t["mine"], obr_id, i - t["starts"] + 1)
+            return F.when(t["is_first"] == 1, F.array(obr_row(x["s"], t["mine"]["item"], obr_id), obx)).otherwise(F.array(obx))
+        both = F.flatten(F.transform(F.arrays_zip(x["mine"].alias("mine"), x["starts"].alias("starts"),
+                                                  x["is_first"].alias("is_first"), x["before"].alias("before")), one))
+        return F.when(F.size(x["mine"]) > 0, both).otherwise(F.array(obr_row(x["s"], F.lit(-1), first_id)))
+    return st.select(*keep, F.flatten(F.transform(F.arrays_zip("_a", "_ids"), rows_of)).alias("rows"))
+
+
+def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str, levels: int | None = None,
+                 max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
     """G8-G10 + W2: OBR and OBX rows of the mapped sections, numbered:
     ``(doc_id, sec_seq, item, obr_set_id, obx_set_id, seg_name, identifier,
     value, segment)``.  Sections follow the OBR rows' sequence; a list
     section gets one OBR per item (D14); OBR set ids start at 2 and run over
     sections and items; OBX set ids restart at 1 under each OBR, ordered by
     the mapping sequence."""
-    lookup, sec_arr = _compiled(mapping)
     # no filter on the parsed column: it would be pushed below the parse and
     # parse every document twice; unparseable ones drop at the generator
     v = docs.select("doc_id", F.try_parse_json("json").alias("v"))
-    plan = _with_rows(v, F.col("v"), lookup, sec_arr, obs_ts).select("doc_id", "rows")
-    return inline_kept(plan, ["doc_id"], "rows", "seg_name")
+    plan = _with_rows(v, mapping, obs_ts, levels_of(docs) if levels is None else levels, max_compiled)
+    return inline_kept(plan.select("doc_id", F.when(F.col("v").isNotNull(), F.col("rows")).alias("rows")), ["doc_id"], "rows", "seg_name")
 
 
-def messages(docs: DataFrame, mapping: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST") -> DataFrame:
+def messages(docs: DataFrame, mapping: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST",
+             levels: int | None = None, max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
     """G11+G12: ``(doc_id, status, error, n_segments, hl7_message)``.  The
     whole message is built inside the document's row - headers, the section
     rows, BTS - and joined with ``\r`` (D9).  An unparseable record gets
     status ``error``; the batch goes on."""
-    lookup, sec_arr = _compiled(mapping)
     h = header_segments(docs, run_ts, obs_ts, tz)
-    staged = _with_rows(h, F.col("v"), lookup, sec_arr, obs_ts)
+    staged = _with_rows(h, mapping, obs_ts, levels_of(docs) if levels is None else levels, max_compiled)
     segs = F.concat(F.array("bhs", "msh", "pid", "pv1", "orc", "fixed_obr", "nte1", "nte2"),
                     F.array_compact(F.array("device_obx")),
                     F.transform("rows", lambda r: r["segment"]), F.array("bts"))
@@ -338,24 +375,20 @@ def file_manifest(msgs: DataFrame, prefix: str = "hl7_output") -> DataFrame:
 
 
 # ------------------------------------------------------------------ G13-G16
-def oru_segments(patients: DataFrame, orders: DataFrame, observations: DataFrame,
-                 run_ts: str, max_obx: int = 1000) -> DataFrame:
+def oru_segments(patients: DataFrame, orders: DataFrame, observations: DataFrame, run_ts: str) -> DataFrame:
     """One ORU^R01 per order from relational parts.
 
     ``patients(patient_id, name, dob, sex)``, ``orders(order_id, patient_id,
     service, observed_ts, status)``, ``observations(order_id, seq, value_type,
-    code, value, unit, range, status)``.  Observations are grouped per
-    (order, chunk of ``max_obx``) - the only shuffle besides the two key
-    joins - and sorted by ``seq``; OBX.1 runs 1..n.  Returns ``(msg_id,
-    order_id, patient_id, segs array<string>)``."""
-    obs = observations.repartition("order_id").withColumn("chunk", F.floor((F.col("seq") - 1) / max_obx).cast("int"))
-    grouped = obs.groupBy("order_id", "chunk").agg(
+    code, value, unit, range, status)``.  Observations are grouped per order -
+    the only shuffle besides the two key joins - and sorted by ``seq``; OBX.1
+    runs 1..n.  Returns ``(msg_id, order_id, patient_id, segs array<string>)``."""
+    grouped = observations.groupBy("order_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "value_type", "code", "value", "unit", "range",
                                              "status"))).alias("obs"))
     e = lambda c: F.coalesce(H.escape_value(c), F.lit(""))
     j = (orders.join(grouped, "order_id", "left").join(patients, "patient_id", "left"))
-    msg_id = F.concat(F.col("order_id").cast("string"), F.lit("-"),
-                      F.coalesce(F.col("chunk"), F.lit(0)).cast("string"))
+    msg_id = F.col("order_id").cast("string")
     msh = F.concat(F.lit(f"MSH|^~\\&|{M.APP_FIELDS}|{run_ts}||ORU^R01^ORU_R01|"), msg_id,
                    F.lit(f"|P|{M.HL7_VERSION}"))
     pid = F.concat(F.lit("PID|1||"), e(F.col("patient_id")), F.lit("||"), e(F.col("name")), F.lit("||"),
@@ -382,7 +415,7 @@ def oru_multi_patient(segs: DataFrame, group: Column, run_ts: str) -> DataFrame:
     patient then order.  ``group`` must bound the message (e.g. a day and a
     key block), as a message is one row."""
     body = segs.select(group.alias("batch_key"), "patient_id", "order_id",
-                       F.slice("segs", 2, 1_000_000).alias("body"))
+                       F.slice("segs", F.lit(2), F.size("segs") - 1).alias("body"))
     g = body.groupBy("batch_key").agg(
         F.array_sort(F.collect_list(F.struct("patient_id", "order_id", "body"))).alias("parts"))
     msh = F.concat(F.lit(f"MSH|^~\\&|{M.APP_FIELDS}|{run_ts}||ORU^R01^ORU_R01|B"),
@@ -406,19 +439,17 @@ def oru_structure(raw_messages: DataFrame) -> DataFrame:
         | ((F.col("code") == "required") & F.col("location").startswith("MSH."))).select(
         "msg_id", "severity", "code", "location", "message")
     p = raw_messages.select("msg_id", H.parse_segments(F.col("raw")).alias("segs"))
-    names = F.transform("segs", H.seg_name)
-
-    def last_obr(i):
-        """0-based position of the last OBR at or before ``i`` (-1: none)."""
-        return F.coalesce(F.array_max(F.transform(F.slice(names, 1, i + 1), lambda n, k: F.when(
-            n == "OBR", k))), F.lit(-1))
-
-    def expected(i):
-        lo = last_obr(i)
-        return F.size(F.filter(F.slice(names, lo + 2, i - lo), lambda n: n == "OBX"))
-    checks = F.transform("segs", lambda a, i: F.struct(
-        i.alias("pos"), H.seg_name(a).alias("name"), F.get(a, 1).alias("set_id"),
-        (last_obr(i) >= 0).alias("has_obr"), expected(i).alias("since_obr")))
+    # for each segment the last OBR at or before it (-1: none) and the OBX so far
+    obr_at = F.transform("segs", lambda a, i: F.when(H.seg_name(a) == "OBR", i).otherwise(-1))
+    is_obx = F.transform("segs", lambda a: F.when(H.seg_name(a) == "OBX", 1).otherwise(0))
+    p = p.select("msg_id", "segs", obr_at.alias("obr_at"), is_obx.alias("is_obx"))
+    p = p.select("msg_id", "segs",
+                 F.zip_with(running(F.col("obr_at"), F.lit(-1), lambda a, b: F.greatest(a, b)), "obr_at", lambda a, b: F.greatest(a, b)).alias("last_obr"),
+                 F.zip_with(running(F.col("is_obx"), F.lit(0), lambda a, b: a + b), "is_obx", lambda a, b: a + b).alias("n_obx"))
+    checks = F.transform(F.arrays_zip("segs", "last_obr", "n_obx"), lambda z, i: F.struct(
+        i.alias("pos"), H.seg_name(z["segs"]).alias("name"), F.get(z["segs"], 1).alias("set_id"),
+        (z["last_obr"] >= 0).alias("has_obr"),
+        (z["n_obx"] - F.coalesce(F.get("n_obx", z["last_obr"]), F.lit(0))).alias("since_obr")))
     rows = explode_kept(p, ["msg_id"], checks, "c").select("msg_id", "c.*").where(F.col("name") == "OBX")
     grp = rows.select(
         "msg_id",
@@ -448,7 +479,7 @@ def oru_xml(raw_messages: DataFrame) -> DataFrame:
     def seg_xml(a):
         name = H.seg_name(a)
         is_msh = name == "MSH"
-        fields = F.transform(F.slice(a, 2, 1_000_000), lambda v, i: F.when(
+        fields = F.transform(F.slice(a, F.lit(2), F.size(a) - 1), lambda v, i: F.when(
             v != "", F.concat(F.lit("<"), name, F.lit("."), (i + F.when(is_msh, 2).otherwise(1)).cast("string"),
                               F.lit(">"), _xml_text(v), F.lit("</"), name, F.lit("."),
                               (i + F.when(is_msh, 2).otherwise(1)).cast("string"), F.lit(">"))))

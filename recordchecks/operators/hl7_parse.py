@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordchecks.functions import hl7 as H
+from recordchecks.functions.arrays import occurrences
 from recordchecks.functions.gen import explode_kept, inline_kept
 from recordchecks.rules.hl7_rules import (EXPECTED_MESSAGE_TYPE, LENIENT_PARSE_ERROR,
                                           STRICT_PARSE_ERROR)
@@ -24,16 +25,14 @@ def parse(messages: DataFrame, id_col: str = "msg_id", raw_col: str = "raw") ->
 
 def _with_occurrence(parsed: DataFrame) -> DataFrame:
     """Attach, per segment, its 1-based occurrence among same-named segments,
-    computed inside the message row (no window, no shuffle)."""
-    names = F.transform("segs", H.seg_name)
+    computed inside the message row (no window, no shuffle) from one sort of
+    the segment names."""
+    staged = parsed.select("msg_id", "segs", occurrences(F.transform("segs", H.seg_name)).alias("occ"))
     tagged = F.transform(
-        "segs",
-        lambda a, i: F.struct(
-            (i + 1).alias("seg_pos"), H.seg_name(a).alias("seg_name"),
-            F.size(F.filter(F.slice(names, 1, i + 1),
-                            lambda n: n == H.seg_name(a))).alias("seg_occ"),
-            a.alias("parts")))
-    return explode_kept(parsed, ["msg_id"], tagged, "s").select("msg_id", "s.*")
+        F.arrays_zip("segs", "occ"),
+        lambda z, i: F.struct((i + 1).alias("seg_pos"), H.seg_name(z["segs"]).alias("seg_name"),
+                              z["occ"].alias("seg_occ"), z["segs"].alias("parts")))
+    return explode_kept(staged, ["msg_id"], tagged, "s").select("msg_id", "s.*")
 
 
 def segments(messages: DataFrame, **kw) -> DataFrame:

@@ -49,7 +49,7 @@ def load_rules(spark: SparkSession, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
     return df.select(
-        F.col("CUSTOMER_ID").try_cast("int").alias("CUSTOMER_ID"),
+        F.col("CUSTOMER_ID").try_cast("bigint").alias("CUSTOMER_ID"),
         *[F.col(c) for c in JR.REQUIRED_COLUMNS[1:9]],
         F.col("LENGTH").try_cast("double").try_cast("int").alias("LENGTH"))
 

@@ -155,14 +155,16 @@ def coverage(occ: DataFrame, events: DataFrame, key: str = "user_id", ts: str =
     touches (a few), each event under its own day, and the equi-join runs on
     (key, day) with the time range as the residual condition.  So a key with
     a third of all events meets only that day's occurrences, never all of
-    them; AQE still splits a hot (key, day) partition.  An event has one
-    day, so it is counted once per occurrence."""
+    them.  The join is inner, so AQE may split either side of a hot (key,
+    day); its rows are counted by partial aggregation, and the counts are
+    joined to the occurrences.  An event has one day, so it is counted once
+    per occurrence."""
+    ids = ["schedule_id", "occ_no", "start_ts", "end_ts"]
     last = F.col("end_ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
-    od = occ.select("schedule_id", "occ_no", "start_ts", "end_ts",
-                    F.explode(F.sequence(F.to_date("start_ts"), F.to_date(F.greatest(last, F.col("start_ts")))))
+    od = occ.select(*ids, F.explode(F.sequence(F.to_date("start_ts"), F.to_date(F.greatest(last, F.col("start_ts")))))
                     .alias("_day"))
     ev = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.to_date(F.col(ts)).alias("_eday"))
-    j = od.join(ev, (od["schedule_id"] == ev["_k"]) & (od["_day"] == ev["_eday"])
-                & (ev["_ts"] >= od["start_ts"]) & (ev["_ts"] < od["end_ts"]), "left")
-    return (j.groupBy("schedule_id", "occ_no", "start_ts", "end_ts")
-            .agg(F.count("_ts").alias("n_events")))
+    counts = od.join(ev, (od["schedule_id"] == ev["_k"]) & (od["_day"] == ev["_eday"])
+                     & (ev["_ts"] >= od["start_ts"]) & (ev["_ts"] < od["end_ts"])).groupBy(*ids).agg(
+        F.count("_ts").alias("n_events"))
+    return occ.select(*ids).join(counts, ids, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long")))

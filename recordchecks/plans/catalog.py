@@ -1,11 +1,4 @@
 """Import every query module so the registry is complete."""
 
-from recordchecks.plans import basics_q  # noqa: F401
+from recordchecks.plans import basics_q, config_q, gen_q, hl7_q, jobs_q, json_q, recur_q, schema_q  # noqa: F401
 from recordchecks.plans.registry import ORACLES, QUERIES  # noqa: F401
-
-for _mod in ("hl7_q", "json_q", "jobs_q", "recur_q", "schema_q", "gen_q", "config_q"):
-    try:
-        __import__(f"recordchecks.plans.{_mod}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if _mod not in str(e):
-            raise

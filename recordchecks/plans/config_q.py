@@ -30,7 +30,7 @@ def clinic_rules(spark, d):
     tmpl = F.array(*[F.struct(*[_lit(v, "int" if c == "LENGTH" else "string").alias(c)
                                 for c, v in zip(_RULE_COLS, r[2:])]) for r in JR.DEFAULT_RULES])
     c = table(spark, d, "customer").select("c_custkey", "c_name", F.explode(tmpl).alias("t"))
-    return c.select(F.col("c_custkey").cast("int").alias("CUSTOMER_ID"), F.col("c_name").alias("CUSTOMER_NAME"),
+    return c.select(F.col("c_custkey").alias("CUSTOMER_ID"), F.col("c_name").alias("CUSTOMER_NAME"),
                     *[F.col(f"t.{x}").alias(x) for x in _RULE_COLS])
 
 
@@ -48,7 +48,7 @@ def _values(rows, cols):
 
 
 _RULES_SQL = f"""
-SELECT CAST(c_custkey AS INTEGER) AS CUSTOMER_ID, c_name AS CUSTOMER_NAME, t.*
+SELECT c_custkey AS CUSTOMER_ID, c_name AS CUSTOMER_NAME, t.*
 FROM customer CROSS JOIN {_values([r[2:] for r in JR.DEFAULT_RULES], _RULE_COLS)}"""
 
 

@@ -108,7 +108,7 @@ hdr AS (
   SELECT doc_id,
     'BHS|^~\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||BatchType-Normal||B' || doc_id AS bhs,
     'MSH|^~\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01|MSG' || doc_id || '|P|2.5' AS msh,
-    'PID|1||' || (CASE WHEN doc_id % 53 = 0 THEN '' ELSE '07501-' || lpad(CAST(c AS VARCHAR), 8, '0') || '^^^Baxter_Patient_ID~' END)
+    'PID|1||' || (CASE WHEN doc_id % 53 = 0 THEN '' ELSE '07501-' || printf('%08d', c) || '^^^Baxter_Patient_ID~' END)
       || c || '^^^Clinic_Patient_ID||LNAME-' || c || '^FNAME-' || c || '^' AS pid,
     'PV1|1|O|^^^XYZClinic' AS pv1,
     'ORC|RE|' || tid || '|FILLER_ID|||||||20250101120000' AS orc,
@@ -274,7 +274,7 @@ ob AS (
   FROM lineitem),
 obl AS (SELECT l_orderkey, list(seg ORDER BY i) AS obx FROM ob GROUP BY l_orderkey),
 om AS (
-  SELECT o.o_orderkey, o.o_custkey, CAST(o.o_orderkey AS VARCHAR) || '-0' AS msg_id,
+  SELECT o.o_orderkey, o.o_custkey, CAST(o.o_orderkey AS VARCHAR) AS msg_id,
     strftime(o.o_orderdate, '%Y%m%d%H%M%S') AS ts,
     ['PID|1||' || o.o_custkey || '||' || replace(c.c_name, '#', '\S\') || '||'
        || printf('%04d%02d%02d', 1940 + o.o_custkey % 60, 1 + o.o_custkey % 12, 1 + o.o_custkey % 28)

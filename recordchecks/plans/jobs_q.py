@@ -18,7 +18,7 @@ _VALUES = ", ".join(f"({str(r).lower()}, {sq(a)}, {sq(c)}, {sq(k)}, {sq(t)})"
 JOBS_SQL = f"""
 jobs AS (
   SELECT o_orderkey + 1 AS job_seq,
-    CASE WHEN o_orderkey % 89 <> 0 THEN 'JOB_' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') END AS job_id,
+    CASE WHEN o_orderkey % 89 <> 0 THEN 'JOB_' || printf('%06d', o_orderkey) END AS job_id,
     CASE WHEN o_orderkey % 97 = 5 THEN 'DONE' WHEN o_orderkey % 101 = 7 THEN NULL
          WHEN o_orderstatus = 'O' THEN 'SUCCESS' WHEN o_orderstatus = 'F' THEN 'FAILURE'
          ELSE 'PARTIAL_SUCCESS' END AS amia_status,

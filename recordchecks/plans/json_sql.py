@@ -21,7 +21,7 @@ cyc AS (
 docs0 AS (
   SELECT o.o_orderkey AS doc_id, CAST(json_object(
     'Patient Info', json_object(
-       'ERP Patient ID', CASE WHEN o.o_orderkey % 53 = 0 THEN '' ELSE '07501-' || lpad(CAST(o.o_custkey AS VARCHAR), 8, '0') END,
+       'ERP Patient ID', CASE WHEN o.o_orderkey % 53 = 0 THEN '' ELSE '07501-' || printf('%08d', o.o_custkey) END,
        'Clinic Patient ID', CAST(o.o_custkey AS VARCHAR),
        'Treatment ID', CASE WHEN o.o_orderkey % 59 = 1 THEN to_json('T' || o.o_orderkey) ELSE to_json(o.o_orderkey) END,
        'Device Type', CASE WHEN o.o_orderkey % 2 = 0 THEN 'AMIA' ELSE 'CLARIA' END,

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from recordchecks.sources.tables import table
 
-# A message carries at most this many OBX lines; a larger order is split into
-# several messages (chunk 0, 1, ...) so no single row grows without bound.
-OBX_PER_MESSAGE = 1000
-
 # Line columns each input uses, in sort order.  Lines equal on these columns
 # render identically, so sorting by them alone is deterministic and the
 # lineitem scan reads only them.
@@ -42,20 +38,15 @@ def _obx_text(line: Column, set_id: Column, orderkey: Column) -> Column:
 
 
 def hl7_messages(spark: SparkSession, d: str) -> DataFrame:
-    """``messages(msg_id, raw)``: one ORU^R01 message per order (and OBX chunk).
+    """``messages(msg_id, raw)``: one ORU^R01 message per order, whatever its size.
 
-    Plan: lineitem is aggregated per (order, chunk) first - partial aggregation
-    is impossible for ``collect_list`` but the group is bounded by
-    ``OBX_PER_MESSAGE`` - then joined to orders and customer on their keys
-    (shuffle joins; nothing here is broadcast because every side grows with
-    the data)."""
+    Plan: lineitem is aggregated per order first (a message is one row, so
+    its lines belong together), then joined to orders and customer on their
+    keys (shuffle joins; nothing here is broadcast because every side grows
+    with the data).  The aggregate and the join on the order key share one
+    exchange."""
     li = table(spark, d, "lineitem").select("l_orderkey", *_MSG_LINE)
-    chunk = F.floor((F.col("l_linenumber") - 1) / OBX_PER_MESSAGE).cast("int")
-    # hash-partitioned by order once: the (order, chunk) aggregate and the
-    # join on the order key both use this partitioning, no second exchange
-    lines = (li.repartition("l_orderkey").withColumn("chunk", F.greatest(chunk, F.lit(0)))
-             .groupBy("l_orderkey", "chunk")
-             .agg(F.array_sort(F.collect_list(F.struct(*_MSG_LINE))).alias("lines")))
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_MSG_LINE))).alias("lines"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                               "o_orderdate", "o_orderpriority")
     cust = table(spark, d, "customer").select("c_custkey", "c_name")
@@ -94,9 +85,7 @@ def hl7_messages(spark: SparkSession, d: str) -> DataFrame:
         lambda ln, i: _obx_text(ln, i + 1, k))
     head = F.when(k % 23 == 4, F.array(F.lit("EVN|A01"))).otherwise(F.array().cast("array<string>"))
     segs = F.concat(head, F.array_compact(F.array(msh, pid, pv1, orc, obr)), obx)
-    msg_id = F.when(F.coalesce(F.col("chunk"), F.lit(0)) == 0, ks).otherwise(
-        F.concat(ks, F.lit("-"), _s("chunk")))
-    staged = j.select(msg_id.alias("msg_id"), k.alias("k"), segs.alias("segs"))
+    staged = j.select(ks.alias("msg_id"), k.alias("k"), segs.alias("segs"))
     # segment terminator varies by order: \r\n, \r or \n
     raw = (F.when(F.col("k") % 5 == 0, F.array_join("segs", "\r\n"))
            .when(F.col("k") % 5 == 1, F.array_join("segs", "\r"))
@@ -115,24 +104,20 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
     weights, string weights, non-numeric glucose, hour-24 cycle times, and
     truncated (unparseable) documents."""
     li = table(spark, d, "lineitem").select("l_orderkey", *_DOC_LINE)
-    # a record carries at most OBX_PER_MESSAGE cycles; a larger order becomes
-    # several records (chunk 0 keeps the order key as its id)
-    chunk = F.greatest(F.floor((F.col("l_linenumber") - 1) / OBX_PER_MESSAGE).cast("int"), F.lit(0))
-    cycles = (li.repartition("l_orderkey").withColumn("chunk", chunk).groupBy("l_orderkey", "chunk")
+    cycles = (li.groupBy("l_orderkey")
               .agg(F.array_sort(F.collect_list(F.struct(*_DOC_LINE))).alias("lines"),
                    F.sum("l_quantity").alias("total_qty")))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
                                               "o_orderdate")
     j = orders.join(cycles, orders.o_orderkey == cycles.l_orderkey, "left")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    doc_id = k + F.coalesce(F.col("chunk"), F.lit(0)).cast("bigint") * F.lit(10 ** 12)
     w = (F.col("o_totalprice") / 1000).cast("bigint")
     dob = F.when(c % 37 == 0, F.lit("30-FEB-1985")).otherwise(F.format_string(
         "%02d-%s-%04d", (1 + c % 28).cast("int"),
         F.get(F.array(*[F.lit(m) for m in _MONTHS]), (c % 12).cast("int")), (1940 + c % 60).cast("int")))
     patient = F.struct(
         F.when(k % 53 == 0, F.lit("")).otherwise(
-            F.concat(F.lit("07501-"), F.lpad(_s(c), 8, "0"))).alias("ERP Patient ID"),
+            F.concat(F.lit("07501-"), F.format_string("%08d", c))).alias("ERP Patient ID"),
         _s(c).alias("Clinic Patient ID"),
         F.when(k % 59 == 1, F.concat(F.lit("T"), _s(k)).cast("variant"))
         .otherwise(k.cast("variant")).alias("Treatment ID"),
@@ -165,7 +150,7 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
                    F.struct(pre.alias("Pre-Treatment"), post.alias("Post-Treatment")).alias("Vitals"),
                    cyc.alias("Actual Therapy"),
                    F.struct(F.col("total_qty").alias("Total Therapy Volume")).alias("Total Therapy"))
-    staged = j.select(doc_id.alias("doc_id"), F.to_json(doc).alias("to_json_doc"))
+    staged = j.select(k.alias("doc_id"), F.to_json(doc).alias("to_json_doc"))
     return staged.select("doc_id", F.when(F.col("doc_id") % 47 == 0, F.expr(
         "substring(to_json_doc, 1, length(to_json_doc) - 1)")).otherwise(F.col("to_json_doc")).alias("json"))
 
@@ -189,7 +174,7 @@ def job_runs(spark: SparkSession, d: str) -> DataFrame:
              .when(k % 8 == 7, "PARTIAL_SUCCESS").when(k % 107 == 2, "RETRY"))
     rep_c = F.when(k % 6 == 2, "SUCCESS").when(k % 6 == 4, "PARTIAL_SUCCESS")
     return o.select((k + 1).alias("job_seq"),
-                    F.when(k % 89 != 0, F.concat(F.lit("JOB_"), F.lpad(_s(k), 6, "0"))).alias("job_id"),
+                    F.when(k % 89 != 0, F.concat(F.lit("JOB_"), F.format_string("%06d", k))).alias("job_id"),
                     amia.alias("amia_status"), claria.alias("claria_status"),
                     rep_a.alias("reprocess_amia"), rep_c.alias("reprocess_claria"))
 
