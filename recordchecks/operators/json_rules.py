@@ -38,6 +38,7 @@ class Rule:
     nullability: str | None
     ts_format: str | None
     length: int | None
+    path_error: str | None = None  # the path cannot be read; every document gets this as an error
 
 
 # ------------------------------------------------------------------ sources
@@ -65,18 +66,24 @@ def filter_rules(rules: DataFrame, device: str = "BOTH", customer_id: int = 1,
                        & ((F.col("DEVICE") == device) | (F.col("DEVICE") == "BOTH")))
 
 
+def _rule(no: int, r) -> Rule:
+    try:
+        steps(r["JSON_ATTRIBUTE_NAME"])
+        error = None
+    except ValueError as e:
+        error = f"Validation error: {e}"
+    return Rule(no, r["JSON_ATTRIBUTE_NAME"], r["EXTRACT_QRY_COLUMN"], r["DATATYPE"] or "",
+                r["JSON_ATTRIBUTE_NULLABILITY"], r["TS_FORMAT"], r["LENGTH"], error)
+
+
 def compile_rules(rules: DataFrame) -> list[Rule]:
-    """Read the (filtered) rule table once.  Its size is checked before it is
-    brought to the driver: it is configuration, not data."""
-    n = rules.count()
-    if n > MAX_RULES:
-        raise ValueError(f"rule table has {n} rows; more than {MAX_RULES} is not a rule table")
-    out = []
-    for i, r in enumerate(rules.collect()):
-        out.append(Rule(i + 1, r["JSON_ATTRIBUTE_NAME"], r["EXTRACT_QRY_COLUMN"],
-                        r["DATATYPE"] or "", r["JSON_ATTRIBUTE_NULLABILITY"], r["TS_FORMAT"],
-                        r["LENGTH"]))
-    return out
+    """Read the (filtered) rule table once, numbered in its order.  Every rule
+    becomes expressions of the plan, so this is for configuration tables; its
+    size is checked on the read itself, which stops after one row too many."""
+    rows = rules.limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules; use field_checks_in_parts")
+    return [_rule(i + 1, r) for i, r in enumerate(rows)]
 
 
 # ------------------------------------------------------------------ value helpers
@@ -170,7 +177,7 @@ def _range_errors(path: str, e: Column) -> list[Column]:
 def _actual(e: Column) -> Column:
     kind = e["kind"]
     return (F.when(kind == "str", e["s"])
-            .when(kind == "int", e["num"].cast("bigint").cast("string"))
+            .when(kind == "int", _str(e["value"]))  # never through a double: 2^53 + 1 stays itself
             .when(kind == "float", e["num"].cast("string"))
             .when(kind == "bool", _str(e["value"]))
             .when(kind.isNotNull() & (kind != "NoneType"), F.to_json(e["value"])))
@@ -204,6 +211,15 @@ def _check_target(rule: Rule, e: Column) -> Column:
         _actual(e).alias("actual_value"))
 
 
+def _bad_path(rule: Rule) -> Column:
+    """Result of a rule whose path cannot be read: one error, the job goes on."""
+    return F.struct(
+        F.lit(rule.rule_no).alias("rule_no"), F.lit(rule.path).alias("field_path"),
+        F.lit(rule.extract_column).cast("string").alias("extract_column"), F.lit(rule.data_type).alias("data_type"),
+        F.lit((rule.nullability or "") == "N").alias("is_required"), F.array(F.lit(rule.path_error)).alias("errors"),
+        F.lit(False).alias("is_required_missing"), F.lit(None).cast("string").alias("actual_value"))
+
+
 def _rule_results(v: Column, rule: Rule) -> Column:
     enriched = F.transform(targets(v, rule.path), _enrich)
     return F.transform(enriched, lambda e: _check_target(rule, e))
@@ -231,7 +247,7 @@ def _warnings() -> Column:
         e = at[p]
         num = F.when(e["kind"].isin("int", "float"), e["num"]).when(e["kind"] == "str", _str_float(e["s"]))
         shown = (F.when(e["kind"] == "str", e["s"])
-                 .when(e["kind"] == "int", e["num"].cast("bigint").cast("string"))
+                 .when(e["kind"] == "int", _str(e["value"]))
                  .otherwise(e["num"].cast("string")))
         out.append(F.when(num.isNotNull() & ((num < lo) | (num > hi)),
                           F.concat(F.lit(f"Extreme value in {p}: "), shown,
@@ -241,7 +257,7 @@ def _warnings() -> Column:
 
 # ------------------------------------------------------------------ the job
 def _is_plain(rule: Rule) -> bool:
-    return "[*]" not in steps(rule.path)
+    return rule.path_error is None and "[*]" not in steps(rule.path)
 
 
 def validate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id",
@@ -263,7 +279,8 @@ def validate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id",
               for i in range(0, len(rules), MAX_RULES_PER_PROJECTION)] or [[]]
     cols = []
     for n, chunk in enumerate(chunks):
-        parts = [F.array(_check_target(r, F.col(f"t{r.rule_no}"))) if _is_plain(r) else _rule_results(v, r)
+        parts = [F.array(_bad_path(r)) if r.path_error else
+                 F.array(_check_target(r, F.col(f"t{r.rule_no}"))) if _is_plain(r) else _rule_results(v, r)
                  for r in chunk]
         arr = F.concat(*parts) if parts else F.array().cast("array<struct<rule_no:int>>")
         cols.append(arr.alias(f"d{n}"))
@@ -289,6 +306,21 @@ def field_checks(validated: DataFrame) -> DataFrame:
                      "actual_value")
 
 
+def field_checks_in_parts(docs: DataFrame, rules: DataFrame, part: int = MAX_RULES, **kw) -> DataFrame:
+    """V11 for a rule table of any size: its rules are compiled ``part`` at a
+    time, one pass over the documents each; the rows are those of one pass."""
+    out, held = None, []
+
+    def with_held():
+        checks = field_checks(validate(docs, held, **kw))
+        return checks if out is None else out.unionByName(checks)
+    for i, r in enumerate(rules.toLocalIterator(), 1):
+        held = [*held, _rule(i, r)]
+        if len(held) == part:
+            out, held = with_held(), []
+    return with_held() if held or out is None else out
+
+
 def findings(validated: DataFrame) -> DataFrame:
     """Errors (one row each, with field path and rule) and warnings."""
     errs = (posexplode_kept(field_checks(validated), ["doc_id", "rule_no", "field_path"], "errors",

@@ -3,8 +3,9 @@
 HL7 validation and JSON rule checks are per-row expressions (no state, no
 shuffle), so the batch operators run unchanged on a streaming DataFrame:
 ``readStream`` of message / document files -> findings -> ``writeStream``
-to Parquet, with the checkpoint in the cluster's shared checkpoint folder so
-a restarted query resumes where it stopped (exactly-once file sink).
+to Parquet.  The caller names the checkpoint folder, on shared storage: with
+the same folder a restarted query resumes where it stopped (exactly-once file
+sink).
 Aggregates over the findings (verdict counts, error frequencies) belong to a
 batch job over the written table, or to a watermarked windowed query.
 """
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from recordchecks.operators import hl7_validate as HV
 from recordchecks.operators import json_rules as J
-from recordchecks.session import shared_path
 
 
 def message_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -27,18 +27,19 @@ def message_stream(spark: SparkSession, path: str, max_files_per_trigger: int =
 
 
 def document_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """JSON Lines: one device record per line, keyed by file and line text hash."""
+    """JSON Lines: one device record per line, keyed by file and line text hash
+    (equal lines of a file, which have equal findings, share a key)."""
     return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files_per_trigger).load(path)
             .select(F.concat(F.input_file_name(), F.lit("#"), F.xxhash64("value").cast("string")).alias("doc_id"),
                     F.col("value").alias("json")))
 
 
-def start_hl7_findings(spark: SparkSession, source: str, sink: str, checkpoint: str | None = None,
+def start_hl7_findings(spark: SparkSession, source: str, sink: str, checkpoint: str,
                        profiles=("strict", "lenient"), available_now: bool = False):
     """Findings of every arriving message, appended to Parquet at ``sink``."""
     out = HV.findings(message_stream(spark, source), profiles)
     w = (out.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint or shared_path(spark, "hl7-findings-ckpt"))
+         .option("checkpointLocation", checkpoint)
          .option("path", sink))
     if available_now:
         w = w.trigger(availableNow=True)
@@ -46,14 +47,14 @@ def start_hl7_findings(spark: SparkSession, source: str, sink: str, checkpoint:
 
 
 def start_json_checks(spark: SparkSession, source: str, sink: str, rules: DataFrame,
-                      checkpoint: str | None = None, available_now: bool = False):
+                      checkpoint: str, available_now: bool = False):
     """Per-field results of every arriving document, appended to Parquet.
     The rule table is compiled once when the query starts."""
     compiled = J.compile_rules(rules)
     out = J.field_checks(J.validate(document_stream(spark, source), compiled))
     out = out.withColumn("errors", F.array_join("errors", "; "))
     w = (out.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint or shared_path(spark, "json-checks-ckpt"))
+         .option("checkpointLocation", checkpoint)
          .option("path", sink))
     if available_now:
         w = w.trigger(availableNow=True)
