@@ -28,12 +28,11 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordchecks.functions.arrays import CHUNK, bind, running
 from recordchecks.llm.common import read_table, store
 
 KINDS = ("email", "ip", "card", "phone")
@@ -63,7 +62,7 @@ CONTEXT = 24
 BINS = {"generator": 9, "digits": 7, "marks": 4, "plus": 2, "at": 3, "dots": 5, "cue": 6, "left": 4, "right": 4, "check": 2}
 CODES = int(np.prod(list(BINS.values())))
 FOUND = "array<struct<start:bigint,end:bigint,generator:int,kind:string,base:boolean,code:bigint,touches:boolean,equals:boolean>>"
-ROUNDS, DEPTH, RATE, MIN_PRECISION, CHUNK = 20, 3, 0.3, 0.9, 64
+ROUNDS, DEPTH, RATE, MIN_PRECISION = 20, 3, 0.3, 0.9
 
 
 def zero() -> Column:
@@ -82,31 +81,6 @@ def only_digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def running(values: Column, first: Column, merge: Callable[[Column, Column], Column]) -> Column:
-    """Fold of all elements before each one.  In two levels, as a running fold
-    that appends to an array copies it each time."""
-    def fold(some: Column, now: Column) -> Column:
-        start = F.struct(now.alias("now"), F.filter(F.array(now), lambda _: F.lit(False)).alias("out"))
-        return F.aggregate(some, start, lambda a, v: F.struct(
-            merge(a["now"], v).alias("now"), F.concat(a["out"], F.array(a["now"])).alias("out")))["out"]
-
-    def both(v: Column) -> Column:
-        def chunk(k: Column) -> Column:
-            return F.slice(v, k * CHUNK + 1, CHUNK)
-
-        # an empty array makes the number 0 alone, whose chunk is empty
-        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(v) - 1, F.lit(0)) / CHUNK).cast("int"))
-        whole = F.transform(numbers, lambda k: F.aggregate(chunk(k), first, lambda a, b: merge(a, b)))
-        return F.flatten(F.zip_with(numbers, fold(whole, first), lambda k, now: fold(chunk(k), now)))
-
-    return bind(values, both)
-
-
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def matches(text: Column, pattern: str, guard: str, generator: int, kind: str) -> Column:
     """Array of candidate structs of one generator."""
     p = F.lit(pattern)
@@ -242,9 +216,8 @@ def boost(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[fl
 
 
 def fit(found: DataFrame) -> tuple[float, list, dict[int, float]]:
-    """Start, trees and thresholds by generator, from a table with the candidates of each text in ``found``."""
-    each = found.where(F.size("found") > 0).select(
-        (F.pmod(F.xxhash64("found"), F.lit(3)) == 0).alias("kept"), F.explode("found").alias("c"))
+    """Start, trees and thresholds by generator, from a table of ``found`` and ``kept``."""
+    each = found.where(F.size("found") > 0).select("kept", F.explode("found").alias("c"))
     label = F.when(F.col("c.base") | F.col("c.equals"), 1).when(~F.col("c.touches"), 0)
     hist = each.select("kept", F.col("c.code").alias("code"), label.alias("y")).where("y is not null")
     rows = hist.groupBy("kept", "code").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).collect()  # 2 x CODES rows at most
@@ -309,9 +282,15 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
 
 
+def candidate_table(docs: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    """``columns``, the candidates of each text as ``found``, and ``kept``: kept from the fit, a third by hash."""
+    kept = F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(3)) == 0
+    return store(docs.select(*columns, candidates(F.col(text_col)).alias("found"), kept.alias("kept")), "pii-candidates")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_email, n_ip, n_card, n_phone`` (base spans), ``base_sha256, spans, n_added`` per row."""
-    found = store(docs.select(F.col(id_col).alias("id"), candidates(F.col(text_col)).alias("found")), "pii-candidates")
+    found = candidate_table(docs, text_col, F.col(id_col).alias("id"))
     model = fit(found)
     rows = found.select("id", chosen(F.col("found"), model).alias("spans"))
     base = F.filter("spans", lambda c: c["base"])
@@ -353,8 +332,7 @@ def part(text: Column, start: Column, end: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``[KIND]``.  Null text stays null."""
-    found = store(docs.select(candidates(F.col(text_col)).alias("found")), "pii-candidates")
-    model = fit(found)
+    model = fit(candidate_table(docs, text_col))
     spans = "spans"
     while spans in docs.columns:
         spans += "_"
