@@ -2,9 +2,9 @@
 
 Every rule is an expression over the parsed message row; all findings of a
 message are built in one projection as ``array<struct>`` and exploded once
-(U3: one scan, no union of per-check scans).  The verdict (A10) is counted on
-the same array, so validation needs no shuffle at all: it scales with the
-number of messages, and a message is bounded by its own size.
+(U3: one scan, no union of per-check scans).  The verdict (A10) sums the same
+conditions without building the findings.  Validation needs no shuffle at all:
+it scales with the number of messages, and a message is bounded by its own size.
 
 Finding: ``(check_no, occ, severity, code, location, message)``; ``check_no``
 orders the checks the way the rules list them, ``occ`` is the OBX index (or
@@ -13,6 +13,10 @@ the PID.3 repetition) for repeated checks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,32 +37,69 @@ def _finding(check_no: int, severity: str, code: str, location, message, occ=Non
 
 
 class _Checks:
-    """Accumulates ``when(cond, finding)`` entries in rule order."""
+    """Accumulates ``when(cond, finding)`` entries in rule order; with
+    ``codes``, of these codes only (the numbers stay)."""
 
-    def __init__(self):
+    def __init__(self, codes: Sequence[str] | None = None):
         self.parts: list[Column] = []
-        self.n = 0
+        self.n, self.codes = 0, codes
+
+    def wanted(self, code: str) -> bool:
+        return self.codes is None or code in self.codes
 
-    def add(self, cond: Column, severity, code, location, message, occ=None):
+    def add(self, cond: Column, severity, code, location, message):
         self.n += 1
-        self.parts.append(F.array(F.when(cond, _finding(self.n, severity, code, location,
-                                                        message, occ))))
+        if self.wanted(code):
+            self.parts.append(F.array(F.when(cond, _finding(self.n, severity, code, location, message))))
 
-    def reserve(self) -> int:
+    def repeats(self, bad: Column, severity, code, location, message):
+        """One finding for each element of the array ``bad``."""
         self.n += 1
-        return self.n
+        no = self.n
+        if self.wanted(code):
+            self.parts.append(F.transform(bad, lambda r, i: _finding(no, severity, code, location, message, occ=i + 1)))
 
     def obx_group(self, obx: Column, specs) -> None:
         """All per-OBX checks in one pass over the OBX list: ``specs`` is a
         list of ``(cond_fn, severity, code, field_no, msg_fn)``; each keeps
         its own check number."""
-        numbered = [(self.reserve(),) + tuple(sp) for sp in specs]
-        self.parts.append(F.flatten(F.transform(obx, lambda o, i: F.array(*[
-            F.when(cond(o), _finding(no, sev, code, _obx_loc(i, n), msg(o, i), occ=i + 1))
-            for no, cond, sev, code, n, msg in numbered]))))
+        numbered = [(self.n + i, *sp) for i, sp in enumerate(specs, 1) if self.wanted(sp[2])]
+        self.n += len(specs)
+        if numbered:
+            self.parts.append(F.flatten(F.transform(obx, lambda o, i: F.array(*[
+                F.when(cond(o), _finding(no, sev, code, _obx_loc(i, n), msg(o, i), occ=i + 1))
+                for no, cond, sev, code, n, msg in numbered]))))
+
+    def column(self) -> Column:
+        none = F.array().cast("array<struct<check_no:int,occ:int,severity:string,code:string,location:string,message:string>>")
+        return F.array_compact(F.concat(*self.parts)) if self.parts else none
+
+
+class _Counts(_Checks):
+    """Counts findings by severity without building them."""
+
+    def __init__(self):
+        super().__init__()
+        self.sums: dict[str, list[Column]] = {"error": [F.lit(0)], "warning": [F.lit(0)]}
+
+    def add(self, cond: Column, severity, code, location, message):
+        self.sums[severity].append(_one_if(cond))
+
+    def repeats(self, bad: Column, severity, code, location, message):
+        self.sums[severity].append(F.size(bad))
+
+    def obx_group(self, obx: Column, specs) -> None:
+        for severity in {sp[1] for sp in specs}:
+            conds = [sp[0] for sp in specs if sp[1] == severity]
+            self.sums[severity].append(F.aggregate(obx, F.lit(0), lambda a, o: reduce(
+                add, [_one_if(cond(o)) for cond in conds], a)))  # noqa: B023
 
     def column(self) -> Column:
-        return F.array_compact(F.concat(*self.parts))
+        return F.struct(*[reduce(add, cols).alias(k) for k, cols in self.sums.items()])
+
+
+def _one_if(cond: Column) -> Column:
+    return F.when(cond, 1).otherwise(0)
 
 
 def _ts_checks(ck: _Checks, v: Column, loc: str, strict: bool):
@@ -96,8 +137,8 @@ def _has(c: dict, s: str) -> Column:
     return F.array_contains(c["names"], F.lit(s))
 
 
-def strict_findings(c: dict[str, Column]) -> Column:
-    ck = _Checks()
+def strict_findings(c: dict[str, Column], ck: _Checks | None = None) -> Column:
+    ck = ck or _Checks()
     f = H.field
     msh, pid, pv1, orc, obr, obx = c["MSH"], c["PID"], c["PV1"], c["ORC"], c["OBR"], c["obx"]
     # structure (L1)
@@ -122,13 +163,10 @@ def strict_findings(c: dict[str, Column]) -> Column:
         ck.add(has_pid & H.blank(f(pid, "PID", n)), "error", "required", f"PID.{n}",
                f"PID.{n} ({desc}) is required")
     pid3 = f(pid, "PID", 3)
-    no = ck.reserve()
     guard = has_pid & H.present(pid3)
-    ck.parts.append(F.transform(
-        F.filter(F.split(F.coalesce(pid3, F.lit("")), "~", -1),
-                 lambda r: guard & H.blank(F.get(F.split(r, r"\^", -1), 0))),
-        lambda r, i: _finding(no, "error", "pid3_id", "PID.3",
-                              "PID.3 patient identifier value is required", occ=i + 1)))
+    ck.repeats(F.filter(F.split(F.coalesce(pid3, F.lit("")), "~", -1),
+                        lambda r: guard & H.blank(F.get(F.split(r, r"\^", -1), 0))),
+               "error", "pid3_id", "PID.3", "PID.3 patient identifier value is required")
     _ts_checks(ck, F.when(has_pid, f(pid, "PID", 7)), "PID.7", strict=True)
     _code_set(ck, f(pid, "PID", 8), "PID.8", R.SEX_CODES, "sex code", has_pid)
     # PV1
@@ -178,8 +216,8 @@ def strict_findings(c: dict[str, Column]) -> Column:
     return ck.column()
 
 
-def lenient_findings(c: dict[str, Column]) -> Column:
-    ck = _Checks()
+def lenient_findings(c: dict[str, Column], ck: _Checks | None = None) -> Column:
+    ck = ck or _Checks()
     f = H.field
     msh, pid, pv1, orc, obr, obx = c["MSH"], c["PID"], c["PV1"], c["ORC"], c["OBR"], c["obx"]
     for s in R.LENIENT_REQUIRED_SEGMENTS:
@@ -232,55 +270,60 @@ def lenient_findings(c: dict[str, Column]) -> Column:
     return ck.column()
 
 
-def _guard_parse(c: dict, findings: Column, parse_error: str) -> Column:
-    """H6: a message that does not start with MSH gets one error, no checks."""
-    return F.when(c["parsed"], findings).otherwise(
-        F.array(_finding(0, "error", "parse", "MSH", parse_error)))
+_BUILDERS = {"strict": (strict_findings, R.STRICT_PARSE_ERROR), "lenient": (lenient_findings, R.LENIENT_PARSE_ERROR)}
 
 
-def validated(messages: DataFrame, profiles=PROFILES, id_col="msg_id", raw_col="raw") -> DataFrame:
-    """``(msg_id, f_<profile> array<struct>...)``: the message parsed once and
-    every profile's findings built on the same row."""
+def _staged(messages: DataFrame, id_col: str, raw_col: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The message parsed once and its context (segment names, first
+    MSH/PID/PV1/ORC/OBR, the OBX list) staged once; every rule then reads
+    columns instead of searching the segment array again."""
     from recordchecks.operators.hl7_parse import parse
-    p = parse(messages, id_col=id_col, raw_col=raw_col)
-    # stage the message context once (segment names, first MSH/PID/PV1/ORC/
-    # OBR, the OBX list); every rule then reads columns instead of searching
-    # the segment array again
     ctx = _context(F.col("segs"))
-    staged = p.select("msg_id", *[v.alias(f"c_{k}") for k, v in ctx.items()])
-    c = {k: F.col(f"c_{k}") for k in ctx}
-    cols = {"strict": _guard_parse(c, strict_findings(c), R.STRICT_PARSE_ERROR),
-            "lenient": _guard_parse(c, lenient_findings(c), R.LENIENT_PARSE_ERROR)}
-    return staged.select("msg_id", *[cols[pr].alias(f"f_{pr}") for pr in profiles])
+    staged = parse(messages, id_col=id_col, raw_col=raw_col).select("msg_id", *[v.alias(f"c_{k}") for k, v in ctx.items()])
+    return staged, {k: F.col(f"c_{k}") for k in ctx}
+
+
+def validated(messages: DataFrame, profiles=PROFILES, codes: Sequence[str] | None = None, id_col="msg_id",
+              raw_col="raw") -> DataFrame:
+    """``(msg_id, f_<profile> array<struct>...)``: every profile's findings, or
+    those of ``codes``, built on the same row.  A message that does not start
+    with MSH gets one error, no checks (H6)."""
+    staged, c = _staged(messages, id_col, raw_col)
+
+    def of(profile: str) -> Column:
+        build, parse_error = _BUILDERS[profile]
+        bad = _Checks(codes)
+        bad.n = -1  # the parse error is check 0
+        bad.add(F.lit(True), "error", "parse", "MSH", parse_error)
+        return F.when(c["parsed"], build(c, _Checks(codes))).otherwise(bad.column())
+    return staged.select("msg_id", *[of(pr).alias(f"f_{pr}") for pr in profiles])
 
 
-def findings(messages: DataFrame, profiles=PROFILES, **kw) -> DataFrame:
+def findings(messages: DataFrame, profiles=PROFILES, codes: Sequence[str] | None = None, **kw) -> DataFrame:
     """Findings of all profiles, one row each."""
-    v = validated(messages, profiles, **kw)
+    v = validated(messages, profiles, codes, **kw)
     per = F.array(*[F.struct(F.lit(pr).alias("profile"), F.col(f"f_{pr}").alias("fs"))
                     for pr in profiles])
     return inline_kept(inline_kept(v, ["msg_id"], per, "profile"), ["msg_id", "profile"], "fs",
                        "check_no")
 
 
-def verdict(messages: DataFrame, profiles=PROFILES, **kw) -> DataFrame:
-    """A10: per message and profile: valid iff no error; counts.  Computed on
-    the findings array of the row, so clean messages appear without a join."""
-    v = validated(messages, profiles, **kw)
-    per = F.array(*[
-        F.struct(F.lit(pr).alias("profile"),
-                 F.size(F.filter(F.col(f"f_{pr}"), lambda x: x["severity"] == "error"))
-                 .alias("error_count"),
-                 F.size(F.filter(F.col(f"f_{pr}"), lambda x: x["severity"] == "warning"))
-                 .alias("warning_count"))
-        for pr in profiles])
-    out = inline_kept(v, ["msg_id"], per, "profile")
+def verdict(messages: DataFrame, profiles=PROFILES, id_col="msg_id", raw_col="raw") -> DataFrame:
+    """A10: per message and profile: valid iff no error; counts.  The rules'
+    conditions are summed on the row; no finding or text is built, and clean
+    messages appear without a join."""
+    staged, c = _staged(messages, id_col, raw_col)
+    bad = F.struct(F.lit(1).alias("error"), F.lit(0).alias("warning"))
+    counted = staged.select("msg_id", *[F.when(c["parsed"], _BUILDERS[pr][0](c, _Counts())).otherwise(bad).alias(f"n_{pr}")
+                                        for pr in profiles])
+    per = F.array(*[F.struct(F.lit(pr).alias("profile"), F.col(f"n_{pr}.error").alias("error_count"),
+                             F.col(f"n_{pr}.warning").alias("warning_count")) for pr in profiles])
+    out = inline_kept(counted, ["msg_id"], per, "profile")
     return out.select("msg_id", "profile", (F.col("error_count") == 0).alias("is_valid"),
                       F.col("error_count").cast("bigint").alias("error_count"),
                       F.col("warning_count").cast("bigint").alias("warning_count"))
 
 
 def findings_of(messages: DataFrame, group: str, profiles=PROFILES, **kw) -> DataFrame:
-    """Findings of one rule group (the L operator keys)."""
-    codes = R.CODE_GROUPS[group]
-    return findings(messages, profiles, **kw).where(F.col("code").isin(*codes))
+    """Findings of one rule group (the L operator keys); only its checks are compiled."""
+    return findings(messages, profiles, R.CODE_GROUPS[group], **kw)

@@ -322,19 +322,17 @@ def field_checks_in_parts(docs: DataFrame, rules: DataFrame, part: int = MAX_RUL
 
 
 def findings(validated: DataFrame) -> DataFrame:
-    """Errors (one row each, with field path and rule) and warnings."""
-    errs = (posexplode_kept(field_checks(validated), ["doc_id", "rule_no", "field_path"], "errors",
-                            "err_no", "message")
-            .select("doc_id", "rule_no", "field_path", "err_no", F.lit("error").alias("severity"), "message"))
-    bad = (validated.where(~F.col("parsed"))
-           .select("doc_id", F.lit(0).alias("rule_no"), F.lit(None).cast("string").alias("field_path"),
-                   F.lit(0).alias("err_no"), F.lit("error").alias("severity"),
-                   F.lit("Validation error: document is not valid JSON").alias("message")))
-    warns = posexplode_kept(validated, ["doc_id", F.lit(None).cast("int").alias("rule_no"),
-                                        F.lit(None).cast("string").alias("field_path")],
-                            "warnings", "err_no", "message").select(
-        "doc_id", "rule_no", "field_path", "err_no", F.lit("warning").alias("severity"), "message")
-    return errs.unionByName(bad).unionByName(warns)
+    """Errors (one row each, with field path and rule) and warnings, built
+    as one array on the document's row and exploded once."""
+    def row(rule_no, path, no, severity, message):
+        return F.struct(rule_no.cast("int").alias("rule_no"), path.cast("string").alias("field_path"), no.cast("int").alias("err_no"),
+                        F.lit(severity).alias("severity"), message.alias("message"))
+    none = F.lit(None)
+    errs = F.flatten(F.transform("details", lambda d: F.transform(
+        d["errors"], lambda e, i: row(d["rule_no"], d["field_path"], i, "error", e))))
+    warns = F.transform("warnings", lambda w, i: row(none, none, i, "warning", w))
+    bad = F.array(row(F.lit(0), none, F.lit(0), "error", F.lit("Validation error: document is not valid JSON")))
+    return inline_kept(validated, ["doc_id"], F.when(F.col("parsed"), F.concat(errs, warns)).otherwise(bad), "severity")
 
 
 def summary(validated: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from recordchecks.operators import basics as B
 from recordchecks.plans.registry import query
 from recordchecks.session import shared_path
-from recordchecks.sources.tables import scan_csv, table
+from recordchecks.sources.tables import TABLES, scan_csv, table
 
 ASOF = "2024-01-31 00:00:00"
 
@@ -128,9 +128,9 @@ def q_map_expr(spark, d):
 
 
 @query("dedup_rows", """
-SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem""")
+SELECT DISTINCT * FROM lineitem""")
 def q_dedup_rows(spark, d):
-    return B.dedup_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"))
+    return B.dedup_rows(table(spark, d, "lineitem"))
 
 
 @query("dedup_counts", """
@@ -143,13 +143,9 @@ def q_dedup_counts(spark, d):
     return B.dedup_counts(w)
 
 
-@query("row_count", """
-SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders
-UNION ALL SELECT 'lineitem', count(*) FROM lineitem
-UNION ALL SELECT 'customer', count(*) FROM customer
-UNION ALL SELECT 'events', count(*) FROM events""")
+@query("row_count", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
 def q_row_count(spark, d):
-    return B.row_counts({t: table(spark, d, t) for t in ("orders", "lineitem", "customer", "events")})
+    return B.row_counts({t: table(spark, d, t) for t in TABLES})
 
 
 PART_CSV_SCHEMA = StructType([StructField("p_partkey", LongType()),
