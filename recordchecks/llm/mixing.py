@@ -28,7 +28,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,15 +138,16 @@ def mix_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CA
         "rate", F.coalesce(rate(F.col("lam"), x, cap), F.lit(float(cap)))).withColumn(
         "block", F.pmod(F.xxhash64("id", "size"), F.col("blocks")))
 
-    def copies(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id"], ascending=[False, True], kind="stable", na_position="last")
-        return pdf.assign(copies=round_block(pdf["size"].to_numpy(), pdf["rows"].to_numpy(), pdf["rate"].to_numpy()))[names]
+    def copies(table):
+        table = table.take(pc.sort_indices(table, sort_keys=[("size", "descending"), ("id", "ascending")]))
+        size, rows, rates = (table[c].to_numpy() for c in ("size", "rows", "rate"))
+        return table.append_column("copies", pa.array(round_block(size, rows, rates))).select(names)
 
     names = ["id", "key", "size", "rows", "copies", "source_size", "target"]
     kind = dict(tilted.dtypes)
     schema = ", ".join(f"{c} {kind.get(c, 'bigint')}" for c in names)
     return tilted.select("id", "key", "size", "rows", "source_size", "target", "rate", "block").groupBy(
-        "key", "block").applyInPandas(copies, schema)
+        "key", "block").applyInArrow(copies, schema)
 
 
 def source_sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:

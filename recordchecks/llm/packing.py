@@ -23,7 +23,8 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,17 +92,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         F.least(F.lit(longest).cast("long"), F.col("size") - F.col("piece") * longest).alias("n_words"),
         F.pmod(F.xxhash64("id", "size", "copy", "piece"), F.lit(blocks)).alias("block"))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_words", "id", "copy", "piece"], ascending=[False, True, True, True], kind="stable")
-        where, offset, length = pack_block(pdf["n_words"].tolist(), lengths, bin_cost)
-        where_, n = np.array(where), pdf["n_words"].to_numpy()
-        used = np.bincount(where_, weights=n).astype(np.int64)
-        return pdf.assign(bin_id=pdf["block"] * 1_000_000 + where_, bin_offset=offset, bin_length=np.array(length)[where_],
-                          bin_used=used[where_])[names]
+    def place(table):
+        order = [("n_words", "descending"), ("id", "ascending"), ("copy", "ascending"), ("piece", "ascending")]
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        sizes = table["n_words"].to_numpy()
+        where, offset, length = pack_block(sizes.tolist(), lengths, bin_cost)
+        at = np.array(where)
+        used = np.bincount(at, weights=sizes).astype(np.int64)
+        for name, column in (("bin_id", table["block"].to_numpy() * 1_000_000 + at), ("bin_offset", np.array(offset)),
+                             ("bin_length", np.array(length)[at]), ("bin_used", used[at])):
+            table = table.append_column(name, pa.array(column, pa.int64()))
+        return table.select(names)
 
     names = ["id", "copy", "piece", "first_word", "n_words", "bin_id", "bin_offset", "bin_length", "bin_used"]
     kind = dict(each.dtypes)
-    out = each.groupBy("block").applyInPandas(place, ", ".join(f"{c} {kind.get(c, 'bigint')}" for c in names))
+    out = each.groupBy("block").applyInArrow(place, ", ".join(f"{c} {kind.get(c, 'bigint')}" for c in names))
     return out.withColumnRenamed("id", id_col)
 
 

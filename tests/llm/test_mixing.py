@@ -75,6 +75,12 @@ def test_mixed_rows_are_the_copies(make_docs, edge_rows):
     assert mixed.columns == docs.columns and mixed.count() == copies
 
 
+def test_large_ids_beside_null_stay_whole(make_docs):
+    big = 2 ** 60 + 1
+    got = {r["doc_id"] for r in mixing.mix(make_docs([(big, "a b", "s"), (None, "a b c", "s")])).collect()}
+    assert got == {big, None}
+
+
 def test_empty_table(make_docs):
     assert mixing.mix(make_docs([])).collect() == [] and mixing.mixed(make_docs([])).collect() == []
 
