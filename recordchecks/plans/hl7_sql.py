@@ -6,6 +6,7 @@ which parses each message inside its row with higher-order functions."""
 from __future__ import annotations
 
 from recordchecks.rules import hl7_rules as R
+from recordchecks.sources.bindings import FAULT_MODULUS, FAULTS
 
 
 def sq(s: str) -> str:
@@ -28,7 +29,7 @@ obx AS (
          (CASE l_linenumber WHEN 3 THEN '<50' WHEN 4 THEN '>= 3' ELSE '1-50' END) ||
          '||||' || l_returnflag ORDER BY i) AS obx
   FROM li GROUP BY l_orderkey),
-msgl AS (
+msg0 AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS msg_id, o.o_orderkey AS k,
     list_concat(
       CASE WHEN o.o_orderkey % 23 = 4 THEN ['EVN|A01'] ELSE [] END,
@@ -54,6 +55,19 @@ msgl AS (
       coalesce(b.obx, [])) AS sl
   FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN obx b ON o.o_orderkey = b.l_orderkey),
+faults(r, seg, pos, val) AS (VALUES """ + ", ".join(
+    f"({r}, '{seg}', {pos}, {'NULL' if val is None else sq(val)})" for r, (seg, pos, val) in enumerate(FAULTS)) + r"""),
+mline AS (
+  SELECT msg_id, unnest(sl) AS line, generate_subscripts(sl, 1) AS no, seg, pos, val
+  FROM msg0 JOIN faults ON k % """ + str(FAULT_MODULUS) + r""" = r),
+medit AS (
+  SELECT msg_id, no, CASE WHEN seg <> split_part(line, '|', 1) OR (seg = 'OBX' AND line NOT LIKE 'OBX|1|%') THEN line
+    ELSE array_to_string(list_transform(
+      string_split(line || repeat('|', greatest(0, pos + 1 - len(string_split(line, '|')))), '|'),
+      lambda x, i: CASE WHEN i = pos + 1 THEN val ELSE x END), '|') END AS line
+  FROM mline WHERE NOT (pos = 0 AND seg = split_part(line, '|', 1))),
+mfix AS (SELECT msg_id, list(line ORDER BY no) AS sl FROM medit GROUP BY msg_id),
+msgl AS (SELECT m.msg_id, m.k, coalesce(f.sl, m.sl) AS sl FROM msg0 m LEFT JOIN mfix f ON m.msg_id = f.msg_id),
 msgs AS (
   SELECT msg_id, CASE k % 5 WHEN 0 THEN array_to_string(sl, chr(13) || chr(10))
                             WHEN 1 THEN array_to_string(sl, chr(13))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordchecks.functions.arrays import bind
 from recordchecks.sources.tables import table
 
 # Line columns each input uses, in sort order.  Lines equal on these columns
@@ -20,6 +21,35 @@ _MSG_LINE = ["l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_lines
 _DOC_LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
 
 
+# Faults of single fields, one in each message whose key has this remainder: (segment, field position, value).
+# MSH.n stands at position n - 1.  Position 0 drops the segment; of OBX the first line is meant.
+FAULT_MODULUS = 251
+FAULTS = [
+    *[("MSH", n - 1, "") for n in (2, 3, 4, 5, 6, 7, 9, 10, 11, 12)],
+    ("PV1", 0, None), ("ORC", 0, None), ("OBR", 0, None),
+    *[("PID", n, "") for n in (3, 5, 7, 8)], ("PID", 7, "1985-02"), ("PV1", 2, ""),
+    *[("OBR", n, "") for n in (2, 3, 7, 25)], ("OBR", 7, "20241399"), ("OBR", 7, "soon"), ("OBR", 5, "Q"),
+    *[("OBX", n, "") for n in (1, 3, 5, 11)], ("OBX", 2, "QQ"), ("OBX", 11, "Q"), ("OBX", 6, "mg dL"),
+    ("ORC", 1, "ZZ"), ("ORC", 3, "FX"),
+]
+
+
+def _with_faults(segs: Column, key: Column) -> Column:
+    """The segments with the fault of the key's remainder, if it has one."""
+    table = F.create_map(*[x for r, (seg, pos, value) in enumerate(FAULTS) for x in (
+        F.lit(r), F.struct(F.lit(seg).alias("seg"), F.lit(pos).alias("pos"), F.lit(value).cast("string").alias("value")))])
+    fault = F.try_element_at(table, (key % FAULT_MODULUS).cast("int"))
+
+    def edit(line: Column, f: Column) -> Column:
+        parts = F.split(line, r"\|", -1)
+        padded = F.concat(parts, F.array_repeat(F.lit(""), F.greatest(F.lit(0), f["pos"] + 1 - F.size(parts))))
+        changed = F.array_join(F.transform(padded, lambda v, i: F.when(i == f["pos"], f["value"]).otherwise(v)), "|")
+        meant = F.when(f["seg"] == "OBX", F.startswith(line, F.lit("OBX|1|"))).otherwise(F.get(parts, 0) == f["seg"])
+        return F.when(~meant, line).when(f["pos"] > 0, changed)
+
+    return bind(fault, lambda f: F.when(f.isNull(), segs).otherwise(F.array_compact(F.transform(segs, lambda line: edit(line, f)))))
+
+
 def _s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
@@ -85,7 +115,7 @@ def hl7_messages(spark: SparkSession, d: str) -> DataFrame:
         lambda ln, i: _obx_text(ln, i + 1, k))
     head = F.when(k % 23 == 4, F.array(F.lit("EVN|A01"))).otherwise(F.array().cast("array<string>"))
     segs = F.concat(head, F.array_compact(F.array(msh, pid, pv1, orc, obr)), obx)
-    staged = j.select(ks.alias("msg_id"), k.alias("k"), segs.alias("segs"))
+    staged = j.select(ks.alias("msg_id"), k.alias("k"), _with_faults(segs, k).alias("segs"))
     # segment terminator varies by order: \r\n, \r or \n
     raw = (F.when(F.col("k") % 5 == 0, F.array_join("segs", "\r\n"))
            .when(F.col("k") % 5 == 1, F.array_join("segs", "\r"))
