@@ -81,8 +81,9 @@ mp(identifier, attr, display, dtype, unit) AS (VALUES
   ('TOTAL_VOLUME', 'TOTAL_THERAPY_VOLUME', 'Total Therapy Volume', 'NM', 'mL')),
 vit AS (
   SELECT doc_id, 'PRE_WEIGHT' AS identifier, 1 AS seq,
-         CAST(CAST(trunc(o_totalprice / 1000) AS BIGINT) AS VARCHAR) AS value FROM o WHERE doc_id % 43 <> 0
-  UNION ALL SELECT doc_id, 'PRE_BP_SYS', 2, CAST(60 + doc_id % 160 AS VARCHAR) FROM o
+         CASE WHEN doc_id % 241 = 4 THEN '1500' ELSE CAST(CAST(trunc(o_totalprice / 1000) AS BIGINT) AS VARCHAR) END AS value
+         FROM o WHERE doc_id % 43 <> 0
+  UNION ALL SELECT doc_id, 'PRE_BP_SYS', 2, CASE WHEN doc_id % 241 = 3 THEN '350' ELSE CAST(60 + doc_id % 160 AS VARCHAR) END FROM o
   UNION ALL SELECT doc_id, 'PRE_PULSE', 3, CAST(doc_id % 260 AS VARCHAR) FROM o
   UNION ALL SELECT doc_id, 'POST_WEIGHT', 999, CAST(CAST(trunc(o_totalprice / 1000) AS BIGINT) + 1 AS VARCHAR) FROM o),
 cyc AS (

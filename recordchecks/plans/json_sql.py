@@ -32,13 +32,15 @@ docs0 AS (
                                (['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC'])[1 + o.o_custkey % 12],
                                1940 + o.o_custkey % 60) END),
     'Batch', json_object('ID', 'B' || o.o_orderkey, 'Date', strftime(o.o_orderdate, '%d-%b-%Y'),
-                         'Time', CASE WHEN o.o_orderkey % 3 = 0 THEN '09:15:30' ELSE '09:15' END, 'Type', 'Normal'),
+                         'Time', CASE WHEN o.o_orderkey % 241 = 2 THEN to_json(915)
+                                      WHEN o.o_orderkey % 3 = 0 THEN to_json('09:15:30') ELSE to_json('09:15') END, 'Type', 'Normal'),
     'Vitals', json_object(
        'Pre-Treatment', json_object(
-          'Weight', CASE WHEN o.o_orderkey % 43 <> 0 THEN CAST(trunc(o.o_totalprice / 1000) AS BIGINT) END,
-          'Blood Pressure Systolic', CAST(60 + o.o_orderkey % 160 AS VARCHAR),
+          'Weight', CASE WHEN o.o_orderkey % 43 <> 0 THEN
+             CASE WHEN o.o_orderkey % 241 = 4 THEN 1500 ELSE CAST(trunc(o.o_totalprice / 1000) AS BIGINT) END END,
+          'Blood Pressure Systolic', CASE WHEN o.o_orderkey % 241 = 3 THEN '350' ELSE CAST(60 + o.o_orderkey % 160 AS VARCHAR) END,
           'Pulse', CAST(o.o_orderkey % 260 AS VARCHAR),
-          'Temperature', CAST(85 + o.o_orderkey % 30 AS VARCHAR),
+          'Temperature', CASE WHEN o.o_orderkey % 241 = 1 THEN 'warm' ELSE CAST(85 + o.o_orderkey % 30 AS VARCHAR) END,
           'Glucose', CASE WHEN o.o_orderkey % 61 = 0 THEN 'high' ELSE CAST(o.o_orderkey % 1100 AS VARCHAR) END),
        'Post-Treatment', json_object(
           'Weight', CASE WHEN o.o_orderkey % 2 = 0 THEN to_json(CAST(trunc(o.o_totalprice / 1000) AS BIGINT) + 1)

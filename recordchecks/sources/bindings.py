@@ -158,13 +158,14 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
     batch = F.struct(
         F.concat(F.lit("B"), _s(k)).alias("ID"),
         F.date_format("o_orderdate", "dd-MMM-yyyy").alias("Date"),
-        F.when(k % 3 == 0, F.lit("09:15:30")).otherwise(F.lit("09:15")).alias("Time"),
+        F.when(k % 241 == 2, F.lit(915).cast("variant")).otherwise(
+            F.when(k % 3 == 0, F.lit("09:15:30")).otherwise(F.lit("09:15")).cast("variant")).alias("Time"),
         F.lit("Normal").alias("Type"))
     pre = F.struct(
-        F.when(k % 43 != 0, w).alias("Weight"),
-        _s(60 + k % 160).alias("Blood Pressure Systolic"),
+        F.when(k % 43 != 0, F.when(k % 241 == 4, F.lit(1500)).otherwise(w)).alias("Weight"),
+        _s(F.when(k % 241 == 3, F.lit(350)).otherwise(60 + k % 160)).alias("Blood Pressure Systolic"),
         _s(k % 260).alias("Pulse"),
-        _s(85 + k % 30).alias("Temperature"),
+        F.when(k % 241 == 1, F.lit("warm")).otherwise(_s(85 + k % 30)).alias("Temperature"),
         F.when(k % 61 == 0, F.lit("high")).otherwise(_s(k % 1100)).alias("Glucose"))
     post_w = F.when(k % 2 == 0, (w + 1).cast("variant")).otherwise(_s(w + 1).cast("variant"))
     post = F.struct(post_w.alias("Weight"), _s(70 + k % 150).alias("Blood Pressure Systolic"))

@@ -22,3 +22,20 @@ def test_every_hl7_rule_fires(spark):
     lenient |= {("critical", f"OBX.{n}") for n in (2, 3, 5, 11)} | {("code_set", x) for x in ("PID.8", "PV1.2", "ORC.1", "OBR.25", "OBX.2", "OBX.11")}
     missing = ({("strict", *x) for x in strict} | {("lenient", *x) for x in lenient}) - got
     assert not missing, sorted(missing)
+
+
+def test_every_json_message_kind_occurs(spark):
+    from pyspark.sql import functions as F
+
+    from recordchecks.operators import json_rules as J
+    from recordchecks.rules import json_rules as JR
+    from recordchecks.sources.bindings import device_records
+    rules = J.compile_rules(J.filter_rules(J.rules_frame(spark), "CLARIA", 1, "TREATMENT"))
+    found = J.findings(J.validate(device_records(spark, SF), rules))
+    kinds = {r[0] for r in found.select(F.regexp_replace("message", r"[0-9.]+|: .*| [(].*", "")).distinct().collect()}
+    texts = {r[0] for r in found.where("message like '%out of reasonable range%'").select("message").distinct().collect()}
+    assert texts == {r[-1] for r in JR.RANGE_RULES}
+    for kind in (JR.MSG_REQUIRED, JR.MSG_TS_NOT_STRING, "Expected number, got str", "Expected integer, got str", "Length  exceeds maximum ",
+                 "Invalid timestamp format. Expected", "Validation error", "Extreme value in Vitals"):
+        assert any(k.startswith(kind.replace(".", "")) or k.startswith(kind) for k in kinds), (kind, kinds)
+    assert any("is missing" in k for k in kinds)
