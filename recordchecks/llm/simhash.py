@@ -179,30 +179,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                  max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` less all but one of each component: the one with the
-    smallest id (null last), of those the smallest fingerprint, of rows equal in
-    both any."""
-    tag = "fp"
-    while tag in docs.columns:
-        tag += "_"
-    at = docs.columns.index(text_col)
-
+    smallest id (null last), of those the smallest fingerprint, then text hash,
+    of rows equal in all any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 500):
-            fp = [fingerprint(t, shingle) for t in blobs(b.column(at).cast(pa.string()))]
-            yield pa.record_batch([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, tag])
-
-    tagged = store(docs.mapInArrow(run, StructType([*docs.schema, StructField(tag, LongType())])), "simhash-documents")
-    fp = tagged.select(F.col(id_col).alias("id"), F.col(tag).alias("fp"))
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
-    kept = fp.join(classes_of(fp, max_bits), "fp").groupBy("root").agg(best.alias("best")).select("best.id", "best.fp")
-    equal = fp.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("rows"))
-    kept = kept.alias("k").join(equal.alias("e"), F.col("k.id").eqNullSafe(F.col("e.id")) & (F.col("k.fp") == F.col("e.fp"))).select(
-        F.col("k.id").alias("__id"), F.col("k.fp").alias("__fp"), F.col("rows").alias("__rows"))
-    rows = tagged.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(tag) == F.col("__fp")))
-    # only rows equal in id and fingerprint have to be told apart
-    order = Window.partitionBy("__id", "__fp").orderBy(F.xxhash64(*docs.columns))
-    some = rows.where("__rows > 1").withColumn("__place", F.row_number().over(order)).where("__place = 1")
-    return rows.where("__rows = 1").select(*docs.columns).unionByName(some.select(*docs.columns))
+            fp = [fingerprint(t, shingle) for t in blobs(b.column(2))]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["id", "hash", "fp"])
+
+    # the texts are read twice and moved once, in the last join; what is decided on are ids and hashes
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col)
+    rows = docs.select(id_.alias("id"), F.xxhash64(text).alias("hash"), text.alias("t"))
+    fp = store(rows.mapInArrow(run, StructType([rows.schema["id"], StructField("hash", LongType()), StructField("fp", LongType())])), "simhash-rows")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "hash"))
+    kept = fp.join(classes_of(fp, max_bits), "fp").groupBy("root").agg(best.alias("best")).select("best.id", "best.hash")
+    equal = fp.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("rows"))
+    kept = kept.alias("k").join(equal.alias("e"), F.col("k.id").eqNullSafe(F.col("e.id")) & (F.col("k.hash") == F.col("e.hash"))).select(
+        F.col("k.id").alias("__id"), F.col("k.hash").alias("__hash"), F.col("rows").alias("__rows"))
+    found = docs.join(store(kept, "simhash-kept").hint("merge"), id_.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")))
+    # only rows equal in id and text have to be told apart
+    order = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*docs.columns))
+    some = found.where("__rows > 1").withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return found.where("__rows = 1").select(*docs.columns).unionByName(some.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
