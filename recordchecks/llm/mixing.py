@@ -179,7 +179,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
         F.col("copies").alias("__copies")).where("__copies > 0")
     rows = docs.withColumns({"__key2": source_key(F.col(source_col)), "__size2": word_count(F.col(text_col))})
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key2") == F.col("__key")) & (F.col("__size2") == F.col("__size"))
-    joined = rows.join(plan, on)
+    # the plan has a row a document: merged at every size, never broadcast
+    joined = rows.join(plan.hint("merge"), on)
     # rows alone with their id, source and size need no numbering; equal ones are numbered among themselves
     alone = joined.where("__rows = 1").withColumn("__number", F.lit(0))
     equal = joined.where("__rows > 1").withColumn("__number", F.row_number().over(
