@@ -29,6 +29,11 @@ def test_flatten_any_depth(spark):
     assert rows == {path: "80", "S": '{"[\\'}
 
 
+def test_device_records_nest_as_stated(spark):
+    from conftest import SF_SMALL
+    assert B.levels_of(bindings.device_records(spark, SF_SMALL)) == bindings.DEVICE_RECORD_LEVELS
+
+
 def _mapping(spark):
     deep = ".".join(f"L{i}" for i in range(1, 11)) + ".Weight"
     return B.mapping_frame(spark, [("OBR", "2", None, "Vitals", None, "VITALS", "Vital Signs", None, None, "1"),
