@@ -30,7 +30,7 @@ def contracts(spark, d):
     o = table(spark, d, "orders")
     k = F.col("o_orderkey")
     orders_actual = o.select(
-        k.cast("int").alias("o_orderkey"),
+        k.try_cast("int").alias("o_orderkey"),
         F.when(k % 71 != 0, F.col("o_custkey")).alias("o_custkey"), "o_orderstatus",
         F.when(k % 50 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
         "o_orderdate", F.lit("x").alias("o_comment"))

@@ -4,7 +4,7 @@ expected side as the contract states it, and the comparison in SQL."""
 
 from recordchecks.rules.schema_rules import coercion_pairs
 
-_ACTUAL_ORDERS = """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey,
+_ACTUAL_ORDERS = """SELECT TRY_CAST(o_orderkey AS INTEGER) AS o_orderkey,
   CASE WHEN o_orderkey % 71 <> 0 THEN o_custkey END AS o_custkey, o_orderstatus,
   CASE WHEN o_orderkey % 50 = 0 THEN 'n/a' ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice,
   o_orderdate, 'x' AS o_comment FROM orders"""
