@@ -11,11 +11,17 @@ histogram of codes over every candidate of every text is exact and bounded; the
 boosted trees are fitted on it and become one SQL expression.
 
 There are no span labels, so the trees learn from the checks: a candidate equal
-to a base span that passed is positive, one that overlaps none is negative, one
-that overlaps without being equal is not learnt from.  On a third of the texts,
-kept from the fit, a threshold is calibrated for each generator: the lowest
-score seen from which on every score's precision is ``MIN_PRECISION`` (none, and
-so nothing added, where it saw no candidate or only bad ones).  Base spans always stay; the method
+to a base span that passed is positive, one that overlaps without being equal is
+not learnt from.  Of those that overlap none, the positives are what the added
+generators' own rules of format and context hold for (``rule``: a spelled-out
+sign or a cue for an e-mail, a phone cue and ten digits or an area code in
+brackets, a separated number behind a plus, a check digit, the groups of an IPv6
+address); the rest is negative.  Trees of all generators come first; each added
+generator then has some of its own on top, so one with few candidates is learnt
+too.  On a third of the texts, kept from the fit, a threshold is calibrated for
+each generator: the lowest score seen from which on every score's precision is
+``MIN_PRECISION`` (none, and so nothing added, where that third holds no candidate
+of it or only bad ones).  Base spans always stay; the method
 adds candidates above their threshold that overlap no base span.
 
 Every step on the texts is DataFrame or SQL functions.  Patterns use possessive
@@ -49,20 +55,23 @@ LOOSE = {  # name: (kind, pattern); these also find a span that a base match run
     "digit run": ("phone", r"\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9])++"),
     "phone format": ("phone", r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"),
     "card format": ("card", r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"),
-    "loose ip": ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}+(?![0-9A-Za-z:])"),
+    "loose ip": ("ip", r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}+(?![0-9A-Za-z:])"),
 }
 # A text without a match of its guard has no match of the pattern.
 GUARD = {"email": "@", "loose email": r"@|[(\[]at[)\]]", "loose ip": ":", "phone": r"\+", "phone format": r"\+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 QUAD = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
+HEX = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"^(?:{HEX}(?::{HEX}){{7}}|(?!.*::.*::)(?!.*:::){HEX}(?::{HEX})*::(?:{HEX}(?::{HEX})*)?)$"
+IPV6_KNOWN = rf"^(?:{HEX}(?::{HEX}){{7}}|(?:[23][0-9a-f]{{3}}|fe[89ab][0-9a-f]|f[cd][0-9a-f]{{2}}):.*)$"
 CUES = ("mail|contact|write", "phone|call|tel|mobile|fax", "card|visa|account|payment", r"\bip\b|address|host|server",
         "key|token|secret|password|sha|hash|id")
 CONTEXT = 24
 # bins of each feature, in the order of the code's digits
-BINS = {"generator": 9, "digits": 7, "marks": 4, "plus": 2, "at": 3, "dots": 5, "cue": 6, "left": 4, "right": 4, "check": 2}
+BINS = {"generator": 9, "digits": 7, "marks": 4, "plus": 2, "at": 3, "dots": 5, "cue": 6, "left": 4, "right": 4, "check": 3}
 CODES = int(np.prod(list(BINS.values())))
 FOUND = "array<struct<start:bigint,end:bigint,generator:int,kind:string,base:boolean,code:bigint,touches:boolean,equals:boolean>>"
-ROUNDS, DEPTH, RATE, MIN_PRECISION = 20, 3, 0.3, 0.9
+ROUNDS, OWN_ROUNDS, DEPTH, RATE, MIN_PRECISION = 20, 10, 3, 0.3, 0.9
 
 
 def zero() -> Column:
@@ -118,6 +127,27 @@ def char_class(c: Column) -> Column:
             .when(F.regexp_like(c, F.lit(r"^[\p{L}\p{N}]")), 2).otherwise(3))
 
 
+def rule(c: Column) -> Column:
+    """Whether the format and the context of an added generator's candidate speak for it, also where no base span can."""
+    def has(text: Column, pattern: str) -> Column:
+        return F.regexp_like(text, F.lit(pattern))
+
+    m, left, n = c["m"], F.lower(c["l"]), F.length(only_digits(c["m"]))
+    mail, call, host = (has(left, rf"\b(?:{words})\b") for words in (
+        "e-?mail|mail|contact|write", "phone|telephone|call|tel|mobile|cell|fax", "ip|ipv6|address|host|server"))
+    holds = {
+        "loose email": has(m, r"(?:\.|(?:\(dot\)|\[dot\])\x20?)[A-Za-z]{2,}$") & (has(m, r"[(\[](?:at|dot)[)\]]") | (has(m, r"\x20") & mail)),
+        "digit run": has(m, r"^\([0-9]{3}\)\x20?[0-9]{3}[\x20.-]?[0-9]{4}$") | (((n == 10) | ((n == 11) & has(m, r"^\+?1"))) & call),
+        "phone format": has(m, r"[\x20.()-]") | call,
+        "card format": luhn(only_digits(m)),
+        "loose ip": has(m, IPV6) & has(m, "[0-9]") & (has(F.lower(m), IPV6_KNOWN) | host),
+    }
+    out = F.lit(False)
+    for i, name in enumerate(LOOSE, len(BASE)):
+        out = F.when(c["generator"] == i, holds[name]).otherwise(out)
+    return out
+
+
 def features(c: Column) -> dict[str, Column]:
     digits, n = only_digits(c["m"]), F.length(only_digits(c["m"]))
     cue = F.lit(0)
@@ -130,7 +160,7 @@ def features(c: Column) -> dict[str, Column]:
         "at": F.when(F.contains(c["m"], F.lit("@")), 1).when(F.regexp_like(c["m"], F.lit(r"[(\[]at[)\]]")), 2).otherwise(0),
         "dots": binned(F.length(F.regexp_replace(c["m"], r"[^.]", "")), 1, 2, 3, 4),
         "cue": cue, "left": char_class(F.right(c["l"], F.lit(1))), "right": char_class(c["r"]),
-        "check": F.when(F.regexp_like(c["m"], F.lit(QUAD)), True).when((n >= 12) & (n <= 19), luhn(digits)).otherwise(False).cast("int"),
+        "check": F.when(rule(c), 2).otherwise(F.when(F.regexp_like(c["m"], F.lit(QUAD)), True).when((n >= 12) & (n <= 19), luhn(digits)).otherwise(False).cast("int")),
     }
 
 
@@ -203,40 +233,42 @@ def predict(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, tree[0]] <= tree[1], predict(tree[2], x), predict(tree[3], x))
 
 
-def boost(x: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[float, list]:
-    """Log-odds of the start and trees of logistic boosting on counts."""
-    total = positive + negative
-    start = float(np.log((positive.sum() + 1) / (negative.sum() + 1)))
-    score, trees = np.full(len(x), start), []
-    for _ in range(ROUNDS if len(x) else 0):
+def boost(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, score: np.ndarray, rounds: int) -> list:
+    """Trees of logistic boosting on counts, on top of the log-odds ``score``."""
+    total, trees = positive + negative, []
+    for _ in range(rounds if len(x) else 0):
         p = 1 / (1 + np.exp(-score))
         trees.append(grow(x, total * p - positive, total * p * (1 - p), DEPTH))
         score = score + predict(trees[-1], x)
-    return start, trees
+    return trees
 
 
-def fit(found: DataFrame) -> tuple[float, list, dict[int, float]]:
-    """Start, trees and thresholds by generator, from a table of ``found`` and ``kept``."""
+def fit(found: DataFrame) -> tuple[float, list, dict[int, list], dict[int, float]]:
+    """Start, trees, and by generator its own trees and threshold, from a table of ``found`` and ``kept``."""
     each = found.where(F.size("found") > 0).select("kept", F.explode("found").alias("c"))
-    label = F.when(F.col("c.base") | F.col("c.equals"), 1).when(~F.col("c.touches"), 0)
+    ruled = F.pmod(F.col("c.code"), F.lit(BINS["check"])) == 2  # the last digit of the code
+    label = F.when(F.col("c.base") | F.col("c.equals"), 1).when(~F.col("c.touches"), ruled.cast("int"))
     hist = each.select("kept", F.col("c.code").alias("code"), label.alias("y")).where("y is not null")
     rows = hist.groupBy("kept", "code").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).collect()  # 2 x CODES rows at most
     rows = sorted((r["code"], r["kept"], r["pos"], r["neg"]) for r in rows)
     code, kept, pos, neg = (np.array([r[k] for r in rows], t) for k, t in enumerate((np.int64, bool, np.float64, np.float64)))
     x = unpack(code).reshape(-1, len(BINS))
-    start, trees = boost(x[~kept], pos[~kept], neg[~kept])
-    score = start + sum((predict(t, x[kept]) for t in trees), np.zeros(int(kept.sum())))
-    thresholds = {}
+    start = float(np.log((pos[~kept].sum() + 1) / (neg[~kept].sum() + 1)))
+    trees = boost(x[~kept], pos[~kept], neg[~kept], np.full(int((~kept).sum()), start), ROUNDS)
+    score = start + sum((predict(t, x) for t in trees), np.zeros(len(x)))
+    own, thresholds = {}, {}
     for g in range(BINS["generator"]):
-        mine = x[kept][:, 0] == g
-        s, p, n = score[mine], pos[kept][mine], neg[kept][mine]
+        mine = ~kept & (x[:, 0] == g)
+        own[g] = boost(x[mine], pos[mine], neg[mine], score[mine], OWN_ROUNDS) if g >= len(BASE) else []
+        mine = kept & (x[:, 0] == g)
+        s, p, n = score[mine] + sum((predict(t, x[mine]) for t in own[g]), np.zeros(int(mine.sum()))), pos[mine], neg[mine]
         levels, at = np.unique(s, return_inverse=True)
         share = np.bincount(at, p) / np.bincount(at, p + n) if len(levels) else levels
         bad = np.flatnonzero(share < MIN_PRECISION)
         lowest = bad[-1] + 1 if len(bad) else 0
         if lowest < len(levels):
             thresholds[g] = float(levels[lowest])
-    return start, trees, thresholds
+    return start, trees, own, thresholds
 
 
 def tree_column(tree, bins: list[Column]) -> Column:
@@ -245,29 +277,32 @@ def tree_column(tree, bins: list[Column]) -> Column:
     return F.when(bins[tree[0]] <= tree[1], tree_column(tree[2], bins)).otherwise(tree_column(tree[3], bins))
 
 
-def score(code: Column, start: float, trees: list) -> Column:
-    """Log-odds of a candidate's code."""
+def score(code: Column, generator: Column, start: float, trees: list, own: dict[int, list]) -> Column:
+    """Log-odds of a candidate's code; ``own``: trees by generator."""
     bins, divisor = [], CODES
     for size in BINS.values():
         divisor //= size
         bins.append(F.floor(code / divisor) % size)
-    total = F.lit(start)
+    total, more = F.lit(start), F.lit(0.0)
     for tree in trees:
         total = total + tree_column(tree, bins)
-    return total
+    for g, some in own.items():
+        more = F.when(generator == g, sum((tree_column(t, bins) for t in some), F.lit(0.0))).otherwise(more)
+    return total + more
 
 
-def chosen(found: Column, model: tuple[float, list, dict[int, float]]) -> Column:
+def chosen(found: Column, model: tuple[float, list, dict[int, list], dict[int, float]]) -> Column:
     """Array of ``start, kind_no, end, kind, base`` of all spans: the base spans
     and, above its threshold, the leftmost candidate of a run of overlapping
     ones that touches no base span; sorted by start, then kind."""
-    start, trees, thresholds = model
+    start, trees, own, thresholds = model
 
     def good(c: Column) -> Column:
         least = F.lit(None).cast("double")
         for g, t in thresholds.items():
-            least = F.when(c["generator"] == g, t).otherwise(least)
-        return ~c["base"] & ~c["touches"] & F.coalesce(score(c["code"], start, trees) >= least, F.lit(False))
+            least = F.when(c["generator"] == g, t - 1e-9).otherwise(least)  # the sums' order differs from the fit's
+        mine = {g: own[g] for g in thresholds if own[g]}
+        return ~c["base"] & ~c["touches"] & F.coalesce(score(c["code"], c["generator"], start, trees, mine) >= least, F.lit(False))
 
     def apart(extra: Column) -> Column:
         reach = running(F.transform(extra, lambda c: c["end"]), zero(), F.greatest)

@@ -72,6 +72,27 @@ def test_a_number_behind_a_phone_is_added(make_docs):
     assert all(got[1000 + i] == "" for i in range(60) if not luhn(str(4111111111111112 + 10 * i)))
 
 
+def test_each_added_generator_adds_what_no_base_pattern_finds(make_docs):
+    planted = {"loose email": ("email", "word user{} (at) host (dot) com word"), "spaced email": ("email", "mail user{} @ host.com word"),
+               "digit run": ("phone", "call (555) 123-4{:03d} word"), "phone format": ("phone", "word +1 (555) 123-4{:03d} 1234567890123456 word"),
+               "card format": ("card", "word 4111111111111111 12{:03d} word"), "loose ip": ("ip", "word 2001:db8::{} word"),
+               "link ip": ("ip", "word fe80::{} word")}
+    rows = [(1000 * k + i, text.format(i), "s") for k, (_, text) in enumerate(planted.values()) for i in range(30)]
+    decoys = ("at 10:20:30:40 sharp{}", "part 55512345{:03d} word", "see 00:1A:2B:3C:4D:{:02d} word", "id 1234567890123{:03d}0 word", "you @ 5.{} word")
+    rows += [(100_000 + 1000 * k + i, text.format(i), "s") for k, text in enumerate(decoys) for i in range(60)]
+    got = {r["doc_id"]: r for r in pii.find(make_docs(rows)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    found = {i: [(k, texts[i][int(a):int(b)]) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)] for i, r in got.items()}
+    for k, name in enumerate(planted):
+        for i in range(30):
+            want = {"loose email": f"user{i} (at) host (dot) com", "spaced email": f"user{i} @ host.com", "digit run": f"(555) 123-4{i:03d}",
+                    "phone format": f"+1 (555) 123-4{i:03d}", "card format": "4111111111111111", "loose ip": f"2001:db8::{i}", "link ip": f"fe80::{i}"}[name]
+            assert (planted[name][0], want) in found[1000 * k + i], (name, texts[1000 * k + i], found[1000 * k + i])
+    assert all(r["n_added"] == 0 for i, r in got.items() if i >= 100_000 and not luhn(re.sub("[^0-9]", "", texts[i]) or "1"))
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(make_docs(rows)).collect()}
+    assert clean[0] == "word [EMAIL] word" and clean[2000] == "call [PHONE] word" and clean[5000] == "word [IP] word"
+
+
 def test_long_runs_take_linear_time(make_docs):
     rows = [(1, "1.2.3.4 " * 3000 + "a@" + "b." * 30_000 + "c " + "7 " * 20_000, "s"), (2, "9" * 200_000, "s"), (3, "a" * 200_000, "s"), (4, "+" + "(" * 100_000, "s")]
     t0 = time.time()
