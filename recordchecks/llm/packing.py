@@ -7,7 +7,8 @@ of that length and a rest.  Pieces are packed in blocks of about ``BLOCK_ROWS``
 
 * a piece goes to the open bin that it leaves the fullest (best fit);
 * if none has room, a bin is opened.  For every permitted length that holds the
-  piece, a look-ahead fills such a bin greedily with the pieces still to come;
+  piece, a look-ahead fills such a bin greedily with the pieces still to come,
+  until none fits;
   the length with the least cost a packed word wins, a bin costing its length
   plus ``bin_cost``;
 * in the end each bin is downsized to the shortest permitted length that holds
@@ -32,7 +33,7 @@ from recordchecks.llm.common import read_table, store, word_count
 
 LENGTHS = (512, 1024, 2048, 4096)
 BLOCK_ROWS = 1000
-BIN_COST, LOOK_AHEAD = 8, 16
+BIN_COST = 8
 
 
 def open_length(size: int, coming: list[int], lengths: tuple[int, ...], bin_cost: int) -> int:
@@ -42,12 +43,11 @@ def open_length(size: int, coming: list[int], lengths: tuple[int, ...], bin_cost
         if length < size:
             continue
         room, end = length - size, len(coming)
-        for _ in range(LOOK_AHEAD):
-            end = bisect_right(coming, room, 0, end)
-            if not end:
-                break
-            end -= 1
-            room -= coming[end]
+        while end := bisect_right(coming, room, 0, end):  # equal sizes in one step
+            piece = coming[end - 1]
+            n = min(end - bisect_left(coming, piece, 0, end), room // piece)
+            end -= n
+            room -= n * piece
         cost = (length + bin_cost) / (length - room)
         if best is None or cost < best[0]:
             best = cost, length

@@ -29,6 +29,12 @@ def test_lone_small_piece_opens_a_small_bin():
     assert packing.open_length(20, sorted([20] * 5), (32, 64), 4) == 64  # three fill it
 
 
+def test_the_look_ahead_fills_a_bin_of_many_small_pieces():
+    assert packing.open_length(100, [100] * 99, (512, 1024, 2048, 4096), 8) == 4096
+    assert packing.pack_block([100] * 80)[2] == [4096, 4096]
+    assert packing.open_length(7, sorted([7] * 20 + [3] * 37), (64, 256), 4) == 256  # 255 words of 256, or 63 of 64
+
+
 def test_every_word_is_placed_once(make_docs, edge_rows):
     rows = edge_rows + [(None, "a b c", "b")] * 30 + [(400 + i, "w " * (i * 7 % 900), "s") for i in range(300)]
     got = packing.pack(make_docs(rows), lengths=(256, 512, 1024)).collect()
