@@ -3,19 +3,24 @@
 1. Every word of every training text is counted (map-side partial counts, one
    sum by word).  The ``HEAD`` most frequent words with their counts fit in a
    broadcast of bounded size; the others stay in the table.
-2. Units of clustering are the ``TOP`` most frequent words, one bucket for each
-   hash of a rarer word's last three bytes, and the end of a text: ``UNITS`` in
-   all, so every word, seen or not, has a unit.  Each task counts the unit
-   bigrams of its texts in one matrix (9 MB); the matrices are summed in a tree
-   of fan-in 64.
-3. Exchange clustering moves units between ``CLASSES`` classes, each to where
+2. Texts are coded once: head words by number, the others by place in the text's
+   list of them.
+3. A first clustering has as units the ``TOP`` most frequent words, one bucket for
+   each hash of another word's last three bytes, and the end of a text.  Unit
+   bigrams are counted in one matrix a task (9 MB), summed in a tree of fan-in 64.
+   Exchange clustering moves units between ``CLASSES`` classes, each to where
    the class-bigram likelihood of the corpus is largest, until a sweep moves none
-   or ``SWEEPS`` are done.  The end of a text is a class of its own.
+   or ``SWEEPS`` are done.  The end of a text is a class of its own.  From there
+   sweeps over the texts count the class contexts of every head word (19 MB a
+   task) and move it to its best class, while the likelihood rises, ``ROUNDS`` at
+   most.  Words outside the head get theirs in one such sweep in a table of any
+   size.  Only words seen less than ``MIN_COUNT`` times, and not among the
+   ``TOP``, are left to the buckets.
 4. ``P(w_i | w_i-1) = P(c_i | c_i-1) P(w_i | c_i)``.  Transitions are smoothed with
    ``PRIOR`` counts of the class's share, emissions with one count for each
    known word of the class and one for all unknown ones.
-5. A map-side pass scores class sequences and head words; the remaining words
-   of a text meet their counts in one join and are summed by text.
+5. The words outside the head meet their counts and classes in one join and return
+   to their text; a map-side pass then scores whole class sequences.
 
 Defined results: null text counts as empty and has the end token alone; a null
 id is hashed as the text 'null'; repeated rows are scored one by one (and counted
@@ -27,25 +32,26 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from recordchecks.llm.common import blobs, crc32_mod, read_table, small_batches, store
 
 HEAD, TOP, BUCKETS, CLASSES, SWEEPS, PRIOR = 60_000, 1_199, 336, 40, 20, 20.0
+MIN_COUNT, ROUNDS = 5, 3
 UNITS = 1 + TOP + BUCKETS  # unit 0: the end of a text
-BLOCKS, FAN_IN, FLUSH_WORDS, FLUSH_TOKENS, CACHE_WORDS = 64, 64, 300_000, 500_000, 300_000
+BLOCKS, FAN_IN, FLUSH_WORDS = 64, 64, 300_000
 END = b""  # no word is empty
 
 
-def tail_unit(word: bytes) -> int:
-    """Unit of a word that is not among the ``TOP``."""
-    return 1 + TOP + zlib.crc32(word[-3:]) % BUCKETS
+def bucket_of(word: bytes) -> int:
+    """Bucket of a word without a class of its own."""
+    return zlib.crc32(word[-3:]) % BUCKETS
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -68,35 +74,78 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_bigrams(texts: DataFrame, top: dict[bytes, int]) -> np.ndarray:
-    """(UNITS, UNITS) counts of unit pairs in all texts, from end to end."""
-    shared = texts.sparkSession.sparkContext.broadcast(top)
-    size = -(-UNITS * UNITS // BLOCKS)
+def encode(rows: DataFrame, head: dict[bytes, int]) -> DataFrame:
+    """``row, id, held_out, codes, word, times, bucket`` of ``id, held_out, t``.  A code
+    is a head index (0: the end, the last of each text) or -1 - the place in ``word``,
+    the text's other distinct words."""
+    shared = rows.sparkSession.sparkContext.broadcast(head)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-        total, held, cache = np.zeros(BLOCKS * size, np.float32), [0], {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
-
-        def flush() -> None:
-            u = np.array(held, np.int64)
-            at, n = np.unique(u[:-1] * UNITS + u[1:], return_counts=True)
-            total[at] += n
-
         for b in small_batches(batches, 200):
-            for t in blobs(b.column(0)):
+            codes, tails = [], []
+            for t in blobs(b.column(2)):
+                line, tail = [], {}
                 for w in t.lower().split():
-                    u = words.get(w) or cache.get(w)
-                    if u is None:
-                        if len(cache) > CACHE_WORDS:
-                            cache.clear()
-                        u = cache[w] = tail_unit(w)
-                    held.append(u)
-                held.append(0)
-                if len(held) > FLUSH_TOKENS:
-                    flush()
-                    held = [0]
-        flush()
+                    code = words.get(w)
+                    if code is None:
+                        at = tail.setdefault(w, [-1 - len(tail), 0])
+                        at[1] += 1
+                        code = at[0]
+                    line.append(code)
+                line.append(0)
+                codes.append(line)
+                tails.append(tail)
+            yield pa.record_batch([
+                b.column(0), b.column(1), pa.array(codes, pa.list_(pa.int32())), pa.array([list(x) for x in tails], pa.list_(pa.binary())),
+                pa.array([[n for _, n in x.values()] for x in tails], pa.list_(pa.int64())),
+                pa.array([[bucket_of(w) for w in x] for x in tails], pa.list_(pa.int32()))],
+                names=["id", "held_out", "codes", "word", "times", "bucket"])
+
+    schema = StructType([rows.schema["id"], StructField("held_out", BooleanType()), StructField("codes", ArrayType(IntegerType())),
+                         StructField("word", ArrayType(BinaryType())), StructField("times", ArrayType(LongType())),
+                         StructField("bucket", ArrayType(IntegerType()))])
+    # written, so that the row number is fixed before it is used twice
+    return store(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "class-lm-coded")
+
+
+def flat(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and the length of each list."""
+    column = b.column(b.schema.get_field_index(name))
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def places(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of a batch of texts, which of them are no head words, and the places of these among all lists of words."""
+    codes, n = flat(b, "codes")
+    many = flat(b, "bucket")[1]
+    tail = codes < 0
+    return codes, tail, np.repeat(np.cumsum(many) - many, n)[tail] - 1 - codes[tail]
+
+
+def tokens_of(b: pa.RecordBatch, head_row: np.ndarray, bucket_row: np.ndarray) -> np.ndarray:
+    """What ``head_row`` and ``bucket_row`` hold for each token."""
+    codes, tail, at = places(b)
+    out = head_row[np.maximum(codes, 0)].astype(np.int64)
+    out[tail] = bucket_row[flat(b, "bucket")[0][at]]
+    return out
+
+
+def before(tokens: np.ndarray) -> np.ndarray:
+    """The token before each; before a text stands an end, number 0."""
+    return np.r_[0, tokens[:-1]]
+
+
+def count_keys(coded: DataFrame, numbers: int, keys: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """How often each number below ``numbers`` is among ``keys`` of all batches of texts."""
+    size = -(-numbers // BLOCKS)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        total = np.zeros(BLOCKS * size, np.float32)
+        for b in small_batches(batches, 1000):
+            if b.num_rows:
+                np.add.at(total, keys(b), np.float32(1))
         part = TaskContext.get().partitionId()
         yield pa.record_batch({"block": pa.array(range(BLOCKS), pa.int32()), "part": pa.array([part] * BLOCKS, pa.int64()),
                                "counts": pa.array([v.tobytes() for v in total.reshape(BLOCKS, size)], pa.binary())})
@@ -107,7 +156,7 @@ def count_bigrams(texts: DataFrame, top: dict[bytes, int]) -> np.ndarray:
                          "counts": pa.array([counts.astype(np.float32).tobytes()], pa.binary())})
 
     schema = "block int, part long, counts binary"
-    parts = store(texts.mapInArrow(fold, schema), "class-lm-bigrams")
+    parts = store(coded.mapInArrow(fold, schema), "class-lm-keys")
     last = parts.agg(F.max("part")).first()[0] or 0
     while last:
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInArrow(add, schema)
@@ -115,7 +164,87 @@ def count_bigrams(texts: DataFrame, top: dict[bytes, int]) -> np.ndarray:
     out = np.zeros((BLOCKS, size))
     for r in parts.collect():  # BLOCKS rows
         out[r["block"]] = np.frombuffer(r["counts"], np.float32)
-    return out.ravel()[:UNITS * UNITS].reshape(UNITS, UNITS)
+    return out.ravel()[:numbers]
+
+
+def class_steps(between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the smoothed transitions of class pairs, and the tokens of each class."""
+    mass = between.sum(axis=0)
+    share = (mass + 1) / (mass.sum() + len(mass))
+    return np.log((between + PRIOR * share) / (between.sum(axis=1, keepdims=True) + PRIOR)), mass
+
+
+def gains(left: np.ndarray, right: np.ndarray, old: np.ndarray, step: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """(words, classes) log-likelihood of words with ``left`` and ``right`` class contexts; ``old``: their classes."""
+    n = left.sum(axis=1)[:, None]
+    gain = left @ step + right @ step.T - n * np.log(np.maximum(mass + n * (np.arange(len(mass)) != old[:, None]), 1))
+    gain[:, 0] = -np.inf
+    return gain
+
+
+def refine(training: DataFrame, head_row: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all rows (head words, then buckets) and class pair counts: sweeps move
+    each row to its best class by its class contexts in all texts, while the
+    likelihood rises, ``ROUNDS`` at most."""
+    classes, size = CLASSES, len(cls)
+    head, best = size - BUCKETS, None
+    for turn in range(ROUNDS + 1):
+        def keys(b: pa.RecordBatch, cls: np.ndarray = cls) -> np.ndarray:
+            at = tokens_of(b, head_row, head + np.arange(BUCKETS))
+            prev = before(at)
+            return np.r_[at * classes + cls[prev], size * classes + prev * classes + cls[at]]
+
+        left, right = count_keys(training, 2 * size * classes, keys).reshape(2, size, classes)
+        between = left.T @ np.eye(classes)[cls]
+        likelihood = xlogx(between).sum() - 2 * xlogx(between.sum(axis=0)).sum()
+        if best is not None and likelihood <= best[0] + 1e-6:
+            break
+        best = likelihood, cls, between
+        if turn == ROUNDS:
+            break
+        step, mass = class_steps(between)
+        gain = gains(left, right, cls, step, mass)
+        new = np.argmax(gain, axis=1)
+        rows = np.arange(size)
+        move = (left.sum(axis=1) > 0) & (rows > 0)
+        move[move] = gain[rows[move], new[move]] > gain[rows[move], cls[move]] + 1e-6
+        if not move.any():
+            break
+        cls = np.where(move, new, cls)
+    return best[1], best[2]
+
+
+def tail_classes(training: DataFrame, head_class: np.ndarray, bucket_class: np.ndarray, between: np.ndarray) -> DataFrame:
+    """``word, class`` of the words outside the head with ``MIN_COUNT`` or more: the best by their class contexts."""
+    classes = CLASSES
+    step, mass = class_steps(between)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 1000):
+            if not b.num_rows:
+                continue
+            _, tail, at = places(b)
+            cls = tokens_of(b, head_class, bucket_class)
+            where = np.nonzero(tail)[0]  # never a text's last token
+            words = b.column(b.schema.get_field_index("word")).flatten().dictionary_encode()
+            number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)[at]
+            keys = np.r_[number * 2 * classes + before(cls)[where], (number * 2 + 1) * classes + cls[where + 1]]
+            key, n = np.unique(keys, return_counts=True)
+            yield pa.record_batch([words.dictionary.take(pa.array(key // (2 * classes))), pa.array(key % (2 * classes), pa.int32()),
+                                   pa.array(n, pa.int64())], names=["word", "code", "n"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 5000):
+            code, many = flat(b, "code")
+            seen = np.zeros((b.num_rows, 2 * classes))
+            seen[np.repeat(np.arange(b.num_rows), many), code] = flat(b, "n")[0]
+            best = gains(seen[:, :classes], seen[:, classes:], np.full(b.num_rows, -1), step, mass).argmax(axis=1)
+            yield pa.record_batch([b.column(0), pa.array(best, pa.int32())], names=["word", "class"])
+
+    rows = training.mapInArrow(contexts, "word binary, code int, n long").repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    rows = rows.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("c"), F.sum(F.when(F.col("code") < classes, F.col("n"))).alias("times"))
+    rows = rows.where(F.col("times") >= MIN_COUNT).select("word", F.col("c.code").alias("code"), F.col("c.n").alias("n"))
+    return store(rows.mapInArrow(choose, "word binary, class int"), "class-lm-tail")
 
 
 def xlogx(n: np.ndarray) -> np.ndarray:
@@ -172,84 +301,95 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), (crc32_mod(id_col, 7) == 2).alias("held_out"), F.col(text_col).cast("string").alias("t"))
-    training = rows.where(~F.col("held_out")).select("t")
-    counts = store(count_words(training), "class-lm-counts")
+    counts = store(count_words(rows.where(~F.col("held_out")).select("t")), "class-lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(HEAD).collect()  # HEAD rows at most
     head = {bytes(r["word"]): i for i, r in enumerate(frequent, 1)}  # 0: the end
     ends = counts.where(F.length("word") == 0).first()
     head_n = np.array([ends["n"] if ends else 0, *(r["n"] for r in frequent)], np.float64)
-    pairs = count_bigrams(training, {w: i for w, i in head.items() if i <= TOP})
-    unit_class = exchange(pairs)
-    head_class = np.array([unit_class[i] if i <= TOP else unit_class[tail_unit(w)] for w, i in [(END, 0), *head.items()]], np.int64)
+    buckets = np.array([bucket_of(w) for w in [END, *head]], np.int64)
+    rank = np.arange(len(buckets))
+    coded = encode(rows, head)
+    training = coded.where(~F.col("held_out")).select("codes", "bucket", "word")
+    top, units = min(TOP, len(head)), UNITS
+    head_unit, bucket_unit = np.where(rank <= top, rank, 1 + top + buckets), 1 + top + np.arange(BUCKETS)
+
+    def bigrams(b: pa.RecordBatch) -> np.ndarray:
+        at = tokens_of(b, head_unit, bucket_unit)
+        return before(at) * units + at
+
+    unit_class = exchange(count_keys(training, units * units, bigrams).reshape(units, units))
+    # the rows of the sweeps: head words of their own, then the buckets of the others
+    head_row = np.where((rank <= top) | (head_n >= MIN_COUNT), rank, len(rank) + buckets)
+    cls, between = refine(training, head_row, unit_class[np.r_[head_unit, bucket_unit]])
+    head_class, bucket_class = cls[head_row], cls[len(rank):]
+    known = counts.join(tail_classes(training, head_class, bucket_class, between), "word", "left")
 
     # words and tokens of each class: the head here, the others where they are
     def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value[0]
+        words = shared.value
         for b in batches:
-            c = [-1 if not w or w in words else int(unit_class[tail_unit(w)]) for w in b.column(0).to_pylist()]
+            c = [-1 if not w or w in words else int(bucket_class[bucket_of(w)]) if k is None else k
+                 for w, k in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([pa.array(c, pa.int32()), b.column(1)], names=["c", "n"])
 
-    shared = spark.sparkContext.broadcast((head, head_class, head_n))
+    shared = spark.sparkContext.broadcast(head)
     class_n, class_v = np.bincount(head_class, head_n, CLASSES), np.bincount(head_class, head_n > 0, CLASSES)
-    for r in counts.mapInArrow(classes_of, "c int, n long").where("c >= 0").groupBy("c").agg(F.sum("n"), F.count(F.lit(1))).collect():
+    for r in known.select("word", "n", "class").mapInArrow(classes_of, "c int, n long").where("c >= 0").groupBy("c").agg(F.sum("n"), F.count(F.lit(1))).collect():
         class_n[r[0]] += r[1]
         class_v[r[0]] += r[2]
-    member = np.eye(CLASSES)[unit_class]
-    between = member.T @ pairs @ member
+
+    # the other words of a text meet their counts and classes
+    rest = coded.select("row", F.posexplode(F.arrays_zip("word", "times")).alias("pos", "z")).select("row", "pos", "z.word", "z.times")
+    rest = rest.join(known, "word").groupBy("row").agg(
+        F.sum("times").alias("rest_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest_own"),
+        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("pos", "class"))).alias("own"))
+    none = F.array().cast("array<int>")
+    texts = coded.select("row", "id", "held_out", "codes", "bucket").join(rest, "row", "left").select(
+        "id", "held_out", "codes", "bucket", F.coalesce("rest_known", F.lit(0)).cast("long").alias("rest_known"),
+        F.coalesce("rest_own", F.lit(0.0)).alias("rest_own"), F.coalesce("own.pos", none).alias("pos"), F.coalesce("own.class", none).alias("class"))
+    texts = store(texts, "class-lm-texts")
+
+    def classes_in(b: pa.RecordBatch) -> np.ndarray:
+        codes, tail, at = places(b)
+        bucket, many = flat(b, "bucket")
+        word_class = bucket_class[bucket]
+        pos, n = flat(b, "pos")
+        word_class[np.repeat(np.cumsum(many) - many, n) + pos] = flat(b, "class")[0]
+        out = head_class[np.maximum(codes, 0)]
+        out[tail] = word_class[at]
+        return out
+
+    classes = CLASSES
+
+    def class_pairs(b: pa.RecordBatch) -> np.ndarray:
+        c = classes_in(b)
+        return before(c) * classes + c
+
+    between = count_keys(texts.where(~F.col("held_out")), classes * classes, class_pairs).reshape(classes, classes)
     prior = (class_n + 1) / (class_n.sum() + CLASSES)
     # log10 of the transition and of the emission's denominator, by class pair
     chain = np.log10((between + PRIOR * prior) / (between.sum(axis=1, keepdims=True) + PRIOR)) - np.log10(class_n + class_v + 1)
+    log_n = np.log10(head_n + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, word_class, word_n = shared.value
-        log_n, cache = np.log10(word_n + 1), {}
-        for b in small_batches(batches, 200):
-            codes, starts, tails = [], [], []  # code: head index, or -1 - class
-            for t in blobs(b.column(2)):
-                starts.append(len(codes))
-                codes.append(0)  # the end of the text before
-                tail: Counter = Counter()
-                for w in t.lower().split():
-                    code = words.get(w)
-                    if code is None:
-                        code = cache.get(w)
-                        if code is None:
-                            if len(cache) > CACHE_WORDS:
-                                cache.clear()
-                            code = cache[w] = -1 - int(unit_class[tail_unit(w)])
-                        tail[w] += 1
-                    codes.append(code)
-                codes.append(0)
-                tails.append(tail)
-            c = np.array(codes, np.int64)
-            first = np.array(starts, np.int64)
-            is_head, at = c >= 0, np.maximum(c, 0)
-            cl = np.where(is_head, word_class[at], -1 - c)
-            step = np.r_[0.0, chain[cl[:-1], cl[1:]]] if len(c) else np.zeros(0)
-            own, known = np.where(is_head, log_n[at], 0.0), (is_head & (word_n[at] > 0)).astype(np.int64)
-            for x in (step, own, known):  # the end before a text is no token of it
-                x[first] = 0
-            def total_of(x):
-                return np.add.reduceat(x, first) if len(first) else x
-            n = np.diff(np.r_[first, len(c)]) - 1
-            yield pa.record_batch([
-                b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(total_of(known), pa.int64()), pa.array(total_of(own), pa.float64()),
-                pa.array(total_of(step), pa.float64()), pa.array([list(x) for x in tails], pa.list_(pa.binary())),
-                pa.array([list(x.values()) for x in tails], pa.list_(pa.int64()))],
-                names=["id", "held_out", "n_tokens", "known", "own", "chain", "word", "times"])
+        for b in small_batches(batches, 1000):
+            if not b.num_rows:
+                continue
+            codes, n = flat(b, "codes")
+            c, is_head, at = classes_in(b), codes >= 0, np.maximum(codes, 0)
+            first = np.cumsum(n) - n
+            values = (is_head & (head_n[at] > 0)).astype(np.int64), np.where(is_head, log_n[at], 0.0), chain[before(c), c]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n), *(pa.array(np.add.reduceat(x, first)) for x in values),
+                                   b.column(4), b.column(5)],
+                                  names=["id", "held_out", "n_tokens", "known", "own", "chain", "rest_known", "rest_own"])
 
     schema = StructType([rows.schema["id"], StructField("held_out", BooleanType()), StructField("n_tokens", LongType()),
                          StructField("known", LongType()), StructField("own", DoubleType()), StructField("chain", DoubleType()),
-                         StructField("word", ArrayType(BinaryType())), StructField("times", ArrayType(LongType()))])
-    # written, so that the row number is fixed before it is used twice
-    texts = store(rows.mapInArrow(score, schema).withColumn("row", F.monotonically_increasing_id()), "class-lm-texts")
-    rest = texts.select("row", F.explode(F.arrays_zip("word", "times")).alias("z")).select("row", "z.word", "z.times")
-    rest = rest.join(counts, "word").groupBy("row").agg(
-        F.sum("times").alias("rest_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest_own"))
-    own = F.col("own") + F.coalesce("rest_own", F.lit(0.0))
-    return texts.drop("word", "times").join(rest, "row", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
+                         StructField("rest_known", LongType()), StructField("rest_own", DoubleType())])
+    own = F.col("own") + F.col("rest_own")
+    return texts.mapInArrow(score, schema).select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (own - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (own + F.col("chain")).alias("score"))
 

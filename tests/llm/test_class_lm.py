@@ -48,6 +48,22 @@ def test_classes_beat_the_base_on_held_out_text(make_docs):
     assert got and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+@pytest.mark.parametrize("head", [60_000, 1_400])
+def test_words_beyond_the_first_clustering_have_classes_of_their_own(make_docs, monkeypatch, head):
+    """Nouns and verbs of one hash, rarer than 1,400 others: the order of a text matters to its score."""
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    rng = np.random.default_rng(1)
+    nouns, verbs = [f"noun{i}" for i in range(700)], [f"verb{i}" for i in range(700)]
+    rare = [f"n{i}xyz" for i in range(20)], [f"v{i}xyz" for i in range(20)]
+    def line():
+        return " ".join(str(rng.choice(rare[j % 2] if rng.random() < 0.01 else (nouns, verbs)[j % 2])) for j in range(60))
+    ids = [i for i in range(1000) if not held(i)][:700]
+    right, wrong = [i for i in range(1000, 2000) if held(i)][:2]
+    rows = [(i, line(), "s") for i in ids] + [(right, "n1xyz verb1 noun1 v1xyz", "s"), (wrong, "v1xyz verb1 noun1 n1xyz", "s")]
+    got = {r["doc_id"]: r["score"] for r in class_lm.scores(make_docs(rows)).collect()}
+    assert got[right] > got[wrong] + 1
+
+
 def test_exchange_finds_the_classes():
     pairs = np.zeros((9, 9))
     for a in (1, 2, 3, 4):
