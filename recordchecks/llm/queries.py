@@ -3,7 +3,8 @@ operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from recordchecks.llm import class_lm, line_rules, mixing, nearest, packing, pii, quality_net, simhash, token_counts, web_archive
+from recordchecks.llm import (class_lm, line_rules, mixing, nearest, packing, periodic_runs, pii, quality_net, simhash,
+                              spelling_variants, token_counts, toxicity, web_archive)
 
 LLM_QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,5 +17,8 @@ LLM_QUERIES = {
     "op8_packing": packing.query,
     "op9_nearest": nearest.query,
     "op10_line_rules": line_rules.query,
+    "op11_spelling_variants": spelling_variants.query,
+    "op12_toxicity": toxicity.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 LLM_ORACLES = {"op6_web_archive": web_archive.ORACLE}
