@@ -18,8 +18,9 @@
 5. List merging: with the grams in one order (rare first), the first common gram of two
    near words is among the first B + 1 of both.  Only these enter lists, keyed by
    gram, place and length, and one join merges them.  Two words whose bounds
-   both cover all their grams need not share one: such words also enter the lists of
-   their halves, one of which an edit leaves as it is.
+   both cover all their grams need not share one: such words (half of a vocabulary or
+   more) also enter ``PARTS`` lists of all but one of as many parts of the word, as an
+   edit leaves all but one as they are.
 6. Every pair of a list is verified by edit distance before it is kept; pairs are then
    made distinct.  A word's form is its most frequent near word, if that is ``ratio``
    times as frequent; roots follow forms by pointer jumping.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from recordchecks.llm.common import read_table, small_batches, store
 
 QMIN, QMAX = 2, 6
-LEAST_FREQUENT, FREQUENT = 20, 50_000
+LEAST_FREQUENT, FREQUENT, PARTS = 1_000, 50_000, 4
 FLUSH_WORDS = 300_000
 # All letters of a run are in Latin-1: there, other characters become spaces and A-Z small
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -129,18 +130,19 @@ def affected(word: str, grams: list[tuple[int, int]], frequent: dict[str, int],
 
 def keys_of(word: str, frequent: dict[str, int], qmin: int = QMIN, qmax: int = QMAX) -> list[tuple[str, int]]:
     """Lists that a word enters: (gram, start) of its rarest grams, as many as needed, and
-    its halves (start below -1) where its bound covers all its grams.
+    the word without one of its parts (start below -1) where its bound covers all its grams.
 
-    Halves are keyed by the shorter length m of a pair, so a word enters those of
-    its own length and of one less."""
+    Parts are those of the shorter word of a pair, so a word enters the lists for its own
+    length m and for one less; what stands right of the part is counted from the end."""
     grams = decompose(word, frequent, qmin, qmax)
     bound = affected(word, grams, frequent, qmin, qmax)
     order = sorted(grams, key=lambda g: (frequent.get(word[g[0]:g[1]], 0), word[g[0]:g[1]], g[0]))
     out = [(word[a:b], a) for a, b in order[:bound + 1]]
     if bound >= len(grams):
         for m in (len(word), len(word) - 1):
-            h = m // 2
-            out += [(word[:h], -2 * m), (word[len(word) - h:], -2 * m - 1)]
+            for k in range(PARTS):
+                lo, hi = m * k // PARTS, m * (k + 1) // PARTS
+                out.append((f"{word[:lo]} {word[len(word) - m + hi:]}", -2 - m * PARTS - k))
     return out
 
 
