@@ -21,8 +21,9 @@
    both cover all their grams need not share one: such words (half of a vocabulary or
    more) also enter ``PARTS`` lists of all but one of as many parts of the word, as an
    edit leaves all but one as they are.
-6. Every pair of a list is verified by edit distance before it is kept; pairs are then
-   made distinct.  A word's form is its most frequent near word, if that is ``ratio``
+6. Every pair of a list is verified by edit distance before it is kept, after two bit
+   masks (one edit changes 2 of a word's letters and 4 of its letter pairs at most);
+   pairs are then made distinct.  A word's form is its most frequent near word, if that is ``ratio``
    times as frequent; roots follow forms by pointer jumping.
 
 Defined results: null and empty texts have no words; repeated rows count one by one;
@@ -92,8 +93,8 @@ def frequent_grams(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX) -> dict
     least = max(LEAST_FREQUENT, total // FREQUENT)
     out = {}
     for q in range(qmin, qmax):
-        starts = F.sequence(F.lit(1), F.length("word") - (q - 1))
-        grams = words.where(F.length("word") >= q).select(F.explode(F.transform(starts, lambda i, q=q: F.substring("word", i, F.lit(q)))).alias("g"))
+        starts = words.where(F.length("word") >= q).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - (q - 1))).alias("i"))
+        grams = starts.select(F.substring("word", F.col("i"), F.lit(q)).alias("g"))
         # at most total / least <= FREQUENT rows
         out |= {r["g"]: r["c"] for r in grams.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > least).collect()}
     return out
@@ -146,6 +147,17 @@ def keys_of(word: str, frequent: dict[str, int], qmin: int = QMIN, qmax: int = Q
     return out
 
 
+def masks(word: str) -> tuple[int, int]:
+    """Bit sets of a word's letters and of its letter pairs, hashed to 63 bits."""
+    letters = pairs = 0
+    last = 0
+    for c in map(ord, word):
+        letters |= 1 << c % 63
+        pairs |= 1 << (last * 31 + c) % 63
+        last = c
+    return letters, pairs | 1 << last * 31 % 63
+
+
 def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX) -> DataFrame:
     """``a, an, b, bn``: each pair of near words once, with their counts."""
     spark = words.sparkSession
@@ -153,21 +165,27 @@ def near_pairs(words: DataFrame, qmin: int = QMIN, qmax: int = QMAX) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 2000):
+            if not b.num_rows:
+                continue
             keys = [keys_of(w, shared.value, qmin, qmax) for w in b.column(0).to_pylist()]
             gram = pa.array([[g for g, _ in k] for k in keys], pa.list_(pa.string()))
             start = pa.array([[s for _, s in k] for k in keys], pa.list_(pa.int32()))
-            yield pa.record_batch([b.column(0), b.column(1), gram, start], names=["word", "n", "gram", "start"])
-
-    lists = words.select("word", "n").mapInArrow(run, "word string, n long, gram array<string>, start array<int>")
-    lists = lists.select("word", "n", F.length("word").alias("size"), F.explode(F.arrays_zip("gram", "start")).alias("k"))
-    lists = store(lists.select("word", "n", "size", "k.gram", "k.start"), "variant-lists")
-    index = lists.select(F.col("word").alias("b"), F.col("n").alias("bn"), "gram", "start", "size")
+            letters, pairs = zip(*map(masks, b.column(0).to_pylist()), strict=True)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(letters), pa.array(pairs), gram, start],
+                                  names=["word", "n", "letters", "pairs", "gram", "start"])
+
+    lists = words.select("word", "n").mapInArrow(run, "word string, n long, letters long, pairs long, gram array<string>, start array<int>")
+    lists = lists.select("word", "n", "letters", "pairs", F.length("word").alias("size"), F.explode(F.arrays_zip("gram", "start")).alias("k"))
+    lists = store(lists.select("word", "n", "letters", "pairs", "size", "k.gram", "k.start"), "variant-lists")
+    index = lists.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("letters").alias("bl"), F.col("pairs").alias("bp"), "gram", "start", "size")
     # an equal length keeps places; in a word longer by one, they stay left of the edit and move by one right of it
     steps = F.when(F.col("start") < -1, F.array(*[F.struct(F.lit(d).alias("size"), F.lit(0).alias("start")) for d in (0, 1)])).otherwise(
         F.array(*[F.struct(F.lit(d).alias("size"), F.lit(s).alias("start")) for d, s in ((0, 0), (1, 0), (1, 1))]))
-    probe = lists.select(F.col("word").alias("a"), F.col("n").alias("an"), "gram", "start", "size", F.explode(steps).alias("d"))
-    probe = probe.select("a", "an", "gram", (F.col("start") + F.col("d.start")).alias("start"), (F.col("size") + F.col("d.size")).alias("size"))
-    met = probe.join(index, ["gram", "start", "size"]).where((F.length("a") < F.length("b")) | (F.col("a") < F.col("b")))
+    probe = lists.select(F.col("word").alias("a"), F.col("n").alias("an"), "letters", "pairs", "gram", "start", "size", F.explode(steps).alias("d"))
+    probe = probe.select("a", "an", "letters", "pairs", "gram", (F.col("start") + F.col("d.start")).alias("start"), (F.col("size") + F.col("d.size")).alias("size"),
+                         (F.col("d.size") > 0).alias("longer"))
+    alike = (F.bit_count(F.col("letters").bitwiseXOR(F.col("bl"))) <= 2) & (F.bit_count(F.col("pairs").bitwiseXOR(F.col("bp"))) <= 4)
+    met = probe.join(index, ["gram", "start", "size"]).where(alike & (F.col("longer") | (F.col("a") < F.col("b"))))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "an", "b", "bn").distinct()
 
 

@@ -76,6 +76,13 @@ def test_no_near_pair_is_outside_the_lists(letters, least):
     assert got == {frozenset(p) for p in itertools.combinations(words, 2) if near(*p)}
 
 
+def test_masks_leave_out_no_near_pair():
+    for a, b in itertools.combinations(vocabulary(11, "abcdeé", 150), 2):
+        if near(a, b):
+            (la, pa), (lb, pb) = sv.masks(a), sv.masks(b)
+            assert (la ^ lb).bit_count() <= 2 and (pa ^ pb).bit_count() <= 4
+
+
 def test_bound_is_an_upper_bound():
     """All but the bound's number of grams of a word are grams of every near word, in place."""
     words = vocabulary(5, "abc", 60)
@@ -122,6 +129,14 @@ def test_chains_of_forms_and_ties(make_docs):
     assert got["mnopqr"]["form"] == "mnopqs" and got["mnopqs"]["form"] is None and got["mnopqr"]["n_near"] == 2
 
 
+def test_frequent_grams_are_counted_in_all_places(spark, monkeypatch):
+    monkeypatch.setattr(sv, "LEAST_FREQUENT", 5)
+    words = vocabulary(2, "abcdé", 200)
+    grams = Counter(w[i:i + q] for w in words for q in range(sv.QMIN, sv.QMAX) for i in range(len(w) - q + 1))
+    got = sv.frequent_grams(spark.createDataFrame([(w,) for w in words], "word string"))
+    assert got == {g: c for g, c in grams.items() if c > 5}
+
+
 def test_broadcast_of_frequent_grams_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(sv, "FREQUENT", 40)
     words = spark.createDataFrame([(w,) for w in vocabulary(1, "abcd", 300)], "word string")
