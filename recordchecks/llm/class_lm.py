@@ -7,7 +7,8 @@
    list of them.
 3. A first clustering has as units the ``TOP`` most frequent words, one bucket for
    each hash of another word's last three bytes, and the end of a text.  Unit
-   bigrams are counted in one matrix a task (9 MB), summed in a tree of fan-in 64.
+   bigrams are counted in one matrix a task (9 MB in memory, sent packed), summed in a
+   tree of fan-in 64.
    Exchange clustering moves units between ``CLASSES`` classes, each to where
    the class-bigram likelihood of the corpus is largest, until a sweep moves none
    or ``SWEEPS`` are done.  The end of a text is a class of its own.  From there
@@ -20,7 +21,8 @@
    ``PRIOR`` counts of the class's share, emissions with one count for each
    known word of the class and one for all unknown ones.
 5. The words outside the head meet their counts and classes in one join and return
-   to their text; a map-side pass then scores whole class sequences.
+   to their text, of which only a byte a token (its class) and the places of these words
+   move; a map-side pass then scores whole class sequences.
 
 Defined results: null text counts as empty and has the end token alone; a null
 id is hashed as the text 'null'; repeated rows are scored one by one (and counted
@@ -40,12 +42,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from recordchecks.llm.common import blobs, crc32_mod, read_table, small_batches, store
+from recordchecks.llm.common import blobs, crc32_mod, packed, read_table, small_batches, store, unpacked
 
 HEAD, TOP, BUCKETS, CLASSES, SWEEPS, PRIOR = 60_000, 1_199, 336, 40, 20, 20.0
 MIN_COUNT, ROUNDS = 5, 3
 UNITS = 1 + TOP + BUCKETS  # unit 0: the end of a text
-BLOCKS, FAN_IN, FLUSH_WORDS = 64, 64, 300_000
+BLOCKS, FAN_IN, FLUSH_WORDS, FLUSH_CONTEXTS = 64, 64, 300_000, 3_000_000
 END = b""  # no word is empty
 
 
@@ -137,8 +139,12 @@ def before(tokens: np.ndarray) -> np.ndarray:
 
 
 def count_keys(coded: DataFrame, numbers: int, keys: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """How often each number below ``numbers`` is among ``keys`` of all batches of texts."""
+    """How often each number below ``numbers`` is among ``keys`` of all batches of texts.
+
+    A task folds its counts and sends the numbers it met, packed; they are summed in a
+    tree of fan-in ``FAN_IN``, so that no group grows with the number of tasks."""
     size = -(-numbers // BLOCKS)
+    tasks = coded.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -148,22 +154,21 @@ def count_keys(coded: DataFrame, numbers: int, keys: Callable[[pa.RecordBatch],
                 np.add.at(total, keys(b), np.float32(1))
         part = TaskContext.get().partitionId()
         yield pa.record_batch({"block": pa.array(range(BLOCKS), pa.int32()), "part": pa.array([part] * BLOCKS, pa.int64()),
-                               "counts": pa.array([v.tobytes() for v in total.reshape(BLOCKS, size)], pa.binary())})
+                               "counts": pa.array([packed(v) for v in total.reshape(BLOCKS, size)], pa.binary())})
 
     def add(key, table):
-        counts = sum(np.frombuffer(v, np.float32).astype(np.float64) for v in table["counts"].to_pylist())
+        counts = sum(unpacked(v, size) for v in table["counts"].to_pylist())
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()),
-                         "counts": pa.array([counts.astype(np.float32).tobytes()], pa.binary())})
+                         "counts": pa.array([packed(counts)], pa.binary())})
 
     schema = "block int, part long, counts binary"
-    parts = store(coded.mapInArrow(fold, schema), "class-lm-keys")
-    last = parts.agg(F.max("part")).first()[0] or 0
-    while last:
+    parts = coded.mapInArrow(fold, schema)
+    while tasks:
         parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInArrow(add, schema)
-        last //= FAN_IN
+        tasks //= FAN_IN
     out = np.zeros((BLOCKS, size))
     for r in parts.collect():  # BLOCKS rows
-        out[r["block"]] = np.frombuffer(r["counts"], np.float32)
+        out[r["block"]] += unpacked(r["counts"], size)
     return out.ravel()[:numbers]
 
 
@@ -220,6 +225,18 @@ def tail_classes(training: DataFrame, head_class: np.ndarray, bucket_class: np.n
     step, mass = class_steps(between)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[bytes, int] = {}
+        seen: list[np.ndarray] = []
+
+        def rows() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate([*seen, np.zeros(0, np.int64)]), return_counts=True)
+            number, first = np.unique(key // (2 * classes), return_index=True)
+            offsets = pa.array(np.r_[first, len(key)], pa.int32())
+            words = pa.array(list(numbers), pa.binary()).take(pa.array(number))
+            return pa.record_batch([words, pa.ListArray.from_arrays(offsets, pa.array(key % (2 * classes), pa.int32())),
+                                    pa.ListArray.from_arrays(offsets, pa.array(n, pa.int32()))], names=["word", "code", "n"])
+
+        held = 0
         for b in small_batches(batches, 1000):
             if not b.num_rows:
                 continue
@@ -227,23 +244,28 @@ def tail_classes(training: DataFrame, head_class: np.ndarray, bucket_class: np.n
             cls = tokens_of(b, head_class, bucket_class)
             where = np.nonzero(tail)[0]  # never a text's last token
             words = b.column(b.schema.get_field_index("word")).flatten().dictionary_encode()
-            number = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)[at]
-            keys = np.r_[number * 2 * classes + before(cls)[where], (number * 2 + 1) * classes + cls[where + 1]]
-            key, n = np.unique(keys, return_counts=True)
-            yield pa.record_batch([words.dictionary.take(pa.array(key // (2 * classes))), pa.array(key % (2 * classes), pa.int32()),
-                                   pa.array(n, pa.int64())], names=["word", "code", "n"])
+            own = np.array([numbers.setdefault(w, len(numbers)) for w in words.dictionary.to_pylist()], np.int64)
+            number = own[words.indices.to_numpy(zero_copy_only=False)[at]] if len(own) else np.zeros(0, np.int64)
+            seen.append(np.r_[number * 2 * classes + before(cls)[where], (number * 2 + 1) * classes + cls[where + 1]])
+            held += len(seen[-1])
+            if held > FLUSH_CONTEXTS or len(numbers) > FLUSH_WORDS:  # bounded memory
+                yield rows()
+                seen, held = [], 0
+                numbers.clear()
+        yield rows()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 5000):
             code, many = flat(b, "code")
             seen = np.zeros((b.num_rows, 2 * classes))
-            seen[np.repeat(np.arange(b.num_rows), many), code] = flat(b, "n")[0]
+            np.add.at(seen, (np.repeat(np.arange(b.num_rows), many), code), flat(b, "n")[0])
             best = gains(seen[:, :classes], seen[:, classes:], np.full(b.num_rows, -1), step, mass).argmax(axis=1)
-            yield pa.record_batch([b.column(0), pa.array(best, pa.int32())], names=["word", "class"])
+            keep = seen[:, :classes].sum(axis=1) >= MIN_COUNT
+            yield pa.record_batch([b.column(0), pa.array(best, pa.int32())], names=["word", "class"]).filter(pa.array(keep))
 
-    rows = training.mapInArrow(contexts, "word binary, code int, n long").repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
-    rows = rows.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("c"), F.sum(F.when(F.col("code") < classes, F.col("n"))).alias("times"))
-    rows = rows.where(F.col("times") >= MIN_COUNT).select("word", F.col("c.code").alias("code"), F.col("c.n").alias("n"))
+    # a row a task and word; a word has at most 2 * CLASSES numbers of each
+    rows = training.mapInArrow(contexts, "word binary, code array<int>, n array<int>")
+    rows = rows.groupBy("word").agg(F.flatten(F.collect_list("code")).alias("code"), F.flatten(F.collect_list("n")).alias("n"))
     return store(rows.mapInArrow(choose, "word binary, class int"), "class-lm-tail")
 
 
@@ -340,58 +362,77 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         class_v[r[0]] += r[2]
 
     # the other words of a text meet their counts and classes
-    rest = coded.select("row", F.posexplode(F.arrays_zip("word", "times")).alias("pos", "z")).select("row", "pos", "z.word", "z.times")
+    rest = coded.select("row", F.posexplode(F.arrays_zip("word", "times")).alias("pos", "z")).select("row", "pos", "z.word", F.col("z.times").cast("int").alias("times"))
     rest = rest.join(known, "word").groupBy("row").agg(
         F.sum("times").alias("rest_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest_own"),
-        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("pos", "class"))).alias("own"))
-    none = F.array().cast("array<int>")
-    texts = coded.select("row", "id", "held_out", "codes", "bucket").join(rest, "row", "left").select(
-        "id", "held_out", "codes", "bucket", F.coalesce("rest_known", F.lit(0)).cast("long").alias("rest_known"),
-        F.coalesce("rest_own", F.lit(0.0)).alias("rest_own"), F.coalesce("own.pos", none).alias("pos"), F.coalesce("own.class", none).alias("class"))
-    texts = store(texts, "class-lm-texts")
-
-    def classes_in(b: pa.RecordBatch) -> np.ndarray:
-        codes, tail, at = places(b)
-        bucket, many = flat(b, "bucket")
-        word_class = bucket_class[bucket]
-        pos, n = flat(b, "pos")
-        word_class[np.repeat(np.cumsum(many) - many, n) + pos] = flat(b, "class")[0]
-        out = head_class[np.maximum(codes, 0)]
-        out[tail] = word_class[at]
-        return out
+        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("pos", F.col("class").cast("short").alias("class")))).alias("own"))
+    log_n = np.log10(head_n + 1)
 
+    # only a byte a token is moved to meet them, and the places of the other words
+    def slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 1000):
+            if not b.num_rows:
+                continue
+            codes, n = flat(b, "codes")
+            is_head, at = codes >= 0, np.maximum(codes, 0)
+            cls = tokens_of(b, head_class, bucket_class).astype(np.uint8).tobytes()
+            first = np.cumsum(n) - n
+            tails = np.add.reduceat(~is_head, first)
+            where = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(tails)], pa.int32()), pa.array((np.arange(len(codes)) - np.repeat(first, n))[~is_head], pa.int32()))
+            place = pa.ListArray.from_arrays(where.offsets, pa.array(-1 - codes[~is_head], pa.int32()))
+            yield pa.record_batch([
+                *(b.column(b.schema.get_field_index(c)) for c in ("row", "id", "held_out")), pa.array(n),
+                pa.array(np.add.reduceat((is_head & (head_n[at] > 0)).astype(np.int64), first)), pa.array(np.add.reduceat(np.where(is_head, log_n[at], 0.0), first)),
+                pa.array([cls[f:f + k] for f, k in zip(first, n, strict=True)], pa.binary()), where, place], names=slim_schema.names)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 1000):
+            out = []
+            column = {c: b.column(b.schema.get_field_index(c)).to_pylist() for c in ("classes", "at", "place", "pos", "class")}
+            for cls, at, place, pos, own in zip(*column.values(), strict=True):
+                if pos:
+                    cls = np.frombuffer(cls, np.uint8).copy()
+                    of_place = np.full(max(max(place), max(pos)) + 1, -1)
+                    of_place[pos] = own
+                    mine = of_place[place]
+                    cls[np.array(at)[mine >= 0]] = mine[mine >= 0]
+                    cls = cls.tobytes()
+                out.append(cls)
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in texts_schema.names[:-1]), pa.array(out, pa.binary())], names=texts_schema.names)
+
+    slim_schema = StructType([StructField("row", LongType()), rows.schema["id"], StructField("held_out", BooleanType()), StructField("n_tokens", LongType()),
+                              StructField("known", LongType()), StructField("own", DoubleType()), StructField("classes", BinaryType()),
+                              StructField("at", ArrayType(IntegerType())), StructField("place", ArrayType(IntegerType()))])
+    texts_schema = StructType([*slim_schema.fields[1:6], slim_schema["classes"]])
+    none = F.array().cast("array<int>")
+    texts = coded.select("row", "id", "held_out", "codes", "bucket").mapInArrow(slim, slim_schema).join(
+        rest.select("row", "rest_known", "rest_own", F.col("own.pos").alias("pos"), F.col("own.class").cast("array<int>").alias("class")), "row", "left").select(
+        "id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).cast("long").alias("known"),
+        (F.col("own") + F.coalesce("rest_own", F.lit(0.0))).alias("own"), "classes", "at", "place", F.coalesce("pos", none).alias("pos"), F.coalesce("class", none).alias("class"))
+    texts = store(texts.mapInArrow(filled, texts_schema), "class-lm-texts")
     classes = CLASSES
 
-    def class_pairs(b: pa.RecordBatch) -> np.ndarray:
-        c = classes_in(b)
+    def pairs_of(b: pa.RecordBatch) -> np.ndarray:
+        """Class pair of each token of a batch."""
+        c = np.frombuffer(b"".join(b.column(b.schema.get_field_index("classes")).to_pylist()), np.uint8).astype(np.int64)
         return before(c) * classes + c
 
-    between = count_keys(texts.where(~F.col("held_out")), classes * classes, class_pairs).reshape(classes, classes)
+    between = count_keys(texts.where(~F.col("held_out")), classes * classes, pairs_of).reshape(classes, classes)
     prior = (class_n + 1) / (class_n.sum() + CLASSES)
     # log10 of the transition and of the emission's denominator, by class pair
     chain = np.log10((between + PRIOR * prior) / (between.sum(axis=1, keepdims=True) + PRIOR)) - np.log10(class_n + class_v + 1)
-    log_n = np.log10(head_n + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1000):
-            if not b.num_rows:
-                continue
-            codes, n = flat(b, "codes")
-            c, is_head, at = classes_in(b), codes >= 0, np.maximum(codes, 0)
-            first = np.cumsum(n) - n
-            values = (is_head & (head_n[at] > 0)).astype(np.int64), np.where(is_head, log_n[at], 0.0), chain[before(c), c]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n), *(pa.array(np.add.reduceat(x, first)) for x in values),
-                                   b.column(4), b.column(5)],
-                                  names=["id", "held_out", "n_tokens", "known", "own", "chain", "rest_known", "rest_own"])
-
-    schema = StructType([rows.schema["id"], StructField("held_out", BooleanType()), StructField("n_tokens", LongType()),
-                         StructField("known", LongType()), StructField("own", DoubleType()), StructField("chain", DoubleType()),
-                         StructField("rest_known", LongType()), StructField("rest_own", DoubleType())])
-    own = F.col("own") + F.col("rest_own")
+            if b.num_rows:
+                n = b.column(2).to_numpy(zero_copy_only=False)
+                yield pa.record_batch([*b.columns[:5], pa.array(np.add.reduceat(chain.ravel()[pairs_of(b)], np.cumsum(n) - n))],
+                                      names=["id", "held_out", "n_tokens", "known", "own", "chain"])
+
+    schema = StructType([*texts_schema.fields[:5], StructField("chain", DoubleType())])
     return texts.mapInArrow(score, schema).select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.col("rest_known")).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (own - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (own + F.col("chain")).alias("score"))
+        F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("own") - F.col("n_tokens") * float(np.log10(total + distinct + 1))).alias("base_score"), (F.col("own") + F.col("chain")).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

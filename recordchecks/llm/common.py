@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,23 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of a mostly empty vector: gaps between the others and their values, by
+    byte planes, deflated."""
+    at = np.flatnonzero(counts)
+    both = np.r_[np.diff(at, prepend=0), counts[at]].astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    """The vector of ``size`` counts of ``packed``."""
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    out = np.zeros(size)
+    out[np.cumsum(both[:len(both) // 2])] = both[len(both) // 2:]
+    return out
+
+
 def worker_state() -> dict:
     """A dict of this Python process that outlives a task: caches of a reused worker."""
     import sys

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from recordchecks.llm import class_lm
+from recordchecks.llm.common import packed, unpacked
 
 
 def held(i):
@@ -88,3 +89,9 @@ def test_empty_tables(make_docs):
     assert class_lm.scores(make_docs([])).collect() == []
     only = [(i, "never trained", "s") for i in range(200) if held(i)][:3]
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in class_lm.scores(make_docs(only)).collect())
+
+
+def test_packed_counts_come_back():
+    rng = np.random.default_rng(1)
+    for counts in (np.zeros(50), np.ones(50), np.arange(50), rng.integers(0, 2, 5000) * rng.integers(0, 2 ** 31, 5000)):
+        assert (unpacked(packed(counts.astype(np.float64)), len(counts)) == counts).all()
