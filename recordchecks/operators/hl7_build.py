@@ -1,7 +1,7 @@
 """HL7 ORU^R01 generation.
 
-Device records (JSON) are opened inside their own row, level by level to the
-depth of the data (G2), matched against the compiled mapping (G1, G3, J2),
+Device records (JSON) are opened inside their own row, whatever they nest (G2),
+matched against the compiled mapping (G1, G3, J2),
 numbered (W2) and assembled (G11) on the same row: no shuffle.  A mapping too
 large to compile into the plan is joined instead.  Every step is linear, or a
 sort, in the size of a record.
@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from recordchecks.functions import hl7 as H
 from recordchecks.functions.arrays import run_starts, running
 from recordchecks.functions.gen import explode_kept, inline_kept
+from recordchecks.functions.jsonwalk import scalars_below
 from recordchecks.rules import hl7_mapping as M
 
 # A mapping of more rows is joined instead of being compiled into the plan.
 MAX_COMPILED_ROWS = 2_000
+# Levels of a record opened by expressions of their own; deeper ones by a walk over tokens.
+FAST_LEVELS = 4
 
 
 def norm_key(c: Column) -> Column:
@@ -92,30 +95,14 @@ def _expand(arr: Column) -> Column:
     return F.flatten(F.transform(arr, step))
 
 
-def nesting(json: Column) -> Column:
-    """Nesting depth of a JSON text: strings and everything but brackets cut away, then a running level."""
-    brackets = F.split(F.regexp_replace(json, r'"(?:[^"\\\\]|\\\\.)*+"|[^{}\[\]"]', ""), "")
-    level = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
-    return F.aggregate(brackets, level, lambda a, c: F.struct(
-        (a["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"),
-        F.greatest(a["top"], a["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("top")))["top"]
-
-
-def levels_of(docs: DataFrame, json_col: str = "json") -> int:
-    """Levels to open: the nesting depth of the deepest document (one pass, one row)."""
-    return docs.agg(F.max(nesting(F.col(json_col)))).first()[0] or 0
-
-
-def flatten(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json", levels: int | None = None) -> DataFrame:
+def flatten(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
     """``(doc_id, path, top, idx, leaf, value, kind)`` for every scalar,
     keys normalised at every level, array elements as ``[i]``; JSON nulls give
     no row.  ``top`` is the first key, ``idx`` the index inside a first-level
-    array, ``leaf`` the last key.  The document is opened level by level inside
-    its own row (a chain of ``transform``s) and exploded once; ``levels`` is
-    measured when it is not given."""
-    levels = levels_of(docs, json_col) if levels is None else levels
+    array, ``leaf`` the last key.  The document is opened inside its own row,
+    whatever it nests, and exploded once."""
     v = docs.select(F.col(id_col).alias("doc_id"), F.try_parse_json(F.col(json_col)).alias("v"))
-    staged = v.select("doc_id", F.when(F.col("v").isNotNull(), _nodes(F.col("v"), levels)).alias("nodes"))
+    staged = v.select("doc_id", F.when(F.col("v").isNotNull(), _nodes(F.col("v"))).alias("nodes"))
     out = inline_kept(staged, ["doc_id"], "nodes", "path")
     kind = F.schema_of_variant("v")
     return out.select("doc_id", "path", "top", "idx", "leaf",
@@ -124,8 +111,7 @@ def flatten(docs: DataFrame, id_col: str = "doc_id", json_col: str = "json", lev
                       kind.alias("kind")).where(F.col("kind") != "VOID")
 
 
-def attr_values(docs: DataFrame, mapping: DataFrame, levels: int | None = None,
-                max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
+def attr_values(docs: DataFrame, mapping: DataFrame, max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
     """Mapped attribute values per document ``(doc_id, section, attr,
     item, value)``.  Scalar sections look the attribute up from the root,
     then under the section (first found wins); list sections (arrays of
@@ -134,7 +120,7 @@ def attr_values(docs: DataFrame, mapping: DataFrame, levels: int | None = None,
     # no filter on the parsed column: it would be pushed below the parse and
     # parse every document twice; unparseable ones drop at the generator
     v = docs.select("doc_id", F.try_parse_json("json").alias("v"))
-    m = _matched(v, mapping, levels_of(docs) if levels is None else levels, max_compiled).select("doc_id", "_best")
+    m = _matched(v, mapping, max_compiled).select("doc_id", "_best")
     return inline_kept(m, ["doc_id"], "_best", "section").select(
         "doc_id", "section", "attr", F.when(F.col("item") >= 0, F.col("item")).alias("item"), "identifier",
         "display_name", "data_type", "unit", "sequence", "value")
@@ -205,11 +191,14 @@ def _sections(mapping: DataFrame) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_list(one)).alias("_secs"))
 
 
-def _nodes(v: Column, levels: int) -> Column:
+def _nodes(v: Column) -> Column:
+    """Scalars of a document: ``FAST_LEVELS`` levels by expressions, what nests deeper
+    by one fold over its tokens, which other documents never reach."""
     arr = F.array(_node(F.lit(""), F.lit(None).cast("string"), F.lit(None), F.lit(None).cast("string"), v))
-    for _ in range(levels):
+    for _ in range(FAST_LEVELS):
         arr = _expand(arr)
-    return arr
+    return F.flatten(F.transform(arr, lambda e: F.when(
+        e["k"] == "S", F.array(e)).otherwise(scalars_below(e["v"], e["path"], e["top"], e["idx"], e["leaf"], norm_key))))
 
 
 def _candidate(n: Column, m: Column) -> Column:
@@ -226,7 +215,7 @@ def _key_of(n: Column) -> Column:
     return F.when(n["idx"].isNull(), n["path"]).otherwise(F.concat(n["top"], F.lit("|"), n["leaf"]))
 
 
-def _matched(df: DataFrame, mapping: DataFrame, levels: int, max_compiled: int) -> DataFrame:
+def _matched(df: DataFrame, mapping: DataFrame, max_compiled: int) -> DataFrame:
     """Adds ``_best``: the mapped values of each document, inside its row.
 
     A mapping of up to ``max_compiled`` rows becomes a literal map, so the
@@ -234,7 +223,7 @@ def _matched(df: DataFrame, mapping: DataFrame, levels: int, max_compiled: int)
     look-up key (its small side broadcast only if Spark finds it small), and
     the matches return to their document by its id."""
     keep = df.columns
-    opened = df.select(*keep, F.when(F.col("v").isNotNull(), _nodes(F.col("v"), levels)).alias("_nodes"))
+    opened = df.select(*keep, F.when(F.col("v").isNotNull(), _nodes(F.col("v"))).alias("_nodes"))
     entries = _entries(mapping)
     if mapping.count() <= max_compiled:
         by_key: dict[str, list] = {}
@@ -262,13 +251,13 @@ def _matched(df: DataFrame, mapping: DataFrame, levels: int, max_compiled: int)
     return first.select(*keep, best.alias("_best"))
 
 
-def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, levels: int, max_compiled: int) -> DataFrame:
+def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, max_compiled: int) -> DataFrame:
     """Adds ``rows``: per document, inside its row, the OBR and OBX rows in
     message order, numbered (W2): one OBR per section, one per item of a list
     section (D14), its OBX below it.  A section's values are sorted once;
     running counts number them."""
     keep = df.columns
-    m = _matched(df, mapping, levels, max_compiled)
+    m = _matched(df, mapping, max_compiled)
     one = _sections(mapping)  # one row of configuration, the same for every document
     if mapping.count() <= max_compiled:
         secs = one.first()["_secs"]
@@ -325,8 +314,7 @@ def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, levels: int, max_
     return st.select(*keep, F.flatten(F.transform(F.arrays_zip("_a", "_ids"), rows_of)).alias("rows"))
 
 
-def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str, levels: int | None = None,
-                 max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
+def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str, max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
     """G8-G10 + W2: OBR and OBX rows of the mapped sections, numbered:
     ``(doc_id, sec_seq, item, obr_set_id, obx_set_id, seg_name, identifier,
     value, segment)``.  Sections follow the OBR rows' sequence; a list
@@ -336,18 +324,18 @@ def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str, levels: int |
     # no filter on the parsed column: it would be pushed below the parse and
     # parse every document twice; unparseable ones drop at the generator
     v = docs.select("doc_id", F.try_parse_json("json").alias("v"))
-    plan = _with_rows(v, mapping, obs_ts, levels_of(docs) if levels is None else levels, max_compiled)
+    plan = _with_rows(v, mapping, obs_ts, max_compiled)
     return inline_kept(plan.select("doc_id", F.when(F.col("v").isNotNull(), F.col("rows")).alias("rows")), ["doc_id"], "rows", "seg_name")
 
 
 def messages(docs: DataFrame, mapping: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST",
-             levels: int | None = None, max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
+             max_compiled: int = MAX_COMPILED_ROWS) -> DataFrame:
     """G11+G12: ``(doc_id, status, error, n_segments, hl7_message)``.  The
     whole message is built inside the document's row - headers, the section
     rows, BTS - and joined with ``\r`` (D9).  An unparseable record gets
     status ``error``; the batch goes on."""
     h = header_segments(docs, run_ts, obs_ts, tz)
-    staged = _with_rows(h, mapping, obs_ts, levels_of(docs) if levels is None else levels, max_compiled)
+    staged = _with_rows(h, mapping, obs_ts, max_compiled)
     segs = F.concat(F.array("bhs", "msh", "pid", "pv1", "orc", "fixed_obr", "nte1", "nte2"),
                     F.array_compact(F.array("device_obx")),
                     F.transform("rows", lambda r: r["segment"]), F.array("bts"))

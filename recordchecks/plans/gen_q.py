@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordchecks.operators import hl7_build as B
 from recordchecks.plans.json_sql import DOCS_SQL
 from recordchecks.plans.registry import query
-from recordchecks.sources.bindings import DEVICE_RECORD_LEVELS, device_records
+from recordchecks.sources.bindings import device_records
 from recordchecks.sources.tables import table
 
 RUN_TS = "20250101120000"
@@ -20,11 +20,11 @@ def _docs(spark, d):
 
 
 def _sections(spark, d):
-    return B.section_rows(_docs(spark, d), B.mapping_frame(spark), OBS_TS, DEVICE_RECORD_LEVELS)
+    return B.section_rows(_docs(spark, d), B.mapping_frame(spark), OBS_TS)
 
 
 def _messages(spark, d):
-    return B.messages(_docs(spark, d), B.mapping_frame(spark), RUN_TS, OBS_TS, levels=DEVICE_RECORD_LEVELS)
+    return B.messages(_docs(spark, d), B.mapping_frame(spark), RUN_TS, OBS_TS)
 
 
 @query("json_flatten", "WITH " + DOCS_SQL + """
@@ -38,7 +38,7 @@ SELECT v.doc_id, upper(replace(replace(replace(substr(t.fullkey, 3), '"', ''), '
        ELSE t.type END AS kind
 FROM vd v, json_tree(v.json) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')""")
 def q_flatten(spark, d):
-    return B.flatten(_docs(spark, d), levels=DEVICE_RECORD_LEVELS).select("doc_id", "path", "value", "kind")
+    return B.flatten(_docs(spark, d)).select("doc_id", "path", "value", "kind")
 
 
 
@@ -170,7 +170,7 @@ def q_set_ids(spark, d):
 @query("json_attr_values", f"""WITH {GEN_CTES}
 SELECT x.doc_id, x.section, m.attr, x.item, x.value FROM obx x JOIN mp m ON x.identifier = m.identifier""")
 def q_attr_values(spark, d):
-    return B.attr_values(_docs(spark, d), B.mapping_frame(spark), DEVICE_RECORD_LEVELS).select(
+    return B.attr_values(_docs(spark, d), B.mapping_frame(spark)).select(
         "doc_id", "section", "attr", "item", "value")
 
 
@@ -210,9 +210,7 @@ SELECT o_orderkey AS sequence, CASE WHEN o_orderkey % 47 = 0 THEN 'error' ELSE '
        CASE WHEN o_orderkey % 47 = 0 THEN 'Error generating HL7 message: record is not valid JSON' END AS error
 FROM orders""")
 def q_status(spark, d):
-    return B.header_segments(_docs(spark, d), RUN_TS, OBS_TS).select(
-        F.col("doc_id").alias("sequence"), F.when(F.col("parsed"), "success").otherwise("error").alias("status"),
-        F.when(~F.col("parsed"), F.lit("Error generating HL7 message: record is not valid JSON")).alias("error"))
+    return _messages(spark, d).select(F.col("doc_id").alias("sequence"), "status", "error")
 
 
 @query("hl7_gen_totals", """

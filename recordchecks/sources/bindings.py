@@ -126,9 +126,6 @@ def hl7_messages(spark: SparkSession, d: str) -> DataFrame:
 _MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
 
-DEVICE_RECORD_LEVELS = 4  # nesting of the device records below, by construction
-
-
 def device_records(spark: SparkSession, d: str) -> DataFrame:
     """``docs(doc_id, json)``: one device treatment record per order, shaped
     like the clinic export (nested objects, keys with spaces and ``-``, an

@@ -29,9 +29,45 @@ def test_flatten_any_depth(spark):
     assert rows == {path: "80", "S": '{"[\\'}
 
 
-def test_device_records_nest_as_stated(spark):
-    from conftest import SF_SMALL
-    assert B.levels_of(bindings.device_records(spark, SF_SMALL)) == bindings.DEVICE_RECORD_LEVELS
+def _walk(v, path="", key=None):
+    """Scalars of a parsed document by plain recursion."""
+    if isinstance(v, dict):
+        for k, x in v.items():
+            k = k.upper().replace(" ", "_").replace("-", "_")
+            yield from _walk(x, f"{path}.{k}" if path else k, k)
+    elif isinstance(v, list):
+        for i, x in enumerate(v):
+            yield from _walk(x, f"{path}[{i}]", key)
+    elif v is not None:
+        yield path, key, v if isinstance(v, str) else json.dumps(v)
+
+
+ODD = [{"a b": {"c-d": [[1, [2, {"x": [3, "y"]}]], {"k": {"l": {"m": {"n": [True, None, "", "q\"uo\\te {[:,"]}}}}]}},
+       [[[[[[{"deep": 1}, {"deep": [2]}]]]]]], {"e": {"f": {"g": {"h": {}}}}, "i": [[[[[]]]]]}, {"p": {"q": {"r": {"s": {"é ü": 1.5, "z": -2}}}}},
+       {"wide": {"a": {"b": {"c": {"d": list(range(500))}}}}}]
+
+
+def test_flatten_equals_recursion(spark, monkeypatch):
+    docs = [(i, json.dumps(o, ensure_ascii=i % 2 == 0)) for i, o in enumerate(ODD)]
+    df = spark.createDataFrame(docs, "doc_id long, json string")
+    whole = [sorted(tuple(r) for r in B.flatten(df).collect())]
+    for fast in (0, 1, 12):  # all by tokens, nearly all, none
+        monkeypatch.setattr(B, "FAST_LEVELS", fast)
+        whole.append(sorted(tuple(r) for r in B.flatten(df).collect()))
+    assert all(w == whole[0] for w in whole)
+    got = sorted((r[0], r[1], r[4], r[5]) for r in whole[0])
+    assert got == sorted((i, *x) for i, o in enumerate(ODD) for x in _walk(o))
+
+
+def test_very_deep_records_beside_a_broken_one(spark):
+    """Valid records of 10 and 300 levels give their messages, 300 open brackets one error row."""
+    docs = [(1, json.dumps({"Vitals": _nested(10)})), (2, json.dumps({"Vitals": _nested(300)})), (3, "[" * 300), (4, "{" * 300)]
+    df = spark.createDataFrame(docs, "doc_id long, json string")
+    rows = {(r.doc_id, r.path): r.value for r in B.flatten(df).collect()}
+    assert rows == {(i, "VITALS." + ".".join(f"L{k}" for k in range(1, n + 1)) + ".WEIGHT"): str(70 + n) for i, n in ((1, 10), (2, 300))}
+    got = {r.doc_id: r for r in B.messages(df, _mapping(spark), "20250101", "20250101").collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == ["success", "success", "error", "error"]
+    assert "OBX|1|NM|W^Weight|2|80|kg|||||F" in got[1].hl7_message and got[3].hl7_message is None
 
 
 def _mapping(spark):
