@@ -354,12 +354,12 @@ def gen_totals(msgs: DataFrame) -> DataFrame:
 
 
 def file_manifest(msgs: DataFrame, prefix: str = "hl7_output") -> DataFrame:
-    """File name per successful message (``{prefix}_{seq:03d}.hl7``);
-    the bodies go out with ``sources.sinks.write_messages``."""
+    """File name and body of each successful message (``{prefix}_{seq:03d}.hl7``);
+    they go out with ``sources.sinks.write_message_files``."""
     return msgs.where(F.col("status") == "success").select(
         F.col("doc_id").alias("sequence"),
         F.format_string(f"{prefix}_%03d.hl7", F.col("doc_id")).alias("file_name"),
-        F.length("hl7_message").alias("n_chars"))
+        F.length("hl7_message").alias("n_chars"), "hl7_message")
 
 
 # ------------------------------------------------------------------ G13-G16

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from recordchecks.operators import hl7_build as B
 from recordchecks.plans.json_sql import DOCS_SQL
 from recordchecks.plans.registry import query
+from recordchecks.session import shared_path
 from recordchecks.sources.bindings import device_records
+from recordchecks.sources.sinks import read_message_files, write_message_files
 from recordchecks.sources.tables import table
 
 RUN_TS = "20250101120000"
@@ -41,22 +43,10 @@ def q_flatten(spark, d):
     return B.flatten(_docs(spark, d)).select("doc_id", "path", "value", "kind")
 
 
-
-
 def _headers(spark, d):
     return B.header_segments(_docs(spark, d), RUN_TS, OBS_TS).where("parsed")
 
 
-
-
-
-
-
-
-
-
-
-
 GEN_CTES = r"""
 li AS (
   SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus,
@@ -174,7 +164,7 @@ def q_attr_values(spark, d):
         "doc_id", "section", "attr", "item", "value")
 
 
-@query("hl7_messages", f"""WITH {GEN_CTES},
+_MESSAGES_SQL = f"""WITH {GEN_CTES},
 segs AS (
   SELECT doc_id, 0 AS o1, 0 AS o2, 0 AS o3, bhs AS seg FROM hdr
   UNION ALL SELECT doc_id, 1, 0, 0, msh FROM hdr UNION ALL SELECT doc_id, 2, 0, 0, pid FROM hdr
@@ -188,7 +178,10 @@ segs AS (
          || '|' || x.value || '|' || m.unit || '|||||F' FROM obx x JOIN mp m ON x.identifier = m.identifier
   UNION ALL SELECT doc_id, 10, 0, 0, bts FROM hdr)
 SELECT doc_id, count(*) AS n_segments, string_agg(seg, chr(13) ORDER BY o1, o2, o3) AS hl7_message
-FROM segs GROUP BY doc_id""")
+FROM segs GROUP BY doc_id"""
+
+
+@query("hl7_messages", _MESSAGES_SQL)
 def q_messages(spark, d):
     return _messages(spark, d).where("status = 'success'").select("doc_id", "n_segments", "hl7_message")
 
@@ -199,12 +192,6 @@ def q_obx(spark, d):
         "doc_id", "obr_set_id", F.col("obx_set_id").cast("bigint").alias("obx_set_id"), "identifier", "value")
 
 
-
-
-
-
-
-
 @query("hl7_gen_status", """
 SELECT o_orderkey AS sequence, CASE WHEN o_orderkey % 47 = 0 THEN 'error' ELSE 'success' END AS status,
        CASE WHEN o_orderkey % 47 = 0 THEN 'Error generating HL7 message: record is not valid JSON' END AS error
@@ -220,11 +207,14 @@ def q_totals(spark, d):
     return B.gen_totals(_messages(spark, d))
 
 
-@query("hl7_file_manifest", """
-SELECT o_orderkey AS sequence, printf('hl7_output_%03d.hl7', o_orderkey) AS file_name
-FROM orders WHERE o_orderkey % 47 <> 0""")
+@query("hl7_file_manifest", f"""
+SELECT doc_id AS sequence, printf('hl7_output_%03d.hl7', doc_id) AS file_name, length(hl7_message) AS n_chars, hl7_message
+FROM ({_MESSAGES_SQL})""")
 def q_manifest(spark, d):
-    return B.file_manifest(_messages(spark, d)).select("sequence", "file_name")
+    """All messages written under their names and read back."""
+    path = shared_path(spark, "hl7_output")
+    write_message_files(B.file_manifest(_messages(spark, d)), path)
+    return read_message_files(spark, path).select("sequence", "file_name", F.length("hl7_message").alias("n_chars"), "hl7_message")
 
 
 def relational_segments(spark, d):
@@ -253,14 +243,6 @@ def relational_segments(spark, d):
     return B.oru_segments(patients, orders, obs, RUN_TS), orders
 
 
-
-
-
-
-
-
-
-
 ORU_CTES = r"""
 ob AS (
   SELECT l_orderkey, l_linenumber,

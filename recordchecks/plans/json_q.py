@@ -10,7 +10,9 @@ from recordchecks.functions.jsonpath import lookup, steps, targets
 from recordchecks.operators import json_rules as J
 from recordchecks.plans.json_sql import DOCS_SQL, with_checks
 from recordchecks.plans.registry import query
+from recordchecks.session import shared_path
 from recordchecks.sources.bindings import device_records
+from recordchecks.sources.sinks import write_json
 
 DEVICE = "AMIA"
 
@@ -69,6 +71,18 @@ def q_field_checks(spark, d):
     return fc.select(*[F.array_join("errors", "; ").alias("errors") if c == "errors" else c for c in _FC])
 
 
+@query("sink_json", with_checks("""
+SELECT doc_id, rule_no, field_path, extract_column, data_type, is_required, is_valid,
+       array_to_string(errors, '; ') AS errors, is_required_missing, actual_value FROM fce"""))
+def q_sink_json(spark, d):
+    """The detailed validation results written as JSON lines and read back."""
+    path = shared_path(spark, "validation_json")
+    checks = J.field_checks(_validated(spark, d))
+    write_json(checks, path)
+    back = spark.read.schema(checks.schema).json(path)
+    return back.select(*[F.array_join("errors", "; ").alias("errors") if c == "errors" else c for c in _FC])
+
+
 @query("json_required", with_checks("""
 SELECT doc_id, rule_no, field_path FROM fce WHERE is_required_missing"""))
 def q_required(spark, d):

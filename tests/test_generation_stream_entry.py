@@ -108,13 +108,18 @@ def test_oracles_small(spark):
 
 
 def test_message_sink_and_mapping_csv(spark, tmp_path):
-    from recordchecks.sources.sinks import write_messages
+    from recordchecks.sources.sinks import read_message_files, write_message_files, write_messages
     docs = _doc(spark)
     m = B.messages(docs, B.mapping_frame(spark), "20250101120000", "20250101123423").where("status = 'success'")
     out = str(tmp_path / "msgs")
     write_messages(m, out)
     back = spark.read.option("lineSep", "\n").text(out)
     assert back.count() >= 2  # message text written one row per message (segments joined by \r)
+    named = B.file_manifest(m)
+    write_message_files(named, str(tmp_path / "named"))
+    got = {r.file_name: r.hl7_message for r in read_message_files(spark, str(tmp_path / "named")).collect()}
+    assert got == {r.file_name: r.hl7_message for r in named.collect()} and all("\r" in x for x in got.values())
+    assert (tmp_path / "named" / "_SUCCESS").exists()
     p = tmp_path / "map.csv"
     p.write_text("SEGMENT,SEGMENT_ID,CHILD_OBR,JSON_ATTRIBUTE,HL7_KEY,IDENTIFIER,DISPLAY_NAME,DATA_TYPE,UNIT,SEQUENCE\n"
                  "OBX,,Vitals,Pre-Treatment.Weight,OBX.5,W,Weight,NM,kg,\n")
