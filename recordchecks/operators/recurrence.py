@@ -10,7 +10,7 @@ bound is inclusive on the occurrence start.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordchecks.functions.gen import posexplode_kept
@@ -148,23 +148,29 @@ def schedule_findings(schedules: DataFrame) -> DataFrame:
         "schedule_id", F.lit("day_of_month must be between 1 and 31").alias("finding"))
 
 
-def coverage(occ: DataFrame, events: DataFrame, key: str = "user_id", ts: str = "ts") -> DataFrame:
+def coverage(occ: DataFrame, events: DataFrame, key: str = "user_id", ts: str = "ts", block: str = "day") -> DataFrame:
     """Events inside each occurrence ``[start, end)``, zero for none.
 
-    Range join bucketed by day: each occurrence is listed under every day it
-    touches (a few), each event under its own day, and the equi-join runs on
-    (key, day) with the time range as the residual condition.  So a key with
-    a third of all events meets only that day's occurrences, never all of
-    them.  The join is inner, so AQE may split either side of a hot (key,
-    day); its rows are counted by partial aggregation, and the counts are
-    joined to the occurrences.  An event has one day, so it is counted once
-    per occurrence."""
-    ids = ["schedule_id", "occ_no", "start_ts", "end_ts"]
-    last = F.col("end_ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0.000001))
-    od = occ.select(*ids, F.explode(F.sequence(F.to_date("start_ts"), F.to_date(F.greatest(last, F.col("start_ts")))))
-                    .alias("_day"))
-    ev = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), F.to_date(F.col(ts)).alias("_eday"))
-    counts = od.join(ev, (od["schedule_id"] == ev["_k"]) & (od["_day"] == ev["_eday"])
-                     & (ev["_ts"] >= od["start_ts"]) & (ev["_ts"] < od["end_ts"])).groupBy(*ids).agg(
-        F.count("_ts").alias("n_events"))
-    return occ.select(*ids).join(counts, ids, "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long")))
+    A sweep, not a join of events to occurrences: the count of an occurrence is
+    the number of its key's events before its end less those before its start.
+    Events and bounds are laid out by (key, block of time) and counted up within
+    the block; the totals of the blocks, one row each, are counted up by key and
+    carried in.  So the work is linear however many events an occurrence holds,
+    and a key with a third of all events is split by its blocks.  Occurrences are
+    told apart by ``schedule_id`` and ``occ_no``; events without key or time count
+    nowhere."""
+    kind = occ.schema["start_ts"].dataType
+    # at one time, bounds stand before events: the end is outside, the start inside.  _n: 1 for an event
+    bound = F.inline(F.array(F.struct(F.col("start_ts").alias("_t"), F.lit(True).alias("_first")), F.struct(F.col("end_ts").alias("_t"), F.lit(False).alias("_first"))))
+    bounds = occ.select(F.col("schedule_id").alias("_k"), "occ_no", bound).withColumn("_n", F.lit(0))
+    seen = events.select(F.col(key).alias("_k"), F.lit(None).cast(occ.schema["occ_no"].dataType).alias("occ_no"), F.col(ts).cast(kind).alias("_t"),
+                         F.lit(None).cast("boolean").alias("_first"), F.lit(1).alias("_n")).where("_k is not null and _t is not null")
+    points = bounds.unionByName(seen).withColumn("_block", F.date_trunc(block, "_t"))
+    before = F.sum("_n").over(Window.partitionBy("_k", "_block").orderBy("_t", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = points.withColumn("_before", before).where("_n = 0")
+    totals = points.groupBy("_k", "_block").agg(F.sum("_n").alias("_total"))
+    carried = totals.select("_k", "_block", (F.sum("_total").over(Window.partitionBy("_k").orderBy("_block")) - F.col("_total")).alias("_carried"))
+    count = F.col("_before") + F.col("_carried")
+    return within.join(carried, ["_k", "_block"]).groupBy(F.col("_k").alias("schedule_id"), "occ_no").agg(
+        F.max(F.when(F.col("_first"), F.col("_t"))).alias("start_ts"), F.max(F.when(~F.col("_first"), F.col("_t"))).alias("end_ts"),
+        F.greatest(F.sum(F.when(F.col("_first"), -count).otherwise(count)), F.lit(0)).cast("long").alias("n_events"))

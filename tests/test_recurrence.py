@@ -87,3 +87,28 @@ def test_findings_and_coverage(spark):
                                "user_id bigint, ts timestamp_ntz")
     cov = {r.occ_no: r.n_events for r in coverage(occurrences(sched), ev).collect()}
     assert cov == {1: 1, 2: 1}
+
+
+def test_coverage_of_a_hot_key_equals_counting(spark):
+    """A key with a third of all events; bounds and events at one time; keys without events."""
+    import random
+    rng = random.Random(5)
+    at = lambda: T(2024, 1, 1) + dt.timedelta(minutes=30 * rng.randrange(1500))
+    events = [(1 if i % 3 == 0 else rng.randrange(2, 40), at()) for i in range(3000)] + [(None, at()), (3, None)]
+    occ = []
+    for i in range(400):
+        start = at()
+        occ.append((rng.randrange(1, 60), "daily", i, start, start + dt.timedelta(minutes=rng.choice([0, 30, 60, 5000]))))
+    got = coverage(spark.createDataFrame(occ, "schedule_id bigint, kind string, occ_no int, start_ts timestamp_ntz, end_ts timestamp_ntz"),
+                   spark.createDataFrame(events, "user_id bigint, ts timestamp_ntz")).collect()
+    assert {(r.schedule_id, r.occ_no, r.n_events) for r in got} == {
+        (k, n, sum(e == k and t is not None and s <= t < end for e, t in events)) for k, _, n, s, end in occ}
+    assert len(got) == len(occ)
+
+
+def test_coverage_joins_no_events_to_occurrences(spark):
+    """The only join is that of the blocks' totals; events meet occurrences in a window."""
+    occ = spark.createDataFrame([(1, 1, T(2024, 1, 1), T(2024, 1, 2))], "schedule_id bigint, occ_no int, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    ev = spark.createDataFrame([(1, T(2024, 1, 1, 5))], "user_id bigint, ts timestamp_ntz")
+    plan = coverage(occ, ev)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Window" in plan and coverage(occ, ev).first().n_events == 1
