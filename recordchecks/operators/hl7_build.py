@@ -362,7 +362,7 @@ def file_manifest(msgs: DataFrame, prefix: str = "hl7_output") -> DataFrame:
         F.length("hl7_message").alias("n_chars"), "hl7_message")
 
 
-# ------------------------------------------------------------------ G13-G16
+# ------------------------------------------------------------------ G13, G14, G16 (text); G15 and XML: hl7_groups.py
 def oru_segments(patients: DataFrame, orders: DataFrame, observations: DataFrame, run_ts: str) -> DataFrame:
     """One ORU^R01 per order from relational parts.
 
@@ -412,66 +412,3 @@ def oru_multi_patient(segs: DataFrame, group: Column, run_ts: str) -> DataFrame:
     return g.select(F.col("batch_key").cast("string").alias("msg_id"),
                     F.size(F.array_distinct(F.transform("parts", lambda p: p["patient_id"]))).alias("n_patients"),
                     F.size(segs_all).alias("n_segments"), F.array_join(segs_all, "\r").alias("raw"))
-
-
-def oru_structure(raw_messages: DataFrame) -> DataFrame:
-    """Structural findings before export: strict-profile structure and
-    required-field errors, plus the group rule - every OBX follows an OBR,
-    and OBX.1 runs 1..n under each OBR."""
-    from recordchecks.operators import hl7_validate as HV
-    # message-structure rules only: ORC and PV1 are optional in an ORU^R01
-    # patient-result group, so their absence is not a structural error
-    base = HV.findings(raw_messages, ("strict",)).where(
-        F.col("code").isin("no_obx", "parse")
-        | ((F.col("code") == "segment_missing") & F.col("location").isin("MSH", "PID", "OBR", "OBX"))
-        | ((F.col("code") == "required") & F.col("location").startswith("MSH."))).select(
-        "msg_id", "severity", "code", "location", "message")
-    p = raw_messages.select("msg_id", H.parse_segments(F.col("raw")).alias("segs"))
-    # for each segment the last OBR at or before it (-1: none) and the OBX so far
-    obr_at = F.transform("segs", lambda a, i: F.when(H.seg_name(a) == "OBR", i).otherwise(-1))
-    is_obx = F.transform("segs", lambda a: F.when(H.seg_name(a) == "OBX", 1).otherwise(0))
-    p = p.select("msg_id", "segs", obr_at.alias("obr_at"), is_obx.alias("is_obx"))
-    p = p.select("msg_id", "segs",
-                 F.zip_with(running(F.col("obr_at"), F.lit(-1), lambda a, b: F.greatest(a, b)), "obr_at", lambda a, b: F.greatest(a, b)).alias("last_obr"),
-                 F.zip_with(running(F.col("is_obx"), F.lit(0), lambda a, b: a + b), "is_obx", lambda a, b: a + b).alias("n_obx"))
-    checks = F.transform(F.arrays_zip("segs", "last_obr", "n_obx"), lambda z, i: F.struct(
-        i.alias("pos"), H.seg_name(z["segs"]).alias("name"), F.get(z["segs"], 1).alias("set_id"),
-        (z["last_obr"] >= 0).alias("has_obr"),
-        (z["n_obx"] - F.coalesce(F.get("n_obx", z["last_obr"]), F.lit(0))).alias("since_obr")))
-    rows = explode_kept(p, ["msg_id"], checks, "c").select("msg_id", "c.*").where(F.col("name") == "OBX")
-    grp = rows.select(
-        "msg_id",
-        F.when(~F.col("has_obr"), F.lit("OBX is not inside an OBR group"))
-        .when(F.col("set_id") != F.col("since_obr").cast("string"),
-              F.concat(F.lit("OBX set id "), F.coalesce(F.col("set_id"), F.lit("")), F.lit(" out of sequence, expected "),
-                       F.col("since_obr").cast("string"))).alias("message"),
-        F.col("pos")).where(F.col("message").isNotNull())
-    grp = grp.select("msg_id", F.lit("error").alias("severity"), F.lit("group").alias("code"),
-                     F.concat(F.lit("segment "), (F.col("pos") + 1).cast("string")).alias("location"), "message")
-    return base.unionByName(grp)
-
-
-def _xml_text(c: Column) -> Column:
-    out = c
-    for ch, ent in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        out = F.replace(out, F.lit(ch), F.lit(ent))
-    return out
-
-
-def oru_xml(raw_messages: DataFrame) -> DataFrame:
-    """G16 XML: ``<ORU_R01><SEG><SEG.n>value</SEG.n>...</SEG>...</ORU_R01>``,
-    non-empty fields only, MSH numbered as in the rules (MSH.1 the
-    separator), text escaped."""
-    p = raw_messages.select("msg_id", H.parse_segments(F.col("raw")).alias("segs"))
-
-    def seg_xml(a):
-        name = H.seg_name(a)
-        is_msh = name == "MSH"
-        fields = F.transform(F.slice(a, F.lit(2), F.size(a) - 1), lambda v, i: F.when(
-            v != "", F.concat(F.lit("<"), name, F.lit("."), (i + F.when(is_msh, 2).otherwise(1)).cast("string"),
-                              F.lit(">"), _xml_text(v), F.lit("</"), name, F.lit("."),
-                              (i + F.when(is_msh, 2).otherwise(1)).cast("string"), F.lit(">"))))
-        head = F.when(is_msh, F.lit("<MSH.1>|</MSH.1>")).otherwise(F.lit(""))
-        return F.concat(F.lit("<"), name, F.lit(">"), head, F.array_join(fields, ""), F.lit("</"), name, F.lit(">"))
-    xml = F.concat(F.lit("<ORU_R01>"), F.array_join(F.transform("segs", seg_xml), ""), F.lit("</ORU_R01>"))
-    return p.select("msg_id", xml.alias("xml"))

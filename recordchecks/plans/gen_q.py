@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordchecks.operators import hl7_build as B
+from recordchecks.operators import hl7_groups as HG
 from recordchecks.plans.json_sql import DOCS_SQL
 from recordchecks.plans.registry import query
 from recordchecks.session import shared_path
@@ -290,33 +291,113 @@ def q_oru_multi(spark, d):
     return B.oru_multi_patient(segs, key, RUN_TS)
 
 
-@query("oru_structure", "WITH " + ORU_CTES + """
+def _broken(segs, key):
+    """Faults of structure by key: an order without OBR, a wrong set id, PID after OBR,
+    two patients with one set id, and (no fault) two patients numbered rightly."""
+    r, s = F.pmod(key.cast("bigint"), F.lit(31)), F.col("segs")
+    named = lambda n: F.filter(s, lambda a: F.startswith(a, F.lit(n)))
+    second = lambda pid: F.concat(s, F.transform(F.slice(s, F.lit(2), F.size(s) - 1), lambda a: F.when(
+        F.startswith(a, F.lit("PID|1|")), F.concat(F.lit(pid), F.substr(a, F.lit(7)))).otherwise(a)))
+    return segs.withColumn("segs", F.when(r == 1, F.filter(s, lambda a: ~F.startswith(a, F.lit("OBR"))))
+                           .when(r == 2, F.transform(s, lambda a: F.when(F.startswith(a, F.lit("OBX|1|")), F.concat(
+                               F.lit("OBX|9|"), F.substr(a, F.lit(7)))).otherwise(a)))
+                           .when(r == 3, F.concat(named("MSH"), named("PV1"), named("OBR"), named("PID"), named("OBX")))
+                           .when(r == 4, second("PID|1|")).when(r == 5, second("PID|2|")).otherwise(s))
+
+
+MSH_SQL = r"""'MSH|^~\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01^ORU_R01|' || msg_id || '|P|2.5'"""
+BROKEN_SQL = "WITH " + ORU_CTES + f""",
+whole AS (SELECT msg_id, o_orderkey % 31 AS r, body, body[1] AS pid, body[2] AS pv1, body[3] AS obr, body[4:] AS obx FROM om),
+broken AS (
+  SELECT msg_id, r, [{MSH_SQL}] || CASE r
+    WHEN 1 THEN [pid, pv1] || obx
+    WHEN 2 THEN [pid, pv1, obr] || list_transform(obx, lambda x: CASE WHEN x LIKE 'OBX|1|%' THEN 'OBX|9|' || substr(x, 7) ELSE x END)
+    WHEN 3 THEN [pv1, obr, pid] || obx
+    WHEN 4 THEN body || body
+    WHEN 5 THEN body || ['PID|2|' || substr(pid, 7), pv1, obr] || obx
+    ELSE body END AS segs FROM whole),
+flat AS (
+  SELECT msg_id, i, seg, split_part(seg, '|', 1) AS name, split_part(seg, '|', 2) AS sid
+  FROM (SELECT msg_id, unnest(segs) AS seg, unnest(range(1, CAST(len(segs) AS BIGINT) + 1)) AS i FROM broken)),
+grp AS (
+  SELECT *, count(*) FILTER (WHERE name = 'PID') OVER w AS np,
+    count(*) FILTER (WHERE name IN ('PID', 'OBR')) OVER w AS nb,
+    coalesce(lag(name) OVER (PARTITION BY msg_id ORDER BY i), 'message start') AS prev
+  FROM flat WINDOW w AS (PARTITION BY msg_id ORDER BY i)),
+num AS (
+  SELECT *, count(*) FILTER (WHERE name = 'OBR') OVER (PARTITION BY msg_id, np ORDER BY i) AS nr,
+    count(*) FILTER (WHERE name = 'OBX') OVER (PARTITION BY msg_id, nb ORDER BY i) AS nx FROM grp)"""
+
+
+@query("oru_structure", BROKEN_SQL + """,
+allowed(a, b) AS (VALUES ('message start', 'MSH'), ('MSH', 'PID'), ('PID', 'PV1'), ('PID', 'ORC'), ('PID', 'OBR'),
+  ('PV1', 'ORC'), ('PV1', 'OBR'), ('ORC', 'OBR'), ('OBR', 'OBX'), ('OBX', 'OBX'), ('OBX', 'ORC'), ('OBX', 'OBR'), ('OBX', 'PID')),
+due AS (SELECT *, CASE name WHEN 'PID' THEN np WHEN 'OBR' THEN nr WHEN 'OBX' THEN nx END AS expected FROM num),
+has AS (SELECT msg_id, bool_or(name = 'OBX') AS obx, bool_or(name = 'OBR') AS obr, max(i) AS n, arg_max(name, i) AS last
+        FROM flat GROUP BY msg_id)
 SELECT msg_id, 'error' AS severity, 'segment_missing' AS code, 'OBX' AS location,
-       'Required segment OBX is missing' AS message FROM om WHERE len(body) = 3
-UNION ALL SELECT msg_id, 'error', 'no_obx', 'OBX', 'At least one OBX segment is required for ORU_R01'
-FROM om WHERE len(body) = 3""")
+       'Required segment OBX is missing' AS message FROM has WHERE NOT obx
+UNION ALL SELECT msg_id, 'error', 'segment_missing', 'OBR', 'Required segment OBR is missing' FROM has WHERE NOT obr
+UNION ALL SELECT msg_id, 'error', 'no_obx', 'OBX', 'At least one OBX segment is required for ORU_R01' FROM has WHERE NOT obx
+UNION ALL SELECT msg_id, 'error', 'group', 'segment ' || i, name || ' is not expected after ' || prev
+FROM due WHERE NOT EXISTS (SELECT 1 FROM allowed WHERE a = prev AND b = name)
+UNION ALL SELECT msg_id, 'error', 'group', 'segment ' || i, name || ' set id ' || sid || ' out of sequence, expected ' || expected
+FROM due WHERE expected IS NOT NULL AND sid <> CAST(expected AS VARCHAR)
+UNION ALL SELECT msg_id, 'error', 'group', 'segment ' || n, 'message ends after ' || last FROM has WHERE last <> 'OBX'""")
 def q_oru_structure(spark, d):
     segs, _ = relational_segments(spark, d)
-    return B.oru_structure(B.oru_messages(segs))
+    return HG.structure(B.oru_messages(_broken(segs, F.col("order_id"))))
 
 
-@query("oru_xml", "WITH " + ORU_CTES + """,
-sg AS (
-  SELECT msg_id, i, string_split(seg, '|') AS f
-  FROM (SELECT msg_id, unnest(sl) AS seg, unnest(range(CAST(len(sl) AS BIGINT))) AS i
-        FROM (SELECT msg_id, ['MSH|^~\\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01^ORU_R01|'
-                     || msg_id || '|P|2.5'] || body AS sl FROM om))),
+_XML_SQL = BROKEN_SQL + """,
 fx AS (
-  SELECT msg_id, i, f[1] AS name, j, f[j] AS v
-  FROM (SELECT *, unnest(range(2, CAST(len(f) AS BIGINT) + 1)) AS j FROM sg)),
+  SELECT msg_id, i, name, j + CASE WHEN name = 'MSH' THEN 1 ELSE 0 END AS j, f[j + 1] AS v
+  FROM (SELECT *, unnest(range(1, CAST(len(f) AS BIGINT))) AS j FROM (SELECT *, string_split(seg, '|') AS f FROM num))),
 sx AS (
-  SELECT s.msg_id, s.i, '<' || s.f[1] || '>' || (CASE WHEN s.f[1] = 'MSH' THEN '<MSH.1>|</MSH.1>' ELSE '' END)
-    || coalesce((SELECT string_agg('<' || x.name || '.' || (x.j - CASE WHEN x.name = 'MSH' THEN 0 ELSE 1 END) || '>'
-         || replace(replace(replace(x.v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
-         || '</' || x.name || '.' || (x.j - CASE WHEN x.name = 'MSH' THEN 0 ELSE 1 END) || '>', '' ORDER BY x.j)
-       FROM fx x WHERE x.msg_id = s.msg_id AND x.i = s.i AND x.v <> ''), '') || '</' || s.f[1] || '>' AS sxml
-  FROM sg s)
-SELECT msg_id, '<ORU_R01>' || string_agg(sxml, '' ORDER BY i) || '</ORU_R01>' AS xml FROM sx GROUP BY msg_id""")
+  SELECT msg_id, i, string_agg('<' || name || '.' || j || '>' || replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+         || '</' || name || '.' || j || '>', '' ORDER BY j) FILTER (WHERE v <> '') AS fields
+  FROM fx GROUP BY msg_id, i),
+px AS (
+  SELECT n.msg_id, n.i, CASE
+      WHEN name = 'PID' AND np > 1 THEN '</ORU_R01.ORDER_OBSERVATION></ORU_R01.PATIENT_RESULT><ORU_R01.PATIENT_RESULT>'
+      WHEN name = 'PID' THEN '<ORU_R01.PATIENT_RESULT>' WHEN name = 'OBR' THEN '<ORU_R01.ORDER_OBSERVATION>' ELSE '' END
+    || '<' || name || '>' || CASE WHEN name = 'MSH' THEN '<MSH.1>|</MSH.1>' ELSE '' END || coalesce(fields, '') || '</' || name || '>' AS x
+  FROM num n LEFT JOIN sx ON n.msg_id = sx.msg_id AND n.i = sx.i JOIN whole w ON n.msg_id = w.msg_id WHERE w.r NOT IN (1, 2, 3))
+SELECT msg_id, '<ORU_R01>' || string_agg(x, '' ORDER BY i) || '</ORU_R01.ORDER_OBSERVATION></ORU_R01.PATIENT_RESULT></ORU_R01>' AS xml
+FROM px GROUP BY msg_id"""
+
+
+def _whole_messages(spark, d):
+    """Messages of one or two patients, without those that ``_broken`` breaks."""
+    segs, _ = relational_segments(spark, d)
+    whole = segs.where(~F.pmod(F.col("order_id").cast("bigint"), F.lit(31)).isin(1, 2, 3))
+    return B.oru_messages(_broken(whole, F.col("order_id")))
+
+
+@query("oru_xml", _XML_SQL)
 def q_oru_xml(spark, d):
+    return HG.to_xml(_whole_messages(spark, d))
+
+
+@query("oru_xml_read", BROKEN_SQL + """
+SELECT msg_id, array_to_string(segs, chr(13)) AS raw FROM broken WHERE r NOT IN (1, 2, 3)""")
+def q_oru_xml_read(spark, d):
+    """The XML of all whole messages written, read back and turned into segments again."""
+    path = shared_path(spark, "oru-xml")
+    HG.to_xml(_whole_messages(spark, d)).write.parquet(path)
+    return HG.from_xml(spark.read.parquet(path))
+
+
+@query("oru_batch_segments", "WITH " + ORU_CTES + r""",
+k AS (SELECT *, substr(ts, 1, 4) AS batch_key, row_number() OVER (PARTITION BY substr(ts, 1, 4)
+        ORDER BY CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR)) AS pno FROM om),
+g AS (
+  SELECT batch_key, flatten(list(['PID|' || pno || substr(body[1], 6)] || body[2:] ORDER BY pno)) AS body FROM k GROUP BY batch_key),
+m AS (
+  SELECT batch_key AS msg_id, ['MSH|^~\&|SENDING_APP|SENDING_FACILITY|RECEIVING_APP|RECEIVING_FACILITY|20250101120000||ORU^R01^ORU_R01|B'
+       || batch_key || '|P|2.5'] || body AS segs FROM g)
+SELECT msg_id, unnest(range(1, CAST(len(segs) AS BIGINT) + 1)) AS seg_no, unnest(segs) AS segment FROM m""")
+def q_batch_segments(spark, d):
+    """A message a year: each holds about a seventh of all orders."""
     segs, _ = relational_segments(spark, d)
-    return B.oru_xml(B.oru_messages(segs))
+    return HG.batch_segments(segs, F.substring("observed_ts", 1, 4), RUN_TS)
