@@ -12,7 +12,7 @@ from recordchecks.plans.json_sql import DOCS_SQL, with_checks
 from recordchecks.plans.registry import query
 from recordchecks.session import shared_path
 from recordchecks.sources.bindings import device_records
-from recordchecks.sources.sinks import write_json
+from recordchecks.sources.sinks import write_json, write_json_with_totals
 
 DEVICE = "AMIA"
 
@@ -139,6 +139,16 @@ def q_totals(spark, d):
     return J.batch_totals(_validated(spark, d))
 
 
+@query("json_write_totals", with_checks("""
+SELECT count(*) AS total_files, count(*) FILTER (WHERE is_valid) AS valid_files,
+       count(*) FILTER (WHERE NOT is_valid) AS invalid_files, CAST(sum(warning_count) AS BIGINT) AS warnings FROM summ"""))
+def q_write_totals(spark, d):
+    """S8 with A6: the summaries of all documents written as JSON, counted by the same pass."""
+    return write_json_with_totals(J.summary(_validated(spark, d)), shared_path(spark, "json_summaries"), {
+        "total_files": F.count(F.lit(1)), "valid_files": F.count_if("is_valid"),
+        "invalid_files": F.count_if(~F.col("is_valid")), "warnings": F.sum("warning_count")})
+
+
 @query("json_common_errors", with_checks("SELECT error, count(*) AS n FROM allerr GROUP BY error"))
 def q_common(spark, d):
     return J.common_errors(_validated(spark, d))

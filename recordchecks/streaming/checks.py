@@ -6,8 +6,8 @@ shuffle), so the batch operators run unchanged on a streaming DataFrame:
 to Parquet.  The caller names the checkpoint folder, on shared storage: with
 the same folder a restarted query resumes where it stopped (exactly-once file
 sink).
-Aggregates over the findings (verdict counts, error frequencies) belong to a
-batch job over the written table, or to a watermarked windowed query.
+Totals of a running stream (verdict counts, error frequencies) are stateful
+counts that survive a restart the same way.
 """
 
 from __future__ import annotations
@@ -59,3 +59,40 @@ def start_json_checks(spark: SparkSession, source: str, sink: str, rules: DataFr
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+TOTALS = "batch BIGINT, profile STRING, severity STRING, code STRING, location STRING, n BIGINT"
+
+
+def start_finding_totals(spark: SparkSession, source: str, sink: str, checkpoint: str,
+                         profiles=("strict", "lenient"), available_now: bool = False):
+    """L17, A6, A7 of a running stream: how often each finding (profile, severity,
+    code, location) and each message (code ``message``) came so far.
+
+    The counts are the stream's state, split by key, with partial counts before
+    the shuffle.  Each micro-batch writes the counts it changed as a table of
+    its own under ``sink``, named by the batch: a batch that runs again after a
+    failure overwrites its table, so nothing counts twice.  ``finding_totals``
+    reads the latest of each.  Locations carry no occurrence number, so the
+    state holds a row a rule and field, however many messages arrive."""
+    found = HV.validated(message_stream(spark, source), profiles)
+    one = F.array(*[F.struct(F.lit(p).alias("profile"), F.concat(
+        F.array(F.struct(F.lit("all").alias("severity"), F.lit("message").alias("code"), F.lit("").alias("location"))),
+        F.transform(f"f_{p}", lambda f: F.struct(f["severity"].alias("severity"), f["code"].alias("code"), F.regexp_replace(
+            f["location"], r"\[\d+\]", "").alias("location")))).alias("fs")) for p in profiles])
+    rows = found.select(F.inline(one)).select("profile", F.inline("fs"))
+    counts = rows.groupBy("profile", "severity", "code", "location").agg(F.count(F.lit(1)).alias("n"))
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.select(F.lit(batch).cast("long").alias("batch"), "*").write.mode("overwrite").parquet(f"{sink}/part={batch}")
+
+    w = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
+
+
+def finding_totals(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest count of each key that ``start_finding_totals`` wrote."""
+    keys = ["profile", "severity", "code", "location"]
+    return spark.read.schema(TOTALS).parquet(f"{sink}/part=*").groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
