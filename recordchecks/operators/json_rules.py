@@ -27,6 +27,8 @@ from recordchecks.rules import json_rules as JR
 MAX_RULES_PER_PROJECTION = 300
 # A rule table larger than this is not a configuration table.
 MAX_RULES = 20_000
+_DETAILS = ("array<struct<rule_no:int,field_path:string,extract_column:string,data_type:string,is_required:boolean,"
+            "errors:array<string>,is_required_missing:boolean,actual_value:string>>")
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,7 @@ def compile_rules(rules: DataFrame) -> list[Rule]:
     size is checked on the read itself, which stops after one row too many."""
     rows = rules.limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; use field_checks_in_parts")
+        raise ValueError(f"more than {MAX_RULES} rules; operators.rule_index joins rule tables of any size")
     return [_rule(i + 1, r) for i, r in enumerate(rows)]
 
 
@@ -160,18 +162,17 @@ def _range_errors(path: str, e: Column) -> list[Column]:
     """V8: one optional message per range rule whose keyword is in the path.
     For a plain path the keyword test is decided when the rule is compiled;
     wildcard targets keep the same keywords (the index adds none)."""
-    out = []
+    return [_range_error(e, *r[1:]) for r in JR.RANGE_RULES if r[0] in path]
+
+
+def _range_error(e: Column, lo, lo_open: bool, hi, int_only: bool, string_only: bool, msg: str) -> Column:
     kind, s = e["kind"], e["s"]
-    for kw, lo, lo_open, hi, int_only, string_only, msg in JR.RANGE_RULES:
-        if kw not in path:
-            continue
-        if string_only:
-            x = F.when(kind == "str", _str_int(s) if int_only else _str_float(s))
-        else:
-            x = F.when(kind.isin("int", "float"), e["num"]).when(kind == "str", _str_float(s))
-        low_bad = (x <= lo) if lo_open else (x < lo)
-        out.append(F.when(x.isNotNull() & (low_bad | (x > hi)), F.lit(msg)))
-    return out
+    if string_only:
+        x = F.when(kind == "str", _str_int(s) if int_only else _str_float(s))
+    else:
+        x = F.when(kind.isin("int", "float"), e["num"]).when(kind == "str", _str_float(s))
+    low_bad = (x <= lo) if lo_open else (x < lo)
+    return F.when(x.isNotNull() & (low_bad | (x > hi)), F.lit(msg))
 
 
 def _actual(e: Column) -> Column:
@@ -282,7 +283,7 @@ def validate(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id",
         parts = [F.array(_bad_path(r)) if r.path_error else
                  F.array(_check_target(r, F.col(f"t{r.rule_no}"))) if _is_plain(r) else _rule_results(v, r)
                  for r in chunk]
-        arr = F.concat(*parts) if parts else F.array().cast("array<struct<rule_no:int>>")
+        arr = F.concat(*parts) if parts else F.array().cast(_DETAILS)
         cols.append(arr.alias(f"d{n}"))
     checked = staged.select("doc_id", "v", *cols, _warnings().alias("warnings"))
     details = F.concat(*[F.col(f"d{n}") for n in range(len(chunks))]) if len(chunks) > 1 else F.col("d0")

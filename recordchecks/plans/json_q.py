@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from recordchecks.functions.gen import inline_kept
 from recordchecks.functions.jsonpath import lookup, steps, targets
 from recordchecks.operators import json_rules as J
+from recordchecks.operators import rule_index as I
 from recordchecks.plans.json_sql import DOCS_SQL, with_checks
 from recordchecks.plans.registry import query
+from recordchecks.rules import json_rules as JR
 from recordchecks.session import shared_path
 from recordchecks.sources.bindings import device_records
 from recordchecks.sources.sinks import write_json, write_json_with_totals
+from recordchecks.sources.tables import table
 
 DEVICE = "AMIA"
 
@@ -192,3 +195,67 @@ UNION ALL SELECT doc_id, 'details', o, CASE WHEN is_valid THEN '✓ ' || field_p
 """))
 def q_report(spark, d):
     return J.report_lines(_validated(spark, d))
+
+
+_SCOPE = ["CUSTOMER_ID", "DEVICE"]
+
+
+def _clinic_tables(spark, d):
+    """Documents with their clinic (the order's customer) and device, and the rule
+    table of all clinics and devices: a clinic leaves out some template rules."""
+    tmpl = F.array(*[F.struct(F.lit(i).alias("rule_no"), *[F.lit(v).cast("int" if c == "LENGTH" else "string").alias(c)
+                     for c, v in zip(JR.REQUIRED_COLUMNS[2:], r[2:], strict=True)]) for i, r in enumerate(JR.DEFAULT_RULES, 1)])
+    rules = table(spark, d, "customer").select(F.col("c_custkey").alias("CUSTOMER_ID"), F.explode(tmpl).alias("t")).select("CUSTOMER_ID", "t.*")
+    rules = rules.where((F.col("SOURCE") == "TREATMENT") & ((F.col("CUSTOMER_ID") + F.col("rule_no")) % 7 != 0))
+    both = F.when(F.col("DEVICE") == "BOTH", F.array(F.lit("AMIA"), F.lit("CLARIA"))).otherwise(F.array("DEVICE"))
+    rules = rules.withColumn("DEVICE", F.explode(both))
+    clinic = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("CUSTOMER_ID"),
+                                              F.when(F.col("o_orderkey") % 2 == 0, "AMIA").otherwise("CLARIA").alias("DEVICE"))
+    return device_records(spark, d).join(clinic, "doc_id"), rules
+
+
+def _clinic_sql(final_sql: str) -> str:
+    """The checks of all template rules, those kept that hold for the document's clinic and device."""
+    device = " OR ".join(f"(rule_no = {i} AND {'true' if r[2] == 'BOTH' else f'{_DEVICE_SQL} = ' + repr(r[2])})"
+                         for i, r in enumerate(JR.DEFAULT_RULES, 1) if r[3] == "TREATMENT")
+    return with_checks(f"""
+, cfce AS (
+  SELECT f.* FROM fce f JOIN orders o ON o.o_orderkey = f.doc_id JOIN customer c ON c.c_custkey = o.o_custkey
+  WHERE (c.c_custkey + rule_no) % 7 <> 0 AND ({device}))
+{final_sql}""", rules=JR.DEFAULT_RULES)
+
+
+_DEVICE_SQL = "(CASE WHEN doc_id % 2 = 0 THEN 'AMIA' ELSE 'CLARIA' END)"
+
+
+@query("json_rule_index", _clinic_sql("""
+SELECT doc_id, rule_no, field_path, extract_column, data_type, is_required, is_valid,
+       array_to_string(errors, '; ') AS errors, is_required_missing, actual_value FROM cfce"""))
+def q_rule_index(spark, d):
+    """V11 with P10 as a join: every document against the rules of its clinic and device."""
+    fc = I.field_checks(*_clinic_tables(spark, d), _SCOPE)
+    return fc.select(*[F.array_join("errors", "; ").alias("errors") if c == "errors" else c for c in _FC])
+
+
+@query("json_rule_index_findings", _clinic_sql("""
+SELECT doc_id, rule_no, field_path, 'error' AS severity, unnest(errors) AS message,
+       unnest(range(CAST(len(errors) AS BIGINT))) AS err_no FROM cfce
+UNION ALL SELECT doc_id, NULL, NULL, 'warning', warning, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 FROM wr
+UNION ALL SELECT doc_id, 0, NULL, 'error', 'Validation error: document is not valid JSON', 0 FROM docs WHERE NOT json_valid(json)"""))
+def q_rule_index_findings(spark, d):
+    """U3 by the same join: what fails, and the warnings."""
+    return I.findings(*_clinic_tables(spark, d), _SCOPE)
+
+
+@query("json_rule_index_summary", _clinic_sql("""
+SELECT d.doc_id, json_valid(d.json) AND coalesce(f.failed, 0) = 0 AS is_valid, coalesce(f.total, 0) AS total_fields_checked,
+  coalesce(f.passed, 0) AS passed_validation, coalesce(f.failed, 0) AS failed_validation,
+  coalesce(f.missing, '') AS missing_required_fields, coalesce(w.n, 0) AS warning_count
+FROM docs d
+LEFT JOIN (SELECT doc_id, count(*) AS total, count(*) FILTER (WHERE is_valid) AS passed, count(*) FILTER (WHERE NOT is_valid) AS failed,
+                  string_agg(CASE WHEN is_required_missing THEN field_path END, '|' ORDER BY rule_no, idx) AS missing
+           FROM cfce GROUP BY doc_id) f ON d.doc_id = f.doc_id
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM wr GROUP BY doc_id) w ON d.doc_id = w.doc_id"""))
+def q_rule_index_summary(spark, d):
+    """V12 by the same join, one row a document."""
+    return I.summary(*_clinic_tables(spark, d), _SCOPE)

@@ -187,8 +187,9 @@ def _warnings_sql() -> str:
     return "\n  UNION ALL ".join(parts)
 
 
-def with_checks(final_sql: str, device="AMIA") -> str:
-    rules = filtered_rules(device)
+def with_checks(final_sql: str, device="AMIA", rules=None) -> str:
+    """``final_sql`` over the checks of the numbered ``rules`` (default: those of the device)."""
+    rules = filtered_rules(device) if rules is None else rules
     tg = "\n  UNION ALL ".join(_targets_sql(i + 1, r[4]) for i, r in enumerate(rules))
     blocks = "\n  UNION ALL ".join(_rule_block(i + 1, r) for i, r in enumerate(rules))
     return f"""WITH {DOCS_SQL},
