@@ -8,9 +8,14 @@ Viterbi path decides, and a text is kept when content lines hold at least
 
 The field has two states, binary line features and learnt transitions.  It is
 fitted in numpy on a bounded sample of labelled documents (``max_labelled`` by
-hash order of the id, each of ``max_lines`` lines at most): the lines of
-documents of quality 1 count as content, those of quality 0 as boilerplate.
-Counting, labelling and decoding cover every line of every text.
+hash order of the id, each of ``max_lines`` lines at most).  Only documents have
+labels; the states of their lines are latent and found by hard expectation
+maximisation (``learn``): emissions alone first, with each line in the state of its
+document, then lines get the likeliest states under which content holds at least
+half of the words of a document of quality 1 and less than half in one of quality 0,
+and the field is fitted again.  So a clean line in a bad document counts as
+content, and transitions between the states are seen.  Counting, labelling and
+decoding cover every line of every text.
 
 Defined results: null text counts as empty (no words, fails the first limit);
 blank lines are labelled but weigh nothing; repeated rows are judged one by
@@ -98,18 +103,24 @@ class Crf:
     def __init__(self):
         self.emit, self.move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
 
-    def fit(self, masks: list[np.ndarray], states: list[int], steps: int = 150, decay: float = 1e-3) -> Crf:
-        """Maximise the mean log-likelihood of whole sequences, each of one state."""
-        if len(set(states)) < 2:
+    def fit(self, masks: list[np.ndarray], states: list, steps: int = 150, decay: float = 1e-3, chain: bool = True) -> Crf:
+        """Maximise the mean log-likelihood of whole sequences from the present
+        parameters; a sequence's states are one for all lines or an array.  Without
+        ``chain`` only emissions are fitted."""
+        if len({int(s) for some in states for s in np.unique(some)}) < 2:
             self.emit[0, CONTENT] = 1.0
             return self
         order = sorted(range(len(masks)), key=lambda i: -len(masks[i]))
         size = np.array([len(masks[i]) for i in order])
-        y = np.array([states[i] for i in order])
+        full = [np.broadcast_to(states[i], len(masks[i])) for i in order]
         longest, total = int(size[0]), int(size.sum())
         alive = [int((size > t).sum()) for t in range(longest)]  # longest first: the first rows live on
+        y = [np.array([full[i][t] for i in range(alive[t])]) for t in range(longest)]
+        moves = np.zeros((2, 2))
+        for t in range(1, longest):
+            np.add.at(moves, (y[t - 1][:alive[t]], y[t]), 1)
         x = [unpack(np.array([masks[order[i]][t] for i in range(alive[t])], np.int64)) for t in range(longest)]
-        params, m, v = np.zeros(FEATURES * 2 + 4), 0.0, 0.0
+        params, m, v = np.concatenate([self.emit.ravel(), self.move.ravel()]), 0.0, 0.0
         for step in range(1, steps + 1):
             emit, move = params[:-4].reshape(FEATURES, 2), params[-4:].reshape(2, 2)
             e = [f @ emit for f in x]
@@ -125,18 +136,17 @@ class Crf:
                     nxt = e[t + 1] + b[t + 1]
                     b[t][:k] = np.logaddexp(nxt[:, :1] + move[:, 0], nxt[:, 1:] + move[:, 1])
             z = np.logaddexp.reduce(a[0] + b[0], axis=1)
-            g_emit, g_move = np.zeros((FEATURES, 2)), np.zeros((2, 2))
+            g_emit, g_move = np.zeros((FEATURES, 2)), moves.copy()
             for t in range(longest):
                 k = alive[t]
                 p = -np.exp(a[t] + b[t] - z[:k, None])
-                p[np.arange(k), y[:k]] += 1
+                p[np.arange(k), y[t]] += 1
                 g_emit += x[t].T @ p
                 if t + 1 < longest:
                     k = alive[t + 1]
                     joint = a[t][:k, :, None] + move + (e[t + 1] + b[t + 1])[:, None, :] - z[:k, None, None]
                     g_move -= np.exp(joint).sum(axis=0)
-                    g_move += np.diag(np.bincount(y[:k], minlength=2))
-            g = np.concatenate([g_emit.ravel(), g_move.ravel()]) / total - decay * params
+            g = np.concatenate([g_emit.ravel(), g_move.ravel() * chain]) / total - decay * params
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             params = params + 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         self.emit, self.move = params[:-4].reshape(FEATURES, 2), params[-4:].reshape(2, 2)
@@ -160,6 +170,30 @@ class Crf:
         return path[::-1]
 
 
+def constrained(crf: Crf, masks: np.ndarray, words: np.ndarray, label: int) -> np.ndarray:
+    """States of a labelled document's lines: the likeliest path, of which lines are
+    turned, the least certain first, until the label's side holds half of the words."""
+    path = np.array(crf.viterbi(masks.tolist()))
+    e = unpack(masks) @ crf.emit
+    certain = e[:, 1 - label] - e[:, label]
+    held, needed = int(words[path == label].sum()), int(words.sum()) / 2
+    for i in np.argsort(certain, kind="stable"):
+        if held >= needed if label == CONTENT else held > needed:
+            break
+        if path[i] != label:
+            path[i], held = label, held + int(words[i])
+    return path
+
+
+def learn(masks: list[np.ndarray], words: list[np.ndarray], labels: list[int], rounds: int = 2) -> Crf:
+    """The field of documents with one label each and latent line states."""
+    crf = Crf().fit(masks, labels, chain=False)
+    for _ in range(rounds if len(set(labels)) > 1 else 0):
+        states = [constrained(crf, m, w, y) for m, w, y in zip(masks, words, labels, strict=True)]
+        crf.fit(masks, states, steps=75)
+    return crf
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         max_labelled: int = 4_000, max_lines: int = 1_000) -> Crf:
     """The field of a bounded sample of labelled documents."""
@@ -169,15 +203,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 200):
-            x = [lines_of(t or "")[0] for t in b.column(2).to_pylist()]
-            few = pa.array([len(m) <= max_lines for m in x])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(x, pa.list_(pa.int64()))], names=["id", "y", "x"]).filter(few)
+            x = [lines_of(t or "")[:2] for t in b.column(2).to_pylist()]
+            few = pa.array([len(m) <= max_lines for m, _ in x])
+            lists = [pa.array([part[k] for part in x], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.record_batch([b.column(0), b.column(1), *lists], names=["id", "y", "x", "w"]).filter(few)
 
     # max_labelled rows at most, so broadcasting the sample is safe
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(sample), "id")
-    rows = texts.select("id", "y", "t").mapInArrow(masks, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<long>")
-    rows = sorted((str(r["id"]), r["y"], r["x"]) for r in rows.groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect())
-    return Crf().fit([np.array(r[2], np.int64) for r in rows], [r[1] for r in rows])
+    rows = texts.select("id", "y", "t").mapInArrow(masks, f"id {docs.schema[id_col].dataType.simpleString()}, y int, x array<long>, w array<long>")
+    rows = rows.groupBy("id").agg(F.min(F.struct("y", "x", "w")).alias("r")).select("id", "r.*").collect()
+    rows = sorted((str(r["id"]), r["y"], r["x"], r["w"]) for r in rows)
+    return learn([np.array(r[2], np.int64) for r in rows], [np.array(r[3], np.int64) for r in rows], [r[1] for r in rows])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

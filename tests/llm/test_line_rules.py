@@ -67,3 +67,40 @@ def test_fit_climbs_the_likelihood():
 
 def test_empty_table(spark, make_docs):
     assert lr.quality_rules(make_docs([]), labels_of(spark, [])).collect() == []
+
+
+def test_mixed_documents_have_both_states(spark, make_docs):
+    """Only documents are labelled; held-out mixtures still get the share of their own lines."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(500)]
+    rows, labels, truth = [], [], {}
+    for i in range(300):
+        bad = i % 4 == 0 if i < 200 else i % 2 == 0
+        n_bad = int(rng.integers(5, 9)) if bad else int(rng.integers(0, 4))
+        junk = [j < n_bad for j in range(8)]
+        rng.shuffle(junk)
+        lines = [" ".join(rng.choice(words, 10)).capitalize() + "." for _ in junk]
+        rows.append((i, "\n".join(re.sub(r"(\w+)", r"\1 |", x).replace(".", "") if j else x for x, j in zip(lines, junk, strict=True)), "s"))
+        if i < 200:
+            labels.append((i, 0 if bad else 1))
+        held = [10 if not j else 20 for j in junk]
+        truth[i] = sum(h for h, j in zip(held, junk, strict=True) if not j) / sum(held)
+    got = {r["doc_id"]: r for r in lr.quality_rules(make_docs(rows), labels_of(spark, labels)).collect()}
+    close = [abs(got[i]["content_share"] - truth[i]) < 1e-9 for i in range(200, 300)]
+    assert sum(close) >= 90 and any(0 < truth[i] < 1 for i in range(200, 300))
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_constrained_states_hold_the_label(label):
+    rng = np.random.default_rng(label)
+    crf = lr.Crf()
+    for _ in range(50):
+        crf.emit, crf.move = rng.normal(0, 1, (lr.FEATURES, 2)), rng.normal(0, 1, (2, 2))
+        masks, words = rng.integers(0, 2 ** lr.FEATURES, 9), rng.integers(0, 20, 9)
+        path = lr.constrained(crf, masks, words, label)
+        content = words[path == lr.CONTENT].sum()
+        assert 2 * content >= words.sum() if label else 2 * content < words.sum() or not words.sum()
+        free = np.array(crf.viterbi(masks.tolist()))
+        share = words[free == lr.CONTENT].sum()
+        if (2 * share >= words.sum()) == bool(label):
+            assert (path == free).all()
