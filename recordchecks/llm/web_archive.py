@@ -10,8 +10,10 @@ table, so a package of a lost or repeated attempt is never read.
 
 Reading: no member is extracted.  The end record at the tail of a package, with
 its ZIP64 locator where the sizes need one, leads to the central directory; the
-local header of a stored member gives the offset of its data; the index member
-lists offset and length of each record, and records are read by byte ranges.
+local header of a stored member gives the offset of its data.  Every member under
+``indexes/`` is read (plain or gzip, JSON lines or CDXJ), a line names its archive
+member, offset and length, and records are read by byte ranges, one in several
+indexes once.  Archive members that no index names are walked record by record.
 
 Files are opened through ``pyarrow.fs``, so the shared folder may be any store
 that it knows.
@@ -102,7 +104,7 @@ class Package:
     def add(self, url: str, record: bytes) -> None:
         packed = gzip.compress(record, 1, mtime=0)
         self.member.write(packed)
-        self.index.append(json.dumps({"url": url, "offset": self.bytes, "length": len(packed)}))
+        self.index.append(json.dumps({"url": url, "filename": DATA.rpartition("/")[2], "offset": self.bytes, "length": len(packed)}))
         self.bytes += len(packed)
 
     def close(self) -> tuple[str, int]:
@@ -149,25 +151,89 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     return found
 
 
+def index_entries(f, found: dict[str, tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Archive member, offset and length of every line of every index member."""
+    archives = [n for n in found if is_archive(n)]
+    for name in sorted(n for n in found if n.startswith("indexes/") and n.removesuffix(".gz").endswith((".cdxj", ".cdx"))):
+        start, size = found[name]
+        lines: io.BufferedIOBase = io.BytesIO(f.read_at(size, start))
+        if name.endswith(".gz"):
+            lines = gzip.GzipFile(fileobj=lines)
+        for line in lines:
+            _, brace, fields = line.partition(b"{")  # CDXJ puts a key and a time before the JSON
+            if not brace:
+                continue
+            entry = json.loads(brace + fields)
+            named = entry.get("filename")
+            if named is None and len(archives) != 1:
+                raise ValueError(f"{name}: a line names none of {len(archives)} archives")
+            archive = next((n for n in archives if named is None or n in (named, f"archive/{named}")), None)
+            if archive is None:
+                raise ValueError(f"{name}: no archive member {named}")
+            yield archive, int(entry["offset"]), int(entry["length"])
+
+
+def is_archive(name: str) -> bool:
+    return name.startswith("archive/") and name.removesuffix(".gz").endswith(".warc")
+
+
+def indexed(f, found: dict[str, tuple[int, int]], seen: dict[str, set[int]]) -> Iterator[tuple[str, int, bytes]]:
+    """Archive member, offset and bytes of the records that indexes name; ``seen`` gathers them."""
+    held, held_at, held_of = b"", 0, None
+    for name, offset, length in index_entries(f, found):
+        if offset in seen.setdefault(name, set()):
+            continue
+        seen[name].add(offset)
+        base, data_size = found[name]
+        if held_of != name or not held_at <= offset <= offset + length <= held_at + len(held):  # neighbours come in one range
+            held, held_at, held_of = f.read_at(min(max(length, READ_AHEAD), data_size - offset), base + offset), offset, name
+        raw = held[offset - held_at:offset - held_at + length]
+        yield name, offset, zlib.decompress(raw, 31) if name.endswith(".gz") else raw
+
+
+def walked(f, start: int, size: int, packed: bool) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of the records of an archive member, in ranges from its start."""
+    held, at, read = b"", 0, 0
+    while at < size:
+        decoder, record, used, whole = zlib.decompressobj(31), bytearray(), 0, False
+        while not whole:
+            if used == len(held) or not packed:
+                more = f.read_at(min(READ_AHEAD, size - read), start + read)
+                read, held = read + len(more), held + more
+            if packed:
+                record += decoder.decompress(held[used:])
+                used, whole = len(held) - len(decoder.unused_data), decoder.eof
+            else:
+                head, found, _ = held.partition(b"\r\n\r\n")
+                lengths = [x.partition(b":")[2] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+                used = len(head) + 8 + int(lengths[0]) if found else 0
+                whole = bool(found) and used <= len(held)
+                record[:] = held[:used]
+            if not whole and read == size and (not packed or used == len(held)):
+                raise ValueError(f"archive member ends inside a record at {at}")
+        yield at, bytes(record)
+        held, at = held[used:], at + used
+
+
 def read_package(path: str) -> Iterator[tuple]:
     """``RECORD_COLUMNS`` of the records of a package, by byte ranges."""
     import hashlib
     fs, inner = filesystem(path)
     with fs.open_input_file(inner) as f:
-        found = members(f, f.size())
-        start, size = found[INDEX]
-        base, data_size = found[DATA]
-        held, held_at = b"", 0
-        for line in io.BytesIO(f.read_at(size, start)):
-            entry = json.loads(line)
-            offset, length = entry["offset"], entry["length"]
-            if not held_at <= offset <= offset + length <= held_at + len(held):  # neighbours come in one range
-                held, held_at = f.read_at(min(max(length, READ_AHEAD), data_size - offset), base + offset), offset
-            raw = zlib.decompress(held[offset - held_at:offset - held_at + length], 31)
+        found, seen = members(f, f.size()), {}
+
+        def records() -> Iterator[tuple[str, int, bytes]]:
+            yield from indexed(f, found, seen)
+            for name in sorted(n for n in found if is_archive(n) and n not in seen):
+                yield from ((name, at, raw) for at, raw in walked(f, *found[name], name.endswith(".gz")))
+
+        for name, offset, raw in records():
             warc, http, payload = parse_record(raw)
+            if warc["warc-type"] not in ("response", "revisit"):  # descriptions of the archive itself
+                continue
             digest = warc["warc-payload-digest"].removeprefix("sha1:")
             if warc["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                raise ValueError(f"payload digest differs in {path} at {offset}")
+                raise ValueError(f"payload digest differs in {path}, {name} at {offset}")
             yield page_of(warc["warc-record-id"]), int(http["content-length"]), digest, warc["warc-type"], page_of(warc.get("warc-refers-to"))
 
 
@@ -177,7 +243,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
                         payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "strong": F.sha2("payload", 256), "size": F.length("payload")})
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.length("payload")})
+    # short payloads have no owner; keys of their own spread them
+    rows = rows.withColumn("strong", F.when(F.col("size") >= min_dedup, F.sha2("payload", 256)).otherwise(
+        F.hex(F.xxhash64("page_id", "url", "digest"))))
     # one row a payload that occurs twice, by partial aggregation: a hot group stays one row
     owner = rows.where(F.col("size") >= min_dedup).select("strong", "page_id").groupBy("strong").agg(
         F.count(F.lit(1)).alias("times"), F.max("page_id").alias("owner")).where("times > 1").select("strong", "owner", F.lit(True).alias("shared"))

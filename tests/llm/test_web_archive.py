@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 
 import pyarrow as pa
@@ -82,3 +84,38 @@ def test_damaged_payload_is_found(spark):
     warc, http, payload = wa.parse_record(record)
     assert payload == b"q" * 100 and warc["warc-payload-digest"] == "sha1:" + "0" * 40 and http["content-length"] == "100"
     assert list(wa.read_package(path))[0][3] == "response"
+
+
+@pytest.mark.parametrize("read_ahead", [7, 300, 4 << 20])
+def test_package_with_several_archives_and_indexes(monkeypatch, tmp_path, read_ahead):
+    """Two gzip archives and a plain one under any name, three indexes that overlap, an archive without an index."""
+    monkeypatch.setattr(wa, "READ_AHEAD", read_ahead)
+    path, names = tmp_path / "x.wacz", ["archive/a.warc.gz", "archive/part-b.warc", "archive/c.warc.gz", "archive/d.warc"]
+    bodies, lines, want = {}, {}, []
+    for k, name in enumerate(names):
+        data = b""
+        for i in range(10 * k, 10 * k + 9):
+            payload = b"p%d" % i * (50 + i)
+            digest = hashlib.sha1(payload).hexdigest()
+            record = wa.warc_record(i, f"http://h/{i}", payload, digest, i - 1, i % 3 == 2)
+            packed = gzip.compress(record) if name.endswith("gz") else record
+            lines.setdefault(name, []).append(json.dumps({"filename": name.rpartition("/")[2], "offset": str(len(data)), "length": len(packed)}))
+            data += packed
+            want.append((i, len(payload), digest, "revisit" if i % 3 == 2 else "response", i - 1 if i % 3 == 2 else None))
+        bodies[name] = data
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in bodies.items():
+            z.writestr(name, data)
+        z.writestr("indexes/one.cdxj", "\n".join(f"h,x)/ 2024 {x}" for x in lines[names[0]]))
+        z.writestr("indexes/two.cdxj.gz", gzip.compress("\n".join(lines[names[1]] + lines[names[0]][:4]).encode()))
+        z.writestr("indexes/three.cdx", "!meta\n" + "\n".join(lines[names[1]]))
+        z.writestr("pages/pages.jsonl", "{}")
+    assert sorted(wa.read_package(str(path))) == sorted(want, key=lambda r: r[0])
+
+
+def test_an_archive_cut_short_is_an_error(tmp_path):
+    for name, cut in (("archive/a.warc.gz", gzip.compress(b"WARC/1.1\r\n" * 9)[:-9]), ("archive/a.warc", b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc")):
+        with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+            z.writestr(name, cut)
+        with pytest.raises(ValueError, match="ends inside"):
+            list(wa.read_package(str(tmp_path / "x.zip")))
