@@ -171,6 +171,7 @@ def coverage(occ: DataFrame, events: DataFrame, key: str = "user_id", ts: str =
     totals = points.groupBy("_k", "_block").agg(F.sum("_n").alias("_total"))
     carried = totals.select("_k", "_block", (F.sum("_total").over(Window.partitionBy("_k").orderBy("_block")) - F.col("_total")).alias("_carried"))
     count = F.col("_before") + F.col("_carried")
-    return within.join(carried, ["_k", "_block"]).groupBy(F.col("_k").alias("schedule_id"), "occ_no").agg(
+    # sorted, whatever the planner expects: it takes the occurrences for as few as their schedules and would broadcast them
+    return within.join(carried.hint("merge"), ["_k", "_block"]).groupBy(F.col("_k").alias("schedule_id"), "occ_no").agg(
         F.max(F.when(F.col("_first"), F.col("_t"))).alias("start_ts"), F.max(F.when(~F.col("_first"), F.col("_t"))).alias("end_ts"),
         F.greatest(F.sum(F.when(F.col("_first"), -count).otherwise(count)), F.lit(0)).cast("long").alias("n_events"))

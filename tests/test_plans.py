@@ -50,3 +50,26 @@ def test_only_hinted_broadcast(spark):
                                  "job_seq long, job_id string, amia_status string, claria_status string, "
                                  "reprocess_amia string, reprocess_claria string")
     assert "BroadcastHashJoin" in _plan(JS.statements(jobs))  # the 18-row statement table
+
+
+def _broadcasts_by_size(spark, df_of) -> bool:
+    """Whether the plan of ``df_of()`` broadcasts in a session that goes by size estimates."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "1g")
+        return "Broadcast" in _plan(df_of())
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
+def test_generated_rows_are_not_broadcast_on_an_estimate(spark, monkeypatch):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    from recordchecks.operators import rule_index as I
+    monkeypatch.setattr(I, "BROADCAST_PROBES", 0)
+    for name in ("recur_coverage", "json_rule_index", "json_rule_index_findings", "json_rule_index_summary"):
+        plan_of = lambda name=name: E.queries()[name](spark, SF_SMALL)
+        assert not _broadcasts_by_size(spark, lambda: plan_of()), name
