@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 64
 TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^"{}\[\]:,\s]+'
-_NODE = "array<struct<path:string,top:string,idx:int,leaf:string,v:variant,k:string>>"
+_NODE = "array<struct<path:string,top:string,idx:int,leaf:string,v:variant>>"
 _FRAMES = "array<struct<obj:boolean,path:string,top:string,idx:int,leaf:string,i:int>>"
 
 
@@ -21,7 +21,7 @@ def _index(path: Column, idx: Column, i: Column) -> Column:
 
 
 def scalars_below(v: Column, path: Column, top: Column, idx: Column, leaf: Column, norm) -> Column:
-    """Array of (path, top, idx, leaf, v, k) of the scalars in the variant ``v`` that stands
+    """Array of (path, top, idx, leaf, v) of the scalars in the variant ``v`` that stands
     at ``path``; keys pass through ``norm``; containers without scalars give nothing."""
     def state(frames, path, top, idx, leaf, key) -> Column:
         return F.struct(frames.alias("frames"), path.alias("path"), top.alias("top"), idx.cast("int").alias("idx"),
@@ -55,7 +55,7 @@ def scalars_below(v: Column, path: Column, top: Column, idx: Column, leaf: Colum
     def take(a: Column, t: Column) -> Column:
         s = a["now"]
         here = F.struct(s["path"].alias("path"), s["top"].alias("top"), s["idx"].alias("idx"), s["leaf"].alias("leaf"),
-                        F.try_parse_json(t).alias("v"), F.lit("S").alias("k"))
+                        F.try_parse_json(t).alias("v"))
         value = ~t.isin("{", "}", "[", "]", ":", ",") & ~s["key"]
         return F.struct(step(s, t).alias("now"), F.when(value, F.concat(a["out"], F.array(here))).otherwise(a["out"]).alias("out"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordchecks.functions import hl7 as H
-from recordchecks.functions.arrays import run_starts, running
+from recordchecks.functions.arrays import bind, run_starts, running
 from recordchecks.functions.gen import explode_kept, inline_kept
 from recordchecks.functions.jsonwalk import scalars_below
 from recordchecks.rules import hl7_mapping as M
@@ -63,35 +63,38 @@ def compile_mapping(mapping: DataFrame, group_cols: tuple = ()) -> DataFrame:
 
 
 # ------------------------------------------------------------------ G2, G3
-def _kind_of(v: Column) -> Column:
-    """O object, A array, S scalar / null - computed once per node."""
-    t = F.schema_of_variant(v)
-    return F.when(t.startswith("OBJECT"), F.lit("O")).when(t.startswith("ARRAY"), F.lit("A")).otherwise(F.lit("S"))
-
-
 def _node(path, top, idx, leaf, v) -> Column:
     return F.struct(path.alias("path"), top.alias("top"), idx.cast("int").alias("idx"),
-                    leaf.alias("leaf"), v.alias("v"), _kind_of(v).alias("k"))
+                    leaf.alias("leaf"), v.alias("v"))
+
+
+def _entries_of(v: Column) -> Column:
+    """Entries of an object; NULL for anything else."""
+    return F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _items_of(v: Column) -> Column:
+    """Elements of an array; NULL for anything else."""
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def _expand(arr: Column) -> Column:
     """One level: objects open into their entries, arrays into their
-    elements, scalars stay.  Keys are normalised on the way (G2).  The
-    array expression is referenced once, so the unrolled levels stay a
-    linear chain."""
+    elements, scalars stay.  Keys are normalised on the way (G2), once each.
+    What a node is shows by opening it: a schema would be read from all below
+    it.  The array expression is referenced once, so the unrolled levels stay
+    a linear chain."""
     def step(e):
-        kids_obj = F.transform(
-            F.map_entries(F.try_variant_get(e["v"], "$", "map<string,variant>")),
-            lambda kv: _node(F.when(e["path"] == "", norm_key(kv["key"])).otherwise(
-                F.concat(e["path"], F.lit("."), norm_key(kv["key"]))),
-                F.coalesce(e["top"], norm_key(kv["key"])), e["idx"], norm_key(kv["key"]), kv["value"]))
+        named = F.transform(_entries_of(e["v"]), lambda kv: F.struct(norm_key(kv["key"]).alias("name"), kv["value"].alias("v")))
+        kids_obj = F.transform(named, lambda x: _node(
+            F.when(e["path"] == "", x["name"]).otherwise(F.concat(e["path"], F.lit("."), x["name"])),
+            F.coalesce(e["top"], x["name"]), e["idx"], x["name"], x["v"]))
         kids_arr = F.transform(
-            F.try_variant_get(e["v"], "$", "array<variant>"),
+            _items_of(e["v"]),
             lambda x, i: _node(F.concat(e["path"], F.lit("["), i.cast("string"), F.lit("]")), e["top"],
                                F.when(e["idx"].isNull() & ~e["path"].contains("["), i).otherwise(e["idx"]),
                                e["leaf"], x))
-        return (F.when(e["k"] == "O", kids_obj).when(e["k"] == "A", kids_arr)
-                .otherwise(F.array(e)))
+        return F.coalesce(kids_obj, kids_arr, F.array(e))
     return F.flatten(F.transform(arr, step))
 
 
@@ -198,13 +201,12 @@ def _nodes(v: Column) -> Column:
     for _ in range(FAST_LEVELS):
         arr = _expand(arr)
     return F.flatten(F.transform(arr, lambda e: F.when(
-        e["k"] == "S", F.array(e)).otherwise(scalars_below(e["v"], e["path"], e["top"], e["idx"], e["leaf"], norm_key))))
+        _entries_of(e["v"]).isNull() & _items_of(e["v"]).isNull(), F.array(e)).otherwise(scalars_below(e["v"], e["path"], e["top"], e["idx"], e["leaf"], norm_key))))
 
 
 def _candidate(n: Column, m: Column) -> Column:
-    k = F.schema_of_variant(n["v"])
-    value = F.when(k == "STRING", F.try_variant_get(n["v"], "$", "string")).when(
-        (k != "VOID") & ~k.startswith("OBJECT") & ~k.startswith("ARRAY"), F.to_json(n["v"]))
+    value = bind(F.schema_of_variant(n["v"]), lambda k: F.when(k == "STRING", F.try_variant_get(n["v"], "$", "string")).when(
+        (k != "VOID") & ~k.startswith("OBJECT") & ~k.startswith("ARRAY"), F.to_json(n["v"])))
     return F.struct(m["section"].alias("section"), m["attr"].alias("attr"), m["prio"].alias("prio"),
                     F.coalesce(n["idx"], F.lit(-1)).alias("item"), m["sequence"].alias("sequence"),
                     m["identifier"].alias("identifier"), m["display_name"].alias("display_name"),
@@ -245,10 +247,11 @@ def _matched(df: DataFrame, mapping: DataFrame, max_compiled: int) -> DataFrame:
     # first found wins: a root look-up hides the under-section one (G8).  Items
     # of lists have one priority, so only the others, as many as the mapping
     # has rows at most, are compared.
-    first = with_cand.select(*keep, "_cand", F.filter("_cand", lambda x: (x["item"] < 0) & (x["prio"] == 1)).alias("_root"))
-    best = F.filter("_cand", lambda x: (x["item"] >= 0) | (x["prio"] == 1) | ~F.exists(
-        "_root", lambda y: (y["section"] == x["section"]) & (y["attr"] == x["attr"])))
-    return first.select(*keep, best.alias("_best"))
+    # ``bind``: a column read inside a lambda would be computed there, once an element.
+    best = bind(F.filter("_cand", lambda x: (x["item"] < 0) & (x["prio"] == 1)), lambda root: F.filter(
+        "_cand", lambda x: (x["item"] >= 0) | (x["prio"] == 1) | ~F.exists(
+            root, lambda y: (y["section"] == x["section"]) & (y["attr"] == x["attr"]))))
+    return with_cand.select(*keep, best.alias("_best"))
 
 
 def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, max_compiled: int) -> DataFrame:
@@ -265,8 +268,8 @@ def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, max_compiled: int
     else:
         m = m.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
 
-    def section(s):
-        mine = F.array_sort(F.transform(F.filter("_best", lambda x: x["section"] == s["section"]), lambda x: F.struct(
+    def section(best, s):
+        mine = F.array_sort(F.transform(F.filter(best, lambda x: x["section"] == s["section"]), lambda x: F.struct(
             x["item"], x["sequence"], x["attr"], x["identifier"], x["display_name"], x["data_type"], x["unit"], x["value"])))
         return F.struct(s.alias("s"), mine.alias("mine"))
 
@@ -275,7 +278,7 @@ def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, max_compiled: int
 
     def heads(x):
         return F.struct(x["s"], x["mine"], x["starts"], F.transform(x["starts"], lambda y, i: (y == i).cast("int")).alias("is_first"))
-    st = m.select(*keep, F.transform("_secs", section).alias("_a"))
+    st = m.select(*keep, bind(F.col("_best"), lambda best: F.transform("_secs", lambda s: section(best, s))).alias("_a"))
     st = st.select(*keep, F.transform("_a", numbered).alias("_a"))
     st = st.select(*keep, F.transform("_a", heads).alias("_a"))
     st = st.select(*keep, F.transform("_a", lambda x: F.struct(
