@@ -211,7 +211,7 @@ def _clinic_tables(spark, d):
     rules = rules.withColumn("DEVICE", F.explode(both))
     clinic = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("CUSTOMER_ID"),
                                               F.when(F.col("o_orderkey") % 2 == 0, "AMIA").otherwise("CLARIA").alias("DEVICE"))
-    return device_records(spark, d).join(clinic, "doc_id"), rules
+    return device_records(spark, d).join(clinic.hint("merge"), "doc_id"), rules
 
 
 def _clinic_sql(final_sql: str) -> str:

@@ -70,18 +70,18 @@ def _obx_text(line: Column, set_id: Column, orderkey: Column) -> Column:
 def hl7_messages(spark: SparkSession, d: str) -> DataFrame:
     """``messages(msg_id, raw)``: one ORU^R01 message per order, whatever its size.
 
-    Plan: lineitem is aggregated per order first (a message is one row, so
-    its lines belong together), then joined to orders and customer on their
-    keys (shuffle joins; nothing here is broadcast because every side grows
-    with the data).  The aggregate and the join on the order key share one
-    exchange."""
+    Plan: lineitem is aggregated per order (a message is one row, so its lines
+    belong together) and joined to the orders, which meet their customer before
+    they are as wide as their lines (merge joins; nothing here is broadcast because
+    every side grows with the data).  The aggregate and the join on the order key
+    share one exchange."""
     li = table(spark, d, "lineitem").select("l_orderkey", *_MSG_LINE)
     lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_MSG_LINE))).alias("lines"))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                               "o_orderdate", "o_orderpriority")
     cust = table(spark, d, "customer").select("c_custkey", "c_name")
-    j = (orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
-         .join(cust, orders.o_custkey == cust.c_custkey, "left"))
+    j = (orders.join(cust.hint("merge"), orders.o_custkey == cust.c_custkey, "left")
+         .join(lines.hint("merge"), orders.o_orderkey == lines.l_orderkey, "left"))
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     ks = _s(k)
     ts = F.date_format("o_orderdate", "yyyyMMddHHmmss")
@@ -139,7 +139,7 @@ def device_records(spark: SparkSession, d: str) -> DataFrame:
                    F.sum("l_quantity").alias("total_qty")))
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice",
                                               "o_orderdate")
-    j = orders.join(cycles, orders.o_orderkey == cycles.l_orderkey, "left")
+    j = orders.join(cycles.hint("merge"), orders.o_orderkey == cycles.l_orderkey, "left")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     w = (F.col("o_totalprice") / 1000).cast("bigint")
     dob = F.when(c % 37 == 0, F.lit("30-FEB-1985")).otherwise(F.format_string(
