@@ -53,7 +53,7 @@ def segments_named(segs: Column, name: str) -> Column:
 
 def first_component(v: Column) -> Column:
     """First component of the first repetition."""
-    return F.get(F.split(F.get(F.split(v, "~", -1), 0), r"\^", -1), 0)
+    return F.substring_index(F.substring_index(v, "~", 1), "^", 1)
 
 
 def preview(v: Column, n: int = 50) -> Column:

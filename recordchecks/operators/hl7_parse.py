@@ -56,7 +56,7 @@ def fields(messages: DataFrame, **kw) -> DataFrame:
         F.transform(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))),
                     lambda v, i: F.struct((i + 1).alias("field_no"), v.alias("value"))))
     out = inline_kept(s, ["msg_id", "seg_pos", "seg_name", "seg_occ"], numbered, "field_no")
-    return out.select("*", F.size(F.split("value", "~", -1)).alias("n_reps"),
+    return out.select("*", (F.length("value") - F.length(F.replace("value", F.lit("~"), F.lit(""))) + 1).alias("n_reps"),
                       H.first_component(F.col("value")).alias("first_component"))
 
 
