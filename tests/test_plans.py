@@ -73,3 +73,13 @@ def test_generated_rows_are_not_broadcast_on_an_estimate(spark, monkeypatch):
     for name in ("recur_coverage", "json_rule_index", "json_rule_index_findings", "json_rule_index_summary"):
         plan_of = lambda name=name: E.queries()[name](spark, SF_SMALL)
         assert not _broadcasts_by_size(spark, lambda: plan_of()), name
+
+
+def test_json_results_are_compressed(spark, tmp_path):
+    import os
+    from recordchecks.sources.sinks import write_json
+    df = spark.range(3).selectExpr("id", "repeat('x', 1000) as text")
+    write_json(df, str(tmp_path / "out"))
+    parts = [f for f in os.listdir(tmp_path / "out") if f.startswith("part-")]
+    assert parts and all(f.endswith(".json.gz") for f in parts)
+    assert spark.read.schema(df.schema).json(str(tmp_path / "out")).exceptAll(df).count() == 0
