@@ -103,3 +103,39 @@ def test_without_both_classes(spark, make_docs, toxic, score):
 
 def test_empty_table(spark, make_docs):
     assert tx.toxicity_scores(make_docs([]), labels_of(spark, [])).collect() == []
+
+
+def test_every_labelled_text_is_learnt_from(spark, make_docs, monkeypatch):
+    """Texts of one block, of many blocks and of many words all reach the weights and the thresholds."""
+    rows = [r for r in rows_of(700) if not held(r[0])]
+    marks = [r for r in rows if zlib.crc32(b"kept%d" % r[0]) % 5][::9]
+    # a word that is in these texts alone, one of them longer than the old limit of 3,000 words
+    own = {r[0]: f"zq{r[0]}xj" for r in marks}
+    long = marks[0][0]
+    rows = [(i, (t + " ") * (200 if i == long else 1) + own.get(i, ""), s, y) for i, t, s, y in rows]
+    monkeypatch.setattr(tx, "BLOCK_TEXTS", 60)
+    net = tx.fit(make_docs([r[:3] for r in rows]), labels_of(spark, rows))
+    start = tx.ConvNet()
+    moved = {i for i, w in own.items() if (net.emb[tx.rows_of(w)[0]] != start.emb[tx.rows_of(w)[0]]).any()}
+    # a word may win no filter and stay as it was; the cut to one block moved at most those of that block
+    assert len(moved) > len(own) / 3
+    again = tx.fit(make_docs([r[:3] for r in rows]).repartition(3), labels_of(spark, rows))
+    assert (again.emb == net.emb).all() and (again.thresholds == net.thresholds).all()
+
+
+def test_windows_in_stretches(monkeypatch):
+    net, coder = tx.ConvNet(), tx.Coder()
+    texts = [coder.code(r[1].split()) for r in rows_of(40)] + [np.zeros(0, np.int32)]
+    ids, first = tx.lay(texts)
+    products = net.products(np.array(coder.rows, np.int64))
+    want = net.pooled(products, ids, first, where=True)
+    for stretch in (1, 7, 64):
+        monkeypatch.setattr(tx, "STRETCH", stretch)
+        got = net.pooled(products, ids, first, where=True)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_threshold_of_counts():
+    p, y = np.round(RNG.random(400), 2), (RNG.random(400) < 0.4).astype(float)
+    keys, times = np.unique(np.stack([p, y]), axis=1, return_counts=True)
+    assert tx.best_threshold(keys[0], keys[1], times.astype(float)) == tx.best_threshold(p, y)
