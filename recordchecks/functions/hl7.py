@@ -11,15 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recordchecks.rules.hl7_rules import ENVELOPE_SEGMENTS, SEGMENT_SPLIT
+from recordchecks.rules.hl7_rules import ENVELOPE_SEGMENTS
+
+
+def segment_lines(raw: Column) -> Column:
+    """Non-blank lines of a message (``\\r``, ``\\n`` and ``\\r\\n`` all end
+    a segment).  Cut at one plain character: a pattern of line ends would be
+    compiled and searched anew for each message, and of ``\\r\\n`` only a
+    blank line is left, which is dropped like any other."""
+    return F.filter(F.split(F.replace(raw, F.lit("\n"), F.lit("\r")), "\r", -1), lambda s: F.trim(s) != F.lit(""))
 
 
 def parse_segments(raw: Column) -> Column:
-    """H1+H2: message text to ``array<array<string>>`` (``\\r``, ``\\n`` and
-    ``\\r\\n`` all end a segment, blank lines dropped).  NULL text gives []."""
-    lines = F.filter(F.split(F.coalesce(raw, F.lit("")), SEGMENT_SPLIT, -1),
-                     lambda s: F.trim(s) != F.lit(""))
-    return F.transform(lines, lambda s: F.split(s, r"\|", -1))
+    """H1+H2: message text to ``array<array<string>>`` (lines as in
+    ``segment_lines``).  NULL text gives []."""
+    return F.transform(segment_lines(F.coalesce(raw, F.lit(""))), lambda s: F.split(s, r"\|", -1))
 
 
 def seg_name(a: Column) -> Column:

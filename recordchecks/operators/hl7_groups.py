@@ -20,22 +20,28 @@ from recordchecks.functions.gen import explode_kept, inline_kept, posexplode_kep
 from recordchecks.operators import hl7_validate as HV
 from recordchecks.rules import hl7_grammar as G
 from recordchecks.rules import hl7_mapping as M
-from recordchecks.rules.hl7_rules import ENVELOPE_SEGMENTS, SEGMENT_SPLIT
+from recordchecks.rules.hl7_rules import ENVELOPE_SEGMENTS
 from recordchecks.session import shared_path
 
 HEADERS = ["MSH", "BHS", "FHS"]
 
 
 # ------------------------------------------------------------------ H2
-def _cut(v: Column, delimiter: Column) -> Column:
-    """``v`` cut at a one-character delimiter; whole where none is declared."""
-    quoted = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
-    return F.when(F.coalesce(delimiter, F.lit("")) == "", F.array(v)).otherwise(F.split(v, quoted, -1))
+def _cut(v: Column, delimiter: Column, pattern: Column) -> Column:
+    """``v`` cut at a one-character delimiter, given with its ``_pattern``;
+    whole where it is not in it or none is declared."""
+    return F.when((delimiter != "") & F.contains(v, delimiter), F.split(v, pattern, -1)).otherwise(F.array(v))
+
+
+def _pattern(delimiter: Column) -> Column:
+    """The delimiter as a pattern of two characters at most, which ``split``
+    takes as plain text; any longer one it compiles anew for each value."""
+    return F.when(delimiter.rlike("^[A-Za-z0-9]"), delimiter).otherwise(F.concat(F.lit("\\"), delimiter))
 
 
 def _decoded(v: Column) -> Column:
-    """Escape sequences of the declared delimiters put back, in one pass from
-    the left; other sequences (highlighting, hexadecimal) stay as they are."""
+    """Escape sequences of the delimiters ``d`` put back, in one pass from the
+    left; other sequences (highlighting, hexadecimal) stay as they are."""
     esc = F.col("d.escape")
     quoted = F.concat(F.lit("\\Q"), esc, F.lit("\\E"))
     token = F.concat(F.lit("(?s)("), quoted, F.lit("[FSRTE]"), quoted, F.lit("|.)"))
@@ -47,8 +53,7 @@ def _decoded(v: Column) -> Column:
             out = F.when((mark != "") & (t == F.concat(esc, F.lit(letter), esc)), mark).otherwise(out)
         return out
 
-    return F.when((esc == "") | ~F.contains(v, esc), v).otherwise(
-        F.array_join(F.transform(F.regexp_extract_all(v, token, F.lit(1)), back), ""))
+    return F.array_join(F.transform(F.regexp_extract_all(v, token, F.lit(1)), back), "")
 
 
 def field_tree(messages: DataFrame, id_col: str = "msg_id", raw_col: str = "raw") -> DataFrame:
@@ -60,29 +65,39 @@ def field_tree(messages: DataFrame, id_col: str = "msg_id", raw_col: str = "raw"
     with ``|^~\\&``.  Leaves are cut before they are decoded.  In header
     segments (MSH, and BHS and FHS of an envelope) field 1 is the separator and
     field 2 the other delimiters, both whole.  A null message has no rows."""
-    lines = F.filter(F.split(F.col(raw_col), SEGMENT_SPLIT, -1), lambda s: F.trim(s) != "")
-    p = messages.select(F.col(id_col).alias("msg_id"), lines.alias("lines"))
+    p = messages.select(F.col(id_col).alias("msg_id"), H.segment_lines(F.col(raw_col)).alias("lines"))
     p = p.select("msg_id", "lines", F.coalesce(F.get(F.filter("lines", lambda s: F.startswith(s, F.lit("MSH"))), F.lit(0)),
                                                F.lit("MSH|^~\\&")).alias("msh"))
     p = p.select("msg_id", "lines", "msh", F.substring("msh", 4, 1).alias("fs"))
-    p = p.select("msg_id", "lines", "fs", F.coalesce(F.get(_cut(F.col("msh"), F.col("fs")), F.lit(1)), F.lit("")).alias("enc"))
-    p = p.select("msg_id", "lines", F.struct(F.col("fs").alias("field"), *[
+    p = p.select("msg_id", "lines", "msh", "fs", _pattern(F.col("fs")).alias("fp"))
+    p = p.select("msg_id", "lines", "fs", "fp", F.coalesce(
+        F.get(_cut(F.col("msh"), F.col("fs"), F.col("fp")), F.lit(1)), F.lit("")).alias("enc"))
+    p = p.select("msg_id", "lines", "fp", F.struct(F.col("fs").alias("field"), *[
         F.substring("enc", i, 1).alias(n) for i, n in enumerate(("component", "repetition", "escape", "sub"), 1)]).alias("d"))
-    s = posexplode_kept(p, ["msg_id", "d"], "lines", "i", "line")
-    s = s.select("msg_id", "d", (F.col("i") + 1).alias("seg_pos"), "line", _cut(F.col("line"), F.col("d.field")).alias("parts"))
-    s = s.select("msg_id", "d", "seg_pos", F.get("parts", F.lit(0)).alias("seg_name"), "parts")
+    p = p.select("msg_id", "lines", "fp", "d", F.struct(*[
+        _pattern(F.col(f"d.{n}")).alias(n) for n in ("component", "repetition", "sub")]).alias("q"))
+    s = posexplode_kept(p, ["msg_id", "d", "q", "fp"], "lines", "i", "line")
+    s = s.select("msg_id", "d", "q", (F.col("i") + 1).alias("seg_pos"),
+                 _cut(F.col("line"), F.col("d.field"), F.col("fp")).alias("parts"))
+    s = s.select("msg_id", "d", "q", "seg_pos", F.get("parts", F.lit(0)).alias("seg_name"), "parts")
     header = F.col("seg_name").isin(*HEADERS)
     values = F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0)))
-    f = posexplode_kept(s, ["msg_id", "d", "seg_pos", "seg_name"],
+    f = posexplode_kept(s, ["msg_id", "d", "q", "seg_pos", "seg_name"],
                         F.when(header, F.concat(F.array("d.field"), values)).otherwise(values), "i", "value")
-    f = f.select("msg_id", "d", "seg_pos", "seg_name", (F.col("i") + 1).alias("field_no"), "value").where(F.col("value") != "")
-    keep, whole = ["msg_id", "d", "seg_pos", "seg_name", "field_no"], header & (F.col("field_no") <= 2)
+    f = f.where(F.col("value") != "").select("msg_id", "d", "q", "seg_pos", "seg_name", (F.col("i") + 1).alias("field_no"),
+                                             (header & (F.col("i") < 2)).alias("whole"), "value")
+    keep, whole = ["msg_id", "d", "q", "seg_pos", "seg_name", "field_no", "whole"], F.col("whole")
     for n, mark in (("rep_no", "repetition"), ("comp_no", "component"), ("sub_no", "sub")):
-        cut = F.when(whole, F.array("value")).otherwise(_cut(F.col("value"), F.col(f"d.{mark}")))
-        f = posexplode_kept(f, keep, cut, "i", "leaf").select(*keep, (F.col("i") + 1).alias(n), F.col("leaf").alias("value"))
+        cut = F.when(whole, F.array("value")).otherwise(_cut(F.col("value"), F.col(f"d.{mark}"), F.col(f"q.{mark}")))
+        # an empty part has empty parts only, so it is left out at once
+        f = posexplode_kept(f, keep, cut, "i", "leaf").where(F.col("leaf") != "").select(
+            *keep, (F.col("i") + 1).alias(n), F.col("leaf").alias("value"))
         keep = keep + [n]
-    return f.where(F.col("value") != "").select(
-        *[k for k in keep if k != "d"], F.when(whole, F.col("value")).otherwise(_decoded(F.col("value"))).alias("value"))
+    # the delimiters go on with the few leaves that hold an escape
+    escaped = ~whole & (F.col("d.escape") != "") & F.contains(F.col("value"), F.col("d.escape"))
+    out = [k for k in keep if k not in ("d", "q", "whole")]
+    f = f.select(*out, "value", F.when(escaped, F.col("d")).alias("d"))
+    return f.select(*out, F.when(F.col("d").isNull(), F.col("value")).otherwise(_decoded(F.col("value"))).alias("value"))
 
 
 # ------------------------------------------------------------------ G15

@@ -124,3 +124,19 @@ def test_batch_of_any_size_is_numbered_over_parts(spark):
     assert {k: v[1:] for k, v in got.items()} == want and all(v[0].startswith("MSH|") for v in got.values())
     plan = HG.batch_segments(df, F.col("key"), "t")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_field_tree_cuts_at_plain_characters(spark):
+    # a pattern of more than two characters is compiled anew for each value
+    plan = HG.field_tree(raws(spark, MSH))._jdf.queryExecution().optimizedPlan().toString()
+    cuts = plan[:plan.index("filter(split")]
+    assert "split(" in cuts and "\\Q" not in cuts.replace("regexp_extract_all", "\0").split("\0")[0]
+    # blank lines and any kind of line end; marks of any kind, within the plane and beyond it
+    text = "MSH|^~\\&|A^B\r\n\r\n  \nPID|1^2~3&4\n\rPID|5"
+    want = [(2, "PID", 1, 1, 1, 1, "1"), (2, "PID", 1, 1, 2, 1, "2"), (2, "PID", 1, 2, 1, 1, "3"), (2, "PID", 1, 2, 1, 2, "4"),
+            (3, "PID", 1, 1, 1, 1, "5")]
+    assert [r for r in tree(spark, text) if r[1] == "PID"] == want
+    for marks in ("\t é一́", "\U0001F600\U00020000$^.", "7890x", "ndswb", "]){}*"):
+        if not set(marks) & set("12345"):
+            other = text.translate(str.maketrans("|^~\\&", marks))
+            assert [r for r in tree(spark, other) if r[1] == "PID"] == want, marks
