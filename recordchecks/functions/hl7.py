@@ -25,7 +25,17 @@ def segment_lines(raw: Column) -> Column:
 def parse_segments(raw: Column) -> Column:
     """H1+H2: message text to ``array<array<string>>`` (lines as in
     ``segment_lines``).  NULL text gives []."""
-    return F.transform(segment_lines(F.coalesce(raw, F.lit(""))), lambda s: F.split(s, r"\|", -1))
+    return F.transform(segment_lines(F.coalesce(raw, F.lit(""))), line_fields)
+
+
+def line_fields(line: Column) -> Column:
+    """The parts of a segment line, its name first."""
+    return F.split(line, r"\|", -1)
+
+
+def line_name(line: Column) -> Column:
+    """``seg_name`` of a line that is not split."""
+    return F.substring_index(line, "|", 1)
 
 
 def seg_name(a: Column) -> Column:

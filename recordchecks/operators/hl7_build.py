@@ -378,7 +378,8 @@ def oru_segments(patients: DataFrame, orders: DataFrame, observations: DataFrame
         F.array_sort(F.collect_list(F.struct("seq", "value_type", "code", "value", "unit", "range",
                                              "status"))).alias("obs"))
     e = lambda c: F.coalesce(H.escape_value(c), F.lit(""))
-    j = (orders.join(grouped, "order_id", "left").join(patients, "patient_id", "left"))
+    # orders meet their patient before they are as wide as their observations
+    j = orders.join(patients, "patient_id", "left").join(grouped, "order_id", "left")
     msg_id = F.col("order_id").cast("string")
     msh = F.concat(F.lit(f"MSH|^~\\&|{M.APP_FIELDS}|{run_ts}||ORU^R01^ORU_R01|"), msg_id,
                    F.lit(f"|P|{M.HL7_VERSION}"))

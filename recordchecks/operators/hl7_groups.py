@@ -9,6 +9,7 @@ of all orders, so it is sorted as rows and never gathered.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,8 @@ from recordchecks.rules.hl7_rules import ENVELOPE_SEGMENTS
 from recordchecks.session import shared_path
 
 HEADERS = ["MSH", "BHS", "FHS"]
+# field numbers that are kept as texts; those of longer segments are made when needed
+COUNTED = 64
 
 
 # ------------------------------------------------------------------ H2
@@ -180,10 +183,9 @@ def _parts(items: Column, starts: Column) -> Column:
     return F.array_compact(F.zip_with(starts, ends, lambda a, b: F.slice(items, a, b - a)))
 
 
-def _starts(items: Column, opens) -> Column:
-    """1-based places of the segments that open a group."""
-    at = F.transform(items, lambda a, i: F.when(opens(a, i, items), i + 1))
-    return F.array_compact(at)
+def _places(flags: Column) -> Column:
+    """1-based places of the true elements."""
+    return F.array_compact(F.transform(flags, lambda f, i: F.when(f, i + 1)))
 
 
 def _before(items: Column, starts: Column) -> Column:
@@ -191,30 +193,29 @@ def _before(items: Column, starts: Column) -> Column:
     return F.slice(items, F.lit(1), F.coalesce(F.get(starts, F.lit(0)) - 1, F.size(items)))
 
 
-def group_tree(raw_messages: DataFrame) -> DataFrame:
+def group_tree(raw_messages: DataFrame, segment: Callable[[Column], Column] = H.line_fields) -> DataFrame:
     """``(msg_id, head, patients)``: the segments before the first group,
     and of each PATIENT_RESULT its own segments and its ORDER_OBSERVATION
     groups (``patients: array<struct<segs, orders: array<array<segment>>>>``).
+    A segment is what ``segment`` makes of its line, its parts if not told
+    otherwise; groups are told by the names alone.
 
     PID opens a patient group, and so does an order without one before it; ORC,
     or OBR without an ORC right before it, opens an order group.  No segment
     is lost: one out of place stays in the group that is open."""
-    def opens_order(a: Column, i: Column, items: Column) -> Column:
-        name = H.seg_name(a)
-        return (name == "ORC") | ((name == "OBR") & ~F.coalesce(H.seg_name(F.get(items, i - 1)) == "ORC", F.lit(False)))
+    def patient(part: Column, opens: Column) -> Column:
+        return bind(_places(opens), lambda at: F.struct(_before(part, at).alias("segs"), _parts(part, at).alias("orders")))
 
-    def patient_starts(s: Column) -> Column:
-        pids = _starts(s, lambda a, i, _: H.seg_name(a) == "PID")
-        return bind(_starts(s, opens_order), lambda orders: bind(pids, lambda at: F.concat(
-            F.filter(F.slice(orders, 1, 1), lambda o: F.coalesce(o < F.get(at, F.lit(0)), F.lit(True))), at)))
-
-    def patient(part: Column) -> Column:
-        return bind(_starts(part, opens_order), lambda at: F.struct(_before(part, at).alias("segs"), _parts(part, at).alias("orders")))
-
-    p = raw_messages.select("msg_id", H.parse_segments(F.col("raw")).alias("segs"))
-    p = p.select("msg_id", "segs", patient_starts(F.col("segs")).alias("at"))
-    return p.select("msg_id", _before(F.col("segs"), F.col("at")).alias("head"),
-                    F.transform(_parts(F.col("segs"), F.col("at")), patient).alias("patients"))
+    p = raw_messages.select("msg_id", H.segment_lines(F.coalesce("raw", F.lit(""))).alias("lines"))
+    p = p.select("msg_id", "lines", F.transform("lines", H.line_name).alias("names"))
+    p = p.select("msg_id", F.transform("lines", segment).alias("segs"), _places(F.transform("names", lambda n: n == "PID")).alias("pids"),
+                 F.transform("names", lambda n, i: (n == "ORC") | ((n == "OBR") & ~F.coalesce(
+                     F.get(F.col("names"), i - 1) == "ORC", F.lit(False)))).alias("opens"))
+    p = p.select("msg_id", "segs", "opens", "pids", F.array_position("opens", F.lit(True)).cast("int").alias("first"))
+    alone = (F.col("first") > 0) & F.coalesce(F.col("first") < F.get("pids", F.lit(0)), F.lit(True))
+    p = p.select("msg_id", "segs", "opens", F.when(alone, F.concat(F.array("first"), "pids")).otherwise(F.col("pids")).alias("at"))
+    return p.select("msg_id", _before(F.col("segs"), F.col("at")).alias("head"), F.zip_with(
+        _parts(F.col("segs"), F.col("at")), _parts(F.col("opens"), F.col("at")), patient).alias("patients"))
 
 
 def _xml_text(c: Column) -> Column:
@@ -228,27 +229,30 @@ def _element(name, body: Column) -> Column:
     return F.concat(F.lit("<"), name, F.lit(">"), body, F.lit("</"), name, F.lit(">"))
 
 
-def _segment_xml(a: Column) -> Column:
-    """Non-empty fields only; MSH.1 is the separator."""
-    name = H.seg_name(a)
-    shift = F.when(name == "MSH", 2).otherwise(1)
-    fields = F.transform(F.slice(a, F.lit(2), F.size(a) - 1), lambda v, i: F.when(
-        v != "", _element(F.concat(name, F.lit("."), (i + shift).cast("string")), _xml_text(v))))
-    return _element(name, F.concat(F.when(name == "MSH", F.lit("<MSH.1>|</MSH.1>")).otherwise(F.lit("")), F.array_join(fields, "")))
-
+def _segment_xml(line: Column) -> Column:
+    """Non-empty fields only; MSH.1 is the separator.  A field costs one
+    concatenation: its number comes as text, the tag's fixed part by the join."""
+    def element(name: Column, parts: Column) -> Column:
+        start, n = F.when(name == "MSH", 2).otherwise(1), F.size(parts)
+        numbers = F.when(n < COUNTED, F.slice(F.array(*[F.lit(str(i)) for i in range(1, COUNTED + 1)]), start, n - 1)).otherwise(
+            F.transform(F.sequence(start, start + n - 2), lambda i: i.cast("string")))
+        fields = bind(F.concat(F.lit("</"), name, F.lit(".")), lambda close: F.call_function("array_join", F.zip_with(
+            F.slice(parts, F.lit(2), n), numbers, lambda v, i: F.when(v != "", F.concat(i, F.lit(">"), v, close, i))),
+            F.concat(F.lit("><"), name, F.lit("."))))
+        return _element(name, F.concat(F.when(name == "MSH", F.lit("<MSH.1>|</MSH.1>")).otherwise(F.lit("")), bind(
+            fields, lambda f: F.when(f != "", F.concat(F.lit("<"), name, F.lit("."), f, F.lit(">"))).otherwise(F.lit("")))))
 
-def _segments_xml(segs: Column) -> Column:
-    return F.array_join(F.transform(segs, _segment_xml), "")
+    return bind(H.line_name(line), lambda name: bind(H.line_fields(_xml_text(line)), lambda parts: element(name, parts)))
 
 
 def to_xml(raw_messages: DataFrame) -> DataFrame:
     """``(msg_id, xml)``, the group tree as XML: groups as elements around
     their segments, text escaped."""
-    order = lambda o: _element(G.ORDER_GROUP, _segments_xml(o))
+    order = lambda o: _element(G.ORDER_GROUP, F.array_join(o, ""))
     patient = lambda p: _element(G.PATIENT_GROUP, F.concat(
-        _segments_xml(p["segs"]), F.array_join(F.transform(p["orders"], order), "")))
-    return group_tree(raw_messages).select("msg_id", _element("ORU_R01", F.concat(
-        _segments_xml(F.col("head")), F.array_join(F.transform("patients", patient), ""))).alias("xml"))
+        F.array_join(p["segs"], ""), F.array_join(F.transform(p["orders"], order), "")))
+    return group_tree(raw_messages, _segment_xml).select("msg_id", _element("ORU_R01", F.concat(
+        F.array_join("head", ""), F.array_join(F.transform("patients", patient), ""))).alias("xml"))
 
 
 def from_xml(xml_messages: DataFrame) -> DataFrame:

@@ -140,3 +140,22 @@ def test_field_tree_cuts_at_plain_characters(spark):
         if not set(marks) & set("12345"):
             other = text.translate(str.maketrans("|^~\\&", marks))
             assert [r for r in tree(spark, other) if r[1] == "PID"] == want, marks
+
+
+def test_xml_of_long_segments_and_odd_names(spark):
+    for n in (62, 63, 64, 65, 200):
+        fields = ["" if i % 7 == 0 else f"v{i}&" for i in range(1, n + 1)]
+        x = HG.to_xml(raws(spark, "|".join(["MSH", *fields]) + "\n\n" + "|".join(["PID", *fields]) + "\r\n<A>|1\rZ|")).first().xml
+        assert x == "<ORU_R01><MSH><MSH.1>|</MSH.1>" + "".join(
+            f"<MSH.{i}>{v}amp;</MSH.{i}>" for i, v in enumerate(fields, 2) if v) + "</MSH><ORU_R01.PATIENT_RESULT><PID>" + "".join(
+            f"<PID.{i}>{v}amp;</PID.{i}>" for i, v in enumerate(fields, 1) if v) + (
+            "</PID><<A>><<A>.1>1</<A>.1></<A>><Z></Z></ORU_R01.PATIENT_RESULT></ORU_R01>")
+
+
+def test_orders_meet_their_patient_before_their_observations(spark):
+    from recordchecks.plans import gen_q
+    segs, _ = gen_q.relational_segments(spark, "/root/testdata/sf0.001")
+    plan = segs._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    # the outer join is that of the observations, so no shuffle but the group's own holds them
+    assert len(joins) == 2 and "order_id" in joins[0] and "patient_id" in joins[1]
