@@ -13,7 +13,7 @@ the PID.3 repetition) for repeated checks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import add
 
@@ -38,18 +38,19 @@ def _finding(check_no: int, severity: str, code: str, location, message, occ=Non
 
 class _Checks:
     """Accumulates ``when(cond, finding)`` entries in rule order; with
-    ``codes``, of these codes only (the numbers stay)."""
+    ``codes``, of these codes only, and of a code that has ``places``, at those
+    only (the numbers stay)."""
 
-    def __init__(self, codes: Sequence[str] | None = None):
+    def __init__(self, codes: Sequence[str] | None = None, places: Mapping[str, Sequence[str]] | None = None):
         self.parts: list[Column] = []
-        self.n, self.codes = 0, codes
+        self.n, self.codes, self.places = 0, codes, places or {}
 
-    def wanted(self, code: str) -> bool:
-        return self.codes is None or code in self.codes
+    def wanted(self, code: str, location: str | None = None) -> bool:
+        return (self.codes is None or code in self.codes) and (code not in self.places or location in self.places[code])
 
     def add(self, cond: Column, severity, code, location, message):
         self.n += 1
-        if self.wanted(code):
+        if self.wanted(code, location):
             self.parts.append(F.array(F.when(cond, _finding(self.n, severity, code, location, message))))
 
     def repeats(self, bad: Column, severity, code, location, message):

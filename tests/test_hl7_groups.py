@@ -159,3 +159,19 @@ def test_orders_meet_their_patient_before_their_observations(spark):
     joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]
     # the outer join is that of the observations, so no shuffle but the group's own holds them
     assert len(joins) == 2 and "order_id" in joins[0] and "patient_id" in joins[1]
+
+
+def test_structure_folds_once_and_builds_only_what_it_tells(spark):
+    plan = HG.structure(raws(spark, MSH))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MSH.12 (Version ID) is required" in plan and "Set ID) is required" not in plan and "PID.3" not in plan
+
+
+def test_breaks_of_a_message_over_many_chunks(spark):
+    many = [f"OBX|{i + (i % 3 == 0)}|NM|X" if i % 50 else "NTE|1" for i in range(1, 400)]
+    n, want = 0, []
+    for i, s in enumerate(many):
+        n += s.startswith("OBX")
+        if s.startswith("OBX") and s.split("|")[1] != str(n):
+            want.append((f"segment {i + 4}", f"OBX set id {s.split('|')[1]} out of sequence, expected {n}"))
+    got = breaks(spark, "PID|1||7", "FHS|x", "OBR|1|O", *many, "PV1|1")
+    assert got == want + [("segment 403", "PV1 is not expected after OBX"), ("segment 403", "message ends after PV1")] and len(want) > 300
