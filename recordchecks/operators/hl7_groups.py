@@ -2,8 +2,8 @@
 patients in one message of any size (G14), the message grammar (G15) and the
 group tree with its XML both ways (G16).
 
-Tree, grammar and XML are expressions over the message's own row, so they
-shuffle nothing.  Only ``batch_segments`` shuffles: a batch may hold any share
+Tree and grammar are expressions over the message's own row and the XML is made
+and read by Arrow batches of such rows, so they shuffle nothing.  Only ``batch_segments`` shuffles: a batch may hold any share
 of all orders, so it is sorted as rows and never gathered.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordchecks.functions import hl7 as H
+from recordchecks.functions import segment_xml as SX
 from recordchecks.functions.arrays import CHUNK, bind
 from recordchecks.functions.gen import explode_kept, inline_kept, posexplode_kept
 from recordchecks.operators import hl7_validate as HV
@@ -24,8 +25,6 @@ from recordchecks.rules.hl7_rules import ENVELOPE_SEGMENTS, MSH_REQUIRED
 from recordchecks.session import shared_path
 
 HEADERS = ["MSH", "BHS", "FHS"]
-# field numbers that are kept as texts; those of longer segments are made when needed
-COUNTED = 64
 
 
 # ------------------------------------------------------------------ H2
@@ -199,12 +198,16 @@ def _before(items: Column, starts: Column) -> Column:
     return F.slice(items, F.lit(1), F.coalesce(F.get(starts, F.lit(0)) - 1, F.size(items)))
 
 
-def group_tree(raw_messages: DataFrame, segment: Callable[[Column], Column] = H.line_fields) -> DataFrame:
+def _with_fields(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("segs", F.transform("lines", H.line_fields))
+
+
+def group_tree(raw_messages: DataFrame, with_segs: Callable[[DataFrame], DataFrame] = _with_fields) -> DataFrame:
     """``(msg_id, head, patients)``: the segments before the first group,
     and of each PATIENT_RESULT its own segments and its ORDER_OBSERVATION
     groups (``patients: array<struct<segs, orders: array<array<segment>>>>``).
-    A segment is what ``segment`` makes of its line, its parts if not told
-    otherwise; groups are told by the names alone.
+    A segment is what ``with_segs``, which adds ``segs`` to ``lines``, makes of
+    its line: its parts if not told otherwise; groups are told by the names alone.
 
     PID opens a patient group, and so does an order without one before it; ORC,
     or OBR without an ORC right before it, opens an order group.  No segment
@@ -213,8 +216,8 @@ def group_tree(raw_messages: DataFrame, segment: Callable[[Column], Column] = H.
         return bind(_places(opens), lambda at: F.struct(_before(part, at).alias("segs"), _parts(part, at).alias("orders")))
 
     p = raw_messages.select("msg_id", H.segment_lines(F.coalesce("raw", F.lit(""))).alias("lines"))
-    p = p.select("msg_id", "lines", F.transform("lines", H.line_name).alias("names"))
-    p = p.select("msg_id", F.transform("lines", segment).alias("segs"), _places(F.transform("names", lambda n: n == "PID")).alias("pids"),
+    p = with_segs(p).select("msg_id", "segs", F.transform("lines", H.line_name).alias("names"))
+    p = p.select("msg_id", "segs", _places(F.transform("names", lambda n: n == "PID")).alias("pids"),
                  F.transform("names", lambda n, i: (n == "ORC") | ((n == "OBR") & ~F.coalesce(
                      F.get(F.col("names"), i - 1) == "ORC", F.lit(False)))).alias("opens"))
     p = p.select("msg_id", "segs", "opens", "pids", F.array_position("opens", F.lit(True)).cast("int").alias("first"))
@@ -224,40 +227,18 @@ def group_tree(raw_messages: DataFrame, segment: Callable[[Column], Column] = H.
         _parts(F.col("segs"), F.col("at")), _parts(F.col("opens"), F.col("at")), patient).alias("patients"))
 
 
-def _xml_text(c: Column) -> Column:
-    for ch, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        c = F.replace(c, F.lit(ch), F.lit(entity))
-    return c
-
-
 def _element(name, body: Column) -> Column:
     name = F.lit(name) if isinstance(name, str) else name
     return F.concat(F.lit("<"), name, F.lit(">"), body, F.lit("</"), name, F.lit(">"))
 
 
-def _segment_xml(line: Column) -> Column:
-    """Non-empty fields only; MSH.1 is the separator.  A field costs one
-    concatenation: its number comes as text, the tag's fixed part by the join."""
-    def element(name: Column, parts: Column) -> Column:
-        start, n = F.when(name == "MSH", 2).otherwise(1), F.size(parts)
-        numbers = F.when(n < COUNTED, F.slice(F.array(*[F.lit(str(i)) for i in range(1, COUNTED + 1)]), start, n - 1)).otherwise(
-            F.transform(F.sequence(start, start + n - 2), lambda i: i.cast("string")))
-        fields = bind(F.concat(F.lit("</"), name, F.lit(".")), lambda close: F.call_function("array_join", F.zip_with(
-            F.slice(parts, F.lit(2), n), numbers, lambda v, i: F.when(v != "", F.concat(i, F.lit(">"), v, close, i))),
-            F.concat(F.lit("><"), name, F.lit("."))))
-        return _element(name, F.concat(F.when(name == "MSH", F.lit("<MSH.1>|</MSH.1>")).otherwise(F.lit("")), bind(
-            fields, lambda f: F.when(f != "", F.concat(F.lit("<"), name, F.lit("."), f, F.lit(">"))).otherwise(F.lit("")))))
-
-    return bind(H.line_name(line), lambda name: bind(H.line_fields(_xml_text(line)), lambda parts: element(name, parts)))
-
-
 def to_xml(raw_messages: DataFrame) -> DataFrame:
     """``(msg_id, xml)``, the group tree as XML: groups as elements around
     their segments, text escaped."""
     order = lambda o: _element(G.ORDER_GROUP, F.array_join(o, ""))
     patient = lambda p: _element(G.PATIENT_GROUP, F.concat(
         F.array_join(p["segs"], ""), F.array_join(F.transform(p["orders"], order), "")))
-    return group_tree(raw_messages, _segment_xml).select("msg_id", _element("ORU_R01", F.concat(
+    return group_tree(raw_messages, SX.with_elements).select("msg_id", _element("ORU_R01", F.concat(
         F.array_join("head", ""), F.array_join(F.transform("patients", patient), ""))).alias("xml"))
 
 
@@ -265,23 +246,7 @@ def from_xml(xml_messages: DataFrame) -> DataFrame:
     """Inverse of ``to_xml``: ``(msg_id, raw)``.  Segments come back in their
     order and fields at their numbers; empty fields after a segment's last
     value, which the XML does not hold, are not written.  Null XML gives null."""
-    elements = F.regexp_extract_all("xml", F.lit(r"(?s)<(?:([A-Z][A-Z0-9]{2})>.*?</\1>)"), F.lit(0))
-
-    def segment(e: Column) -> Column:
-        name = F.substring(e, 2, 3)
-        return bind(F.regexp_extract_all(e, F.lit(r"(?s)<[A-Z][A-Z0-9]{2}\.(\d+)>[^<]*<"), F.lit(1)), lambda numbers: bind(
-            F.map_from_arrays(F.transform(numbers, lambda n: n.cast("int")),
-                              F.regexp_extract_all(e, F.lit(r"(?s)<[A-Z][A-Z0-9]{2}\.\d+>([^<]*)<"), F.lit(1))),
-            lambda values: bind(F.coalesce(F.array_max(F.map_keys(values)), F.lit(0)), lambda last: F.array_join(F.concat(
-                F.array(name), F.when(last > F.when(name == "MSH", 1).otherwise(0), F.transform(
-                    F.sequence(F.when(name == "MSH", 2).otherwise(1), last), lambda n: F.coalesce(F.try_element_at(values, n), F.lit(""))))
-                .otherwise(F.filter(F.array(name), lambda _: F.lit(False)))), "|"))))
-
-    def text(c: Column) -> Column:
-        for ch, entity in ((">", "&gt;"), ("<", "&lt;"), ("&", "&amp;")):
-            c = F.replace(c, F.lit(entity), F.lit(ch))
-        return c
-    return xml_messages.select("msg_id", text(F.array_join(F.transform(elements, segment), "\r")).alias("raw"))
+    return SX.with_raw(xml_messages.select("msg_id", "xml")).select("msg_id", "raw")
 
 
 # ------------------------------------------------------------------ G14

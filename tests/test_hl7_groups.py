@@ -2,8 +2,11 @@
 
 import xml.etree.ElementTree as ET
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from recordchecks.functions import segment_xml as SX
 from recordchecks.operators import hl7_groups as HG
 
 MSH = "MSH|^~\\&|A|B|C|D|20240101||ORU^R01^ORU_R01|1|P|2.5"
@@ -175,3 +178,40 @@ def test_breaks_of_a_message_over_many_chunks(spark):
             want.append((f"segment {i + 4}", f"OBX set id {s.split('|')[1]} out of sequence, expected {n}"))
     got = breaks(spark, "PID|1||7", "FHS|x", "OBR|1|O", *many, "PV1|1")
     assert got == want + [("segment 403", "PV1 is not expected after OBX"), ("segment 403", "message ends after PV1")] and len(want) > 300
+
+
+def test_xml_is_made_and_read_by_batches(spark):
+    # a field costs no interpreted expression: of functions over arrays only those over segments are left
+    made = HG.to_xml(raws(spark, MSH))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "split(" not in plan.split("MapInArrow")[0]
+    plan = HG.from_xml(made.select("msg_id", "xml"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "map_from_arrays" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_batches_of_any_size_give_the_same_xml_and_messages(monkeypatch):
+    texts = ["MSH|^~\\&|A\rPID|1||7 & <8>\rZAB\rOBR|" + "|" * 90 + "x", None, "", "PID|1", "MSH\rOBX||é一\U0001F600|\\S\\||", "EVN|" + "y" * 500]
+    lines = pa.array([t and t.split("\r") for t in texts], pa.list_(pa.string()))
+    want = [None if t is None else "\r".join(s.rstrip("|") for s in t.split("\r")) for t in texts]
+    for size in (1, 40, 700, 1 << 20):
+        monkeypatch.setattr(SX, "BATCH_BYTES", size)
+        for part in (lines, lines.slice(2, 3)):
+            made = SX._elements(part)
+            assert [len(m) for m in made.to_pylist()] == [len(m or []) for m in part.to_pylist()]
+        xml = pa.array([None if t is None else f"<ORU_R01>{''.join(m)}</ORU_R01>" for t, m in zip(texts, SX._elements(lines).to_pylist())])
+        assert SX._raws(xml).to_pylist() == want and SX._raws(xml.slice(3)).to_pylist() == want[3:]
+    assert SX._raws(pa.array([], pa.string())).to_pylist() == [] and SX._elements(lines.slice(0, 0)).to_pylist() == []
+
+
+def test_from_xml_of_xml_written_elsewhere():
+    read = lambda *xml: SX._raws(pa.array(xml, pa.string())).to_pylist()
+    assert read("<?xml version='1.0'?>\n<ORU_R01>\n <MSH>\n  <MSH.1>|</MSH.1>\n  <MSH.2>^~\\&amp;</MSH.2>\n </MSH>\n"
+                " <ORU_R01.PATIENT_RESULT>\n <PID>\n  <PID.5>E</PID.5>\n  <PID.3>a > b</PID.3>\n <PID.0>no</PID.0></PID>\n"
+                " <NTE></NTE></ORU_R01.PATIENT_RESULT>\n</ORU_R01>\n") == ["MSH|^~\\&\rPID|||a > b||E\rNTE"]
+    assert read("<PID><PID.2></PID.2></PID>", "<MSH><MSH.1>|</MSH.1></MSH>", "<MSH><MSH.3>x</MSH.3></MSH>", "no <b>xml</b> <", "") == [
+        "PID||", "MSH", "MSH||x", "", ""]
+    # what stands outside a segment is none's, also not the earlier message's
+    assert read("<PID><PID.1>1</PID.1></PID>", "<PID.2>2</PID.2><OBX></OBX>") == ["PID|1", "OBX"]
+    assert read("<OBX><OBX.5>&amp;lt; &lt;</OBX.5></OBX>") == ["OBX|||||&lt; <"]
+    with pytest.raises(ValueError):
+        read("<PID><PID.3>a</PID.3><PID.3>b</PID.3></PID>")
