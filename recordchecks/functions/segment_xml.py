@@ -93,14 +93,16 @@ def raws(xml: pa.Array) -> pa.Array:
     read = [TAG.fullmatch(t) for t in tag.dictionary.to_pylist()]
     number = np.array([-1 if not m or m[2] and int(m[2]) == 0 else int(m[2] or 0) for m in read], np.int64)
     is_msh = np.array([bool(m) and m[0] == "MSH" for m in read], bool)
+    ends = [t.startswith("/") and TAG.fullmatch(t[1:]) for t in tag.dictionary.to_pylist()]
+    closing = np.array([bool(m) and not m[2] for m in ends], bool)
     which = tag.indices.to_numpy()
     number = number[which]
     opens = number == 0
-    segment = np.cumsum(opens) - 1
-    of_message, of_msh = message[opens], is_msh[which[opens]]
-    kept = (number >= 0) & (segment >= 0)
-    kept[kept] = (of_message[segment[kept]] == message[kept]) & ~(of_msh[segment[kept]] & (number[kept] == 1))
-    at = np.flatnonzero(kept)
+    # a segment is known by the place of its tag; outside of one, that of the last end or -1
+    segment = np.maximum.accumulate(np.where(opens | closing[which], np.arange(len(which)), -1))
+    of_msh = is_msh[which]
+    at = np.flatnonzero((number >= 0) & (segment >= 0))
+    at = at[opens[segment[at]] & (message[segment[at]] == message[at]) & ~(of_msh[segment[at]] & (number[at] == 1))]
     if np.any((np.diff(segment[at]) == 0) & (np.diff(number[at]) <= 0)):
         at = at[np.lexsort((number[at], segment[at]))]
         if np.any((np.diff(segment[at]) == 0) & (np.diff(number[at]) == 0)):

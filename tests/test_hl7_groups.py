@@ -211,7 +211,8 @@ def test_from_xml_of_xml_written_elsewhere():
     assert read("<PID><PID.2></PID.2></PID>", "<MSH><MSH.1>|</MSH.1></MSH>", "<MSH><MSH.3>x</MSH.3></MSH>", "no <b>xml</b> <", "") == [
         "PID||", "MSH", "MSH||x", "", ""]
     # what stands outside a segment is none's, also not the earlier message's
-    assert read("<PID><PID.1>1</PID.1></PID>", "<PID.2>2</PID.2><OBX></OBX>") == ["PID|1", "OBX"]
+    assert read("<PID><PID.1>1</PID.1></PID>", "<PID.2>2</PID.2><OBX></OBX><OBX.3>3</OBX.3><NTE><NTE.1>1</NTE.1></NTE>") == [
+        "PID|1", "OBX\rNTE|1"]
     assert read("<OBX><OBX.5>&amp;lt; &lt;</OBX.5></OBX>") == ["OBX|||||&lt; <"]
     with pytest.raises(ValueError):
         read("<PID><PID.3>a</PID.3><PID.3>b</PID.3></PID>")
