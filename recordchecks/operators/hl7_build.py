@@ -2,8 +2,8 @@
 
 Device records (JSON) are opened inside their own row, whatever they nest (G2),
 matched against the compiled mapping (G1, G3, J2),
-numbered (W2) and assembled (G11) on the same row: no shuffle.  A mapping too
-large to compile into the plan is joined instead.  Every step is linear, or a
+numbered (W2) and assembled (G11) on the same row: no shuffle.  Their rows are made
+by ``functions.record_rows``; a mapping too large to travel with the plan is joined instead.  Every step is linear, or a
 sort, in the size of a record.
 
 Also relational ORU building (G13-G16): patient, order and observation tables
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordchecks.functions import hl7 as H
+from recordchecks.functions import record_rows as R
 from recordchecks.functions.arrays import bind, run_starts, running
 from recordchecks.functions.gen import explode_kept, inline_kept
 from recordchecks.functions.jsonwalk import scalars_below
@@ -139,7 +140,7 @@ def header_segments(docs: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST")
     """G4-G7 per document on its own row: BHS, MSH, PID, PV1, ORC, fixed OBR,
     two NTE, device OBX, and BTS; values escaped (D9)."""
     v = F.try_parse_json("json")
-    p = docs.select("doc_id", v.alias("v"))
+    p = docs.select("doc_id", "json", v.alias("v"))
     e = lambda c: F.coalesce(H.escape_value(c), F.lit(""))
     pi = lambda k: _v(F.col("v"), "Patient Info", k)
     bhs = F.concat(F.lit(f"BHS|^~\\&|{M.APP_FIELDS}|{run_ts}||BatchType-"),
@@ -147,13 +148,14 @@ def header_segments(docs: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST")
                    e(_v(F.col("v"), "Batch", "ID")))
     msh = F.concat(F.lit(f"MSH|^~\\&|{M.APP_FIELDS}|{run_ts}||ORU^R01|MSG"), F.col("doc_id").cast("string"),
                    F.lit(f"|P|{M.HL7_VERSION}"))
-    ids = F.array_compact(F.array(
-        F.when(F.coalesce(pi("ERP Patient ID"), pi("Baxter Patient ID")) != "",
-               F.concat(e(F.coalesce(pi("ERP Patient ID"), pi("Baxter Patient ID"))), F.lit(M.BAXTER_ID_SUFFIX))),
-        F.when(pi("Clinic Patient ID") != "", F.concat(e(pi("Clinic Patient ID")), F.lit(M.CLINIC_ID_SUFFIX)))))
+    # put together with ``concat_ws``: a higher-order function's arguments are interpreted
+    ids = F.concat_ws(
+        "~", F.when(F.coalesce(pi("ERP Patient ID"), pi("Baxter Patient ID")) != "",
+                    F.concat(e(F.coalesce(pi("ERP Patient ID"), pi("Baxter Patient ID"))), F.lit(M.BAXTER_ID_SUFFIX))),
+        F.when(pi("Clinic Patient ID") != "", F.concat(e(pi("Clinic Patient ID")), F.lit(M.CLINIC_ID_SUFFIX))))
     name = F.when(pi("First Name").isNotNull() | pi("Last Name").isNotNull(), F.concat(
         e(pi("Last Name")), F.lit("^"), e(pi("First Name")), F.lit("^"), e(pi("Middle Name")))).otherwise(F.lit(""))
-    pid = F.concat(F.lit("PID|1||"), F.array_join(ids, "~"), F.lit("||"), name)
+    pid = F.concat(F.lit("PID|1||"), ids, F.lit("||"), name)
     pv1 = F.concat(F.lit("PV1|1|O|^^^"), e(F.coalesce(pi("Clinic Name"), F.lit(M.DEFAULT_CLINIC))))
     tid = e(pi("Treatment ID"))
     orc = F.concat(F.lit("ORC|RE|"), tid, F.lit(f"|FILLER_ID|||||||{run_ts}"))
@@ -163,7 +165,7 @@ def header_segments(docs: DataFrame, run_ts: str, obs_ts: str, tz: str = "PST")
     dev = pi("Device Type")
     dev_obx = F.when(F.coalesce(dev, F.lit("")) != "", F.concat(
         F.lit(f"OBX|1|ST|{M.DEVICE_OBX}|1|"), e(dev), F.lit("||||||F")))
-    return p.select("doc_id", "v", F.col("v").isNotNull().alias("parsed"), bhs.alias("bhs"), msh.alias("msh"),
+    return p.select("doc_id", "v", R.record_text(F.col("json"), F.col("v")).alias("text"), F.col("v").isNotNull().alias("parsed"), bhs.alias("bhs"), msh.alias("msh"),
                     pid.alias("pid"), pv1.alias("pv1"), orc.alias("orc"), fixed_obr.alias("fixed_obr"),
                     nte1.alias("nte1"), nte2.alias("nte2"), dev_obx.alias("device_obx"),
                     F.lit(M.BTS_SEGMENT).alias("bts"))
@@ -204,6 +206,20 @@ def _nodes(v: Column) -> Column:
         _entries_of(e["v"]).isNull() & _items_of(e["v"]).isNull(), F.array(e)).otherwise(scalars_below(e["v"], e["path"], e["top"], e["idx"], e["leaf"], norm_key))))
 
 
+def _lookup(mapping: DataFrame) -> dict[str, list]:
+    """Entries of a small mapping by look-up key."""
+    by_key: dict[str, list] = {}
+    for r in _entries(mapping).collect():  # 3 * max_compiled rows at most
+        by_key.setdefault(r["key"], []).append(r["entry"])
+    return by_key
+
+
+def _compiled(mapping: DataFrame, obs_ts: str) -> R.Rows:
+    """A small mapping as it travels with the plan."""
+    lookup = {k: [e.asDict() for e in es] for k, es in sorted(_lookup(mapping).items())}
+    return R.Rows(lookup, [s.asDict() for s in _sections(mapping).first()["_secs"]], obs_ts)
+
+
 def _candidate(n: Column, m: Column) -> Column:
     value = bind(F.schema_of_variant(n["v"]), lambda k: F.when(k == "STRING", F.try_variant_get(n["v"], "$", "string")).when(
         (k != "VOID") & ~k.startswith("OBJECT") & ~k.startswith("ARRAY"), F.to_json(n["v"])))
@@ -226,11 +242,8 @@ def _matched(df: DataFrame, mapping: DataFrame, max_compiled: int) -> DataFrame:
     the matches return to their document by its id."""
     keep = df.columns
     opened = df.select(*keep, F.when(F.col("v").isNotNull(), _nodes(F.col("v"))).alias("_nodes"))
-    entries = _entries(mapping)
     if mapping.count() <= max_compiled:
-        by_key: dict[str, list] = {}
-        for r in entries.collect():  # 3 * max_compiled rows at most
-            by_key.setdefault(r["key"], []).append(r["entry"])
+        by_key = _lookup(mapping)
         empty = F.array().cast(_ENTRY_TYPE)
 
         def literal(e):
@@ -241,7 +254,7 @@ def _matched(df: DataFrame, mapping: DataFrame, max_compiled: int) -> DataFrame:
         with_cand = opened.select(*keep, F.filter(cand, lambda x: x["value"].isNotNull()).alias("_cand"))
     else:
         n = inline_kept(opened.select("doc_id", "_nodes"), ["doc_id"], F.transform("_nodes", lambda x: F.struct(x.alias("n"), _key_of(x).alias("key"))), "key")
-        hits = n.join(entries, "key").select("doc_id", _candidate(F.col("n"), F.col("entry")).alias("c")).where("c.value is not null")
+        hits = n.join(_entries(mapping), "key").select("doc_id", _candidate(F.col("n"), F.col("entry")).alias("c")).where("c.value is not null")
         with_cand = df.join(hits.groupBy("doc_id").agg(F.collect_list("c").alias("_cand")), "doc_id", "left").select(
             *keep, F.when(F.col("v").isNotNull(), F.coalesce("_cand", F.array())).alias("_cand"))
     # first found wins: a root look-up hides the under-section one (G8).  Items
@@ -254,19 +267,15 @@ def _matched(df: DataFrame, mapping: DataFrame, max_compiled: int) -> DataFrame:
     return with_cand.select(*keep, best.alias("_best"))
 
 
-def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str, max_compiled: int) -> DataFrame:
-    """Adds ``rows``: per document, inside its row, the OBR and OBX rows in
-    message order, numbered (W2): one OBR per section, one per item of a list
-    section (D14), its OBX below it.  A section's values are sorted once;
-    running counts number them."""
+def _with_rows(df: DataFrame, mapping: DataFrame, obs_ts: str) -> DataFrame:
+    """Adds ``rows``: per document the OBR and OBX rows in message order, numbered
+    (W2), by a mapping that is joined: one OBR per section, one per item of a list
+    section (D14), its OBX below it.  A section's values are sorted once; running
+    counts number them.  ``record_rows`` does the same by a mapping that is not."""
     keep = df.columns
-    m = _matched(df, mapping, max_compiled)
+    m = _matched(df, mapping, 0)
     one = _sections(mapping)  # one row of configuration, the same for every document
-    if mapping.count() <= max_compiled:
-        secs = one.first()["_secs"]
-        m = m.withColumn("_secs", F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in secs]))
-    else:
-        m = m.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+    m = m.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
 
     def section(best, s):
         mine = F.array_sort(F.transform(F.filter(best, lambda x: x["section"] == s["section"]), lambda x: F.struct(
@@ -326,8 +335,11 @@ def section_rows(docs: DataFrame, mapping: DataFrame, obs_ts: str, max_compiled:
     the mapping sequence."""
     # no filter on the parsed column: it would be pushed below the parse and
     # parse every document twice; unparseable ones drop at the generator
-    v = docs.select("doc_id", F.try_parse_json("json").alias("v"))
-    plan = _with_rows(v, mapping, obs_ts, max_compiled)
+    v = docs.select("doc_id", "json", F.try_parse_json("json").alias("v"))
+    if mapping.count() <= max_compiled:
+        texts = v.select("doc_id", R.record_text(F.col("json"), F.col("v")).alias("text"))
+        return R.section_rows(texts, _compiled(mapping, obs_ts))
+    plan = _with_rows(v, mapping, obs_ts)
     return inline_kept(plan.select("doc_id", F.when(F.col("v").isNotNull(), F.col("rows")).alias("rows")), ["doc_id"], "rows", "seg_name")
 
 
@@ -338,15 +350,19 @@ def messages(docs: DataFrame, mapping: DataFrame, run_ts: str, obs_ts: str, tz:
     rows, BTS - and joined with ``\r`` (D9).  An unparseable record gets
     status ``error``; the batch goes on."""
     h = header_segments(docs, run_ts, obs_ts, tz)
-    staged = _with_rows(h, mapping, obs_ts, max_compiled)
-    segs = F.concat(F.array("bhs", "msh", "pid", "pv1", "orc", "fixed_obr", "nte1", "nte2"),
-                    F.array_compact(F.array("device_obx")),
-                    F.transform("rows", lambda r: r["segment"]), F.array("bts"))
+    if mapping.count() <= max_compiled:
+        staged = h.withColumn("body", R.segments_text(F.col("text"), _compiled(mapping, obs_ts)))
+    else:
+        rows = _with_rows(h, mapping, obs_ts)
+        staged = rows.withColumn("body", F.struct(F.size("rows").alias("n"), F.nullif(F.array_join(
+            F.transform("rows", lambda r: r["segment"]), "\r"), F.lit("")).alias("text")))
+    head = ["bhs", "msh", "pid", "pv1", "orc", "fixed_obr", "nte1", "nte2"]
+    n = F.lit(len(head) + 1) + F.col("device_obx").isNotNull().cast("int") + F.col("body.n")
     return staged.select(
         "doc_id", F.when(F.col("parsed"), "success").otherwise("error").alias("status"),
         F.when(~F.col("parsed"), F.lit("Error generating HL7 message: record is not valid JSON")).alias("error"),
-        F.when(F.col("parsed"), F.size(segs)).alias("n_segments"),
-        F.when(F.col("parsed"), F.array_join(segs, "\r")).alias("hl7_message"))
+        F.when(F.col("parsed"), n).alias("n_segments"),
+        F.when(F.col("parsed"), F.concat_ws("\r", *head, "device_obx", "body.text", "bts")).alias("hl7_message"))
 
 
 def gen_totals(msgs: DataFrame) -> DataFrame:
