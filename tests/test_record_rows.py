@@ -60,3 +60,13 @@ def test_known_keys_are_bounded(monkeypatch):
     monkeypatch.setattr(R, "MAX_KNOWN", 3)
     known = R._Known(str.upper)
     assert [known[k] for k in "abcdeab"] == list("ABCDEAB") and len(known) <= 3
+
+
+def test_two_digits_as_by_a_formatter(spark):
+    from pyspark.sql import functions as F
+
+    from recordchecks.sources.bindings import two_digits
+    df = spark.createDataFrame([(n,) for n in [None, *range(-120, 121), 2**31 - 1, -2**31]], "n int")
+    assert df.where(two_digits(F.col("n")) != F.format_string("%02d", "n")).collect() == []
+    plan = df.select(two_digits(F.col("n")).alias("t"))
+    assert plan.where("t is null").count() == 0
